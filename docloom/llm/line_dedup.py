@@ -182,3 +182,11 @@ SELECT doc_id, count(*) AS n_lines,
 FROM lines LEFT JOIN frequent f USING (k)
 GROUP BY doc_id
 """
+
+
+def apply_line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with every text replaced by its kept lines (``n_chars``, if there, follows)."""
+    found = dedup_lines(docs, doc_id, text).withColumn(text, F.col("kept_text"))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.length(text).cast("long"))
+    return found.select(*docs.columns)

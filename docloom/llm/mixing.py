@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WORD, bounded, checkpointed, read
+from docloom.llm.common import SPACES, WORD, bounded, checkpointed, read
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -138,3 +138,34 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def apply_mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` as the mix takes them: each row once for each whole pass, then once with the part taken.
+
+    The part is ``taken % size`` words from word ``start`` on, wrapping round, joined by single spaces;
+    rows that the mix takes nothing of go. ``n_chars``, if there, is that of the text given.
+    Rows that agree in id, source and size take what their group takes, shared by rank.
+    """
+    names = docs.columns
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACES), lambda w: w != "")
+    rank = Window.partitionBy("__i", "__s", "__n").orderBy(F.desc("__taken"), "__start")
+    plan = mix(docs, text, source, doc_id).select(
+        F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("taken").alias("__taken"), F.col("start").alias("__start")
+    )
+    plan = plan.withColumn("__r", F.row_number().over(rank)).where("__taken > 0")
+    sized = docs.withColumn("__size", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"))
+    twins = Window.partitionBy(doc_id, source, "__size").orderBy(F.xxhash64(text))
+    sized = sized.withColumn("__rank", F.row_number().over(twins))
+    same = F.col(doc_id).eqNullSafe(F.col("__i")) & F.col(source).eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n")) & (F.col("__rank") == F.col("__r"))
+    taken = sized.join(plan, same)
+    whole, rest = F.floor(F.col("__taken") / F.col("__n")), (F.col("__taken") % F.col("__n")).cast("int")
+    turns = F.concat(F.array_repeat(F.lit(False), whole.cast("int")), F.when(rest > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
+    taken = taken.withColumn("__part", F.explode(turns))
+    first = (F.col("__start") + 1).cast("int")
+    part = F.concat(F.slice(words, first, rest), F.slice(words, F.lit(1), F.greatest(first - 1 + rest - F.size(words), F.lit(0))))
+    given = F.when(F.col("__part"), F.array_join(part, " ")).otherwise(F.col(text))
+    out = taken.withColumn(text, given)
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.length(F.coalesce(F.col(text), F.lit(""))).cast("long"))
+    return out.select(*names)

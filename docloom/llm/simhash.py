@@ -209,3 +209,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: that of the smallest id.
+
+    Rows that repeat an id are thinned to one. Rows with a null id are compared by equal fingerprint
+    only: one stays for each fingerprint that no row with an id has.
+    """
+    marked = checkpointed(near_duplicates(docs, doc_id, text))
+    heads = marked.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("__copies"))
+    heads = checkpointed(heads.withColumnRenamed("doc_id", "__head"))
+    single = docs.join(heads.where("__copies = 1"), F.col(doc_id) == F.col("__head"), "left_semi")
+    repeated = docs.join(heads.where("__copies > 1"), F.col(doc_id) == F.col("__head"), "left_semi").dropDuplicates([doc_id])
+    named = marked.where("doc_id IS NOT NULL").select(F.col("fp").alias("__named")).distinct()
+    whole = F.coalesce(F.col(text), F.lit(""))
+    nameless = docs.where(F.col(doc_id).isNull())
+    lone = fingerprints(nameless.select(F.xxhash64(whole).alias("__t"), text), "__t", text).withColumnsRenamed({"doc_id": "__t"}).distinct()
+    lone = lone.join(named, F.col("fp") == F.col("__named"), "left_anti").groupBy("fp").agg(F.min("__t").alias("__t"))
+    nameless = nameless.withColumn("__h", F.xxhash64(whole)).join(lone.select("__t"), F.col("__h") == F.col("__t"), "left_semi")
+    return single.unionAll(repeated).unionAll(nameless.dropDuplicates(["__h"]).drop("__h"))
