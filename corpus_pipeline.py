@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import common, line_dedup, mixing, simhash
+from docloom.llm import common, line_dedup, mixing, packing, quality_model, simhash
+
+
+def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality_model.keep_good(docs, common.read(spark, sf_dir, "labels"))
 
 
 def drop_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +27,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.apply_mix(docs)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts are tokenized and packed into sequences: one row a piece."""
+    return packing.pack(docs)
+
+
 STAGES = [
+    ("quality classifier", keep_good_documents),
     ("line dedup", drop_frequent_lines),
     ("SimHash near-dedup", drop_near_duplicates),
     ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
 ]
 
 #: Fingerprints, classifiers and tokenizers are beyond SQL; tests hold the run against brute force.

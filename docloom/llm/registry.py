@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from docloom.llm import line_dedup, mixing, quality_rules, simhash
+from docloom.llm import line_dedup, mixing, packing, quality_model, quality_rules, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_simhash": simhash.op5_simhash,
         "op6_mixing": mixing.op6_mixing,
+        "op7_quality_classifier": quality_model.op7_quality_classifier,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op9_packing": packing.op9_packing,
     }
 
 
