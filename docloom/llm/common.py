@@ -44,14 +44,16 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def bounded(df: DataFrame, max_rows: int = 50_000, max_bytes: int = 8_000_000) -> DataFrame:
-    """``df`` marked for broadcast if a count shows it small, else for a sort-merge join.
-
-    ``df`` should be checkpointed: it is counted here.
-    """
+def is_small(df: DataFrame, max_rows: int = 50_000, max_bytes: int = 8_000_000) -> bool:
+    """Whether a (checkpointed) table is small enough to broadcast, by count and bytes."""
     weight = sum((F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(8) for c, t in df.dtypes), F.lit(0))
     seen = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(weight), F.lit(0)).alias("b")).head()
-    return F.broadcast(df) if seen["n"] <= max_rows and seen["b"] <= max_bytes else df.hint("merge")
+    return seen["n"] <= max_rows and seen["b"] <= max_bytes
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """A checkpointed table marked for broadcast if it is small, else for a sort-merge join."""
+    return F.broadcast(df) if is_small(df) else df.hint("merge")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
