@@ -102,7 +102,7 @@ def courses_from_lines(docs: DataFrame) -> DataFrame:
     spot = F.filter(F.sequence(F.lit(3), F.least(F.size("p"), F.lit(10)) - 1), lambda i: (F.get("v", i) > 0) & (F.get("v", i) <= 20))
     rows = rows.withColumn("at", F.get(spot, F.lit(0))).where("at > 3")
     later = F.filter(F.sequence(F.col("at") + 2, F.greatest(F.least(F.size("p"), F.col("at") + 6) - 1, F.col("at") + 2)), lambda i: (F.get("v", i) >= 0) & (F.get("v", i) <= 5))
-    name = F.array_join(F.slice("p", F.lit(4), F.col("at") - 3), " ")
+    name = F.array_join(F.slice("p", F.lit(4), F.greatest(F.col("at") - 3, F.lit(0))), " ")
     out = rows.select(
         "doc_id",
         "line_no",
@@ -151,7 +151,7 @@ def courses_from_tokens(docs: DataFrame, line_courses: DataFrame) -> DataFrame:
         F.concat_ws("-", s["academic_year"], s["term"]).alias("semester"),
         F.get("p", F.col("c.start") + 1).alias("course_code"),
         F.get("p", F.col("c.start") + 2).alias("course_seq"),
-        F.array_join(F.slice("p", F.col("c.start") + 4, F.col("c.at") - F.col("c.start") - 3), "").alias("course_name"),
+        F.array_join(F.slice("p", F.col("c.start") + 4, F.greatest(F.col("c.at") - F.col("c.start") - 3, F.lit(0))), "").alias("course_name"),
         F.get("v", F.col("c.at")).alias("credit"),
         F.get("v", F.col("c.at") + 1).alias("score"),
         F.lit(None).cast("double").alias("gpa"),

@@ -1 +1,153 @@
-ORACLES: dict[str, str] = {}
+"""Oracle SQL for the library's queries, over the same tables."""
+
+from __future__ import annotations
+
+from docloom.functions import packs
+from docloom.plans.fixtures import oracle as fixture
+
+
+def _hits(words: list[str], text: str = "text") -> str:
+    return "(" + " + ".join(f"contains({text}, '{w}')::INT" for w in words) + ")"
+
+
+_LEAVE, _ROSTERS, _MARKS, _TABLES = (fixture(n) for n in ("leave_forms", "rosters", "transcripts", "html_tables"))
+_FORMS = f"SELECT doc_id * 4 AS doc_id, text FROM ({_LEAVE}) UNION ALL SELECT doc_id * 4 + 1, text FROM ({_ROSTERS}) UNION ALL SELECT doc_id * 4 + 2, text FROM ({_MARKS})"
+_TRIM = "trim({}, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"
+_LINES = f"""
+SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS line_no
+FROM (SELECT doc_id, {_TRIM.format("l")} AS line, pos
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents))
+WHERE line <> ''
+"""
+_DIGITS = "(length(regexp_replace(line, '[^0-9]', '', 'g')) / greatest(length(line), 1)::DOUBLE)"
+_SEPS = "(length(line) - length(regexp_replace(line, '[ \\t|,]', '', 'g')))"
+_FREE = "SELECT doc_id, list_value(" + ", ".join(f"{{'s': {_hits(w)}, 'o': {-k}, 't': '{t}'}}" for k, (t, w) in enumerate(packs.TYPE_KEYWORDS.items())) + ") AS c FROM ({docs})"
+
+
+def _free(docs: str) -> str:
+    return f"""
+SELECT doc_id, CASE WHEN b.s > 0 THEN b.t ELSE '未知' END AS document_type, CASE WHEN b.s > 0 THEN round_even(b.s / total::DOUBLE, 4) ELSE 0 END AS confidence
+FROM (SELECT doc_id, list_sort(c)[-1] AS b, list_sum(list_transform(c, lambda x: x.s)) AS total FROM ({_FREE.replace('{docs}', docs)}))
+"""
+
+
+_COURSES = f"""
+SELECT doc_id, pos - 1 AS line_no, p[1] AS semester, p[2] AS course_code, p[3] AS course_seq, p[4] AS name, p[5] AS kind, p[6] AS q, p[7] AS score, p[8] AS gpa
+FROM (SELECT doc_id, string_split(l, ' ') AS p, pos
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM ({_MARKS})) WHERE pos > 1)
+"""
+_COURSE_ROWS = f"""
+SELECT doc_id, line_no, semester, course_code, course_seq,
+       CASE WHEN q::DOUBLE BETWEEN 1e-9 AND 20 THEN name || ' ' || kind
+            WHEN score::DOUBLE BETWEEN 1e-9 AND 20 THEN name || ' ' || kind || ' ' || q
+            ELSE name || ' ' || kind || ' ' || q || ' ' || score END AS course_name,
+       CASE WHEN q::DOUBLE BETWEEN 1e-9 AND 20 THEN q::DOUBLE ELSE gpa::DOUBLE END AS credit,
+       CASE WHEN q::DOUBLE BETWEEN 1e-9 AND 20 THEN score::DOUBLE END AS score,
+       CASE WHEN q::DOUBLE BETWEEN 1e-9 AND 20 THEN gpa::DOUBLE END AS gpa
+FROM ({_COURSES})
+"""
+_MEMBERS = f"""
+SELECT doc_id, p[1]::INT AS number, p[2] AS class, p[3] AS name, p[4] AS gender, pos
+FROM (SELECT doc_id, string_split(l, ' ') AS p, pos
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM ({_ROSTERS})) WHERE pos > 2)
+"""
+_LEAVE_PARTS = f"""
+SELECT doc_id, text, regexp_extract(text, '姓名：(\\S+)', 1) AS name, regexp_extract(text, '学号：([0-9]+)', 1) AS sid, regexp_extract(text, '班级：(\\S+)', 1) AS class,
+       regexp_extract(text, '开始日期：(\\S+)', 1) AS day, regexp_extract(text, '手机号：_([0-9]+)', 1) AS phone, regexp_extract(text, '金额：([0-9]+)元', 1) AS amount
+FROM ({_LEAVE})
+"""
+_BOXES = f"SELECT doc_id, line_no, line AS text, 0.5 + (length(line) % 64) / 128.0::DOUBLE AS confidence FROM ({_LINES})"
+_OCR = f"""
+SELECT d.doc_id, coalesce(b.text, '') AS text, coalesce(b.confidence, 0) AS confidence, coalesce(b.n, 0) AS total_boxes
+FROM documents d LEFT JOIN (SELECT doc_id, string_agg(text, chr(10) ORDER BY line_no) AS text, round_even(avg(confidence::DOUBLE), 4) AS confidence, count(*) AS n FROM ({_BOXES}) GROUP BY doc_id) b USING (doc_id)
+"""
+_GRID = f"""
+SELECT doc_id, pos - 1 AS row, list_transform(regexp_extract_all(r, '<td>(.*?)</td>', 1), lambda x: regexp_replace(x, '\\s+', '', 'g')) AS cells
+FROM (SELECT doc_id, unnest(regexp_extract_all(html, '<tr>.*?</tr>')) AS r, generate_subscripts(regexp_extract_all(html, '<tr>.*?</tr>'), 1) AS pos FROM ({_TABLES}))
+"""
+
+
+def _matches(kind: str, rule: int, pattern: str, group: int, docs: str) -> str:
+    return f"SELECT doc_id, {rule} AS rule, generate_subscripts(m, 1) AS ord, '{kind}' AS type, unnest(m) AS text FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}', {group}) AS m FROM ({docs}))"
+
+
+_KEYWORD = " UNION ALL ".join(
+    f"SELECT doc_id, '{t}' AS doc_type, 0.15 + 0.05 * least({_hits(some)}, 5) AS score FROM f WHERE {_hits(some)} >= {least}"
+    + "".join(f" AND contains(text, '{w}')" for w in every)
+    + "".join(f" AND NOT contains(text, '{w}')" for w in none)
+    for t, some, every, none, least in packs.KEYWORD_RULES
+)
+_PRIMARY = " ".join(f"WHEN document_type IN ({', '.join(repr(t) for t in types)}) THEN '{p}'" for p, types in packs.PRIMARY_CLASS.items())
+
+ORACLES: dict[str, str] = {
+    "leave_form_records": f"SELECT doc_id, k.document_type AS doc_type, k.confidence, sid AS student_id, phone FROM ({_LEAVE_PARTS}) JOIN ({_free(_LEAVE)}) k USING (doc_id)",
+    "a2_validate_requests": "SELECT doc_id::VARCHAR AS file_id, CASE WHEN length(text) > 50000 THEN 'text too long' WHEN text = '' THEN 'text or file is required' ELSE '' END AS message FROM documents",
+    "a3_validate_files": """SELECT path, length, lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) IN ('jpg', 'jpeg', 'png', 'bmp', 'tiff', 'tif', 'webp', 'pdf') AND length <= 10485760 AS ok
+FROM (SELECT url || ['.jpg', '.PDF', '.exe', ''][page_id % 4 + 1] AS path, page_id * 100000 AS length FROM pages)""",
+    "a4_decode_payload": "SELECT page_id, sha256(html) AS payload_sha256, '.pdf' AS suffix FROM pages",
+    "a5_to_data_url": """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'data:x' ELSE 'data:' || CASE WHEN page_id % 2 = 0 THEN 'image/jpeg' ELSE 'image/png' END || ';base64,' || url END AS data_url FROM pages""",
+    "a10_success_envelope": """SELECT doc_id, '{"code":200,"message":"success","data":{"key":"' || md5(substr(text, 1, 2000)) || '"}}' AS value FROM documents""",
+    "b1_boxes_to_bbox": "SELECT l_orderkey, trunc(min(l_linenumber * 10.5))::INT AS x0, trunc(min(l_quantity))::INT AS y0, trunc(max(l_linenumber * 10.5))::INT AS x1, trunc(max(l_quantity))::INT AS y1 FROM lineitem GROUP BY 1",
+    "b2_assemble_text": f"SELECT doc_id, md5(text) AS text_md5, confidence, total_boxes FROM ({_OCR})",
+    "b3_merge_tiles": """SELECT doc_id, tile, lo, hi, vertical FROM (
+SELECT doc_id, tile, greatest(tile * step - pad, 0)::BIGINT AS lo, (CASE WHEN tile = 2 THEN side ELSE least((tile + 1) * step + pad, side) END)::BIGINT AS hi, height >= 2000 AS vertical
+FROM (SELECT o_orderkey AS doc_id, floor(o_totalprice)::BIGINT AS height, greatest(floor(o_totalprice)::BIGINT, 2000) AS side, greatest(floor(o_totalprice)::BIGINT, 2000) // 3 AS step,
+             floor((greatest(floor(o_totalprice)::BIGINT, 2000) // 3) * 0.05::DOUBLE)::BIGINT AS pad, unnest([0, 1, 2]) AS tile FROM orders)) WHERE hi - lo >= 16""",
+    "b4_long_page_flag": "SELECT o_orderkey, greatest(h, 1000) / greatest(least(h, 1000), 1)::DOUBLE >= 2.2 OR greatest(h, 1000) > 2600 AS long_page FROM (SELECT o_orderkey, floor(o_totalprice / 100) AS h FROM orders)",
+    "b5_weak_text_flag": f"SELECT doc_id, length({_TRIM.format('text')}) < 25 OR confidence < 0.35 OR total_boxes <= 4 AS weak FROM ({_OCR})",
+    "b7_strip_html": f"SELECT page_id, md5({_TRIM.format('t')}) AS plain_md5 FROM (SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s{{2,}}', ' ', 'g') AS t FROM pages)",
+    "c1_split_lines": f"SELECT doc_id, line_no, md5(line) AS line_md5 FROM ({_LINES})",
+    "c3_segment_document": f"""SELECT doc_id, coalesce(least(n, 3), 0) AS n_header, coalesce(m, 0) AS n_meta, coalesce(t, 0) AS n_table, coalesce(n - t, 0) AS n_body FROM documents LEFT JOIN (
+SELECT doc_id, count(*) AS n, count(*) FILTER (regexp_matches(line, '日期|时间|编号|盖章|证明')) AS m, count(*) FILTER ({_SEPS} >= 3 OR {_DIGITS} > 0.35) AS t FROM ({_LINES}) GROUP BY doc_id) USING (doc_id)""",
+    "c5_split_text_sections": f"""SELECT doc_id, md5(coalesce(b, '')) AS body_md5, md5(coalesce(t, '')) AS table_md5 FROM documents LEFT JOIN (
+SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT x) AS b, string_agg(line, chr(10) ORDER BY line_no) FILTER (x) AS t
+FROM (SELECT *, {_DIGITS} >= 0.35 OR {_SEPS} >= 3 OR regexp_matches(line, '学分|绩点|成绩|课程') AS x FROM ({_LINES})) GROUP BY doc_id) USING (doc_id)""",
+    "c11_template_from_expected": f"""SELECT doc_id, 'auto-' || document_type AS template_id, CASE document_type WHEN '请假条' THEN 7 WHEN '班级成员表' THEN 3 WHEN '成绩单' THEN 6 ELSE 5 END AS n_fields FROM ({_free(_FORMS)})""",
+    "d1_html_table_to_grid": f"SELECT doc_id, row, array_to_string(cells, '|') AS cells FROM ({_GRID})",
+    "d2_plain_table_to_grid": f"SELECT doc_id, line_no - 1 AS row, array_to_string([semester, course_code, course_seq, name, kind, q, score, gpa], '|') AS cells FROM ({_COURSES})",
+    "d3_transcript_from_grid": f"SELECT doc_id, row, CASE WHEN regexp_matches(cells[1], '[0-9]{{4}}') THEN cells[1] END AS semester, cells[2] AS course_name, cells[1] AS credit, CASE WHEN length(cells[2]) <= 3 THEN cells[2] ELSE cells[3] END AS score, NULL::VARCHAR AS grade FROM ({_GRID})",
+    "d5_courses_from_lines": f"SELECT * FROM ({_COURSE_ROWS})",
+    "d7_clean_courses": f"SELECT doc_id, count(*) AS n, sum(credit) AS credits FROM ({_COURSE_ROWS}) GROUP BY doc_id",
+    "d8_noisy_courses": f"SELECT doc_id, count(*) AS n, 0 AS bad, false AS noisy FROM ({_COURSE_ROWS}) GROUP BY doc_id",
+    "d11_roster_rows": f"SELECT doc_id, number, class, name, gender FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, class, name, gender ORDER BY pos) AS r FROM ({_MEMBERS})) WHERE r = 1",
+    "d12_roster_sample": f"SELECT doc_id, class, name, gender FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM ({_MEMBERS})) WHERE r = 1",
+    "d13_roster_class": f"SELECT DISTINCT doc_id, class FROM ({_MEMBERS})",
+    "e1_emails": " UNION ALL ".join(f"SELECT doc_id, type, ord, text FROM ({_matches(t, r, p, 0, 'SELECT doc_id, text FROM documents')})" for t, r, p in (("PHONE", 19, "1[3-9][0-9]{9}"), ("EMAIL", 20, r"[A-Za-z0-9_.+\-]+@[A-Za-z0-9\-]+\.[A-Za-z0-9\-.]+"))),
+    "e3_date_ranges": """SELECT o_orderkey AS doc_id, 'LEAVE_START_DATE' AS type, strftime(o_orderdate, '%Y-%m-%d') AS text FROM orders
+UNION ALL SELECT o_orderkey, 'LEAVE_END_DATE', strftime(o_orderdate::DATE + 3, '%Y-%m-%d') FROM orders""",
+    "e4_normalize_entities": f"SELECT doc_id, 'STUDENT_ID' AS type, sid AS text, 1 AS n FROM ({_LEAVE_PARTS}) UNION ALL SELECT doc_id, 'PHONE', phone, 1 FROM ({_LEAVE_PARTS})",
+    "e5_clean_entities": f"SELECT doc_id, 0 AS rule, 1 AS ord, name AS text FROM ({_LEAVE_PARTS})",
+    "e9_entity_slots": f"""SELECT doc_id, 'student_id' AS field_name, 'STUDENT_ID' AS field_type, sid AS field_value, 0.85 AS confidence FROM ({_LEAVE_PARTS})
+UNION ALL SELECT doc_id, 'phone', 'PHONE', phone, 0.85 FROM ({_LEAVE_PARTS}) UNION ALL SELECT doc_id, 'reason', 'TEXT', '论文调研', 0.8 FROM ({_LEAVE_PARTS})
+UNION ALL SELECT doc_id, 'start_date', 'DATE', day, 0.75 FROM ({_LEAVE_PARTS})""",
+    "f1_extract_fields": f"""SELECT doc_id, 'student_id' AS field_name, sid AS field_value, 0.9 AS confidence, true AS is_valid FROM ({_LEAVE_PARTS})
+UNION ALL SELECT doc_id, 'amount', amount, CASE WHEN amount::DOUBLE > 200000 THEN 0.45 ELSE 0.9 END, amount::DOUBLE <= 200000 FROM ({_LEAVE_PARTS})
+UNION ALL SELECT doc_id, 'reason', '论文调研', 0.9, true FROM ({_LEAVE_PARTS}) UNION ALL SELECT doc_id, 'absent', NULL, 0, false FROM ({_LEAVE_PARTS})""",
+    "f2_ner_fallback": f"SELECT doc_id, 'who' AS field_name, name AS field_value, 0.85 AS confidence FROM ({_LEAVE_PARTS})",
+    "f4_summarize_fields": f"SELECT doc_id, 4 AS total_fields, 3 AS extracted_fields, round_even((0.9 + 0.9 + CASE WHEN amount::DOUBLE > 200000 THEN 0.45 ELSE 0.9 END) / 3.0, 4) AS confidence, 'success' AS status FROM ({_LEAVE_PARTS})",
+    "f6_infer_roster_fields": f"""WITH s AS (SELECT doc_id, class, name, gender FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY number, pos) AS r FROM ({_MEMBERS})) WHERE r = 1)
+SELECT doc_id, 0 AS field_ord, 'class' AS field_name, 'CLASS' AS field_type, class AS field_value, 0.9 AS confidence FROM s
+UNION ALL SELECT doc_id, 1, 'name', 'PERSON', name, 0.85 FROM s UNION ALL SELECT doc_id, 2, 'gender', 'TEXT', gender, 0.85 FROM s""",
+    "f7_proof_fields": f"SELECT doc_id, 'name' AS field_name, name AS field_value, 0.95 AS confidence FROM ({_LEAVE_PARTS}) UNION ALL SELECT doc_id, 'student_id', sid, 0.9 FROM ({_LEAVE_PARTS})",
+    "g1_classify_free": _free(_FORMS),
+    "g3_keyword_rules": f"WITH f AS ({_FORMS}) SELECT doc_id, doc_type, round(max(score)::DOUBLE, 6) AS score FROM ({_KEYWORD}) GROUP BY doc_id, doc_type",
+    "g7_primary_type": f"SELECT doc_id, document_type AS doc_type, CASE {_PRIMARY} ELSE 'other' END AS primary_type FROM ({_free(_FORMS)})",
+    "g9_merge_classification": f"""SELECT doc_id, CASE WHEN w THEN '通知' ELSE document_type END AS document_type, CASE WHEN w THEN c ELSE confidence END AS confidence
+FROM (SELECT *, (doc_id % 100) / 100.0::DOUBLE AS c, doc_id % 3 = 0 AND (doc_id % 100) / 100.0::DOUBLE >= confidence AS w FROM ({_free(_FORMS)}))""",
+    "h2_fix_fields": f"SELECT doc_id, 'name' AS field_name, name AS field_value, 0.95 AS confidence FROM ({_LEAVE_PARTS}) UNION ALL SELECT doc_id, 'student_id', sid, 0.9 FROM ({_LEAVE_PARTS})",
+    "h4_flatten_fields": f"SELECT doc_id, name, sid AS student_id, NULL::VARCHAR AS class, NULL::VARCHAR AS college, NULL::VARCHAR AS loan_amount, NULL::VARCHAR AS enroll_date FROM ({_LEAVE_PARTS})",
+    "h7_build_blocks": f"SELECT doc_id, name, sid AS student_id, NULL::DOUBLE AS loan_amount FROM ({_LEAVE_PARTS})",
+    "i_scalars": f"""SELECT doc_id, day, substr(day, 1, 8) || '01' AS strict_day, phone, sid AS student_id, amount::DOUBLE AS money, round_even((doc_id % 120) / 12.0::DOUBLE, 2) AS years,
+       md5(substr(text, 1, 2000)) AS key, substr(text, 1, 10) || '... (+' || (length(text) - 10)::VARCHAR || ' chars)' AS preview, false AS label, class FROM ({_LEAVE_PARTS})""",
+    "i11_parse_semester": f"SELECT doc_id, line_no, substr(semester, 1, 9) AS academic_year, substr(semester, 11, 1) AS term, course_code::DOUBLE AS code FROM ({_COURSE_ROWS})",
+    "i12_cache_key": "SELECT doc_id, md5(substr(text, 1, 2000)) AS key, md5(CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '... (+' || (length(text) - 200)::VARCHAR || ' chars)' ELSE text END) AS preview_md5 FROM documents",
+    "j1_cache_lookup": f"SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS n_details FROM ({_LEAVE})",
+    "j2_cache_upsert": f"""WITH e AS (SELECT md5(substr(text, 1, 2000)) AS key, doc_id FROM ({_LEAVE})),
+p AS (SELECT key, (doc_id % 7 <> 0)::INT AS age, doc_id AS place FROM e ORDER BY age DESC, place DESC LIMIT 100)
+SELECT key, row_number() OVER (ORDER BY age, place) AS seq, 2 AS n_details FROM p""",
+    "k2_build_field_prompt": f"SELECT doc_id, md5('请从文本中抽取以下字段并返回 JSON：' || chr(10) || '- student_id (STUDENT_ID): ' || chr(10) || '- amount (NUMBER): ' || chr(10) || '- reason (TEXT): ' || chr(10) || '- absent (TEXT): ' || chr(10) || chr(10) || '文本：' || chr(10) || text) AS prompt_md5 FROM ({_LEAVE})",
+    "k3_parse_model_replies": """SELECT conv_id * 1000 + turn AS doc_id, CASE WHEN turn % 2 = 0 THEN '通知' ELSE 'generic_document' END AS document_type, CASE WHEN turn % 2 = 0 THEN 0.5 ELSE 0 END AS confidence,
+CASE WHEN turn % 2 = 0 THEN md5(text) END AS summary FROM conversations""",
+    "k4_needs_model": f"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'none' WHEN length({_TRIM.format('text')}) < 25 OR confidence < 0.35 OR total_boxes <= 4 THEN 'image' WHEN doc_id % 2 = 0 THEN 'text' ELSE 'none' END AS route FROM ({_OCR})""",
+    "k5_apply_corrections": f"SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN md5(md5(text)) ELSE md5(text) END AS text_md5, CASE WHEN doc_id % 4 = 0 THEN 'llm' ELSE 'ocr' END AS source FROM ({_OCR})",
+}

@@ -44,7 +44,7 @@ def _forms(spark, d) -> DataFrame:
 def _boxes(spark, d) -> DataFrame:
     """Lines of documents as boxes with a confidence that follows their length."""
     rows = lines.split_lines(_docs(spark, d))
-    return rows.select("doc_id", F.lit(1).alias("page"), "line_no", F.col("line").alias("text"), (F.lit(0.5) + (F.length("line") % 50) / 100.0).alias("confidence"))
+    return rows.select("doc_id", F.lit(1).alias("page"), "line_no", F.col("line").alias("text"), (F.lit(0.5) + (F.length("line") % 64) / 128.0).alias("confidence"))
 
 
 def _ocr(spark, d) -> DataFrame:
