@@ -29,11 +29,13 @@ WINDOW = 8
 #: Bytes gained from which a window is looked at word by word.
 SUSPECT = 2
 #: Share of a word that marks must save for it to count as one.
-FULL = 0.5
+FULL = 0.45
 COMMON_WORDS = 15_000
 THRESHOLD = 0.3
 _EDGE = b".,;:!?%$#&*()\"'"
 _LONG_WORD = 64
+#: Bytes of the shortest and the longest stem.
+_SHORTEST, _LONGEST_STEM = 4, 12
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -99,25 +101,51 @@ class CompressionDistance:
         return [first, second, best, min(hits, 5), math.log1p(suspects), math.log1p(n)]
 
 
+def _counts(texts: list[str]) -> tuple[Counter, Counter]:
+    """In how many contexts (pairs of neighbours) words, and their prefixes, occur: copies of a text count once."""
+    contexts = set()
+    for text in texts:
+        words = [w.strip(_EDGE) or w for w in _words(text)]
+        contexts.update(zip([b"", *words[:-1]], words, [*words[1:], b""]))
+    words = Counter(w for _, w, _ in contexts)
+    prefixes: Counter = Counter()
+    for word, n in words.items():
+        for size in range(_SHORTEST, min(len(word), _LONGEST_STEM) + 1):
+            prefixes[word[:size]] += n
+    return words, prefixes
+
+
 def learn_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """``(common words, marks of toxic documents)``, rarer ones first, as dictionary contents."""
-    in_toxic, in_ordinary = Counter(), Counter()
-    for texts, counts in ((toxic, in_toxic), (ordinary, in_ordinary)):
-        # A word counts once for each pair of neighbours, so that copies of a document count once.
-        contexts = set()
-        for text in texts:
-            words = [w.strip(_EDGE) or w for w in _words(text)]
-            contexts.update(zip([b"", *words[:-1]], words, [*words[1:], b""]))
-        counts.update(w for _, w, _ in contexts)
+    """``(common words, marks of toxic documents)``, rarer ones first, as dictionary contents.
+
+    Marks are words, and stems of words, that occur in far more contexts in toxic documents than in ordinary ones. A
+    stem is the longest that keeps most of the contexts of the shortest prefix that qualifies.
+    """
+    (in_toxic, toxic_stems), (in_ordinary, ordinary_stems) = _counts(toxic), _counts(ordinary)
     least = max(3, math.ceil(0.015 * len(toxic)))
 
-    def lift(word: bytes) -> float:
-        return math.log((in_toxic[word] + 0.5) / (len(toxic) + 1)) - math.log((in_ordinary[word] + 0.5) / (len(ordinary) + 1))
+    def lift(n: int, m: int) -> float:
+        return math.log((n + 0.5) / (len(toxic) + 1)) - math.log((m + 0.5) / (len(ordinary) + 1))
 
     bar = min(4.5, math.log((least + 0.5) / (len(toxic) + 1) * (len(ordinary) + 1) / 0.5) - 0.1)
-    marks = [w for w, n in in_toxic.items() if n >= least and len(w) > 2 and lift(w) > bar]
+    marks = {w: n for w, n in in_toxic.items() if n >= least and len(w) > 2 and lift(n, in_ordinary[w]) > bar}
+    by_size = sorted((p for p, n in toxic_stems.items() if n >= 2 * least and lift(n, ordinary_stems[p]) > bar), key=len)
+    longer: dict[bytes, list] = {}
+    for p in toxic_stems:
+        longer.setdefault(p[:-1], []).append(p)
+    taken: set[bytes] = set()
+    for prefix in by_size:
+        if any(prefix[:k] in taken for k in range(_SHORTEST, len(prefix) + 1)):
+            continue
+        taken.add(prefix)
+        stem = prefix
+        while best := max(longer.get(stem, []), key=lambda p: toxic_stems[p], default=None):
+            if toxic_stems[best] < 0.7 * toxic_stems[prefix]:
+                break
+            stem = best
+        marks[stem] = toxic_stems[stem]
     usual = [w for w, _ in in_ordinary.most_common(COMMON_WORDS)]
-    return b" ".join(reversed(usual)), b"  ".join(sorted(marks, key=lambda w: (in_toxic[w], w)))
+    return b" ".join(reversed(usual)), b"  ".join(sorted(marks, key=lambda w: (marks[w], w)))
 
 
 def _design(features) -> np.ndarray:
