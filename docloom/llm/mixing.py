@@ -169,3 +169,55 @@ def apply_mix(docs: DataFrame, text: str = "text", source: str = "source", doc_i
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length(F.coalesce(F.col(text), F.lit(""))).cast("long"))
     return out.select(*names)
+
+
+OP6_SQL = r"""
+WITH s AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+),
+src AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS tie FROM s GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(tie - 1) % 3 + 1]::BIGINT AS weight FROM src),
+fill AS (
+  SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER o, 0))::DOUBLE
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0))::DOUBLE AS level
+  FROM w WINDOW o AS (ORDER BY source_size::DOUBLE / weight, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+flat AS (SELECT level FROM fill WHERE 3 * source_size > level * weight ORDER BY source_size::DOUBLE / weight, tie LIMIT 1),
+t AS (
+  SELECT source, source_size, tie, ceil((source_size + 1) / 2000000.0)::BIGINT AS shards,
+         least(coalesce((SELECT level FROM flat) * weight, 3.0::DOUBLE * source_size), 3.0::DOUBLE * source_size) AS target
+  FROM fill
+),
+n AS (SELECT floor((sum(source_size) + 8) / 16.0::DOUBLE)::BIGINT AS blocks, sum(target) AS want, count(*) AS many FROM t),
+ladder AS (SELECT tie, target, unnest(range(0, ceil(target / want * (blocks + many))::BIGINT + 2)) AS k FROM t, n WHERE target > 0),
+quota AS (
+  SELECT tie, count(*) AS q FROM (SELECT *, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, tie, k) AS r FROM ladder), n
+  WHERE r <= blocks GROUP BY tie
+),
+seeded AS (
+  SELECT s.*, t.tie, t.source_size, t.target, t.shards, md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || size::VARCHAR) AS seed
+  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source
+),
+p AS (SELECT *, ('0x' || substr(seed, 1, 12))::BIGINT % shards AS shard FROM seeded),
+sh AS (SELECT tie, shard, sum(size)::BIGINT AS words FROM p GROUP BY tie, shard),
+shq AS (SELECT sh.*, coalesce(q, 0) AS q, sum(words) OVER (PARTITION BY tie) AS all_words, count(*) OVER (PARTITION BY tie) AS many FROM sh LEFT JOIN quota USING (tie)),
+ladder2 AS (SELECT tie, shard, words, q, unnest(range(0, ceil(words::DOUBLE / all_words * (q + many))::BIGINT + 2)) AS k FROM shq WHERE words > 0),
+quota2 AS (
+  SELECT tie, shard, count(*) AS q FROM (SELECT *, row_number() OVER (PARTITION BY tie ORDER BY words::DOUBLE / (2 * k + 1) DESC, shard, k) AS r FROM ladder2)
+  WHERE r <= q GROUP BY tie, shard
+),
+need AS (
+  SELECT sh.*, least(coalesce(q, 0) * 16, 3 * words) AS need FROM sh LEFT JOIN quota2 USING (tie, shard)
+),
+placed AS (
+  SELECT p.*, words, CASE WHEN words > 0 THEN need // words ELSE 0 END AS passes, need,
+         sum(size) OVER (PARTITION BY tie, shard ORDER BY seed, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS at_word,
+         ('0x' || substr(md5('mix-1/' || coalesce(source, 'null') || '/' || shard::VARCHAR), 1, 12))::BIGINT % greatest(words // 16, 1) * 16 AS start_word
+  FROM p JOIN need USING (tie, shard)
+),
+run AS (SELECT *, start_word + need - passes * words AS stop_word FROM placed)
+SELECT doc_id, size, source_size, target,
+       (passes * size + greatest(least(at_word + size, least(stop_word, words)) - greatest(at_word, start_word), 0)
+        + greatest(least(at_word + size, stop_word - words) - at_word, 0))::BIGINT AS taken
+FROM run
+"""

@@ -21,4 +21,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.OP1_SQL, "op2_warc": warc.OP2_SQL, "op8_quality_rules": quality_rules.OP8_SQL}
+    return {
+        "op1_line_dedup": line_dedup.OP1_SQL,
+        "op2_warc": warc.OP2_SQL,
+        "op6_mixing": mixing.OP6_SQL,
+        "op8_quality_rules": quality_rules.OP8_SQL,
+        "op10_embedding_dedup": embedding_dedup.OP10_SQL,
+    }
