@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,9 @@ from docloom.llm.common import checkpointed, read
 
 CAPACITY = 4096
 END_ID = 1
+_END = END_ID.to_bytes(4, "little")
 #: Pieces of one length in a rank shard, about.
-SHARD_ROWS = 50_000
+SHARD_ROWS = 2_000
 #: Words that a tokenizing task remembers before it starts afresh.
 CACHE_WORDS = 400_000
 
@@ -49,61 +51,63 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, tuple] = {}
-        self.pieces: dict[str, tuple] = {}
+        # Ids as little-endian 32-bit bytes: a text's ids are then one join.
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
-    def plain(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    @staticmethod
+    def _cut(word: str) -> list[str]:
+        low = word.lower()
+        if low.isalpha():
+            return [low]
+        if low[:-1].isalpha() and not low[-1].isalnum():
+            return [low[:-1], low[-1]]
+        return _PIECE.findall(low)
 
     def _learn(self, fresh: set[str]) -> None:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
         if len(self.pieces) > CACHE_WORDS:
             self.pieces.clear()
-        cuts, unknown = {}, {}
+        pieces, cuts = self.pieces, {}
         for word in fresh:
             if "<|" in word or not _PLAIN.match(word):
-                self.words[word] = tuple(self.plain(word))
+                self.words[word] = self.plain(word).tobytes()
             else:
-                cuts[word] = parts = _PIECE.findall(word.lower())
-                for part in parts:
-                    if part not in self.pieces:
-                        unknown[part] = None
-        names = list(unknown)
+                cuts[word] = self._cut(word)
+        names = list({part for parts in cuts.values() for part in parts if part not in pieces})
         for at in range(0, len(names), 20_000):
             some = names[at : at + 20_000]
-            ids = np.array(self.plain(" ".join(some)), dtype=np.int64)
-            stops = np.nonzero(self.ends[ids])[0] + 1
+            ids = self.plain(" ".join(some))
+            stops = (np.nonzero(self.ends[ids])[0] + 1) * 4
             if len(stops) == len(some):
-                starts = [0, *stops[:-1].tolist()]
-                listed = ids.tolist()
-                for name, a, b in zip(some, starts, stops.tolist()):
-                    self.pieces[name] = tuple(listed[a:b])
+                data, stops = ids.tobytes(), stops.tolist()
+                pieces.update(zip(some, map(data.__getitem__, map(slice, [0, *stops[:-1]], stops))))
             else:
-                for name in some:
-                    self.pieces[name] = tuple(self.plain(name))
+                pieces.update((name, self.plain(name).tobytes()) for name in some)
         for word, parts in cuts.items():
-            self.words[word] = self.pieces[parts[0]] if len(parts) == 1 else sum((self.pieces[p] for p in parts), ())
+            self.words[word] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
 
     def encode_batch(self, texts: list[str]):
+        """The ids of each text as little-endian 32-bit bytes."""
         split = [None if _SEPARATORS.search(t) else t.split() for t in texts]
         words = self.words
-        fresh = {w for s in split if s is not None for w in s if w not in words}
-        if fresh:
-            known = len(words)
+        wanted = set().union(*(s for s in split if s is not None))
+        if len(words) > CACHE_WORDS:
+            words.clear()
+        if fresh := wanted.difference(words):
             self._learn(fresh)
-            if len(words) < known:  # started afresh: what the batch needs besides is learnt again
-                self._learn({w for s in split if s is not None for w in s if w not in words})
         for text, parts in zip(texts, split):
-            if parts is None:
-                yield self.plain(text)
-            else:
-                out: list[int] = []
-                for w in parts:
-                    out += words[w]
-                yield out
+            yield self.plain(text).tobytes() if parts is None else b"".join(map(words.__getitem__, parts))
+
+
+@lru_cache(maxsize=1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The process's tokenizer: a worker that runs several tasks keeps the words it has learnt."""
+    return WordTokenizer(path)
 
 
 def tokenizer_path() -> str:
@@ -119,17 +123,16 @@ def token_pieces(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id
     """
 
     def run(batches):
-        tokenizer = WordTokenizer(path or tokenizer_path())
+        tokenizer = word_tokenizer(path or tokenizer_path())
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 rows = []
                 for name, ids in zip(part.column(0).to_pylist(), tokenizer.encode_batch([t or "" for t in part.column(1).to_pylist()])):
-                    ids.append(END_ID)
-                    array = np.array(ids, dtype="<u4")
-                    for k, start in enumerate(range(0, len(array), capacity)):
-                        own = array[start : start + capacity]
-                        rows.append((name, k, start, len(own), zlib.crc32(own.tobytes())))
+                    data = ids + _END
+                    for k, start in enumerate(range(0, len(data) // 4, capacity)):
+                        own = data[start * 4 : (start + capacity) * 4]
+                        rows.append((name, k, start, len(own) // 4, zlib.crc32(own)))
                 columns = list(zip(*rows)) or [[]] * 5
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
