@@ -151,3 +151,77 @@ CASE WHEN turn % 2 = 0 THEN md5(text) END AS summary FROM conversations""",
     "k4_needs_model": f"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'none' WHEN length({_TRIM.format('text')}) < 25 OR confidence < 0.35 OR total_boxes <= 4 THEN 'image' WHEN doc_id % 2 = 0 THEN 'text' ELSE 'none' END AS route FROM ({_OCR})""",
     "k5_apply_corrections": f"SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN md5(md5(text)) ELSE md5(text) END AS text_md5, CASE WHEN doc_id % 4 = 0 THEN 'llm' ELSE 'ocr' END AS source FROM ({_OCR})",
 }
+
+
+def _lines_of(docs: str) -> str:
+    return f"""SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS line_no
+FROM (SELECT doc_id, {_TRIM.format("l")} AS line, pos
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM ({docs}))) WHERE line <> ''"""
+
+
+def _rules(kind: str) -> list[int]:
+    return [k for k, r in enumerate(packs.ENTITY_RULES) if r[0] == kind]
+
+
+def _spans(rows: list[tuple[str, int, str]]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT doc_id, {rule} AS rule, 1 AS ord, '{kind}' AS type, {value} AS text, strpos(text, {value}) - 1 AS start, strpos(text, {value}) - 1 + length({value}) AS \"end\" FROM p" for kind, rule, value in rows
+    )
+
+
+_TABULAR = f"({_SEPS} >= 3 OR {_DIGITS} > 0.35)"
+_BONUS = {"在校证明": 1, "学籍信息卡": 1, "请假条": 1}
+_WEIGHTED = ", ".join(
+    f"{{'s': ({_hits(w)} + {'CASE doc_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 0 END' if t in _BONUS else '0'}) * {'2.2' if t == '请假条' else 'CASE doc_id % 4 WHEN 0 THEN 0.1 WHEN 1 THEN 1.8 ELSE 1 END' if t == '班级成员表' else '1'}::DOUBLE, 'o': {-k}, 't': '{t}'}}"
+    for k, (t, w) in enumerate(packs.TYPE_KEYWORDS.items())
+)
+_PROOFS = ["gender", "birth_date", "school_name", "college", "major", "status", "enroll_date", "expected_grad_date", "verify_code", "verify_url"]
+_LOANS = """SELECT o_orderkey AS doc_id, lpad(o_orderkey::VARCHAR, 12, '7') AS contract, (o_custkey % 90 + 6)::VARCHAR AS months, o_totalprice, lpad((o_custkey % 999999)::VARCHAR, 6, '1') AS code, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders"""
+
+ORACLES |= {
+    "c4_infer_doc_pattern": f"""WITH f AS ({_FORMS}), l AS ({_lines_of('SELECT * FROM f')})
+SELECT doc_id, document_type AS doc_type, bool_or({_TABULAR}) AS has_table,
+       coalesce(string_agg(line, '|' ORDER BY line_no) FILTER (line_no < 3 AND regexp_matches(line, '通知|证明|成绩|请假')), '') AS header_keywords,
+       coalesce(string_agg(line, '|' ORDER BY line_no) FILTER (regexp_matches(line, '日期|时间|编号|盖章|证明') AND regexp_matches(line, '编号|日期|盖章')), '') AS meta_keywords
+FROM l JOIN ({_free('SELECT * FROM f')}) USING (doc_id) GROUP BY doc_id, document_type""",
+    "c10_fail_analysis": f"""SELECT doc_id, CASE WHEN document_type = '成绩单' THEN 'course_name|credit|gpa|score|semester|stat_date' ELSE 'class|gender' END AS missing FROM ({_free(_FORMS)})""",
+    "d10_resolve_courses": f"SELECT doc_id, count(*) AS n, CASE WHEN count(*) < 3 AND doc_id % 2 = 0 THEN count(*) ELSE 0 END AS from_model FROM ({_COURSE_ROWS}) GROUP BY doc_id",
+    "e1_extract_entities": f"WITH p AS ({_LEAVE_PARTS}) "
+    + _spans(
+        [("STUDENT_ID", r, "sid") for r in _rules("STUDENT_ID")[:2]]
+        + [("PHONE", r, "phone") for r in _rules("PHONE")]
+        + [("LEAVE_START_DATE", _rules("LEAVE_START_DATE")[0], "day"), ("LEAVE_REASON", _rules("LEAVE_REASON")[0], "'论文调研'"), ("SCHOLARSHIP_AMOUNT", _rules("SCHOLARSHIP_AMOUNT")[0], "amount")]
+    ),
+    "e1_context": f"WITH p AS ({_LEAVE_PARTS}) "
+    + " UNION ALL ".join(f"SELECT doc_id, {r} AS rule, 1 AS ord, substr(text, strpos(text, phone) - 10, length(phone) + 20) AS context FROM p" for r in _rules("PHONE")),
+    "e11_sample_details": f"SELECT doc_id, 8 AS n FROM ({_LEAVE})",
+    "f8_loan_contract_fields": f"""WITH l AS ({_LOANS})
+SELECT doc_id, 'name' AS field_name, '王小明' AS field_value, 0.95 AS confidence FROM l UNION ALL SELECT doc_id, 'contract_id', contract, 0.9 FROM l
+UNION ALL SELECT doc_id, 'loan_term_months', months, 0.9 FROM l UNION ALL SELECT doc_id, 'loan_amount', round(o_totalprice, 2)::VARCHAR, 0.95 FROM l
+UNION ALL SELECT doc_id, 'bank_name', '安徽农村商业银行', 0.9 FROM l UNION ALL SELECT doc_id, 'verify_code', code, 0.95 FROM l
+UNION ALL SELECT doc_id, 'issue_date', day, 0.85 FROM l UNION ALL SELECT doc_id, 'issuer_bank', '安徽农村商业银行官庄支行', 0.85 FROM l""",
+    "g2_classify_weighted": f"""SELECT doc_id, b.t AS document_type, round_even(b.s / total::DOUBLE, 4) AS confidence
+FROM (SELECT doc_id, list_sort(c)[-1] AS b, list_sum(list_transform(c, lambda x: x.s)) AS total FROM (SELECT doc_id, list_value({_WEIGHTED}) AS c FROM ({_FORMS})))""",
+    "g8_select_template": f"""SELECT doc_id, CASE WHEN c >= a AND c >= b AND c > 0 AND c > a AND c > b THEN 'transcript_v1' WHEN b > a THEN 'roster_v1' ELSE 'leave_v1' END AS template_id, round(least(greatest(a, b, c) / 15.0::DOUBLE, 1), 6) AS score
+FROM (SELECT doc_id, (document_type = '请假条')::INT * 5 + {_hits(['请假', '手机号'])} AS a, (document_type = '班级成员表')::INT * 5 + {_hits(['序号', '性别'])} AS b, (document_type = '成绩单')::INT * 5 + {_hits(['成绩', '必修'])} AS c
+      FROM ({_FORMS}) JOIN ({_free(_FORMS)}) USING (doc_id)) WHERE greatest(a, b, c) > 0""",
+    "h1_merge_fields": f"SELECT doc_id, 15 AS n, 4 AS extracted_fields, round_even((0.9 + 0.9 + CASE WHEN amount::DOUBLE > 200000 THEN 0.45 ELSE 0.9 END + 0.95) / 4.0, 4) AS confidence, 'success' AS status FROM ({_LEAVE_PARTS})",
+    "h3_normalize_fields": f"WITH p AS ({_LEAVE_PARTS}) SELECT doc_id, 'name' AS field_name, name AS field_value, 0.95 AS confidence, 'ok' AS status FROM p UNION ALL SELECT doc_id, 'student_id', sid, 0.9, 'ok' FROM p"
+    + "".join(f" UNION ALL SELECT doc_id, '{n}', NULL, 0, 'missing' FROM p" for n in _PROOFS),
+    "k1_build_model_input": f"""WITH f AS ({_LEAVE}), t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS lines FROM ({_lines_of('SELECT * FROM f')}) WHERE {_TABULAR} GROUP BY doc_id)
+SELECT doc_id, md5('【清洗文本】' || chr(10) || text || coalesce(chr(10) || chr(10) || '【表格行】' || chr(10) || lines, '') || chr(10) || chr(10) || '【文档类型提示】' || chr(10) || '{{"document_type":"请假条"}}' || chr(10) || chr(10) || '【NORMALIZE_GUIDE】' || chr(10) || 'guide') AS input_md5
+FROM f LEFT JOIN t USING (doc_id)""",
+    "c7_assess_quality": """WITH s AS (
+  SELECT doc_id, text, greatest(length(text), 1)::DOUBLE AS n, string_split(text, chr(10)) AS l,
+         length(text) - length(regexp_replace(text, '[�?*]', '', 'g')) AS messy,
+         length(regexp_replace(regexp_replace(text, '[^\\p{C}\\p{Z}]', '', 'g'), ' ', '', 'g')) AS noise
+  FROM documents),
+m AS (
+  SELECT *, len(l) AS many, len(list_filter(l, lambda x: length(trim(x)) <= 2)) AS short,
+         len(list_filter(l, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) > length(x) * 0.5)) AS digits FROM s),
+q AS (SELECT *, 1 - least(1, messy / n * 5 + noise / n * 3 + 0.1::DOUBLE * short / greatest(many, 1)) AS score FROM m)
+SELECT doc_id, CASE WHEN score >= 0.75 THEN 'good' WHEN score >= 0.5 THEN 'medium' WHEN score >= 0.3 THEN 'bad' ELSE 'critical' END AS level,
+       array_to_string(list_sort(list_filter([CASE WHEN messy / n > 0.02 OR noise / n > 0.02 THEN '噪声字符过多' END, CASE WHEN digits > many * 0.5 THEN '表格未被解析' END,
+         CASE WHEN short > many * 0.4 THEN '文本缺失' END, CASE WHEN regexp_matches(text, '[�?]') THEN '乱码' END], lambda x: x IS NOT NULL)), '|') AS problems
+FROM q""",
+}
