@@ -207,7 +207,9 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
                     scores = np.full(part.num_rows, float(model["base"]))
                 else:
                     x = _design([distance.features(t) for t in part.column(1).to_pylist()])
-                    scores = 1 / (1 + np.exp(-np.clip((x - model["centre"]) / model["scale"] @ model["weights"], -30, 30)))
+                    # Summed row by row: equal texts score equally wherever they stand in a batch.
+                    z = ((x - model["centre"]) / model["scale"] * model["weights"]).sum(1)
+                    scores = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
