@@ -89,28 +89,42 @@ def assess_quality(docs: DataFrame) -> DataFrame:
     """``(doc_id, level, problems, score)``: shares of damaged and unprintable characters, short and digit-only lines."""
     text = F.col("text")
     n = F.greatest(F.length(text), F.lit(1))
-    messy = F.regexp_count(text, F.lit("[�?*]")) / n
-    noise = F.regexp_count(text, F.lit(r"[\p{C}\p{Z}&&[^ ]]")) / n
     lines = F.split(F.regexp_replace(text, f"(?:{_BREAKS})$", ""), _BREAKS)
-    many = F.size(lines)
-    short = F.size(F.filter(lines, lambda x: F.length(trimmed(x)) <= 2))
-    digits = F.size(F.filter(lines, lambda x: F.regexp_count(x, F.lit(r"(?U)\d")) > F.length(x) * 0.5))
+    # The counts are columns of their own, so that each regular expression runs once.
+    counts = docs.select(
+        "doc_id",
+        (F.regexp_count(text, F.lit("[�?*]")) / n).alias("messy"),
+        (F.regexp_count(text, F.lit(r"[\p{C}\p{Z}&&[^ ]]")) / n).alias("noise"),
+        F.aggregate(
+            lines,
+            F.struct(F.lit(0).alias("many"), F.lit(0).alias("short"), F.lit(0).alias("digits")),
+            lambda a, x: F.struct(
+                (a["many"] + 1).alias("many"),
+                (a["short"] + (F.length(trimmed(x)) <= 2).cast("int")).alias("short"),
+                (a["digits"] + (F.regexp_count(x, F.lit(r"(?U)\d")) > F.length(x) * 0.5).cast("int")).alias("digits"),
+            ),
+        ).alias("l"),
+        F.coalesce(trimmed(text) == "", F.lit(True)).alias("blank"),
+        text.rlike("[�?]").alias("garbled"),
+    )
+    messy, noise, many, short, digits = (F.col(c) for c in ("messy", "noise", "l.many", "l.short", "l.digits"))
     score = 1 - F.least(F.lit(1.0), messy * 5 + noise * 3 + F.lit(0.1) * short / F.greatest(many, F.lit(1)))
-    blank = F.coalesce(trimmed(text) == "", F.lit(True))
+    counts = counts.withColumn("score", score)
     problems = F.array_compact(
         F.array(
             F.when((messy > 0.02) | (noise > 0.02), "噪声字符过多"),
             F.when(digits > many * 0.5, "表格未被解析"),
             F.when(short > many * 0.4, "文本缺失"),
-            F.when(text.rlike("[�?]"), "乱码"),
+            F.when(F.col("garbled"), "乱码"),
         )
     )
-    level = F.when(score >= 0.75, "good").when(score >= 0.5, "medium").when(score >= 0.3, "bad").otherwise("critical")
-    return docs.select(
+    s = F.col("score")
+    level = F.when(s >= 0.75, "good").when(s >= 0.5, "medium").when(s >= 0.3, "bad").otherwise("critical")
+    return counts.select(
         "doc_id",
-        F.when(blank, "critical").otherwise(level).alias("level"),
-        F.when(blank, F.array(F.lit("文本缺失"))).otherwise(F.array_sort(problems)).alias("problems"),
-        F.when(~blank, score).alias("score"),
+        F.when(F.col("blank"), "critical").otherwise(level).alias("level"),
+        F.when(F.col("blank"), F.array(F.lit("文本缺失"))).otherwise(F.array_sort(problems)).alias("problems"),
+        F.when(~F.col("blank"), s).alias("score"),
     )
 
 
