@@ -52,21 +52,25 @@ _CONTENT = set("article post entry content story main body title headline text".
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|select|title|math|canvas|object|button|head)\b[^>]*>.*?(?:</\1\s*>|(?=<body\b)|\Z)"
+    r"|<(script|style|noscript|textarea|iframe|title)\b[^>]*>.*?(?:</\1\s*>|(?=<body\b)|\Z)"
     r"|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-zA-Z][^>]*>",
     re.S | re.I,
 )
+#: Elements without main text that may hold others: skipped only as far as they are really closed.
+_SKIPPED = {"template", "svg", "select", "math", "canvas", "object", "button"}
+_TAGS = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HOLDS = re.compile(r"(has|have|with|without|no|is|not)[-_A-Z]")
 
 
-def _judge(tag: str, attributes: str, in_content: bool) -> tuple[bool, str]:
-    """Whether an element is boilerplate, and its key in the wrapper."""
+def _judge(tag: str, attributes: str, in_content: bool) -> tuple[bool, bool, str]:
+    """Whether an element is boilerplate, whether it is even if it holds the main element, and its key in the wrapper."""
     if not attributes.strip():
-        return tag in _DROPPED or (tag == "header" and not in_content), tag
+        drop = tag in _DROPPED or (tag == "header" and not in_content)
+        return drop, drop and tag != "form", tag
     found: dict[str, str] = {}
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), a or b or c)
@@ -75,9 +79,10 @@ def _judge(tag: str, attributes: str, in_content: bool) -> tuple[bool, str]:
     words = {w.lower() for name in named if not _HOLDS.match(name) for w in _NAME.findall(name)}
     drop = tag in _DROPPED or (tag == "header" and not in_content) or found.get("role", "").lower() in _DROPPED_ROLES
     drop = drop or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
+    hard = drop and (tag != "form" or found.get("role", "").lower() in _DROPPED_ROLES or "hidden" in found)
     if tag not in ("body", "html") and words:
         drop = drop or bool(words & _STRONG) or (bool(words & _WEAK) and not words & _CONTENT)
-    return drop, f"{tag}.{'.'.join(sorted(found['class'].split()))[:80]}" if found.get("class") else tag
+    return drop, hard, f"{tag}.{'.'.join(sorted(found['class'].split()))[:80]}" if found.get("class") else tag
 
 
 class Block:
@@ -89,10 +94,48 @@ class Block:
         self.path, self.text, self.content, self.dropped = path, text, content, dropped
 
 
+def _closed(page: str, tag: str) -> dict[int, int]:
+    """Where elements of ``tag`` that are really closed start and end; ``<x/>`` of svg and math is empty."""
+    open_, ends = [], {}
+    foreign = tag in ("svg", "math")
+    for found in re.finditer(rf"<(/?){tag}\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", page, re.I):
+        if not found[1]:
+            if foreign and found[2].endswith("/"):
+                ends[found.start()] = found.end()
+            else:
+                open_.append(found)
+        elif open_:
+            first = open_.pop()
+            inner, depth, whole = page[first.end() : found.start()], {}, True
+            breaks_out = foreign and not re.search(r"<(?:foreignobject|annotation-xml)\b", inner, re.I)
+            for one in _TAGS.finditer(inner):
+                name = (one[2] or "").lower()
+                if name in _BLOCKS and name != "p":
+                    depth[name] = depth.get(name, 0) + (-1 if one[1] else 1)
+                    whole = whole and depth[name] >= 0
+                # An HTML block ends foreign content.
+                whole = whole and not (breaks_out and name in _BLOCKS)
+            if whole:
+                ends[first.start()] = found.end()
+    return ends
+
+
 def blocks(html: str | None) -> list[Block]:
-    """The text blocks of a page, in order; inline elements do not end a block, ``br`` is white space."""
+    """The text blocks of a page, in order; inline elements do not end a block, ``br`` is white space.
+
+    A class or a form does not drop the ``main`` in it, nor the ``article`` where no other text is in either.
+    """
+    found, buried = _blocks(html, False)
+    if buried and not any(b.content and not b.dropped for b in found):
+        found, _ = _blocks(html, True)
+    return found
+
+
+def _blocks(html: str | None, free_articles: bool) -> tuple[list[Block], bool]:
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, key, in article or main, dropped
+    stack: list[tuple] = [("", "", False, False, False)]  # tag, key, in article or main, dropped, dropped whatever it holds
+    ends: dict[str, dict[int, int]] = {}
+    buried = False
     held: list[str] = []
 
     def flush():
@@ -104,7 +147,7 @@ def blocks(html: str | None) -> list[Block]:
                 out.append(Block(tuple(s[1] for s in stack[1:]), text, top[2], top[3]))
 
     page, at = html or "", 0
-    for token in _TOKEN.finditer(page):
+    while token := _TOKEN.search(page, at):
         if token.start() > at:
             held.append(page[at : token.start()])
         at = token.end()
@@ -112,6 +155,11 @@ def blocks(html: str | None) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in _SKIPPED and not token[2]:
+            if tag not in ends:
+                ends[tag] = _closed(page, tag)
+            at = max(at, ends[tag].get(token.start(), at))
+            continue
         if tag not in _BLOCKS:
             if tag in ("br", "wbr"):
                 held.append(" " if tag == "br" else "")
@@ -135,13 +183,17 @@ def blocks(html: str | None) -> list[Block]:
             stack.pop()
         if tag == "hr":
             continue
-        _, _, content, dropped = stack[-1]
-        drop, key = _judge(tag, token[4] or "", content)
-        stack.append((tag, key, content or tag in ("article", "main") or "role=\"main\"" in (token[4] or "").lower(), dropped or drop))
+        _, _, content, dropped, hard = stack[-1]
+        drop, firm, key = _judge(tag, token[4] or "", content)
+        main = tag == "main" or "role=\"main\"" in (token[4] or "").lower()
+        if dropped and not hard and not content:
+            buried = buried or tag == "article"
+            dropped = not (main or (free_articles and tag == "article"))
+        stack.append((tag, key, content or main or tag == "article", dropped or drop, hard or firm))
     if at < len(page):
         held.append(page[at:])
     flush()
-    return out
+    return out, buried
 
 
 # A wrapper is a tree: [key, optional, repeated, pages, words, constant, children]; constant: a text's mark, 0 where

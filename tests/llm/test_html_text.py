@@ -47,3 +47,20 @@ def test_rows_and_nulls(spark):
     got = sorted([(r["page_id"], r["text"][:6], r["n_chars"]) for r in html_text.extract_text(pages).collect()], key=str)
     assert got == sorted([(1, "", 0), (2, "", 0), (2, "", 0), (3, "Head &", 44), (None, "x", 1)], key=str)
     assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_what_is_not_closed_loses_no_text():
+    for page, want in {
+        "<head><meta><title>T</title><article><p>All the text</p></article>": "All the text",
+        '<p>One</p><svg class="i"/><p>Two</p><svg><path/></svg><p>Three</p>': "One\n\nTwo\n\nThree",
+        "<p>One</p><math/><p>Two</p>": "One\n\nTwo",
+        "<p>One</p><svg><path><p>Two</p></svg><p>Three</p>": "One\n\nTwo\n\nThree",
+        "<div><button>Go</div><p>Two</p><button>x</button>": "Go\n\nTwo",
+        "<p>One</p><select><p>Two</p>": "One\n\nTwo",
+        "<p>a <button>Go</button> b <svg><title>t</title><text>x</text></svg></p>": "a b",
+        '<div class="content-sidebar-wrap"><main><p>Text</p></main><p>Side</p></div>': "Text",
+        '<div class="page-sidebar"><article><p>Text</p></article></div><p>Low</p>': "Text",
+        '<form><article><p>Text</p></article></form>': "Text",
+        '<article><p>Text</p></article><div class="sidebar"><article><p>Other</p></article></div>': "Text",
+    }.items():
+        assert html_text.main_text(page, None) == want, page
