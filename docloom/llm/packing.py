@@ -33,75 +33,75 @@ CACHE_WORDS = 400_000
 # What the tokenizer's own pre-tokenizer splits a lower-cased word into.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 #: Words of these characters need no Unicode normalization and are lower-cased letter by letter.
-_PLAIN = re.compile(r"[\x21-\x7EÀ-įĲ-ɏ]+\Z")
+_PLAIN = re.compile(r"[\x21-\x7EÀ-įĲ-ſ]+\Z")
+#: Octets as the characters that stand for them in the vocabulary: printable ones for themselves, the others from 256 on.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_OCTET_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+_BYTE_CHARS = {c: "".join(_OCTET_CHARS[b] for b in chr(c).encode()) for c in range(0xC0, 0x180)}
 #: White space to Python, but not to the tokenizer.
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
 
 
+class _Pieces(dict):
+    """Ids of the pieces met so far; a piece is looked up in the merges the first time it is met."""
+
+    def __init__(self, tokenizer):
+        self.merged = tokenizer.model.tokenize
+        self.octets = [k.to_bytes(4, "little") for k in range(tokenizer.get_vocab_size())]
+
+    def __missing__(self, piece: str) -> bytes:
+        octets = self.octets
+        ids = self[piece] = b"".join([octets[t.id] for t in self.merged(piece if piece.isascii() else piece.translate(_BYTE_CHARS))])
+        return ids
+
+
+class _Words(dict):
+    """Ids of the words met so far; those outside plain Latin, or with a special token, are the tokenizer's own affair."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.pieces = tokenizer, _Pieces(tokenizer)
+
+    def plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if "<|" in word or not ((word.isascii() and word.isprintable()) or _PLAIN.match(word)):
+            ids = self.plain(word)
+        else:
+            low, pieces = word.lower(), self.pieces
+            if low.isalpha():
+                ids = pieces[low]
+            elif low[:-1].isalpha() and not low[-1].isalnum():
+                ids = pieces[low[:-1]] + pieces[low[-1]]
+            else:
+                ids = b"".join([pieces[p] for p in _PIECE.findall(low)])
+        self[word] = ids
+        return ids
+
+
 class WordTokenizer:
     """Ids as the tokenizer gives them for whole texts, with the work done once for each new word.
 
     The tokenizer cuts at white space and then by ``_PIECE`` and merges inside the cuts only, so a text's
-    ids are those of its words. New pieces of a batch are encoded in one call and told apart by the
-    end-of-word mark that every last token of a piece bears. Words outside plain Latin, with special
-    tokens, and texts with odd separators go to the tokenizer as they are.
+    ids are those of its words. Texts with odd separators go to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
         # Ids as little-endian 32-bit bytes: a text's ids are then one join.
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-
-    def plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    @staticmethod
-    def _cut(word: str) -> list[str]:
-        low = word.lower()
-        if low.isalpha():
-            return [low]
-        if low[:-1].isalpha() and not low[-1].isalnum():
-            return [low[:-1], low[-1]]
-        return _PIECE.findall(low)
-
-    def _learn(self, fresh: set[str]) -> None:
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
-        pieces, cuts = self.pieces, {}
-        for word in fresh:
-            if "<|" in word or not _PLAIN.match(word):
-                self.words[word] = self.plain(word).tobytes()
-            else:
-                cuts[word] = self._cut(word)
-        names = list({part for parts in cuts.values() for part in parts if part not in pieces})
-        for at in range(0, len(names), 20_000):
-            some = names[at : at + 20_000]
-            ids = self.plain(" ".join(some))
-            stops = (np.nonzero(self.ends[ids])[0] + 1) * 4
-            if len(stops) == len(some):
-                data, stops = ids.tobytes(), stops.tolist()
-                pieces.update(zip(some, map(data.__getitem__, map(slice, [0, *stops[:-1]], stops))))
-            else:
-                pieces.update((name, self.plain(name).tobytes()) for name in some)
-        for word, parts in cuts.items():
-            self.words[word] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
+        self.words = _Words(Tokenizer.from_file(path))
 
-    def encode_batch(self, texts: list[str]):
-        """The ids of each text as little-endian 32-bit bytes."""
-        split = [None if _SEPARATORS.search(t) else t.split() for t in texts]
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian 32-bit bytes."""
         words = self.words
-        wanted = set().union(*(s for s in split if s is not None))
         if len(words) > CACHE_WORDS:
             words.clear()
-        if fresh := wanted.difference(words):
-            self._learn(fresh)
-        for text, parts in zip(texts, split):
-            yield self.plain(text).tobytes() if parts is None else b"".join(map(words.__getitem__, parts))
+        if len(words.pieces) > CACHE_WORDS:
+            words.pieces.clear()
+        if _SEPARATORS.search(text):
+            return words.plain(text)
+        return b"".join(map(words.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=1)
@@ -125,11 +125,11 @@ def token_pieces(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id
     def run(batches):
         tokenizer = word_tokenizer(path or tokenizer_path())
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 rows = []
-                for name, ids in zip(part.column(0).to_pylist(), tokenizer.encode_batch([t or "" for t in part.column(1).to_pylist()])):
-                    data = ids + _END
+                for name, text in zip(part.column(0).to_pylist(), part.column(1)):
+                    data = tokenizer.encode(text.as_py() or "") + _END
                     for k, start in enumerate(range(0, len(data) // 4, capacity)):
                         own = data[start * 4 : (start + capacity) * 4]
                         rows.append((name, k, start, len(own) // 4, zlib.crc32(own)))

@@ -22,9 +22,12 @@ def test_words_encode_as_whole_texts(plain, monkeypatch):
     texts = TEXTS + [" ".join(rng.choice(["alpha", "Béta,", "x1y2", "%%%", "thtion", "ungß."]) + str(rng.randint(0, 50)) for _ in range(50)) for _ in range(30)]
     monkeypatch.setattr(packing, "CACHE_WORDS", 40)
     tokenizer = packing.WordTokenizer(packing.tokenizer_path())
-    for at in range(0, len(texts), 5):
-        part = [t or "" for t in texts[at : at + 5]]
-        assert [[*np.frombuffer(ids, "<u4").tolist(), 1] for ids in tokenizer.encode_batch(part)] == [plain(t) for t in part]
+    # Every Latin letter alone, in a word and with marks around it, and every ASCII character.
+    letters = [chr(c) for c in [*range(0x20, 0x7F), *range(0xA0, 0x250)]]
+    texts += [" ".join(letters), " ".join(f"a{x}b" for x in letters), " ".join(f"({x}x{x}.)" for x in letters), "".join(map(chr, range(128)))]
+    texts += [f"\x00a\x01b {x}\x7f\x85c" for x in letters[::40]]
+    for text in texts:
+        assert [*np.frombuffer(tokenizer.encode(text or ""), "<u4").tolist(), 1] == plain(text)
 
 
 def test_fullest_combination_is_best():
