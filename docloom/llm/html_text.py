@@ -1,36 +1,35 @@
 """Operator 3: main text of web pages by union-free wrappers.
 
-Pages of a host share a template. Each page is read as a tree of block elements with text slots; the trees of
-a host are aligned one after the other into one wrapper, an expression without unions: equal siblings in a row become a repeated
-group, elements that only some pages have become optional, and a text slot is constant until two pages
-differ in it. Tasks align what they read (at most ``HELD_HOSTS`` wrappers at a time), so what is shuffled is a
-wrapper a host and task, whatever number of pages a host has; those are aligned again by host.
-
-A page's text is then taken slot by slot. Menus, headers, footers, sidebars, notices, adverts, forms and
-comments are known by element, role and class. Inside ``article`` or ``main`` everything else is text. Pages
-without either take the wrapper's region: the deepest element that holds most of the host's variable
-text, less its constant slots.
+Pages of a host share a template. A page is read as a stream of elements and texts; the streams of a host are aligned
+one after the other, element by element under their parents, into one wrapper, an expression without unions: an element that
+stands twice or more beside itself becomes a repeated group, one that only some pages have becomes optional, and a
+text that differs becomes a slot; texts that all pages with their element have stay as constants.
+Alignment has no order: tasks align what they read, and what they found is summed up by host and element, so
+the largest host is a few rows a task. Elements are named by a hash of their path, whatever its depth.
+
+Every page's text is then taken by its host's wrapper: constants that pages of differing text agree in are the
+template's, what varies is text. Menus, headers, footers, sidebars, notices, adverts, forms and comments, whose
+text varies too, are known by element, role and class name; an ``article`` or ``main`` limits the text to itself.
 """
 
 from __future__ import annotations
 
-import json
 import re
-from difflib import SequenceMatcher
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import bounded, checkpointed, read
 
-#: Wrappers that a task holds before it hands them on.
-HELD_HOSTS = 2000
-#: Siblings and depth that a wrapper describes; deeper or further ones are text all the same.
-WIDE, DEEP = 60, 24
-#: Pages that must agree in a slot for it to be constant.
+#: Wrapper elements that a task holds before it hands them on.
+HELD_NODES = 200_000
+#: Pages of differing text that must agree in a text for it to be a constant.
 CONSTANT_FROM = 3
+#: Inside an article, copies of one article agree too: there constants are short, and a small part of the text (one in so many words).
+CONTENT_WORDS, CONTENT_SHARE = 50, 5
 
 # HTML elements by the part they play.
 _BLOCKS = set(
@@ -49,6 +48,11 @@ _STRONG = set(
 )
 _WEAK = set("header banner promo promotion notice notices alert share sharing social related recommended widget topbar toolbar login search side".split())
 _CONTENT = set("article post entry content story main body title headline text".split())
+#: Words that say where or how an element stands, not what it is.
+_PLACE = set(
+    "page site global block box bar wrap wrapper container section area list item items inner outer left right top bottom middle unit slot links link buttons button icons icon"
+    " panel row col column group holder region zone primary secondary fixed sticky mobile desktop large small the js".split()
+)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -74,24 +78,53 @@ def _judge(tag: str, attributes: str, in_content: bool) -> tuple[bool, bool, str
     found: dict[str, str] = {}
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), a or b or c)
-    named = f"{found.get('class', '')} {found.get('id', '')}".split()
-    # "has-sidebar" and the like tell what an element holds, not what it is.
-    words = {w.lower() for name in named if not _HOLDS.match(name) for w in _NAME.findall(name)}
     drop = tag in _DROPPED or (tag == "header" and not in_content) or found.get("role", "").lower() in _DROPPED_ROLES
     drop = drop or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
     hard = drop and (tag != "form" or found.get("role", "").lower() in _DROPPED_ROLES or "hidden" in found)
-    if tag not in ("body", "html") and words:
-        drop = drop or bool(words & _STRONG) or (bool(words & _WEAK) and not words & _CONTENT)
-    return drop, hard, f"{tag}.{'.'.join(sorted(found['class'].split()))[:80]}" if found.get("class") else tag
+    if tag not in ("body", "html") and not drop:
+        drop = _named_boilerplate(f"{found.get('class', '')} {found.get('id', '')}".split())
+    return drop, hard, f"{tag}.{'.'.join(sorted(found['class'].split()))}" if found.get("class") else tag
+
+
+def _named_boilerplate(names: list[str]) -> bool:
+    """Whether class names say that an element is boilerplate.
+
+    What a name says is its last word that is no mere place: "post-comments" are comments, "share-price-table" is a table.
+    The weaker words count only in names, and beside names, that speak of nothing else. Names like "has-sidebar" tell what an element holds.
+    """
+    weak = False
+    foreign: set[str] = set()
+    for name in names:
+        if _HOLDS.match(name):
+            continue
+        words = [w.lower() for w in _NAME.findall(name)]
+        foreign.update(w for w in words if w not in _WEAK and w not in _PLACE)
+        while len(words) > 1 and words[-1] in _PLACE:
+            words.pop()
+        if words and words[-1] in _STRONG:
+            return True
+        weak = weak or bool(words) and words[-1] in _WEAK
+    return weak and not foreign
 
 
 class Block:
-    """One block of text: where it stands and whether it may be main text."""
+    """One block of text: its element, its mark (text and element in one) and whether it may be main text."""
+
+    __slots__ = ("node", "mark", "text", "content", "dropped")
 
-    __slots__ = ("path", "text", "content", "dropped")
+    def __init__(self, node: int, text: str, content: bool, dropped: bool):
+        self.node, self.text, self.content, self.dropped = node, text, content, dropped
+        self.mark = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), node)
 
-    def __init__(self, path: tuple, text: str, content: bool, dropped: bool):
-        self.path, self.text, self.content, self.dropped = path, text, content, dropped
+
+class Page:
+    """Blocks of text in order, and the elements that are no boilerplate: ``node: [parent, key, repeated]``."""
+
+    __slots__ = ("blocks", "nodes")
+
+    def __init__(self):
+        # The page itself is element 0.
+        self.blocks, self.nodes = [], {0: [None, "", False]}
 
 
 def _closed(page: str, tag: str) -> dict[int, int]:
@@ -120,20 +153,22 @@ def _closed(page: str, tag: str) -> dict[int, int]:
     return ends
 
 
-def blocks(html: str | None) -> list[Block]:
-    """The text blocks of a page, in order; inline elements do not end a block, ``br`` is white space.
+def read_page(html: str | None) -> Page:
+    """A page's blocks and elements; inline elements do not end a block, ``br`` is white space.
 
     A class or a form does not drop the ``main`` in it, nor the ``article`` where no other text is in either.
     """
-    found, buried = _blocks(html, False)
-    if buried and not any(b.content and not b.dropped for b in found):
-        found, _ = _blocks(html, True)
+    found, buried = _read(html, False)
+    if buried and not any(b.content and not b.dropped for b in found.blocks):
+        found, _ = _read(html, True)
     return found
 
 
-def _blocks(html: str | None, free_articles: bool) -> tuple[list[Block], bool]:
-    out: list[Block] = []
-    stack: list[tuple] = [("", "", False, False, False)]  # tag, key, in article or main, dropped, dropped whatever it holds
+def _read(html: str | None, free_articles: bool) -> tuple[Page, bool]:
+    out = Page()
+    nodes = out.nodes
+    # tag, node, in article or main, dropped, dropped whatever it holds, nodes of its children
+    stack: list[tuple] = [("", 0, False, False, False, set())]
     ends: dict[str, dict[int, int]] = {}
     buried = False
     held: list[str] = []
@@ -144,7 +179,7 @@ def _blocks(html: str | None, free_articles: bool) -> tuple[list[Block], bool]:
             held.clear()
             if text:
                 top = stack[-1]
-                out.append(Block(tuple(s[1] for s in stack[1:]), text, top[2], top[3]))
+                out.blocks.append(Block(top[1], text, top[2], top[3]))
 
     page, at = html or "", 0
     while token := _TOKEN.search(page, at):
@@ -183,150 +218,124 @@ def _blocks(html: str | None, free_articles: bool) -> tuple[list[Block], bool]:
             stack.pop()
         if tag == "hr":
             continue
-        _, _, content, dropped, hard = stack[-1]
+        _, parent, content, dropped, hard, beside = stack[-1]
         drop, firm, key = _judge(tag, token[4] or "", content)
         main = tag == "main" or "role=\"main\"" in (token[4] or "").lower()
         if dropped and not hard and not content:
             buried = buried or tag == "article"
             dropped = not (main or (free_articles and tag == "article"))
-        stack.append((tag, key, content or main or tag == "article", dropped or drop, hard or firm))
+        node = xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), parent)
+        if not (dropped or drop):
+            known = nodes.setdefault(node, [parent, key, False])
+            known[2] = known[2] or node in beside
+            beside.add(node)
+        stack.append((tag, node, content or main or tag == "article", dropped or drop, hard or firm, set()))
     if at < len(page):
         held.append(page[at:])
     flush()
     return out, buried
 
 
-# A wrapper is a tree: [key, optional, repeated, pages, words, constant, children]; constant: a text's mark, 0 where
-# pages differ, None without text of its own.
+def align(wrapper: dict, page: Page) -> None:
+    """``wrapper`` (``node: [parent, key, pages, seen, repeated, constants]``) widened to fit one more page.
 
-
-def page_wrapper(found: list[Block]) -> list:
-    """The expression of a single page: its tree with equal neighbours folded into repeated groups."""
-    root = ["", False, False, 1, 0, None, []]
-    open_: list[tuple[str, list]] = []
-    for block in found:
-        if block.dropped:
-            continue
-        path = block.path[:DEEP]
-        same = 0
-        while same < len(path) and same < len(open_) and open_[same][0] == path[same]:
-            same += 1
-        if same == len(path) and same and len(open_) == same:
-            same -= 1  # a block of its own beside the one before
-        del open_[same:]
-        node = open_[-1][1] if open_ else root
-        for key in path[same:]:
-            if node[6] and node[6][-1][0] == key:
-                node[6][-1][2] = True
-                child = node[6][-1]
-            else:
-                child = [key, False, False, 1, 0, None, []]
-                if len(node[6]) < WIDE:
-                    node[6].append(child)
-            open_.append((key, child))
-            node = child
-        mark = hash_text(block.text)
-        node[5] = mark if node[5] in (None, mark) else 0
-        node[4] += block.text.count(" ") + 1
-    return root
-
-
-def hash_text(text: str) -> int:
-    import zlib
-
-    data = text.encode("utf-8", "replace")
-    return (zlib.crc32(data) << 16 ^ zlib.adler32(data)) | 1
-
-
-def align(a: list, b: list) -> list:
-    """Both wrappers in one: unmatched siblings become optional, differing texts become slots."""
-    constant = a[5] if b[5] is None else b[5] if a[5] is None else a[5] if a[5] == b[5] else 0
-    children: list = []
-    left, right = a[6], b[6]
-    for kind, i, j, m, n in SequenceMatcher(None, [c[0] for c in left], [c[0] for c in right], autojunk=False).get_opcodes():
-        if kind == "equal":
-            children += [align(x, y) for x, y in zip(left[i:j], right[m:n])]
-        else:
-            children += [[*c[:1], True, *c[2:]] for c in (*left[i:j], *right[m:n])]
-    folded: list = []
-    for child in children:
-        if folded and folded[-1][0] == child[0]:
-            folded[-1] = align(folded[-1], child)
-            folded[-1][2] = True
+    ``seen`` has a bit for each page text, of 64: as many bits, at least so many differing texts.
+    """
+    texts: dict[int, set] = {}
+    for block in page.blocks:
+        if not block.dropped:
+            texts.setdefault(block.node, set()).add(block.mark)
+    whole = b"".join(block.mark.to_bytes(8, "little") for block in page.blocks if not block.dropped)
+    seen = 1 << xxhash.xxh64_intdigest(whole) % 64
+    for node, (parent, key, repeated) in page.nodes.items():
+        own = texts.get(node, set())
+        known = wrapper.get(node)
+        if known is None:
+            wrapper[node] = [parent, key, 1, seen, repeated, own]
         else:
-            folded.append(child)
-    return [a[0], a[1] or b[1], a[2] or b[2], a[3] + b[3], a[4] + b[4], constant, folded[:WIDE]]
+            known[2] += 1
+            known[3] |= seen
+            known[4] = known[4] or repeated
+            known[5] &= own
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """``(host, wrapper)`` for ``pages(host, html)``: aligned in the tasks first, then by host."""
+    """``(host, node, parent, key, pages, texts, optional, repeated, constants)``: the wrappers of ``pages(host, html)``, a row an element.
+
+    Aligned in the tasks first, then summed up by host and element. ``texts``: how many pages of differing text, at least.
+    """
+    names = ["host", "node", "parent", "key", "pages", "seen", "repeated", "constants"]
 
     def local(batches):
         held: dict = {}
+        size = 0
 
         def out():
-            batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(w) for w in held.values()], pa.string())], names=["host", "wrapper"])
-            held.clear()
-            return batch
+            rows = [(host, _signed(node), None if p is None else _signed(p), key, n, _signed(seen), again, [_signed(m) for m in marks]) for host, w in held.items() for node, (p, key, n, seen, again, marks) in w.items()]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
         for batch in batches:
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = page_wrapper(blocks(html))
-                held[host] = align(held[host], found) if host in held else found
-                if len(held) > HELD_HOSTS:
+            for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
+                wrapper = held.setdefault(host, {})
+                before = len(wrapper)
+                align(wrapper, read_page(html.as_py()))
+                size += len(wrapper) - before
+                if size > HELD_NODES:
                     yield out()
-        if held:
+                    held.clear()
+                    size = 0
+        if size:
             yield out()
 
-    def merge(frame):
-        import pandas as pd
-
-        whole = None
-        for one in sorted(frame["wrapper"]):
-            now = json.loads(one)
-            whole = now if whole is None else align(whole, now)
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [json.dumps(whole)]})
-
-    parts = pages.select("host", "html").mapInArrow(local, "host string, wrapper string")
-    # At most a wrapper a task and host: thousands of small rows for the largest host.
-    return parts.groupBy("host").applyInPandas(merge, "host string, wrapper string")
-
-
-def region(wrapper: list) -> tuple[tuple, set]:
-    """The path of the deepest element with most of the variable text, and the constant texts in it."""
+    schema = "host string, node long, parent long, key string, pages long, seen long, repeated boolean, constants array<long>"
+    parts = checkpointed(pages.select("host", "html").mapInArrow(local, schema))
+    whole = parts.groupBy("host", "node").agg(
+        F.min("parent").alias("parent"), F.min("key").alias("key"), F.sum("pages").alias("pages"), F.bit_count(F.bit_or("seen")).alias("texts"), F.bool_or("repeated").alias("repeated")
+    )
+    marks = parts.select("host", "node", "pages", F.explode("constants").alias("mark")).groupBy("host", "node", "mark").agg(F.sum("pages").alias("with_mark"))
+    agreed = marks.join(whole.select("host", "node", "pages"), ["host", "node"]).where(F.col("with_mark") == F.col("pages"))
+    agreed = agreed.groupBy("host", "node").agg(F.sort_array(F.collect_list("mark")).alias("constants"))
+    above = whole.select("host", F.col("node").alias("parent"), F.col("pages").alias("parent_pages"))
+    joined = whole.join(above, ["host", "parent"], "left").join(agreed, ["host", "node"], "left")
+    optional = F.coalesce(F.col("pages") < F.col("parent_pages"), F.lit(False)).alias("optional")
+    return joined.select("host", "node", "parent", "key", "pages", "texts", optional, "repeated", F.coalesce("constants", F.array().cast("array<long>")).alias("constants"))
 
-    def words(node: list) -> int:
-        own = 0 if node[5] and node[3] >= CONSTANT_FROM else node[4]
-        return own + sum(words(c) for c in node[6])
 
-    path, node, total = [], wrapper, words(wrapper)
-    while node[6]:
-        best = max(node[6], key=words)
-        if total == 0 or words(best) < 0.6 * total or best[2]:
-            break
-        path.append(best[0])
-        node = best
-    if path and path[-1].split(".")[0] in ("p", "li", "td"):
-        path.pop()
-    constants: set = set()
+def expression(rows) -> str:
+    """One host's wrapper rows as a union-free expression: ``(x)?`` optional, ``(x)+`` repeated, ``#`` a text slot or constant."""
+    under: dict = {}
+    for row in rows:
+        under.setdefault(row["parent"], []).append(row)
 
-    def gather(n: list):
-        if n[5] and n[3] >= CONSTANT_FROM and not n[2]:
-            constants.add(n[5])
-        for c in n[6]:
-            gather(c)
+    def show(row) -> str:
+        inner = f"{'<' + row['key'] + '>' if row['key'] else ''}{'=' * len(row['constants'])}#{''.join(show(r) for r in sorted(under.get(row['node'], []), key=lambda r: r['key']))}"
+        mark = ("+" if row["repeated"] else "") + ("?" if row["optional"] else "")
+        return f"({inner}){mark}" if mark else inner
 
-    gather(node)
-    return tuple(path), constants
+    known = {row["node"] for row in rows}
+    return "".join(show(r) for r in sorted(rows, key=lambda r: r["key"]) if r["parent"] not in known)
 
 
-def main_text(html: str | None, wrapper: str | None) -> str:
-    kept = [b for b in blocks(html) if not b.dropped]
+def main_text(html: str | None, constants=frozenset()) -> str:
+    """The text of a page whose host's wrapper has ``constants`` (signed marks)."""
+    kept = [b for b in read_page(html).blocks if not b.dropped]
     inside = [b for b in kept if b.content]
-    if not inside and wrapper:
-        path, constants = region(json.loads(wrapper))
-        inside = [b for b in kept if b.path[: len(path)] == path and hash_text(b.text) not in constants]
-    return "\n\n".join(b.text for b in (inside or kept))
+    chosen = inside or kept
+    fixed = [b for b in chosen if _signed(b.mark) in constants] if constants else []
+    if inside and fixed:
+        sizes = {id(b): b.text.count(" ") + 1 for b in inside}
+        fixed = [b for b in fixed if sizes[id(b)] <= CONTENT_WORDS]
+        if CONTENT_SHARE * sum(sizes[id(b)] for b in fixed) > sum(sizes.values()):
+            fixed = []
+    if fixed and len(fixed) < len(chosen):
+        gone = set(map(id, fixed))
+        chosen = [b for b in chosen if id(b) not in gone]
+    return "\n\n".join(b.text for b in chosen)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -337,15 +346,23 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     base = pages.select("page_id", "url", "html", host.alias("host"))
-    wrappers = checkpointed(infer_wrappers(base.select("host", "html")))
-    joined = base.join(bounded(wrappers.withColumnRenamed("host", "__host")), F.col("host") == F.col("__host"), "left")
+    wrappers = infer_wrappers(base.select("host", "html")).where((F.col("texts") >= CONSTANT_FROM) & (F.size("constants") > 0))
+    # At most a page's worth of constants a host: those that every page with their element has.
+    constants = checkpointed(wrappers.groupBy("host").agg(F.flatten(F.collect_list("constants")).alias("constants")))
+    marks = constants.select(F.col("host").alias("__host"), "constants")
+    joined = base.join(bounded(marks), F.col("host") == F.col("__host"), "left")
 
     def run(batches):
+        last, known = None, frozenset()
         for batch in batches:
-            texts = [main_text(h, w) for h, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = []
+            for html, marks in zip(batch.column(2), batch.column(3).to_pylist()):
+                if marks != last:
+                    last, known = marks, frozenset(marks or ())
+                texts.append(main_text(html.as_py(), known))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", "wrapper").mapInArrow(
+    return joined.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", "constants").mapInArrow(
         run, "page_id long, url string, text string, n_chars long"
     )
 

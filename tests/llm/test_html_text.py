@@ -1,3 +1,6 @@
+import random
+from html.parser import HTMLParser
+
 from docloom.llm import html_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav>
@@ -7,17 +10,17 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 
 
 def test_article():
-    assert html_text.main_text(PAGE, None) == "Head & line\n\nOne, two three four\n\nFive <six>"
+    assert html_text.main_text(PAGE) == "Head & line\n\nOne, two three four\n\nFive <six>"
 
 
 def test_odd_markup():
     for page in (None, "", "<", "<<<p", "<p", "</div></p>", "<!--", "<script>", "<a href='>"):
-        html_text.main_text(page, None)
-    assert html_text.main_text("plain  text", None) == "plain text"
-    assert html_text.main_text("<p>a<p>b<ul><li>c<li>d</ul>", None) == "a\n\nb\n\nc\n\nd"
-    assert html_text.main_text('<div class="page has-sidebar no-ads"><p>kept</p><div class="sidebar">x</div></div>', None) == "kept"
+        html_text.main_text(page)
+    assert html_text.main_text("plain  text") == "plain text"
+    assert html_text.main_text("<p>a<p>b<ul><li>c<li>d</ul>") == "a\n\nb\n\nc\n\nd"
+    assert html_text.main_text('<div class="page has-sidebar no-ads"><p>kept</p><div class="sidebar">x</div></div>') == "kept"
     long = "<p>" + "word " * 200_000 + "</p>"
-    assert len(html_text.main_text(long, None)) == 5 * 200_000 - 1
+    assert len(html_text.main_text(long)) == 5 * 200_000 - 1
 
 
 def _page(k):
@@ -31,14 +34,97 @@ def test_wrapper_finds_the_region_without_article(spark):
     assert got == {k: f"Story {k}\n\n{('text %d ' % k * 20).strip()}\n\nmore {k}" for k in range(12)}
 
 
-def test_alignment_is_union_free():
-    a, b = (html_text.page_wrapper(html_text.blocks(_page(k))) for k in (1, 2))
-    w = html_text.align(a, b)
-    assert html_text.region(w)[0] == ("body", "div.x")
-    extra = html_text.page_wrapper(html_text.blocks(_page(3).replace("<h2>", "<h3>sub</h3><h2>")))
-    body = html_text.align(w, extra)[6][0]
-    x = next(c for c in body[6] if c[0] == "div.x")
-    assert [(c[0], c[1], c[2]) for c in x[6]] == [("h3", True, False), ("h2", False, False), ("p", False, True)]
+def wrapper_of(pages):
+    wrapper: dict = {}
+    for page in pages:
+        html_text.align(wrapper, html_text.read_page(page))
+    return wrapper
+
+
+def constants_of(pages):
+    return frozenset(html_text._signed(m) for w in wrapper_of(pages).values() if w[3].bit_count() >= 3 for m in w[5])
+
+
+def test_alignment_is_union_free_and_without_order(spark):
+    pages = [_page(1), _page(2), _page(3).replace("<h2>", "<h3>sub</h3><h2>"), _page(4).replace("Imprint", "Imprint, new")]
+    whole = wrapper_of(pages)
+    for seed in range(6):
+        random.Random(seed).shuffle(pages)
+        assert wrapper_of(pages) == whole
+    rows = [(k, f"http://h.example/{k}", p) for k, p in enumerate(pages)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = html_text.infer_wrappers(docs.selectExpr("'h' AS host", "html")).collect()
+    assert html_text.expression(found) == "#<body>#<div.low>#<p>#<div.top>#<p>=#<div.x>#<h2>#(<h3>=#)?(<p>#)+"
+    assert {r["node"]: (r["pages"], sorted(r["constants"])) for r in found} == {html_text._signed(n): (w[2], sorted(map(html_text._signed, w[5]))) for n, w in whole.items()}
+
+
+def test_class_words_inside_an_article_are_judged_by_the_wrapper():
+    page = '<article><div class="share-price-table"><p>Prices rose %d</p></div><div class="notice-board"><p>%s</p></div><p>End %d</p></article>'
+    assert html_text.main_text(page % (1, "Read on", 1)) == "Prices rose 1\n\nRead on\n\nEnd 1"
+    body = "a long story about %d " * 30
+    pages = [page % (k, "Read on", k) + f"<main><p>{body % ((k,) * 30)}</p></main>" for k in range(9)]
+    got = html_text.main_text(pages[4], constants_of(pages))
+    assert got == f"Prices rose 4\n\nEnd 4\n\n{(body % ((4,) * 30)).strip()}"
+    for name, text in {"ad": "", "post-comments": "", "share-buttons": "", "page-header": "", "post-header": "x", "address": "x", "ad-free": "x", "download": "x", "notice special": "x"}.items():
+        assert html_text.main_text(f'<div><p>y</p><div class="{name}">x</div></div>') == ("y\n\n" + text).strip(), name
+
+
+def test_copies_of_one_article_keep_their_text():
+    same = "".join(f"<p>paragraph {k} of the same story</p>" for k in range(9))
+    pages = [f"<article><h1>Title {k}</h1>{same}</article>" for k in range(7)]
+    assert html_text.main_text(pages[0], constants_of(pages)) == html_text.main_text(pages[0])
+    assert html_text.main_text(pages[0], constants_of([pages[0]] * 7)) == html_text.main_text(pages[0])
+
+
+def test_wide_and_deep_pages_are_whole():
+    lead, rest = "<p>" + "lead " * 100 + "</p>", "".join(f"<div class='s{k}'>side {k}</div>" for k in range(70))
+    pages = [f"<body><div class='a'>{lead}</div>{rest}<div class='real'><p>{f'body {k} ' * 2000}</p></div></body>" for k in range(5)]
+    for known in (frozenset(), constants_of(pages)):
+        assert f"{'body 3 ' * 2000}".strip() in html_text.main_text(pages[3], known)
+    deep = "<div>" * 3000 + "<p>bottom %d</p>" + "</div>tail" * 3000
+    pages = [deep % k for k in range(4)]
+    assert html_text.main_text(pages[0]).startswith("bottom 0\n\ntail")
+    assert html_text.main_text(pages[0], constants_of(pages)) == "bottom 0"
+    rounds = "".join(f"<h3>h {k}</h3><p>p {k}</p><ul><li>u {k}</ul>" for k in range(100))
+    assert html_text.main_text(f"<div>{rounds}</div><div>short</div>").count("\n\n") == 300
+
+
+class Plain(HTMLParser):
+    """The text blocks inside ``article``, read by the standard library's parser: a brute-force version for the given pages."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.blocks, self.skip = 0, [""], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.skip += tag in ("script", "style", "form", "aside", "nav", "footer") or ("class", "ad") in attrs
+        if tag in html_text._BLOCKS:
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.skip -= self.skip > 0 and tag in ("script", "style", "form", "aside", "nav", "footer", "div")
+        if tag in html_text._BLOCKS:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.depth and not self.skip:
+            self.blocks[-1] += data
+
+
+def test_given_pages_against_brute_force(spark, sf):
+    rows = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.op3_html_text(spark, sf).collect()}
+    assert got.keys() == rows.keys()
+    for i, html in rows.items():
+        plain = Plain()
+        plain.feed(html or "")
+        plain.close()
+        want = "\n\n".join(" ".join(b.split()) for b in plain.blocks if b.strip())
+        assert got[i] == (want, len(want)), i
 
 
 def test_rows_and_nulls(spark):
@@ -63,4 +149,4 @@ def test_what_is_not_closed_loses_no_text():
         '<form><article><p>Text</p></article></form>': "Text",
         '<article><p>Text</p></article><div class="sidebar"><article><p>Other</p></article></div>': "Text",
     }.items():
-        assert html_text.main_text(page, None) == want, page
+        assert html_text.main_text(page) == want, page
