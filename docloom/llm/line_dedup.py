@@ -41,7 +41,9 @@ def _row_key(doc_id: str, text: str) -> list[Column]:
 
 def _occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     lowered = F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _LOWER)
-    lines = docs.select(*_row_key(doc_id, text), F.posexplode(F.split(lowered, "\n", -1)).alias("__pos", "__line"))
+    # Two steps: beside a generator the key would be made again, and the text carried along, for every line.
+    split = docs.select(*_row_key(doc_id, text), F.split(lowered, "\n", -1).alias("__lines"))
+    lines = split.select("__doc", "__text", F.posexplode("__lines").alias("__pos", "__line"))
     keyed = lines.select("__doc", "__text", "__pos", line_key(F.col("__line")).alias("__key"))
     return keyed.where(F.col("__key") != "").select(
         F.xxhash64("__key").alias("__h"), F.xxhash64(F.lit(1), "__key").alias("__g"), "__doc", "__text", "__pos"
@@ -93,39 +95,29 @@ def line_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     if keep_first:
         warm = warm.where(~F.struct("__doc", "__text", "__pos").eqNullSafe(F.col("__head")))
     dropped = cold.select("__doc", "__text", "__pos").unionAll(warm.select("__doc", "__text", "__pos"))
-    positions = F.array_sort(F.collect_set("__pos"))
-    return dropped.groupBy("__doc", "__text").agg(run_lengths(positions).alias("drop_runs"))
+    gathered = dropped.groupBy("__doc", "__text").agg(F.array_sort(F.collect_set("__pos")).alias("__at"))
+    return gathered.select("__doc", "__text", run_lengths(F.col("__at")).alias("drop_runs"))
 
 
 def run_lengths(positions: Column) -> Column:
-    """Sorted positions as alternating lengths of absent and present runs."""
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("runs"))
+    """Sorted positions as alternating lengths of absent and present runs.
 
-    def step(state: Column, at: Column) -> Column:
-        n = F.size(state["runs"])
-        grown = F.concat(F.slice(state["runs"], 1, F.greatest(n - 1, F.lit(0))), F.array(F.element_at(state["runs"], -1) + 1))
-        opened = F.concat(state["runs"], F.array(at - state["end"], F.lit(1)))
-        runs = F.when((n > 0) & (at == state["end"]), grown).otherwise(opened)
-        return F.struct((at + 1).alias("end"), runs.alias("runs"))
-
-    return F.aggregate(positions, start, step, lambda s: s["runs"])
+    Lambdas see their own element only, next to its neighbours, so the work is linear in the positions.
+    """
+    none = F.array(F.lit(-2))
+    beside = F.arrays_zip(positions.alias("at"), F.concat(none, positions).alias("before"), F.concat(F.slice(positions, 2, F.size(positions)), none).alias("after"))
+    starts = F.transform(F.filter(beside, lambda z: z["at"] != z["before"] + 1), lambda z: z["at"])
+    ends = F.transform(F.filter(beside, lambda z: z["after"] != z["at"] + 1), lambda z: z["at"])
+    runs = F.arrays_zip(starts.alias("first"), ends.alias("last"), F.concat(F.array(F.lit(-1)), ends).alias("gap"))
+    lengths = F.transform(runs, lambda z: F.array(z["first"] - z["gap"] - 1, z["last"] - z["first"] + 1))
+    return F.flatten(F.filter(lengths, lambda pair: F.get(pair, F.lit(0)).isNotNull()))
 
 
 def _kept_lines(lines: Column, runs: Column) -> Column:
-    """The kept lines of ``lines``: each pair of runs contributes the slice it keeps."""
-    n = F.size(runs)
-    at = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("kept"))
-
-    def step(state: Column, pair: Column) -> Column:
-        keep, drop = F.element_at(runs, pair * 2 - 1), F.element_at(runs, pair * 2)
-        return F.struct(
-            (state["next"] + keep + drop).alias("next"), F.concat(state["kept"], F.slice(lines, state["next"], keep)).alias("kept")
-        )
-
-    def rest(state: Column) -> Column:
-        return F.concat(state["kept"], F.slice(lines, state["next"], F.greatest(F.size(lines) - state["next"] + 1, F.lit(0))))
-
-    return F.aggregate(F.sequence(F.lit(1), F.floor(n / 2).cast("int")), at, step, rest)
+    """The kept lines of ``lines``: the runs are spread out to a mark a line, and marked lines go."""
+    marks = F.flatten(F.transform(runs, lambda n, k: F.array_repeat(k % 2 == 1, n)))
+    marked = F.arrays_zip(lines.alias("line"), marks.alias("drop"))
+    return F.transform(F.filter(marked, lambda z: ~F.coalesce(z["drop"], F.lit(False))), lambda z: z["line"])
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, keep_first: bool = False) -> DataFrame:

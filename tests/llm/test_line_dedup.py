@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,3 +61,15 @@ def test_query_digest(spark, sf):
     rows = [(r[0], r[1]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     want = sorted((i, n, d, hashlib.sha256(t.encode()).hexdigest()) for i, n, d, t in brute(rows, 10))
     assert sorted(tuple(r) for r in line_dedup.op1_line_dedup(spark, sf).collect()) == want
+
+
+def test_long_text_of_alternating_lines(spark):
+    """Runs are built in one pass: a hundred thousand of them in one text are a matter of seconds."""
+    n = 100_000
+    rows = [(i, "common") for i in range(10)] + [(50, "\n".join(f"own {k}" if k % 2 else "Common" for k in range(2 * n)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    start = time.perf_counter()
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_text").collect()}
+    assert got[50]["n_lines"] == 2 * n and got[50]["n_dropped"] == n
+    assert got[50]["kept_text"] == "\n".join(f"own {k}" for k in range(1, 2 * n, 2))
+    assert time.perf_counter() - start < 60
