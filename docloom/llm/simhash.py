@@ -1,7 +1,7 @@
 """Operator 5: SimHash near-duplicates by pigeonhole blocks.
 
 1. Fingerprints: one narrow pass over whole texts, Arrow batches in, 8 bytes a document out.
-2. Equal fingerprints are one class; only classes go on.
+2. Equal fingerprints are one class; only classes go on. Links are between fingerprints: ids play no part in them.
 3. A fingerprint's 64 bits are split into ``b`` blocks; two within ``MAX_BITS`` bits agree on at least
    ``b - MAX_BITS`` whole blocks, so each class is keyed once for every choice of that many blocks. ``b``
    grows with the number of classes, which keeps chance meetings in a bucket few; the result is
@@ -10,7 +10,7 @@
    bucket is compared, but only a spanning forest of its links leaves it. A sample finds large buckets;
    these are dealt over cells, one for each pair of slices of at most ``SLICE`` classes, so no task holds a
    whole bucket.
-5. Components of the forest edges give every class, and so every document, its smallest id.
+5. Components of the forest edges give every class, and so every document, the smallest id of its group.
 """
 
 from __future__ import annotations
@@ -114,7 +114,7 @@ def _forest_edges(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
 
 
 def bucket_edges(batches, max_bits: int):
-    """Forest edges of each run of equal ``(mask_no, bucket, cell)`` in a sorted stream of ``(.., fp, rep)``."""
+    """Forest edges of each run of equal ``(mask_no, bucket, cell)`` in a sorted stream of ``(.., fp)``."""
     held: list[np.ndarray] = []
 
     def runs(block: np.ndarray):
@@ -124,26 +124,27 @@ def bucket_edges(batches, max_bits: int):
         starts = np.concatenate(([0], np.nonzero(new)[0] + 1))
         sizes = np.diff(np.concatenate((starts, [len(block)])))
         out_a, out_b = [], []
-        fps, reps = block[:, 4].view(np.uint64), block[:, 5]
+        names = np.ascontiguousarray(block[:, 4])
+        fps = names.view(np.uint64)
         small = sizes <= 32
         group = np.repeat(np.arange(len(sizes)), sizes)
         for lag in range(1, int(sizes[small].max(initial=1))):
             near = (group[lag:] == group[:-lag]) & small[group[lag:]]
             near &= _popcount(fps[lag:] ^ fps[:-lag]) <= max_bits
             at = np.nonzero(near)[0]
-            out_a.append(reps[at + lag])
-            out_b.append(reps[at])
+            out_a.append(names[at + lag])
+            out_b.append(names[at])
         for s, n in zip(starts[~small].tolist(), sizes[~small].tolist()):
             edges = _forest_edges(fps[s : s + n], max_bits)
             if edges:
                 a, b = np.array(edges).T
-                out_a.append(reps[s + a])
-                out_b.append(reps[s + b])
+                out_a.append(names[s + a])
+                out_b.append(names[s + b])
         if out_a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
     for batch in batches:
-        rows = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)]) if batch.num_rows else np.zeros((0, 6), np.int64)
+        rows = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]) if batch.num_rows else np.zeros((0, 5), np.int64)
         held.append(rows)
         block = np.concatenate(held)
         if not len(block):
@@ -158,16 +159,16 @@ def bucket_edges(batches, max_bits: int):
 
 
 def simhash_edges(classes: DataFrame, n: int, max_bits: int = MAX_BITS) -> DataFrame:
-    """Edges ``(a, b)`` between representatives that span every group of linked classes.
+    """Edges ``(a, b)`` between fingerprints that span every group of linked ones.
 
-    ``classes(fp, rep)`` has one row for each of its ``n`` distinct fingerprints.
+    ``classes(fp)`` has one row for each of its ``n`` distinct fingerprints.
     """
     blocks = max_bits + (2 if n < 4_000_000 else 3 if n < 400_000_000 else 4)
     masks = [_signed(m) for m in block_masks(blocks, max_bits)]
     choice = F.array(*[F.struct(F.lit(k).alias("mask_no"), F.lit(m).cast("long").alias("mask")) for k, m in enumerate(masks)])
 
     def keyed(rows: DataFrame) -> DataFrame:
-        return rows.select("fp", "rep", F.inline(choice)).select("mask_no", F.expr("fp & mask").alias("bucket"), "fp", "rep")
+        return rows.select("fp", F.inline(choice)).select("mask_no", F.expr("fp & mask").alias("bucket"), "fp")
 
     sample = classes.where(F.pmod(F.xxhash64("fp"), F.lit(LAYOUT_SAMPLE)) == 0)
     large = (
@@ -181,7 +182,7 @@ def simhash_edges(classes: DataFrame, n: int, max_bits: int = MAX_BITS) -> DataF
     own = F.pmod(F.xxhash64("fp"), F.coalesce("slices", F.lit(1))).cast("int")
     others = F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)
     rows = rows.withColumn("own", own).withColumn("other", F.explode(others))
-    cells = rows.select("mask_no", "bucket", F.least("own", "other").alias("cell_i"), F.greatest("own", "other").alias("cell_j"), "fp", "rep")
+    cells = rows.select("mask_no", "bucket", F.least("own", "other").alias("cell_i"), F.greatest("own", "other").alias("cell_j"), "fp")
     order = ["mask_no", "bucket", "cell_i", "cell_j"]
     # A cell (i, i) holds slice i alone; (i, j) holds both, so every pair meets somewhere.
     dealt = cells.repartition(shuffle_width(classes.sparkSession), *order).sortWithinPartitions(*order)
@@ -193,39 +194,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Documents whose fingerprints differ in ``max_bits`` bits or fewer are linked; ``component_id`` is the
     smallest id reachable. Null, empty and blank texts have fingerprint 0 and are linked like any other.
-    Repeated rows get equal results. A row with a null id joins its class but never names it;
-    alone it has a null component. Empty table: empty result.
+    Repeated rows get equal results; rows that share an id but not their text are linked each by its own text. Rows
+    without an id link, and join others, like the rest but never name a component: one of such rows only is null.
+    Empty table: empty result.
     """
     marked = checkpointed(fingerprints(docs, doc_id, text, shingle))
-    classes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    known = classes.where("rep IS NOT NULL")
-    n = known.count()
-    parts = connected_components(simhash_edges(known, n, max_bits)) if n else None
-    named = classes.select("fp", "rep") if parts is None else classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.col("rep") if parts is None else F.coalesce("component", "rep")
+    classes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    n = classes.count()
+    if n == 0:
+        return marked.select("doc_id", "fp", F.col("doc_id").alias("component_id"))
+    parts = checkpointed(connected_components(simhash_edges(classes.select("fp"), n, max_bits)))
+    heads = classes.join(parts, F.col("fp") == F.col("node")).groupBy("component").agg(F.min("least").alias("head"))
+    linked = parts.join(heads, "component").select("node", "head", F.lit(True).alias("linked"))
+    named = classes.join(linked, F.col("fp") == F.col("node"), "left")
+    component = F.when(F.col("linked"), F.col("head")).otherwise(F.col("least"))
     return marked.join(named.select("fp", component.alias("component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that of the smallest id.
-
-    Rows that repeat an id are thinned to one. Rows with a null id are compared by equal fingerprint
-    only: one stays for each fingerprint that no row with an id has.
-    """
-    marked = checkpointed(near_duplicates(docs, doc_id, text))
-    heads = marked.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("__copies"))
-    heads = checkpointed(heads.withColumnRenamed("doc_id", "__head"))
-    single = docs.join(heads.where("__copies = 1"), F.col(doc_id) == F.col("__head"), "left_semi")
-    repeated = docs.join(heads.where("__copies > 1"), F.col(doc_id) == F.col("__head"), "left_semi").dropDuplicates([doc_id])
-    named = marked.where("doc_id IS NOT NULL").select(F.col("fp").alias("__named")).distinct()
-    whole = F.coalesce(F.col(text), F.lit(""))
-    nameless = docs.where(F.col(doc_id).isNull())
-    lone = fingerprints(nameless.select(F.xxhash64(whole).alias("__t"), text), "__t", text).withColumnsRenamed({"doc_id": "__t"}).distinct()
-    lone = lone.join(named, F.col("fp") == F.col("__named"), "left_anti").groupBy("fp").agg(F.min("__t").alias("__t"))
-    nameless = nameless.withColumn("__h", F.xxhash64(whole)).join(lone.select("__t"), F.col("__h") == F.col("__t"), "left_semi")
-    return single.unionAll(repeated).unionAll(nameless.dropDuplicates(["__h"]).drop("__h"))

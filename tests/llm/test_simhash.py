@@ -61,24 +61,28 @@ def test_components(spark, monkeypatch):
             words[rng.randrange(len(words))] = f"n{rng.randint(0, 9)}"
         rows.append((1000 - i, " ".join(words)))
     rows += [(5000, None), (5001, ""), (5002, " "), rows[3], (None, rows[4][1]), (None, "alone here now ok")]
+    # An id with two texts, and a text without id that lies between two that are too far apart.
+    rows += [(1000, base[15]), (1000, base[16])]
+    chain = base[17].split()
+    for i in (6000, None, 6001, None, 6002):
+        rows.append((i, " ".join(chain)))
+        while (brute_fingerprint(rows[-1][1]) ^ brute_fingerprint(" ".join(chain))).bit_count() < 3:
+            chain[rng.randrange(len(chain))] = f"c{rng.randint(0, 99)}"
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, fp int")
     got = sorted([(r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in simhash.near_duplicates(docs).collect()], key=str)
     fps = [brute_fingerprint(t) for _, t in rows]
-    roots = brute_components([f for f, (i, _) in zip(fps, rows) if i is not None])
+    roots = brute_components(fps)
     least = {}
     for f, (i, _) in zip(fps, rows):
         if i is not None:
             least[roots[f]] = min(least.get(roots[f], i), i)
     want = sorted([(i, f, least.get(roots.get(f))) for f, (i, _) in zip(fps, rows)], key=str)
     assert got == want
-    kept = simhash.one_of_each_group(docs)
-    assert kept.columns == docs.columns
-    assert sorted([r["doc_id"] for r in kept.collect()], key=str) == sorted([*least.values(), None], key=str)
 
 
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert simhash.near_duplicates(docs).count() == 0 and simhash.one_of_each_group(docs).count() == 0
+    assert simhash.near_duplicates(docs).count() == 0
 
 
 def test_query(spark, sf):
