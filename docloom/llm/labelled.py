@@ -21,5 +21,3 @@ def training_labels(labels: DataFrame, label: str, most: dict[int, int], doc_id:
         part = free.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         picked = part if picked is None else picked.unionAll(part)
     return checkpointed(picked)
-
-

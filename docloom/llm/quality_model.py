@@ -1,12 +1,13 @@
 """Operator 7: quality classifier by positive-unlabelled learning.
 
-A linear scorer over cheap whole-text features is fitted on a bounded sample: trusted positives (label 1)
-and unlabelled text of the corpus. The class prior is estimated as the least ratio of upper tails, unlabelled
-over positive, of a first fit; the fit itself minimises the non-negative unbiased risk
+A linear scorer over cheap whole-text features is fitted on trusted positives (label 1, a bounded sample)
+and unlabelled text (a bounded sample of distinct texts). Features are centred and scaled by sums over all rows. The class
+prior is the least ratio of upper tails, all rows over positives, of a first fit; the fit itself minimises
+the non-negative unbiased risk
 
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)).
 
-A logistic curve calibrated on the labelled sample turns scores into probabilities. Features are
+A rising logistic curve calibrated on the labelled sample turns scores into probabilities. Features are
 counts of characters, word shapes and repeats; id, language, source and labels are none of them.
 """
 
@@ -17,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import held_out, read
+from docloom.llm.common import checkpointed, held_out, read
 from docloom.llm.labelled import training_labels
 from docloom.llm.toxicity import fit_logistic
 
-#: Bounds of the sample: labelled rows by label, unlabelled rows (about), longest text (characters).
-MOST_GOOD, MOST_BAD, UNLABELLED, LONGEST = 5000, 3000, 8000, 200_000
+#: Bounds of the sample: labelled rows by label, unlabelled texts (about; never more than twice as many).
+MOST_GOOD, MOST_BAD, UNLABELLED = 5000, 3000, 8000
 THRESHOLD = 0.7
 _PAIRS = 128
 
@@ -31,13 +32,14 @@ for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQR
     _CLASS[list(_chars)] = _k + 1
 _CLASS[128:] = 14
 _N_CLASSES = 16
+N_FEATURES = _N_CLASSES + 12 + _PAIRS
 
 
 def features(text: str | None) -> np.ndarray:
     """Shares and rates of a whole text; all zeros but the first for a text without words."""
     data = (text or "").encode("utf-8", "surrogatepass")
     words = data.split()
-    out = np.zeros(_N_CLASSES + 12 + _PAIRS, np.float32)
+    out = np.zeros(N_FEATURES, np.float32)
     if not words:
         out[0] = 1.0
         return out
@@ -95,86 +97,135 @@ def non_negative_fit(good: np.ndarray, mixed: np.ndarray, prior: float, rounds:
     return w
 
 
+_TAILS = np.linspace(0.05, 0.95, 19)
+
+
+def least_ratio(good: np.ndarray, mixed: np.ndarray) -> float:
+    """The class prior from the shares of positives and of all rows in the same upper tails."""
+    return float(min(max(((mixed + 1e-3) / (good + 1e-3)).min(), 0.02), 0.98))
+
+
 def estimate_prior(good: np.ndarray, mixed: np.ndarray) -> float:
     """Least ratio of upper tails, unlabelled over positive, over the thresholds that 5-95 % of positives pass."""
-    ratios = [((mixed >= t).mean() + 1e-3) / ((good >= t).mean() + 1e-3) for t in np.quantile(good, np.linspace(0.05, 0.95, 19))]
-    return float(min(max(min(ratios), 0.02), 0.98))
+    cuts = np.quantile(good, _TAILS)
+    return least_ratio(*((x[:, None] >= cuts).mean(0) for x in (good, mixed)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> dict:
-    """A model (plain numbers) from the bounded sample; without positives or unlabelled rows, a constant."""
-    picked = training_labels(labels, label, {1: MOST_GOOD, 0: MOST_BAD}).withColumnRenamed("doc_id", "__id")
-    n = docs.count()
-    one_in = max(1, n // UNLABELLED)
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    plain = plain.withColumn("loose", F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0)
-    sample = plain.join(F.broadcast(picked), F.col("doc_id") == F.col("__id"), "left").where(F.col("label").isNotNull() | F.col("loose"))
-    sample = sample.where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST).select("doc_id", "text", F.coalesce("label", F.lit(-1)).alias("label"), "loose")
+def _matrix(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, N_FEATURES).astype(float)
+
+
+def featured(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``__t`` (a hash of the text) and ``__x`` (its features): computed once, kept by a checkpoint."""
+    base = docs.drop("__t", "__x").withColumn("__t", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn("__of", F.col(text))
+    if not keep_text:
+        base = base.drop(text)
+    names, at = [c for c in base.columns if c != "__of"], base.columns.index("__of")
 
     def run(batches):
         for batch in batches:
-            found = [features(t).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(found, pa.binary())], names=["doc_id", "label", "loose", "x"])
-
-    rows = sample.mapInArrow(run, "doc_id long, label int, loose boolean, x binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, bytes(r["x"])))
-    x = np.array([np.frombuffer(bytes(r["x"]), np.float32) for r in rows], dtype=float).reshape(len(rows), -1)
-    label_of = np.array([r["label"] for r in rows])
-    loose = np.array([r["loose"] for r in rows], dtype=bool)
-    good, bad = label_of == 1, label_of == 0
-    if not good.any() or not loose.any():
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                found = [features(t.as_py()).tobytes() for t in part.column(at)]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [pa.array(found, pa.binary())], names=[*names, "__x"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name != "__of")
+    return checkpointed(base.mapInArrow(run, f"{fields}, __x binary"))
+
+
+def _sums(rows: DataFrame, of, width: int) -> np.ndarray:
+    """Column sums over all rows of what ``of`` makes of a feature matrix; a task hands on one row a column."""
+
+    def run(batches):
+        total = np.zeros(width)
+        for batch in batches:
+            if batch.num_rows:
+                total += of(_matrix(batch.column(0))).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array(total)], names=["k", "v"])
+
+    found = {r["k"]: r["s"] for r in rows.select("__x").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("s")).collect()}
+    return np.array([found.get(k, 0.0) for k in range(width)])
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> dict:
+    """A model (plain numbers); without positives or unlabelled rows, a constant.
+
+    ``docs`` may be :func:`featured` already. Of rows that share a labelled id one is learnt from, and of equal
+    unlabelled texts one; a null id has no label.
+    """
+    rows = docs if "__x" in docs.columns else featured(docs.select(doc_id, text), text, keep_text=False)
+    n = rows.count()
+    own = F.col(doc_id).cast("long").alias("__id")
+    picked = training_labels(labels, label, {1: MOST_GOOD, 0: MOST_BAD}, doc_id).withColumnRenamed("doc_id", "__id")
+    known = rows.select(own, "__t", "__x").join(F.broadcast(picked), "__id").groupBy("__id", "label").agg(F.min_by("__x", "__t").alias("x"))
+    known = sorted((r["__id"], r["label"], bytes(r["x"])) for r in known.collect())
+    loose = rows.where(F.pmod(F.xxhash64(F.lit(1), "__t"), F.lit(max(1, n // UNLABELLED))) == 0)
+    loose = loose.groupBy("__t").agg(F.first("__x").alias("x")).orderBy("__t").limit(2 * UNLABELLED).collect()
+    if not loose or not any(v == 1 for _, v, _ in known):
         return {"base": 0.5}
-    centre, scale = x[loose].mean(0), np.maximum(x[loose].std(0), 1e-3)
-
-    def design(y: np.ndarray) -> np.ndarray:
-        return np.hstack([np.ones((len(y), 1)), np.clip((y - centre) / scale, -5, 5)])
-
-    z = design(x)
-    first = non_negative_fit(z[good], z[loose], 0.5)
-    prior = estimate_prior(z[good] @ first, z[loose] @ first)
-    w = non_negative_fit(z[good], z[loose], prior)
-    if bad.any():
-        chosen = good | bad
-        raw = z[chosen] @ w
+    sums = _sums(rows, lambda x: np.hstack([x, x * x]), 2 * N_FEATURES) / n
+    centre = sums[:N_FEATURES]
+    scale = np.maximum(np.sqrt(np.maximum(sums[N_FEATURES:] - centre * centre, 0)), 1e-3)
+
+    def design(x: np.ndarray) -> np.ndarray:
+        return np.hstack([np.ones((len(x), 1)), np.clip((x - centre) / scale, -5, 5)])
+
+    def matrix(found) -> np.ndarray:
+        return np.frombuffer(b"".join(found), np.float32).reshape(-1, N_FEATURES).astype(float)
+
+    good, mixed = design(matrix(x for _, v, x in known if v == 1)), design(matrix(bytes(r["x"]) for r in loose))
+    first = non_negative_fit(good, mixed, 0.5)
+    cuts = np.quantile(good @ first, _TAILS)
+    passed = _sums(rows, lambda x: (design(x) @ first)[:, None] >= cuts, len(cuts)) / n
+    prior = least_ratio(((good @ first)[:, None] >= cuts).mean(0), passed)
+    w = non_negative_fit(good, mixed, prior)
+    marks = np.array([v for _, v, _ in known], dtype=float)
+    if not marks.all():
+        raw = design(matrix(x for _, _, x in known)) @ w
         unit = max(raw.std(), 1e-6)
-        a = fit_logistic(np.column_stack([np.ones(len(raw)), raw / unit]), label_of[chosen].astype(float))
+        now = marks.mean()
+        a = fit_logistic(np.column_stack([np.ones(len(raw)), raw / unit]), marks)
+        if a[1] < 0.01:
+            # The labels may not turn the scorer round: its order stays, flattened.
+            a = np.array([np.log(now / (1 - now)) - 0.01 * raw.mean() / unit, 0.01])
         w = w * (a[1] / unit)
         share = labels.where(F.col(label).isNotNull() & ~held_out(doc_id)).agg(F.avg(F.col(label).cast("double")).alias("p")).head()["p"]
-        now = good.sum() / chosen.sum()
-        w[0] += a[0] + np.log(max(share, 1e-4) / max(1 - share, 1e-4)) - np.log(now / max(1 - now, 1e-4))
+        w[0] += a[0] + np.log(max(share, 1e-4) / max(1 - share, 1e-4)) - np.log(now / (1 - now))
     return {"centre": centre, "scale": scale, "w": w, "prior": prior}
 
 
 def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` added: the probability that the whole text is good.
 
-    Null, empty and blank texts share one score (that of a text without words). Repeated rows get equal scores.
+    Null, empty and blank texts share one score (that of a text without words). Repeated rows get equal scores. A column
+    ``score`` is replaced. ``docs`` may be :func:`featured` already. Empty table: empty result.
     """
     base = docs.drop("score")
-    names, at = base.columns, base.columns.index(text)
+    base = base if "__x" in base.columns else featured(base, text)
+    names = [c for c in base.columns if c not in ("__t", "__x")]
+    at = base.columns.index("__x")
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
             if "w" in model:
-                x = np.array([features(t) for t in texts], dtype=float).reshape(len(texts), -1)
-                z = np.clip((x - model["centre"]) / model["scale"], -5, 5)
+                z = np.clip((_matrix(batch.column(at)) - model["centre"]) / model["scale"], -5, 5)
                 # Summed row by row: equal texts score equally wherever they stand in a batch.
                 scores = _sigmoid((z * model["w"][1:]).sum(1) + model["w"][0])
             else:
-                scores = np.full(len(texts), model["base"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*names, "score"])
+                scores = np.full(batch.num_rows, model["base"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores, pa.float64())], names=[*names, "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name in names)
     return base.mapInArrow(run, f"{fields}, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject."""
-    return score(docs, fit(docs, labels)).where(F.col("score") >= threshold).select(*docs.columns)
+    rows = featured(docs)
+    return score(rows, fit(rows, labels)).where(F.col("score") >= threshold).select(*docs.columns)
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(docs, read(spark, sf_dir, "labels"))
-    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    rows = featured(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    model = fit(rows, read(spark, sf_dir, "labels"))
+    return score(rows, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -57,6 +57,29 @@ def test_labels_of_the_held_out_fold_are_not_read(spark):
     assert "base" in toxicity.fit(docs, labels) and "base" in quality_model.fit(docs, labels)
 
 
+def test_floods_of_null_ids_copies_and_repeats_stay_bounded(spark, sf, monkeypatch):
+    """Rows without id, copies of one text and repeats of one labelled id: the sample keeps one row of each."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    some = labels.where("quality = 1").head()["doc_id"]
+    flood = spark.range(100_000).selectExpr(f"IF(id % 2 = 0, NULL, {some}) AS doc_id", "'the same words again' AS text")
+    taken = []
+    fitted = quality_model.non_negative_fit
+    monkeypatch.setattr(quality_model, "non_negative_fit", lambda good, mixed, prior: taken.append((len(good), len(mixed))) or fitted(good, mixed, prior))
+    model = quality_model.fit(docs.unionAll(flood), labels)
+    assert "w" in model and all(g <= quality_model.MOST_GOOD and m <= docs.count() + 1 for g, m in taken)
+
+
+def test_labels_do_not_turn_the_scorer_round(spark):
+    """Positives that look alike, and zeros spread beyond them on the scorer's good side: its slope stays positive."""
+    docs = [(i, "fine words in a line " * (2 + i % 3)) for i in range(120)] + [(1000 + i, "#### $$$ " * 30) for i in range(120)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    model = quality_model.fit(table, labels)
+    got = {r["doc_id"]: r["score"] for r in quality_model.score(table, model).collect()}
+    assert min(got[i] for i in range(120)) > max(got[i] for i in range(1000, 1120))
+
+
 def test_non_negative_risk_separates():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(1.5, 1, (800, 2)), rng.normal(-1.5, 1, (400, 2))
