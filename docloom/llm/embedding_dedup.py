@@ -1,6 +1,6 @@
 """Operator 10: embedding near-duplicates by randomised-rotation binary codes.
 
-1. Exact copies (by label) are one class; only classes go on, with their number of copies.
+1. Exact copies (by label) are one class with a number of its own; only classes go on, with their number of copies.
 2. A class's unit vector is turned by seeded random rotations; the signs are its binary code. The first
    rotation also stores its correction factor, the inner product of the turned vector with its own code.
 3. Slices of the code ("bands") key buckets within a label. The band width follows the size of
@@ -10,12 +10,13 @@
    the cosine and a confidence bound; pairs that the bound cannot rule out are recomputed from the vectors
    in double precision. A pair counts in the first band it meets in. What leaves a bucket is a sum of
    links by class and a spanning forest, not the pairs. Large buckets are dealt over cells of slice pairs.
-5. Components of the forest name the groups.
+5. Components of the forest are the groups; each is named by the smallest id of its classes.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,7 @@ def band_plan(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
     return math.ceil(math.log(MISS) / math.log(1 - agree)), bits
 
 
+@lru_cache(maxsize=8)
 def rotations(dim: int, count: int) -> np.ndarray:
     """``count`` random orthogonal matrices, stacked side by side: dim x (dim * count)."""
     rng = np.random.default_rng([SEED, dim])
@@ -51,21 +53,28 @@ def rotations(dim: int, count: int) -> np.ndarray:
     return np.hstack(found)
 
 
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, as squares of large doubles overflow."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
 def encode(vectors: np.ndarray, bands: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Band keys (n x bands) and correction factors (n) of row vectors."""
     n, dim = vectors.shape
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    turned = unit @ rotations(dim, -(-bands * bits // dim))
+    turned = unit_rows(vectors) @ rotations(dim, -(-bands * bits // dim))
     signs = turned[:, : bands * bits] > 0
     keys = signs.reshape(n, bands, bits) @ (1 << np.arange(bits, dtype=np.int64))
     return keys, np.abs(turned[:, :dim]).sum(1) / math.sqrt(dim)
 
 
-def linked_pairs(vectors: np.ndarray, factors: np.ndarray, at: int, to: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of rows ``at..to`` with any row whose exact cosine reaches the threshold."""
-    dim = vectors.shape[1]
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    turned = unit @ rotations(dim, 1)
+def linked_pairs(unit: np.ndarray, factors: np.ndarray, at: int, to: int, threshold: float, turned: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of unit rows ``at..to`` with any row whose exact cosine reaches the threshold.
+
+    ``turned``: the rows after the first rotation, for callers that ask for several ranges of the same rows.
+    """
+    dim = unit.shape[1]
+    turned = unit @ rotations(dim, 1) if turned is None else turned
     code = np.where(turned[at:to] > 0, 1.0, -1.0) / math.sqrt(dim)
     f = np.clip(factors[at:to, None], 1e-9, 1.0)
     estimate = code @ turned.T / f
@@ -81,7 +90,8 @@ def linked_pairs(vectors: np.ndarray, factors: np.ndarray, at: int, to: int, thr
 def _bucket(rows: dict, threshold: float):
     """Links of one run: (representatives, partner copies) and forest edges."""
     n, band = len(rows["rep"]), int(rows["band"][0])
-    vectors, keys, own = rows["vector"], rows["keys"], rows["own"]
+    unit, keys, own = unit_rows(rows["vector"]), rows["keys"], rows["own"]
+    turned = unit @ rotations(unit.shape[1], 1)
     crossing = rows["cell_i"][0] != rows["cell_j"][0]
     degree, up, edges = np.zeros(n, np.int64), list(range(n)), []
 
@@ -92,7 +102,7 @@ def _bucket(rows: dict, threshold: float):
         return k
 
     for at in range(0, n, 256):
-        i, j = linked_pairs(vectors, rows["factor"], at, min(at + 256, n), threshold)
+        i, j = linked_pairs(unit, rows["factor"], at, min(at + 256, n), threshold, turned)
         ok = i < j
         if crossing:
             ok &= own[i] != own[j]
@@ -138,8 +148,9 @@ def bucket_links(batches, threshold: float):
         for s, e in zip(bounds[: -1 if final else -2], bounds[1:]):
             if e - s > 1:
                 part = {c: v[s:e] for c, v in block.items() if c not in ("vector", "keys")}
-                part["vector"] = np.array([np.frombuffer(v, np.float32) for v in block["vector"][s:e]], dtype=np.float64)
-                part["keys"] = np.array([np.frombuffer(v, np.int64) for v in block["keys"][s:e]])
+                wide = np.float32 if len(block["vector"][s]) == 4 * block["dim"][s] else np.float64
+                part["vector"] = np.array([np.frombuffer(v, wide) for v in block["vector"][s:e]], dtype=np.float64)
+                part["keys"] = np.array([np.frombuffer(v, np.int32) for v in block["keys"][s:e]])
                 yield from emit(part)
         return
 
@@ -166,35 +177,41 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
 
     Vectors of equal, non-null label and equal length are linked when their cosine in double precision is
     ``threshold`` or more. Null or zero vectors, vectors with null or non-finite components, and
-    rows without label or id link with nothing: 0 links, their own component, kept unless the id is null.
-    Repeated rows are vectors of their own and link with each other. Empty table: empty result.
+    rows without label link with nothing: 0 links, their own component. Repeated rows, and rows that share an
+    id but not their vector or label, are vectors of their own and link by what they hold. Rows
+    without an id link like others; they name no component and are never kept. Empty table: empty result.
     """
     spark = vectors.sparkSession
-    raw = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"), F.col(label).cast("long").alias("label"))
+    single = vectors.schema[embedding].dataType.simpleString() in ("array<float>", "array<tinyint>", "array<smallint>")
+    kind, wide = ("array<float>", np.float32) if single else ("array<double>", np.float64)
+    raw = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(kind).alias("embedding"), F.col(label).cast("long").alias("label"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    sound = F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    sound = F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False)) & F.col("label").isNotNull()
     hashed = raw.withColumn("ok", sound).withColumn("h", F.when(F.col("ok"), F.xxhash64("embedding"))).withColumn("g", F.when(F.col("ok"), F.xxhash64(F.lit(1), "embedding")))
     rows = checkpointed(hashed.select("vec_id", "label", "h", "g", "ok"))
-    grouped = hashed.where("ok").groupBy("label", "h", "g").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
-    classes = checkpointed(grouped)
+    grouped = hashed.where("ok").groupBy("label", "h", "g").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+    # The number of a class, fixed by the checkpoint.
+    classes = checkpointed(grouped.withColumn("rep", F.monotonically_increasing_id()))
     alone = F.lit(0).cast("long")
     largest = classes.groupBy("label").count().agg(F.max("count")).head()[0]
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")
     if not largest:
-        return rows.select("vec_id", alone.alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+        return rows.select("vec_id", alone.alias("n_links"), F.col("vec_id").alias("component_id")).select("*", kept)
     bands, bits = band_plan(largest, threshold)
 
     def codes(batches):
         for batch in batches:
-            found = [np.array(v, dtype=np.float32) for v in batch.column(3).to_pylist()]
-            dims = np.array([len(v) for v in found])
+            found = [np.array(v, dtype=wide) for v in batch.column(3).to_pylist()]
+            dims = np.array([len(v) for v in found], dtype=np.int64)
             keys, factors = np.zeros((len(found), bands), np.int64), np.zeros(len(found))
             for dim in np.unique(dims).tolist():
                 own = np.nonzero(dims == dim)[0]
                 keys[own], factors[own] = encode(np.array([found[k] for k in own], dtype=np.float64), bands, bits)
-            columns = [batch.column(0), pa.array(dims, pa.int64()), batch.column(1), batch.column(2), pa.array(factors), pa.array(list(keys), pa.list_(pa.int64())), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([v.tobytes() for v in found], pa.binary())]
+            packed = pa.array([k.tobytes() for k in keys.astype(np.int32)], pa.binary())
+            columns = [batch.column(0), pa.array(dims, pa.int64()), batch.column(1), batch.column(2), pa.array(factors), pa.array(list(keys), pa.list_(pa.int64())), packed, pa.array([v.tobytes() for v in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["label", "dim", "rep", "copies", "factor", "codes", "keys", "vector"])
 
-    coded = classes.select("label", "rep", "copies", F.col("embedding").cast("array<float>")).mapInArrow(
+    coded = classes.select("label", "rep", "copies", "embedding").mapInArrow(
         codes, "label long, dim long, rep long, copies long, factor double, codes array<long>, keys binary, vector binary"
     )
     keyed = coded.select("label", "dim", "rep", "copies", "factor", "keys", "vector", F.posexplode("codes").alias("band", "key"))
@@ -210,12 +227,14 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
     dealt = cells.repartition(shuffle_width(spark), *_ROW).sortWithinPartitions(*_ROW)
     links = checkpointed(dealt.mapInArrow(lambda batches: bucket_links(batches, threshold), "a long, b long, n long"))
     degrees = links.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("near"))
-    parts = connected_components(links.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "rep")
-    named = classes.select("label", "h", "g", "rep", "copies").join(degrees, "rep", "left").join(parts, "rep", "left")
-    named = named.select("label", "h", "g", (F.col("copies") - 1 + F.coalesce("near", alone)).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    sound_rows = rows.where("ok").join(named, ["label", "h", "g"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    others = rows.where("NOT ok").select("vec_id", alone.alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    return sound_rows.unionAll(others)
+    parts = checkpointed(connected_components(links.where("b IS NOT NULL").select("a", "b"))).withColumnRenamed("node", "rep")
+    heads = classes.select("rep", "least").join(parts, "rep").groupBy("component").agg(F.min("least").alias("head"))
+    named = classes.select("label", "h", "g", "rep", "copies", "least").join(degrees, "rep", "left").join(parts.join(heads, "component"), "rep", "left")
+    component = F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("head"))
+    named = named.select("label", "h", "g", (F.col("copies") - 1 + F.coalesce("near", alone)).alias("n_links"), component.alias("component_id"))
+    sound_rows = rows.where("ok").join(named, ["label", "h", "g"]).select("vec_id", "n_links", "component_id")
+    others = rows.where("NOT ok").select("vec_id", alone.alias("n_links"), F.col("vec_id").alias("component_id"))
+    return sound_rows.unionAll(others).select("*", kept)
 
 
 def op10_embedding_dedup(spark, sf_dir: str) -> DataFrame:
