@@ -1,43 +1,53 @@
-"""Near copies of whole texts for the pipeline: SimHash candidates, exact five-word shingle similarity.
+"""Near copies of whole texts for the pipeline: SimHash pigeonhole blocks, exact five-word shingle similarity.
 
 At similarity 0.8 two 64-bit fingerprints differ in about 10 bits and in 22 at times, which leaves pigeonhole blocks of
-two or three bits: too short to be keys. So the keys are shingles, and the fingerprint thins out what meets:
-
-1. Every distinct text gets a key of its own, a hash of its content; ids play no part in linking.
-2. A text's set of ``n`` shingles is put in one fixed order, those that a sample shows to be frequent last. Two sets with
-   similarity ``SIMILAR`` or more share one of their first ``n - ceil(SIMILAR n) + 1``: these are the bucket keys, and no pair is missed.
-3. In a bucket, pairs whose sizes allow the similarity and whose 128-bit fingerprints (of the sets) are within ``WIDE_BITS`` are candidates.
-   Large buckets are dealt over cells.
-4. Candidates are verified on the texts themselves. This runs in three rounds: each row with the middle of its bucket,
-   then with the nearest of other groups, then all pairs that are not in one group by then; so a large
-   group of near copies costs about its rows, not their square.
+two or three bits: too short to be keys. So blocks find the close pairs, and short keys of the sets the rest:
+
+1. Every distinct text is a class with a number of its own; ids play no part in linking.
+2. Fingerprints of the shingle sets within ``simhash.MAX_BITS`` bits meet in pigeonhole blocks (operator 5).
+3. A set of ``n`` shingles is put in one fixed order by hash, those that a sample shows to be frequent last. Two sets with
+   similarity ``SIMILAR`` or more share one of their first ``n - ceil(SIMILAR n) + 1``. If ``r`` of a set's shingles are not
+   frequent, at least ``1 - n / 5r`` of those that two such sets have are common to both, so that already their first
+   ``log(MISS) / log(n / 5r)`` hold a common one but for a chance under ``MISS``. The fewer of both numbers are a text's keys.
+4. In a key's bucket each row is first compared with the bucket's first row, which joins a large group at the cost
+   of its rows. Only rows of buckets that hold several groups after that are compared with each other, in cells of bounded size:
+   with the nearest of other groups, then with all that are not in one group by then.
+5. What is compared are 256-bit fingerprints of the sets and their sizes; pairs within ``WIDE_BITS`` bits are verified on
+   the texts themselves.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm import simhash
 from docloom.llm.common import bounded, checkpointed, connected_components, shuffle_width
 
 SHINGLE = 5
 #: Least similarity, in fifths: 4 of 5.
 FIFTHS = 4
-#: Fingerprints of sets with similarity 0.8 differ in 19.4 bits of 128 on average, deviation 4.1: 48 is seven deviations away.
-WIDE_BITS = 48
+#: Chance that the keys of a pair at the threshold have none in common.
+MISS = 1e-9
+#: Fingerprints of sets with similarity 0.8 differ in 38.8 bits of 256 on average, deviation 5.7: 70 is five and a half deviations away.
+WIDE_BITS = 70
+PARTS = 4
 SEED = 42
 #: Rows of a bucket that one cell compares, at most twice.
 SLICE = 4096
-#: One text in so many tells which shingles are frequent and which buckets are large; links do not depend on it.
+#: One text in so many tells which shingles are frequent; links do not depend on it.
 SAMPLE = 16
 FREQUENT_FROM, MOST_FREQUENT = 8, 200_000
 #: Candidates of each row in the second round.
 NEAREST = 4
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+_FP = [f"f{k}" for k in range(PARTS)]
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -58,9 +68,9 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _set_fingerprint(found: np.ndarray, part: int) -> int:
-    """64 bits of the set's SimHash; part 1 reads each hash mixed anew."""
+    """64 bits of the set's SimHash; parts after the first read each hash mixed anew."""
     if part:
-        found = found * np.uint64(0x9E3779B97F4A7C15)
+        found = found * np.uint64(0x9E3779B97F4A7C15 + 2 * part)
         found = (found ^ found >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
         found = found ^ found >> np.uint64(32)
     octets = found.astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -68,12 +78,15 @@ def _set_fingerprint(found: np.ndarray, part: int) -> int:
     return int(np.packbits(2 * counts > len(found), bitorder="little").view("<i8")[0])
 
 
-def _prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    n = len(found)
+def keys_of(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The first shingles of a set that stand for it (see the module's third point)."""
+    n = rare = len(found)
     if len(frequent):
         late = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found
+        rare = n - int(late.sum())
         found = np.concatenate((found[~late], found[late]))
-    return found[: n - -(-FIFTHS * n // 5) + 1]
+    certain = n - -(-FIFTHS * n // 5) + 1
+    return found[: min(certain, math.ceil(math.log(MISS) / math.log(n / (5 * rare))))] if 5 * rare > n else found[:certain]
 
 
 def _frequent_shingles(texts: DataFrame) -> np.ndarray:
@@ -82,34 +95,50 @@ def _frequent_shingles(texts: DataFrame) -> np.ndarray:
             for text in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text).view(np.int64))], names=["s"])
 
-    sample = texts.where(F.pmod("h", F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "s long")
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "s long")
     counted = sample.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT_FROM)
     rows = counted.orderBy(F.desc("n"), "s").limit(MOST_FREQUENT).collect()
     return np.sort(np.array([r["s"] for r in rows], dtype=np.int64).view(np.uint64))
 
 
 def _signatures(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``(h, n, fp, fp2, keys)`` of ``texts(h, text)``."""
+    """``(h, g, id, n, f0.., keys)``, one row for each row of ``texts(h, g, id, text)``."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [shingle_set(t) for t in part.column(1).to_pylist()]
-                keys = pa.array([_prefix(s, frequent).view(np.int64) for s in sets], pa.list_(pa.int64()))
-                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([_set_fingerprint(s, k) for s in sets], pa.int64()) for k in (0, 1)], keys]
-                yield pa.RecordBatch.from_arrays(columns, names=["h", "n", "fp", "fp2", "keys"])
+                sets = [shingle_set(t.as_py()) for t in part.column(3)]
+                keys = pa.array([keys_of(s, frequent).view(np.int64) for s in sets], pa.list_(pa.int64()))
+                prints = [pa.array([_set_fingerprint(s, k) for s in sets], pa.int64()) for k in range(PARTS)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(map(len, sets), pa.int64()), *prints, keys], names=["h", "g", "id", "n", *_FP, "keys"])
+
+    return texts.select("h", "g", "id", "text").mapInArrow(run, f"h long, g long, id long, n long, {', '.join(f'{f} long' for f in _FP)}, keys array<long>")
+
+
+def _within(a: str, b: str) -> Column:
+    """Whether fingerprints and sizes of two structs allow the similarity."""
+    bits = sum((F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in _FP), F.lit(0))
+    sizes = (5 * F.col(f"{a}.n") >= FIFTHS * F.col(f"{b}.n")) & (5 * F.col(f"{b}.n") >= FIFTHS * F.col(f"{a}.n"))
+    return (bits <= WIDE_BITS) & sizes
+
 
-    return texts.mapInArrow(run, "h long, n long, fp long, fp2 long, keys array<long>")
+def _block_pairs(classes: DataFrame) -> DataFrame:
+    """``(a, b)``: pairs of classes that span what operator 5 links, by pigeonhole blocks of the first fingerprint."""
+    prints = checkpointed(classes.groupBy("f0").agg(F.min("cid").alias("first")))
+    equal = classes.join(prints, "f0").where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b"))
+    edges = simhash.simhash_edges(prints.select(F.col("f0").alias("fp")), prints.count()).distinct()
+    left, right = (prints.select(F.col("f0").alias(side), F.col("first").alias(f"first_{side}")) for side in ("a", "b"))
+    close = edges.join(left, "a").join(right, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    return equal.unionAll(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-_ROW = "key long, cell_i long, cell_j long, fp long, fp2 long, h long, n long, comp long"
-_NAMES = [x.split()[0] for x in _ROW.split(", ")]
+_ROW = ["key", "cell_i", "cell_j", *_FP, "cid", "n", "comp"]
 
 
 def _runs(batches):
     """Runs of equal ``(key, cell_i, cell_j)`` of at least two rows, whole, as arrays of rows."""
-    held = np.zeros((0, len(_NAMES)), np.int64)
+    held = np.zeros((0, len(_ROW)), np.int64)
     for batch in batches:
         rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]) if batch.num_rows else held[:0]
         block = np.concatenate((held, rows))
@@ -123,42 +152,50 @@ def _runs(batches):
         yield held
 
 
-def _candidates(run: np.ndarray, step: int):
-    """Candidate pairs of one run: with its middle row (step 0), with the nearest of other groups (1), all (2)."""
-    fps, reps, n, comp = np.ascontiguousarray(run[:, 3:5]).view(np.uint64), run[:, 5], run[:, 6], run[:, 7]
-    if (comp == comp[0]).all():
+def _candidates(run: np.ndarray, nearest: bool):
+    """Candidate pairs of one run, of different groups: with the nearest rows only, or all."""
+    fps, cids, n, comp = np.ascontiguousarray(run[:, 3 : 3 + PARTS]).view(np.uint64), run[:, 3 + PARTS], run[:, 4 + PARTS], run[:, 5 + PARTS]
+    groups, sizes = np.unique(comp, return_counts=True)
+    if len(groups) < 2:
         return
-    if step == 0 and len(run) > 2:
-        majority = np.packbits(2 * np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64) > len(run), bitorder="little").view("<u8")
-        at = np.array([int(np.argmin(np.bitwise_count(fps ^ majority).sum(1)))])
-    else:
-        at = np.arange(len(run))
+    # Rows of the largest group meet the others from the others' side.
+    at = np.nonzero(comp != groups[np.argmax(sizes)])[0]
     for k in range(0, len(at), 256):
         rows = at[k : k + 256]
-        bits = np.bitwise_count(fps[rows, None, 0] ^ fps[None, :, 0]) + np.bitwise_count(fps[rows, None, 1] ^ fps[None, :, 1])
+        bits = sum(np.bitwise_count(fps[rows, None, p] ^ fps[None, :, p]).astype(np.int64) for p in range(PARTS))
         near = (bits <= WIDE_BITS) & (comp[rows, None] != comp[None, :])
         near &= (5 * n[rows, None] >= FIFTHS * n[None, :]) & (5 * n[None, :] >= FIFTHS * n[rows, None])
-        if step == 1 and len(run) > NEAREST:
-            ranked = np.where(near, bits.astype(np.int64), 99)
-            chosen = np.argpartition(ranked, NEAREST - 1, axis=1)[:, :NEAREST]
+        if nearest and len(run) > NEAREST:
+            chosen = np.argpartition(np.where(near, bits, 1 << 20), NEAREST - 1, axis=1)[:, :NEAREST]
             only = np.zeros_like(near)
             np.put_along_axis(only, chosen, True, axis=1)
             near &= only
         i, j = np.nonzero(near)
-        a, b = reps[rows[i]], reps[j]
+        a, b = cids[rows[i]], cids[j]
         yield np.minimum(a, b), np.maximum(a, b)
 
 
-def _pairs(rows: DataFrame, step: int) -> DataFrame:
+def _bucket_pairs(buckets: DataFrame, groups: DataFrame | None, nearest: bool) -> DataFrame:
+    """``(a, b)``: candidates of different groups in ``buckets(key, cid, n, f0..)`` that hold several groups."""
+    now = buckets.withColumn("comp", F.col("cid"))
+    if groups is not None:
+        now = buckets.join(groups.withColumnsRenamed({"node": "cid", "component": "comp"}), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    size = F.ceil(F.count("*") / SLICE).alias("slices")
+    open_ = checkpointed(now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), size).where("lo <> hi").select("key", "slices"))
+    rows = now.join(bounded(open_), "key")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("slices"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    # A cell (i, i) holds slice i alone; (i, j) holds both, so every pair meets somewhere.
+    cells = rows.select("key", F.least("own", "other").alias("cell_i"), F.greatest("own", "other").alias("cell_j"), *_FP, "cid", "n", "comp")
+
     def run(batches):
         for one in _runs(batches):
-            for a, b in _candidates(one, step):
+            for a, b in _candidates(one, nearest):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     order = ["key", "cell_i", "cell_j"]
-    dealt = rows.select(*_NAMES).repartition(shuffle_width(rows.sparkSession), *order).sortWithinPartitions(*order, "h")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = cells.select(*_ROW).repartition(shuffle_width(buckets.sparkSession), *order).sortWithinPartitions(*order, "cid")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -167,59 +204,50 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches):
         known: dict = {}
         for batch in batches:
-            a, b, left, right = (batch.column(k).to_pylist() for k in range(4))
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             good = []
             for row, sides in enumerate(zip(a, b)):
                 found = []
-                for h, text in zip(sides, (left[row], right[row])):
-                    if h not in known:
+                for side, cid in enumerate(sides):
+                    if cid not in known:
                         if len(known) > 500:
                             known.clear()
-                        known[h] = shingle_set(text)
-                    found.append(known[h])
+                        known[cid] = shingle_set(batch.column(2 + side)[row].as_py())
+                    found.append(known[cid])
                 good.append(similar(*found))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    left, right = (texts.select(F.col("h").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    left, right = (texts.select(F.col("cid").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _cells(signed: DataFrame) -> DataFrame:
-    """One row for each text, key and cell; buckets of a single text go."""
-    keyed = signed.select("h", "n", "fp", "fp2", F.explode("keys").alias("key"))
-    sample = keyed.where(F.pmod("h", F.lit(SAMPLE)) == 0)
-    size = (F.count("*") * SAMPLE).alias("size")
-    large = checkpointed(sample.groupBy("key").agg(size).where(F.col("size") > SLICE).select("key", F.ceil(F.col("size") / SLICE).alias("slices")))
-    rows = keyed.join(bounded(large), "key", "left").withColumn("slices", F.coalesce("slices", F.lit(1)).cast("long"))
-    own = F.pmod(F.xxhash64("h"), F.col("slices"))
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
-    # A cell (i, i) holds slice i alone; (i, j) holds both, so every pair meets somewhere.
-    cells = rows.select("key", F.least("own", "other").alias("cell_i"), F.greatest("own", "other").alias("cell_j"), "fp", "fp2", "h", "n", F.col("h").alias("comp"))
+def similar_groups(classes: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """``(node, component)`` for the classes that have a near copy; none: None.
 
-    def shared(batches):
-        for one in _runs(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(one[:, k]) for k in range(len(_NAMES))], names=_NAMES)
-
-    order = ["key", "cell_i", "cell_j"]
-    dealt = cells.select(*_NAMES).repartition(shuffle_width(signed.sparkSession), *order).sortWithinPartitions(*order)
-    return checkpointed(dealt.mapInArrow(shared, _ROW))
-
-
-def similar_groups(texts: DataFrame) -> DataFrame | None:
-    """``(node, component)`` for the keys of ``texts(h, text)``, one row a text, that have a near copy; none: None."""
-    signed = checkpointed(_signatures(texts, _frequent_shingles(texts)))
-    rows = _cells(signed)
-    edges = groups = None
-    for step in range(3):
-        now = rows
-        if groups is not None:
-            now = rows.drop("comp").join(groups.withColumnRenamed("node", "h"), "h", "left").withColumn("comp", F.coalesce("component", "h"))
-        pairs = checkpointed(_pairs(now, step))
+    ``classes(cid, h, g, n, f0.., keys)`` has a row for each distinct text, ``texts(h, g, text)`` at least one.
+    """
+    keyed = classes.select(F.explode("keys").alias("key"), "cid", "n", *_FP)
+    first = F.min(F.struct("cid", "n", *_FP)).alias("first")
+    shared = keyed.groupBy("key").agg(first, F.count("*").alias("rows")).where("rows > 1").select("key", "first")
+    buckets = checkpointed(keyed.join(shared, "key").withColumn("own", F.struct("cid", "n", *_FP)))
+    with_first = buckets.where("own.cid <> first.cid").where(_within("own", "first")).select(F.col("first.cid").alias("a"), "cid").withColumnRenamed("cid", "b")
+    pairs = checkpointed(with_first.unionAll(_block_pairs(classes)).distinct())
+    buckets = buckets.drop("own", "first")
+    needed = buckets.select("cid").unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct()
+    needed = checkpointed(classes.select("cid", "h", "g").join(needed, "cid", "left_semi"))
+    found = texts.join(bounded(needed), ["h", "g"]).select("cid", "text")
+    texts = checkpointed(found.groupBy("cid").agg(F.first("text").alias("text")))
+    edges = groups = tried = None
+    for nearest in (None, True, False):
+        if nearest is not None:
+            pairs = _bucket_pairs(buckets, groups, nearest).distinct()
+            pairs = checkpointed(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
         if pairs.isEmpty():
             continue
-        found = checkpointed(_verified(pairs, texts))
-        edges = found if edges is None else checkpointed(edges.unionAll(found))
+        tried = pairs if tried is None else tried.unionAll(pairs)
+        good = checkpointed(_verified(pairs, texts))
+        edges = good if edges is None else edges.unionAll(good)
         groups = checkpointed(connected_components(edges))
     return groups
 
@@ -229,21 +257,29 @@ def one_of_each_similar_group(docs: DataFrame, doc_id: str = "doc_id", text: str
 
     Rows without an id are linked like others, and stay only where no row of the group has an id. Rows that
     share an id but not their text are texts of their own. Null, empty and blank texts are one group.
+    Repeated rows: one stays. Empty table: empty result. Other columns stay as they are.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumn("__h", F.xxhash64(whole))
-    heads = checkpointed(keyed.groupBy("__h").agg(F.min(F.col(doc_id).cast("long")).alias("least")))
-    texts = checkpointed(keyed.select(F.col("__h").alias("h"), whole.alias("text")).dropDuplicates(["h"]))
-    groups = similar_groups(texts)
+    keyed = docs.withColumns({"__h": F.xxhash64(whole), "__g": F.xxhash64(F.lit(1), whole)})
+    texts = keyed.select(F.col("__h").alias("h"), F.col("__g").alias("g"), F.col(doc_id).cast("long").alias("id"), whole.alias("text"))
+    signed = checkpointed(_signatures(texts, _frequent_shingles(texts)))
+    named = signed.groupBy("h", "g", "id").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", *_FP, "keys")])
+    head = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "copies")).alias("head")
+    classes = named.groupBy("h", "g").agg(head, *[F.first(c).alias(c) for c in ("n", *_FP, "keys")])
+    # The number of a class, fixed by the checkpoint.
+    classes = checkpointed(classes.withColumn("cid", F.monotonically_increasing_id()))
+    groups = similar_groups(classes, texts)
+    heads = classes.select("cid", "h", "g", "head")
     if groups is not None:
-        heads = heads.join(groups, F.col("__h") == F.col("node"), "left").withColumn("group", F.coalesce("component", "__h"))
-        first = F.min(F.struct(F.col("least").isNull(), F.col("least"), F.col("__h"))).alias("first")
-        heads = heads.groupBy("group").agg(first).select(F.col("first.__h").alias("__h"), F.col("first.least").alias("least"))
-    heads = checkpointed(heads.select(F.col("__h").alias("__head"), F.col("least").alias("__least")))
-    kept = keyed.join(heads, (F.col("__h") == F.col("__head")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__least")), "left_semi")
-    counts = checkpointed(kept.groupBy("__h").agg(F.count("*").alias("__copies")).where("__copies > 1"))
-    if counts.isEmpty():
-        return kept.drop("__h")
-    single = kept.join(bounded(counts), "__h", "left_anti")
-    repeated = kept.join(bounded(counts), "__h", "left_semi").dropDuplicates(["__h"])
-    return single.unionByName(repeated).select(*docs.columns)
+        heads = heads.join(groups, F.col("cid") == F.col("node"), "left").withColumn("group", F.coalesce("component", "cid"))
+        first = F.min(F.struct("head.nameless", "head.id", "cid", "h", "g", "head.copies")).alias("first")
+        heads = heads.groupBy("group").agg(first).select("first.h", "first.g", "first.id", "first.copies")
+    else:
+        heads = heads.select("h", "g", "head.id", "head.copies")
+    heads = checkpointed(heads.withColumnsRenamed({"h": "__head_h", "g": "__head_g", "id": "__head_id"}))
+    own = (F.col("__h") == F.col("__head_h")) & (F.col("__g") == F.col("__head_g")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__head_id"))
+    single = keyed.join(heads.where("copies = 1"), own, "left_semi")
+    repeated = checkpointed(heads.where("copies > 1"))
+    if not repeated.isEmpty():
+        single = single.unionAll(keyed.join(bounded(repeated), own, "left_semi").dropDuplicates(["__h", "__g"]))
+    return single.select(*docs.columns)
