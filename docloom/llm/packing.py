@@ -208,7 +208,9 @@ def pack(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text:
     """
     spark = docs.sparkSession
     pieces = checkpointed(token_pieces(docs, path, doc_id, text, capacity))
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("__shards"))
+    # Dealt by the place in the checkpoint: rows that repeat, by thousands even, are spread like others.
+    pieces = pieces.withColumn("__place", F.monotonically_increasing_id())
+    shard = F.pmod("__place", F.col("__shards"))
     # At most `capacity` rows: lengths.
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     shards = spark.createDataFrame([(k, -(-n // SHARD_ROWS)) for k, n in counts.items()], "__length long, __shards long")
