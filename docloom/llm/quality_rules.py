@@ -1,7 +1,7 @@
 """Operator 8: quality rules with host-level verdicts.
 
-Four statistics and two base rules are read off every whole text in one narrow pass. A document
-also fails a *soft* rule when its symbols, repeated lines or repeated words pass a lower bar. Hosts
+Statistics and two base rules are read off every whole text in one narrow pass. A document
+also fails a host rule when its symbols, repeated lines or repeated words pass a lower bar (``RULES``). Hosts
 (the ``source`` column stands for the domain) are summed up by partial aggregation; each rule's
 failure rate by host is shrunk towards the corpus by a beta prior whose mean and strength are
 fitted to the hosts by moments; a host whose shrunk rate passes ``HOST_RATE`` on any rule is rejected, and
@@ -29,22 +29,19 @@ def _length_without(text: Column, chars: str) -> Column:
 
 
 def _windows(words: Column, width: int = 3) -> Column:
-    """Windows of ``width`` words as (hash, position), sorted, so that equal ones are neighbours."""
+    """A hash for each window of ``width`` words, in order."""
     n = F.size(words)
     at = F.when(n >= width, F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.sort_array(F.transform(at, lambda i: F.struct(F.xxhash64(*[F.element_at(words, i + k) for k in range(width)]).alias("h"), i.alias("i"))))
+    return F.transform(at, lambda i: F.xxhash64(*[F.element_at(words, i + k) for k in range(width)]))
 
 
-def _repeat_positions(windows: Column) -> Column:
-    """Positions, in order, of the windows that have an equal neighbour."""
-    n = F.size(windows)
-
-    def twin(x: Column, i: Column) -> Column:
-        before = (i > 0) & (F.get(windows, i - 1)["h"] == x["h"])
-        after = (i + 1 < n) & (F.get(windows, i + 1)["h"] == x["h"])
-        return before | after
-
-    return F.sort_array(F.transform(F.filter(windows, twin), lambda x: x["i"]))
+def _repeat_positions(hashes: Column) -> Column:
+    """Positions from 1, in order, of the windows that occur twice or more; only texts that have any are sorted."""
+    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), (i + 1).alias("i"))))
+    beside = F.arrays_zip(placed.alias("x"), F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), placed).alias("before"), F.slice(placed, 2, F.size(placed)).alias("after"))
+    twin = F.filter(beside, lambda z: z["x"].isNotNull() & (z["x"]["h"].eqNullSafe(z["before"]["h"]) | z["x"]["h"].eqNullSafe(z["after"]["h"])))
+    repeats = F.sort_array(F.transform(twin, lambda z: z["x"]["i"]))
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), repeats).otherwise(F.array().cast("array<int>"))
 
 
 def _covered(positions: Column, width: int = 3) -> Column:
@@ -58,16 +55,17 @@ def _covered(positions: Column, width: int = 3) -> Column:
 
 
 def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed``.
+    """``docs`` without its text, with ``n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed``.
 
+    ``n_lines`` counts lines with a word.
     Null and empty texts have no words and fail the base rules. Columns of these names are replaced.
     """
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed"]
     base = docs.drop(*[c for c in names if c in docs.columns])
     whole = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(whole, SPACES), lambda w: w != "")
     lines = F.filter(F.split(whole, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
-    stage = base.withColumn("__words", words)
+    stage = base.withColumns({"__words": words, "__lines": lines})
     stage = stage.withColumn("__windows", _windows(F.col("__words")))
     stage = stage.withColumn("__at", _repeat_positions(F.col("__windows")))
     stage = stage.select(
@@ -75,7 +73,8 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("__words").cast("long").alias("n_words"),
         _length_without(whole, SPACE_CHARS).cast("long").alias("word_chars"),
         (F.length(whole) - _length_without(whole, SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        F.size("__lines").cast("long").alias("n_lines"),
+        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         _covered(F.col("__at")).alias("n_repeat_words"),
     )
     return stage.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
@@ -85,7 +84,8 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 RULES = {
     "base": "base_failed",
     "symbols": "10 * n_symbols > word_chars",
-    "lines": "n_dup_lines > 10 AND 2 * n_dup_lines > n_words",
+    "lines": "10 * n_dup_lines > 3 * n_lines",
+    "repeats": "100 * n_repeat_words > 20 * n_words",
 }
 
 
@@ -150,6 +150,7 @@ stats AS (
   SELECT d.doc_id, source, len(w) AS n_words,
          length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
          length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(l) AS n_lines,
          len(l) - len(list_distinct(l)) AS n_dup_lines,
          coalesce(c.n, 0) AS n_repeat_words
   FROM d LEFT JOIN covered c USING (doc_id)
@@ -159,10 +160,11 @@ rules AS (
   SELECT source, count(*) AS n,
          sum((base_failed)::INT) AS base,
          sum((10 * n_symbols > word_chars)::INT) AS symbols,
-         sum((n_dup_lines > 10 AND 2 * n_dup_lines > n_words)::INT) AS lines
+         sum((10 * n_dup_lines > 3 * n_lines)::INT) AS lines,
+         sum((100 * n_repeat_words > 20 * n_words)::INT) AS repeats
   FROM failed GROUP BY source
 ),
-long AS (UNPIVOT rules ON base, symbols, lines INTO NAME rule VALUE k),
+long AS (UNPIVOT rules ON base, symbols, lines, repeats INTO NAME rule VALUE k),
 prior AS (
   SELECT rule, sum(k) / sum(n)::DOUBLE AS m, greatest(sum(k * k / n::DOUBLE) / sum(n) - (sum(k) / sum(n)::DOUBLE) ** 2, 0) AS v
   FROM long GROUP BY rule

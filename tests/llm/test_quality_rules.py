@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from docloom.llm import quality_rules
 
 
@@ -35,5 +37,27 @@ def test_bad_hosts_are_rejected(spark):
     assert kept == {i for i, t, s in rows if s != "bad"}
 
 
+def test_each_rule_alone_rejects_a_host(spark):
+    """Hosts whose documents pass the base rules and fail one host rule each."""
+    own = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    again = "the same three words over again "
+    kinds = {
+        "good": lambda i: own(i, 80),
+        "symbols": lambda i: own(i, 80).replace("w", "#$"),
+        # Half of its lines repeat, one word each, so that no window of three words is found often.
+        "lines": lambda i: own(i, 300) + "\n" + "\n".join(f"{a}\n{own(i * 100 + k, 4)}" for k, a in enumerate(["x", "y", "z", "v"] * 4)),
+        "repeats": lambda i: own(i, 60) + " " + again * 4 + own(i + 1000, 10),
+    }
+    rows = [(n * 100 + i, make(i), name) for n, (name, make) in enumerate(kinds.items()) for i in range(60)]
+    rows += [(5000 + i, kinds["good"](i), f"h{i % 9}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    stats = quality_rules.text_statistics(docs).where("NOT base_failed")
+    fails = {r["source"]: [bool(r[n]) for n in quality_rules.RULES] for r in stats.groupBy("source").agg(*[F.expr(f"avg(int({rule})) > 0.5").alias(n) for n, rule in quality_rules.RULES.items()]).collect()}
+    for name in kinds:
+        assert fails[name] == [rule == name for rule in quality_rules.RULES]
+    kept = {r["source"] for r in quality_rules.apply_quality_rules(docs).where("kept").collect()}
+    assert kept == {"good"} | {f"h{i}" for i in range(9)}
+
+
 def test_empty(spark):
     assert quality_rules.apply_quality_rules(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
