@@ -111,7 +111,7 @@ SLOTS: dict[str, tuple[str, str, float]] = {
 
 _HAN = "一-龥"
 _DATE = r"[0-9]{4}[-年/\.][0-9]{1,2}[-月/\.]?[0-9]{0,2}"
-# Entity rules in order (type, before the value, value, after the value).
+# Entity rules in order, each published pattern cut at its group (type, before the value, value, after the value).
 ENTITY_RULES: list[tuple[str, str, str, str]] = [
     ("PERSON", r"(?:姓名|学生|申请人|联系人)[:：]?\s*", r"[^\s\n]{2,10}", ""),
     ("PERSON", r"姓名\s+", r"[^\s\n]{2,10}", ""),
@@ -168,3 +168,6 @@ ENTITY_RULES: list[tuple[str, str, str, str]] = [
     ("PARENT_NAME", r"(?:家长姓名及手机|家长姓名(?:及手机)?|家长姓名)[:：]?\s*", rf"[{_HAN}]{{2,6}}", ""),
     ("PARENT_PHONE", r"(?:家长姓名及手机|家长手机|家长电话|家长联系方式)[:：]?\s*[_ ]*", r"1[3-9]\d{9}", ""),
 ]
+
+#: Rules whose value is the rest of a line: what they take for a college, major or bank must be no label.
+LINE_VALUE_RULES = (8, 9, 13)

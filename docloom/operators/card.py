@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import scalars as S
@@ -13,12 +13,15 @@ LABELS = (
     "学制", "分院", "系所", "院系", "院系名称", "学院", "学校", "学校名称", "专业", "专业名称", "学习形式", "学习方式", "培养方式", "方向",
 )
 CODE_LABELS = ("验证码", "校验码", "验证号码", "核验码", "查询码", "验证代码")
+# What a card may say of education, study and nation, in order of precedence.
 EDUCATION_TYPES = ("普通高等教育", "成人高等教育", "网络教育", "开放教育", "高等职业教育")
 STUDY_MODES = ("普通全日制", "全日制", "非全日制", "业余", "函授", "开放教育", "网络教育")
 NATIONS = (
-    "汉族 回族 藏族 维吾尔族 蒙古族 壮族 苗族 彝族 土家族 满族 朝鲜族 白族 侗族 瑶族 傣族 黎族 哈尼族 哈萨克族 畲族 拉祜族 水族 东乡族 纳西族 景颇族 柯尔克孜族 土族 达斡尔族 仫佬族"
-    " 羌族 布朗族 撒拉族 毛南族 仡佬族 锡伯族 阿昌族 普米族 塔吉克族 怒族 乌孜别克族 俄罗斯族 鄂温克族 德昂族 保安族 裕固族 京族 塔塔尔族 独龙族 鄂伦春族 赫哲族 门巴族 珞巴族 基诺族"
-).split()
+    "汉族", "回族", "藏族", "维吾尔族", "蒙古族", "壮族", "苗族", "彝族", "土家族", "满族", "朝鲜族", "白族", "侗族", "瑶族",
+    "傣族", "黎族", "哈尼族", "哈萨克族", "畲族", "拉祜族", "水族", "东乡族", "纳西族", "景颇族", "柯尔克孜族", "土族", "达斡尔族", "仫佬族",
+    "羌族", "布朗族", "撒拉族", "毛南族", "仡佬族", "锡伯族", "阿昌族", "普米族", "塔吉克族", "怒族", "乌孜别克族", "俄罗斯族", "鄂温克族", "德昂族",
+    "保安族", "裕固族", "京族", "塔塔尔族", "独龙族", "鄂伦春族", "赫哲族", "门巴族", "珞巴族", "基诺族",
+)
 
 _ID, _NUMBER, _ORG, _WORD = r"(?U)\b(\d{17}[\dXx])\b", r"(?U)\b(\d{8,12})\b", r"([一-龥A-Za-z·]{2,40}(?:大学|学院))", "([一-龥A-Za-z·]{2,30})"
 _CLASS, _DATE, _YEARS = r"([A-Za-z一-龥]{1,10}[0-9]{1,4})", r"(?U)(\d{4}年\d{1,2}月\d{1,2}日)", r"(?U)(?<!\d)(\d{1,2}(?:\.\d+)?年)\b"
@@ -37,41 +40,53 @@ def _first(a: Column, keep=None) -> Column:
     return F.get(F.filter(a, keep) if keep else a, F.lit(0))
 
 
-def label_segments(docs: DataFrame) -> DataFrame:
-    """``(doc_id, label, ord, segment)``: the text from each label to the next label's start; empty ones are left out.
+def _label_hits(text: Column, label: str, number: int) -> Column:
+    """Where a label stands: ``(start, label_no, label)`` in order, from the lengths of the text's parts between."""
+    kinds = "array<struct<start:int,label_no:int,label:string>>"
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kinds).alias("hits"))
+
+    def step(state: Column, part: Column) -> Column:
+        start = state["at"] + F.length(part)
+        hit = F.struct(start.alias("start"), F.lit(number).alias("label_no"), F.lit(label).alias("label"))
+        return F.struct((start + len(label)).alias("at"), F.concat(state["hits"], F.array(hit)).alias("hits"))
+
+    # The last part has no label behind it.
+    return F.aggregate(F.split(text, label, -1), begin, step, lambda s: F.slice(s["hits"], 1, F.size(s["hits"]) - 1))
 
-    The next hit's start comes from a window over the document's label hits.
+
+def with_segments(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``segments``, an array of ``(label, ord, segment)``: the text from each label to the next label's start.
+
+    Labels inside longer labels count too; empty segments are left out. One narrow pass.
     """
-    hits = None
-    for k, label in enumerate((*LABELS, *CODE_LABELS)):
-        before = F.transform(F.split("text", label, -1), lambda p: F.length(p))
-        rows = docs.where(F.col("text").contains(label)).select("doc_id", F.lit(label).alias("label"), F.lit(k).alias("label_no"), F.posexplode(before).alias("n", "size"), F.size(before).alias("of"))
-        run = Window.partitionBy("doc_id", "label_no").orderBy("n")
-        rows = rows.withColumn("start", F.sum("size").over(run) + F.col("n") * len(label)).where(F.col("n") < F.col("of") - 1)
-        rows = rows.select("doc_id", "label", "label_no", F.col("start").cast("int").alias("start"), (F.col("start") + len(label)).cast("int").alias("end"))
-        hits = rows if hits is None else hits.unionAll(rows)
-    after = Window.partitionBy("doc_id").orderBy("start", "label_no")
-    hits = hits.withColumn("next", F.lead("start").over(after)).withColumn("ord", F.row_number().over(after))
-    joined = hits.join(docs.select("doc_id", "text"), "doc_id")
-    size = F.coalesce("next", F.length("text")) - F.col("end")
-    cut = S.trimmed(F.when(size > 0, F.substr(F.col("text"), F.col("end") + 1, size)).otherwise(""))
-    return joined.select("doc_id", "label", "ord", cut.alias("segment")).where("segment <> ''")
-
-
-def student_card(docs: DataFrame, entities: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+    hits = F.concat(*[F.when(F.col("text").contains(x), _label_hits(F.col("text"), x, k)).otherwise(F.array().cast("array<struct<start:int,label_no:int,label:string>>")) for k, x in enumerate((*LABELS, *CODE_LABELS))])
+    rows = docs.withColumn("__hits", F.array_sort(hits))
+    text = F.col("text")
+
+    def cut(z: Column, k: Column) -> Column:
+        end = z["hit"]["start"] + F.length(z["hit"]["label"])
+        size = F.coalesce(z["after"]["start"], F.length(text)) - end
+        segment = S.trimmed(F.when(size > 0, F.substr(text, end + 1, size)).otherwise(""))
+        return F.struct(z["hit"]["label"].alias("label"), (k + 1).alias("ord"), segment.alias("segment"))
+
+    pairs = F.arrays_zip(F.col("__hits").alias("hit"), F.slice("__hits", 2, F.size("__hits")).alias("after"))
+    return rows.withColumn("segments", F.filter(F.transform(pairs, cut), lambda s: s["segment"] != "")).drop("__hits")
+
+
+def label_segments(docs: DataFrame) -> DataFrame:
+    """``(doc_id, label, ord, segment)``, one row a segment; see :func:`with_segments`."""
+    return with_segments(docs).select("doc_id", F.inline("segments"))
+
+
+def student_card(docs: DataFrame, entities: DataFrame) -> DataFrame:
     """One flat record a document: each slot is a chain of places, the first that holds a sound value wins."""
-    segments = label_segments(docs) if segments is None else segments
-    ordered = lambda v: F.transform(F.array_sort(F.collect_list(F.struct("ord", v))), lambda x: x[v])
-    by_label = segments.groupBy("doc_id", "label").agg(ordered("segment").alias("s"))
-    labelled = by_label.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "s"))).alias("seg"))
     kinds = entities.where(F.col("type").isin("ID_NUMBER", "VERIFY_CODE", "STUDENT_ID", "DATE", "PERSON", "ORG"))
     seen = kinds.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rule", "ord", "type", "text"))).alias("ents"))
-    rows = docs.select("doc_id", "text").join(labelled, "doc_id", "left").join(seen, "doc_id", "left")
+    rows = with_segments(docs.select("doc_id", "text")).join(seen, "doc_id", "left")
     t = F.col("text")
-    none = F.array().cast("array<string>")
 
     def at(*labels: str) -> Column:
-        return F.concat(*[F.coalesce(F.try_element_at("seg", F.lit(x)), none) for x in labels])
+        return F.concat(*[F.transform(F.filter("segments", lambda s: s["label"] == x), lambda s: s["segment"]) for x in labels])
 
     def ent(*types: str) -> Column:
         return F.transform(F.filter(F.coalesce("ents", F.array().cast("array<struct<rule:int,ord:int,type:string,text:string>>")), lambda e: e["type"].isin(*types)), lambda e: S.trimmed(e["text"]))

@@ -13,53 +13,58 @@ from docloom.operators.lines import lines_of
 _OPEN, _CLOSE = "\x01", "\x02"
 
 
-def _spliced(text: Column, before: str, value: str, after: str) -> Column:
-    """The text cut before every match's value; in each later part the value ends at ``_CLOSE``."""
+#: Types whose values must be no label, and what such a value may not hold.
+_NO_LABEL = {"MAJOR_NAME": "贷款", "LOAN_BANK_NAME": "学院", "COLLEGE_NAME": None}
+
+
+def _accepted(kind: str, line_value: bool):
+    """What a match's value must be to count, by type; None: anything goes."""
+    if kind == "PERSON":
+        return lambda value: ~value.rlike(r"(?U)\d")
+    if kind in _NO_LABEL and line_value:
+
+        def named(value: Column) -> Column:
+            line, word = S.trimmed(value), _NO_LABEL[kind]
+            good = (line != "") & ~is_label_like(line)
+            return good & ~line.contains(word) if word else good
+
+        return named
+    return None
+
+
+def _hits(text: Column, rule: int, kind: str, before: str, value: str, after: str, line_value: bool) -> Column:
+    """One rule's matches as an array of ``(rule, ord, type, text, start)``.
+
+    Matches are spliced into the text as marks and the text is cut there; folding over the parts adds their lengths up to the
+    matches' places.
+    """
     marked = F.regexp_replace(text, f"(?U)({before})({value})({after})", f"$1{_OPEN}$2{_CLOSE}$3")
-    return F.split(marked, _OPEN, -1)
-
-
-def _accepted(kind: Column, value: Column) -> Column:
-    person = ~value.rlike(r"(?U)\d")
-    line = S.trimmed(value)
-    named = (line != "") & ~is_label_like(line)
-    return (
-        F.when((kind == "PERSON"), person)
-        .when(F.col("guarded") & (kind == "MAJOR_NAME"), named & ~line.contains("贷款"))
-        .when(F.col("guarded") & (kind == "LOAN_BANK_NAME"), named & ~line.contains("学院"))
-        .when(F.col("guarded") & (kind == "COLLEGE_NAME"), named)
-        .otherwise(F.lit(True))
-    )
+    kinds = "array<struct<rule:int,ord:int,type:string,text:string,start:int>>"
+    begin = F.struct(F.lit(-1).alias("at"), F.array().cast(kinds).alias("hits"))
+
+    def step(state: Column, part: Column) -> Column:
+        hit = F.struct(F.lit(rule).alias("rule"), (F.size(state["hits"]) + 1).alias("ord"), F.lit(kind).alias("type"), F.substring_index(part, _CLOSE, 1).alias("text"), state["at"].alias("start"))
+        first = state["at"] < 0
+        at = F.when(first, F.length(part)).otherwise(state["at"] + F.length(part) - 1)
+        return F.struct(at.alias("at"), F.when(first, state["hits"]).otherwise(F.concat(state["hits"], F.array(hit))).alias("hits"))
+
+    found = F.aggregate(F.split(marked, _OPEN, -1), begin, step, lambda state: state["hits"])
+    keep = _accepted(kind, line_value)
+    return F.filter(found, lambda h: keep(h["text"])) if keep else found
 
 
 def extract_entities(docs: DataFrame, types: list[str] | None = None) -> DataFrame:
     """``(doc_id, rule, ord, type, text, start, end)``: every match of every rule, spans in code points.
 
-    A rule's matches are spliced into the text as marks, the text is split there, and a running sum
-    of the parts' lengths by document and rule gives the spans. ``types`` keeps the rules wanted.
+    One narrow pass, without a shuffle: a rule's matches are placed inside the row, and only they leave it. ``types``
+    keeps the rules wanted. A null text has no matches.
     """
     clean = F.translate("text", _OPEN + _CLOSE, "")
     rules = [(k, r) for k, r in enumerate(packs.ENTITY_RULES) if types is None or r[0] in types]
     found = docs.select("doc_id", clean.alias("__t"))
-    parts = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("rule"),
-                F.lit(kind).alias("type"),
-                F.lit("\\r" in value).alias("guarded"),
-                F.when(F.col("__t").rlike(f"(?U){before}{value}{after}"), _spliced(F.col("__t"), before, value, after)).alias("parts"),
-            )
-            for k, (kind, before, value, after) in rules
-        ]
-    )
-    hits = found.select("doc_id", F.explode(parts).alias("r")).where("r.parts IS NOT NULL")
-    hits = hits.select("doc_id", "r.rule", "r.type", "r.guarded", F.posexplode("r.parts").alias("ord", "part"))
-    value = F.substring_index("part", _CLOSE, 1)
-    size = F.length("part") - F.when(F.col("ord") > 0, 1).otherwise(0)
-    before = Window.partitionBy("doc_id", "rule").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    placed = hits.withColumn("start", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("int")).where("ord > 0")
-    placed = placed.withColumn("text", value).where(_accepted(F.col("type"), F.col("text")))
-    return placed.select("doc_id", "rule", "ord", "type", "text", "start", (F.col("start") + F.length("text")).alias("end"))
+    every = F.flatten(F.array(*[_hits(F.col("__t"), k, *rule, k in packs.LINE_VALUE_RULES) for k, rule in rules]))
+    rows = found.select("doc_id", F.inline(every))
+    return rows.select("doc_id", "rule", "ord", "type", "text", "start", (F.col("start") + F.length("text")).alias("end"))
 
 
 def with_context(entities: DataFrame, docs: DataFrame, width: int = 10) -> DataFrame:
@@ -123,8 +128,10 @@ def clean_entities(entities: DataFrame) -> DataFrame:
 def entity_slots(entities: DataFrame) -> DataFrame:
     """``(doc_id, field_name, field_type, field_value, confidence)``: the first good entity of each slot's type."""
     slots = entities.sparkSession.createDataFrame([(k, *v) for k, v in packs.SLOTS.items()], "type string, field_name string, field_type string, confidence double")
-    good = entities.withColumn("v", clean_kv_value(F.col("text"))).where(F.col("v").isNotNull() & ~is_bad_value(F.col("v")))
-    first = good.where(F.col("type").isin(*packs.SLOTS)).groupBy("doc_id", "type").agg(F.min_by("v", F.struct("rule", "ord")).alias("v"))
+    # Cleaned once, behind a generator: as a plain column the cleaner would be copied into every test of the filter.
+    sound = F.filter(F.transform(F.array("text"), clean_kv_value), lambda v: v.isNotNull() & ~is_bad_value(v))
+    good = entities.where(F.col("type").isin(*packs.SLOTS)).select("doc_id", "type", "rule", "ord", F.explode(sound).alias("v"))
+    first = good.groupBy("doc_id", "type").agg(F.min_by("v", F.struct("rule", "ord")).alias("v"))
     joined = first.join(F.broadcast(slots), "type")
     value = (
         F.when(F.col("field_type") == "DATE", F.coalesce(S.normalize_date(F.col("v")), F.col("v")))

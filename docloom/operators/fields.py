@@ -5,12 +5,15 @@ from __future__ import annotations
 import re
 import warnings
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions import packs
 from docloom.functions import scalars as S
 from docloom.functions.predicates import clean_kv_value
 
+ENTITY_TYPES = {kind for kind, *_ in packs.ENTITY_RULES}
+
 # Fields expected of each document type (name, type, description).
 EXPECTED: dict[str, list[tuple[str, str, str]]] = {
     "成绩单": [("semester", "TEXT", "学年/学期"), ("course_name", "TEXT", "课程名称"), ("credit", "NUMBER", "学分"), ("score", "NUMBER", "成绩"), ("gpa", "NUMBER", "平均绩点"), ("stat_date", "DATE", "统计时间")],
@@ -183,13 +186,16 @@ PROOF_FIELDS = (
 )
 
 
+def _proof(text: Column, kind: str, patterns: tuple[str, ...]) -> Column:
+    value = F.coalesce(*[S.found(text, f"(?iU){p}") for p in patterns])
+    return F.coalesce(S.normalize_date(value), value) if kind == "DATE" else clean_kv_value(value)
+
+
 def proof_fields(docs: DataFrame) -> DataFrame:
     """``(doc_id, field_ord, field_name, field_type, field_value, confidence)``: twelve fields of proofs of study, dates in normal form."""
-    t = F.col("text")
     made = []
     for k, (name, kind, confidence, patterns) in enumerate(PROOF_FIELDS):
-        value = F.coalesce(*[S.found(t, f"(?iU){p}") for p in patterns])
-        value = F.coalesce(S.normalize_date(value), value) if kind == "DATE" else clean_kv_value(value)
+        value = _proof(F.col("text"), kind, patterns)
         made.append(F.struct(F.lit(k).alias("field_ord"), F.lit(name).alias("field_name"), F.lit(kind).alias("field_type"), value.alias("field_value"), F.lit(confidence).alias("confidence")))
     return docs.select("doc_id", F.inline(F.array(*made)))
 
@@ -279,37 +285,95 @@ def loose_fields(docs: DataFrame, expected: DataFrame, samples: DataFrame) -> Da
     return rows.select("doc_id", "field_ord", "field_name", F.col("b.v").alias("field_value"), F.coalesce("b.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("b.s", F.lit("")).alias("source_text"), F.coalesce("b.why", F.lit("未匹配到明确来源")).alias("reasoning"))
 
 
-# Candidate fields when no template is given (name, type, keywords).
+# Candidate fields when no template is given (name, type, keywords in order).
 INFERRED = (
-    ("name", "PERSON", "姓名|学生姓名|申请人"), ("student_id", "STUDENT_ID", "学号|学籍号"), ("id_number", "ID_NUMBER", "身份证号码|身份证号|证件号码"),
-    ("class", "CLASS", "班级"), ("major", "TEXT", "专业名称|专业"), ("college", "ORG", "学院|院系|系所"), ("school_name", "ORG", "学校名称|学校"),
-    ("phone", "PHONE", "手机号|联系电话|电话"), ("date", "DATE", "日期|时间"), ("issuer", "ORG", "发证单位|签发单位|出具单位"), ("certificate_id", "CERT_ID", "证书编号|编号"), ("address", "ADDRESS", "家庭住址|地址"),
-)
+    ("name", "PERSON", ("姓名", "学生", "申请人", "联系人")),
+    ("id_number", "ID_NUMBER", ("身份证", "证件号码", "身份证号", "证号")),
+    ("student_id", "STUDENT_ID", ("学号", "学生编号", "学籍号")),
+    ("address", "ADDRESS", ("家庭住址", "住址", "地址")),
+    ("issuer", "ORG", ("发证单位", "发证机关", "盖章单位")),
+    ("admission_school", "ORG", ("录取学校", "录取院校", "录取单位")),
+    ("date", "DATE", ("日期", "时间", "填表日期")),
+    ("reason", "TEXT", ("原因", "说明", "事由", "申请事项")),
+    ("certificate_id", "CERT_ID", ("证件编号", "编号", "证号")),
+    ("class", "CLASS", ("班级", "班级名称")),
+    ("contact", "PERSON", ("联系人", "家长")),
+    ("phone", "PHONE", ("电话", "联系方式", "手机号")),
+)
+# What a type looks like where neither keyword nor entity tells (pattern, confidence).
+INFERRED_BY_SHAPE = {
+    "ID_NUMBER": (r"\b(\d{17}[\dXx])\b", 0.9),
+    "CERT_ID": (r"(?:证件编号|编号|证号)[:：]?\s*([A-Za-z0-9\-]{4,30})", 0.85),
+    "CLASS": (r"(?:班级|班)[:：]?\s*([A-Za-z0-9一-龥\-]{2,20})", 0.8),
+}
+
+
+def _placed(text: Column, pattern: str, confidence: float, width: int) -> Column:
+    """``struct(value, confidence, source_position)`` of a pattern's group 1, which ends the match, null without one."""
+    whole, value = F.regexp_extract(text, pattern, 0), F.regexp_extract(text, pattern, 1)
+    end = F.regexp_instr(text, F.lit(pattern)) - 1 + F.length(whole)
+    start = end - F.length(value)
+    at = F.greatest(start - width, F.lit(0))
+    place = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.substr(text, at + 1, end + width - at).alias("context"))
+    return F.when(text.rlike(pattern), F.struct(S.trimmed(value).alias("value"), F.lit(confidence).alias("confidence"), place.alias("source_position")))
+
+
+def keyword_pattern(keyword: str) -> str:
+    """A keyword and the rest of its line; the value must hold more than white space."""
+    return rf"(?iU){keyword}[:：]?\s*(\S[^\n\r]*)"
 
 
 def infer_fields(docs: DataFrame, entities: DataFrame) -> DataFrame:
-    """Twelve usual fields without a template: the rest of a keyword's line (0.9), else the first entity of the type (0.8); proofs override."""
-    t = F.col("text")
-    made = [
-        F.struct(F.lit(k).alias("field_ord"), F.lit(n).alias("field_name"), F.lit(kind).alias("field_type"), S.trimmed(S.found(t, rf"(?U)(?:{words})[:：]?[ \t]*([^\n\r]{{1,60}})")).alias("v"))
-        for k, (n, kind, words) in enumerate(INFERRED)
-    ]
-    rows = docs.select("doc_id", F.inline(F.array(*made)))
-    first = entities.groupBy("doc_id", F.col("type").alias("field_type")).agg(F.min_by("text", F.struct("rule", "ord")).alias("e"))
-    rows = rows.join(first, ["doc_id", "field_type"], "left")
-    proofs = proof_fields(docs).where("field_value IS NOT NULL").select("doc_id", "field_name", F.col("field_value").alias("p"), F.col("confidence").alias("pc"))
-    rows = rows.join(proofs, ["doc_id", "field_name"], "left")
-    v = clean_kv_value(F.col("v"))
+    """``(doc_id, field_ord, field_name, field_type, field_value, confidence, source_position)`` without a template.
+
+    Twelve candidates: the rest of a keyword's line (0.9), else the document's first entity of the type (0.8), else the type's shape.
+    What :func:`proof_fields` finds under a candidate's name overrides value and confidence; its other fields follow.
+    """
+    t, seen = F.col("text"), F.col("__first")
+    kinds = [k for k in dict.fromkeys(kind for _, kind, _ in INFERRED) if k in ENTITY_TYPES]
+    one = F.struct(F.col("text").alias("value"), F.lit(0.8).alias("confidence"), F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.lit(None).cast("string").alias("context")).alias("source_position"))
+    order = F.struct("rule", "ord")
+    first = entities.where(F.col("type").isin(*kinds)).groupBy("doc_id").agg(
+        F.struct(*[F.min_by(F.when(F.col("type") == k, one), F.when(F.col("type") == k, order)).alias(k) for k in kinds]).alias("__first")
+    )
+    proofs = {name: (kind, confidence, _proof(t, kind, patterns)) for name, kind, confidence, patterns in PROOF_FIELDS}
+    no_place = F.lit(None).cast(_NO_POSITION)
+    made = []
+    for k, (name, kind, words) in enumerate(INFERRED):
+        tries = [_placed(t, keyword_pattern(w), 0.9, 15) for w in words]
+        tries += [seen[kind]] if kind in kinds else []
+        if kind in INFERRED_BY_SHAPE:
+            pattern, confidence = INFERRED_BY_SHAPE[kind]
+            tries.append(_placed(t, f"(?U){pattern}", confidence, 10))
+        proof, sure = (proofs[name][2], proofs[name][1]) if name in proofs else (F.lit(None).cast("string"), 0.0)
+        made.append(F.struct(F.lit(k).alias("field_ord"), F.lit(name).alias("field_name"), F.lit(kind).alias("field_type"), F.coalesce(*tries).alias("hit"), proof.alias("proof"), F.lit(sure).alias("sure")))
+    names = {name for name, _, _ in INFERRED}
+    empty = F.lit(None).cast(f"struct<value:string,confidence:double,source_position:{_NO_POSITION}>")
+    for name, (kind, confidence, value) in proofs.items():
+        if name not in names:
+            made.append(F.struct(F.lit(len(made)).alias("field_ord"), F.lit(name).alias("field_name"), F.lit(kind).alias("field_type"), empty.alias("hit"), value.alias("proof"), F.lit(confidence).alias("sure")))
+    # Inlined in two steps, so that each value is made once.
+    rows = docs.select("doc_id", "text").join(first, "doc_id", "left").select("doc_id", F.inline(F.array(*made)))
+    appended = ~F.col("field_name").isin(*names)
     return rows.select(
         "doc_id",
         "field_ord",
         "field_name",
         "field_type",
-        F.coalesce("p", v, "e").alias("field_value"),
-        F.when(F.col("p").isNotNull(), F.col("pc")).when(v.isNotNull(), 0.9).when(F.col("e").isNotNull(), 0.8).otherwise(0.0).alias("confidence"),
+        F.coalesce("proof", "hit.value").alias("field_value"),
+        F.when(F.col("proof").isNotNull() | appended, F.col("sure")).otherwise(F.coalesce("hit.confidence", F.lit(0.0))).alias("confidence"),
+        F.coalesce("hit.source_position", no_place).alias("source_position"),
     )
 
 
+def inferred_template() -> dict:
+    """The template that :func:`infer_fields` stands for, to be used again."""
+    fields = [{"name": n, "type": kind, "required": False, "patterns": [rf"{w}[:：]?\s*([^\n\r]+)" for w in words], "description": f"自动推断字段: {n}"} for n, kind, words in INFERRED]
+    known = {n for n, _, _ in INFERRED}
+    fields += [{"name": n, "type": kind, "required": False, "patterns": [], "description": f"自动推断字段: {n}"} for n, kind, _, _ in PROOF_FIELDS if n not in known]
+    return {"template_id": "auto-generated-from-doc", "fields": fields}
+
+
 def infer_roster_fields(rows: DataFrame, majority: DataFrame) -> DataFrame:
     """Class, name and gender of a roster's first member (0.85), the class by majority (0.9) where there is one."""
     first = rows.groupBy("doc_id").agg(F.min_by(F.struct("class", "name", "gender"), "ord").alias("r")).join(majority.withColumnRenamed("class", "m"), "doc_id", "left")
@@ -321,9 +385,3 @@ def infer_roster_fields(rows: DataFrame, majority: DataFrame) -> DataFrame:
         ],
     )
     return first.select("doc_id", F.inline(made))
-
-
-def latest(fields: DataFrame) -> DataFrame:
-    """The last detail of each name in a document."""
-    last = Window.partitionBy("doc_id", "field_name").orderBy(F.desc("field_ord"))
-    return fields.withColumn("__r", F.row_number().over(last)).where("__r = 1").drop("__r")

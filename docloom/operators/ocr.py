@@ -101,8 +101,3 @@ def fallback_text(docs: DataFrame, boxes: DataFrame, tables: DataFrame) -> DataF
     out = docs.join(joined, "doc_id", "left")
     text = F.coalesce(F.nullif("text", F.lit("")), F.nullif("table_plain", F.lit("")), F.nullif("pieces", F.lit("")))
     return out.select("doc_id", text.alias("text"), text.isNull().alias("rejected"))
-
-
-def first_rows(rows: DataFrame, n: int, order: str) -> DataFrame:
-    """The first ``n`` rows of each document."""
-    return rows.withColumn("__r", F.row_number().over(Window.partitionBy("doc_id").orderBy(order))).where(F.col("__r") <= n).drop("__r")

@@ -97,10 +97,13 @@ def courses_from_lines(docs: DataFrame) -> DataFrame:
     sections = split_text_sections(docs).select("doc_id", F.coalesce(F.nullif("table_text", F.lit("")), F.concat_ws("\n", "body_text")).alias("t"))
     rows = sections.select("doc_id", F.posexplode(lines_of(F.col("t"))).alias("line_no", "line"))
     even = S.trimmed(F.regexp_replace(F.regexp_replace("line", "[|]+", " "), r"(?U)\s{2,}", " "))
-    rows = rows.select("doc_id", "line_no", F.split(even, " ").alias("p")).where((F.size("p") >= 6) & F.get("p", F.lit(0)).rlike(r"20[0-9]{2}\s*[-/]\s*20[0-9]{2}\s*[-]?\s*[12一二]"))
-    rows = rows.withColumn("s", S.parse_semester(F.get("p", F.lit(0)))).withColumn("v", F.transform("p", S.first_number))
+    semester = r"20[0-9]{2}[-/]20[0-9]{2}[-]?[12一二]"
+    # Generators keep the columns and their numbers: as plain columns they would be made again in every test of the filter below.
+    made = F.transform(F.array(F.split(even, " ")), lambda p: F.struct(p.alias("p"), F.transform(p, S.first_number).alias("v")))
+    fits = F.filter(made, lambda x: (F.size(x["p"]) >= 6) & F.get(x["p"], F.lit(0)).rlike(semester))
+    rows = rows.where(F.col("line").rlike(semester)).select("doc_id", "line_no", F.inline(fits))
     spot = F.filter(F.sequence(F.lit(3), F.least(F.size("p"), F.lit(10)) - 1), lambda i: (F.get("v", i) > 0) & (F.get("v", i) <= 20))
-    rows = rows.withColumn("at", F.get(spot, F.lit(0))).where("at > 3")
+    rows = rows.select("doc_id", "line_no", "p", "v", F.explode(F.slice(spot, 1, 1)).alias("at")).where("at > 3").withColumn("s", S.parse_semester(F.get("p", F.lit(0))))
     later = F.filter(F.sequence(F.col("at") + 2, F.greatest(F.least(F.size("p"), F.col("at") + 6) - 1, F.col("at") + 2)), lambda i: (F.get("v", i) >= 0) & (F.get("v", i) <= 5))
     name = F.array_join(F.slice("p", F.lit(4), F.greatest(F.col("at") - 3, F.lit(0))), " ")
     out = rows.select(

@@ -16,9 +16,9 @@ select o_orderkey as doc_id,
 from orders join customer on o_custkey = c_custkey
 """
 _ROSTER = f"""
-select cast(c_nationkey as bigint) as doc_id, concat('班级成员表', {{nl}}, '序号 班级 姓名 性别', {{nl}}, {{agg}}) as text
-from (select c_nationkey, c_custkey, concat(cast(c_custkey % 1000 as varchar(20)), ' 软升', lpad(cast(c_nationkey as varchar(20)), 3, '0'), ' ', {_NAME}, ' ', {_GENDER}) as ln from customer) r
-group by c_nationkey
+select cast(c_nationkey + 25 * block as bigint) as doc_id, concat('班级成员表', {{nl}}, '序号 班级 姓名 性别', {{nl}}, {{agg}}) as text
+from (select c_nationkey, cast(floor(c_custkey / 1250) as bigint) as block, c_custkey, concat(cast(c_custkey % 1000 as varchar(20)), ' 软升', lpad(cast(c_nationkey as varchar(20)), 3, '0'), ' ', {_NAME}, ' ', {_GENDER}) as ln from customer) r
+group by c_nationkey, block
 """
 _TRANSCRIPT = """
 select l_orderkey as doc_id, concat('成绩单', {nl}, {agg}) as text
@@ -29,6 +29,20 @@ from (select l_orderkey, l_linenumber,
       from lineitem) r
 group by l_orderkey
 """
+_CARD = """
+select c_custkey as doc_id,
+       concat('姓名 周宇清 性别 ', case when c_custkey % 2 = 0 then '男' else '女' end, ' 软件工程丨普通全日制 学号 ', cast(242040000 + c_custkey as varchar(20)),
+              ' 民族 汉族 学制 ', cast(2 + c_custkey % 3 as varchar(20)), '年 系所 计算机学院 班级 软升', lpad(cast(c_nationkey as varchar(20)), 3, '2'),
+              ' 学历类别 普通高等教育 入学日期 2024年9月', cast(1 + c_custkey % 28 as varchar(20)), '日 学校名称 马鞍山大学 验证码 ', lpad(cast(c_custkey as varchar(20)), 8, '9')) as text
+from customer
+"""
+_LOAN = """
+select o_orderkey as doc_id,
+       concat('生源地助学贷款回执', {nl}, '学生姓名 王小明', {nl}, '贷款合同编号 ', lpad(cast(o_orderkey as varchar(20)), 12, '7'), {nl},
+              '用款期限 ', cast(6 + o_custkey % 90 as varchar(20)), '（月）', {nl}, '本次用款金额 ', cast(cast(floor(o_totalprice) as bigint) as varchar(20)), '.5（元）', {nl},
+              '开户行 安徽农村商业银行官庄支行', {nl}, '回执验证码为：', lpad(cast(o_custkey as varchar(20)), 6, '1'), {nl}, {day}) as text
+from orders
+"""
 _TABLES = """
 select l_orderkey as doc_id, 0 as table_no, concat('<table>', {agg}, '</table>') as html
 from (select l_orderkey, l_linenumber,
@@ -39,6 +53,8 @@ group by l_orderkey
 _PARTS = {
     "leave_forms": (_LEAVE, ("orders", "customer"), "", ""),
     "rosters": (_ROSTER, ("customer",), "c_custkey", "\n"),
+    "cards": (_CARD, ("customer",), "c_custkey", ""),
+    "loans": (_LOAN, ("orders",), "o_orderkey", ""),
     "transcripts": (_TRANSCRIPT, ("lineitem",), "l_linenumber", "\n"),
     "html_tables": (_TABLES, ("lineitem",), "l_linenumber", ""),
 }

@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 from docloom.functions import packs
+from docloom.functions.predicates import HEADERS
+from docloom.operators import card
+from docloom.operators.fields import EXPECTED, EXPECTED_OTHERWISE, INFERRED, LOAN_FIELDS, PROOF_FIELDS
+from docloom.operators.lines import NOISE
+from docloom.operators.shape import ALIASES, FLAT_NAMES
 from docloom.plans.fixtures import oracle as fixture
 
 
@@ -89,7 +94,7 @@ FROM (SELECT url || ['.jpg', '.PDF', '.exe', ''][page_id % 4 + 1] AS path, page_
     "a10_success_envelope": """SELECT doc_id, '{"code":200,"message":"success","data":{"key":"' || md5(substr(text, 1, 2000)) || '"}}' AS value FROM documents""",
     "b1_boxes_to_bbox": "SELECT l_orderkey, trunc(min(l_linenumber * 10.5))::INT AS x0, trunc(min(l_quantity))::INT AS y0, trunc(max(l_linenumber * 10.5))::INT AS x1, trunc(max(l_quantity))::INT AS y1 FROM lineitem GROUP BY 1",
     "b2_assemble_text": f"SELECT doc_id, md5(text) AS text_md5, confidence, total_boxes FROM ({_OCR})",
-    "b3_merge_tiles": """SELECT doc_id, tile, lo, hi, vertical FROM (
+    "b3_tile_windows": """SELECT doc_id, tile, lo, hi, vertical FROM (
 SELECT doc_id, tile, greatest(tile * step - pad, 0)::BIGINT AS lo, (CASE WHEN tile = 2 THEN side ELSE least((tile + 1) * step + pad, side) END)::BIGINT AS hi, height >= 2000 AS vertical
 FROM (SELECT o_orderkey AS doc_id, floor(o_totalprice)::BIGINT AS height, greatest(floor(o_totalprice)::BIGINT, 2000) AS side, greatest(floor(o_totalprice)::BIGINT, 2000) // 3 AS step,
              floor((greatest(floor(o_totalprice)::BIGINT, 2000) // 3) * 0.05::DOUBLE)::BIGINT AS pad, unnest([0, 1, 2]) AS tile FROM orders)) WHERE hi - lo >= 16""",
@@ -102,13 +107,11 @@ SELECT doc_id, count(*) AS n, count(*) FILTER (regexp_matches(line, '日期|时
     "c5_split_text_sections": f"""SELECT doc_id, md5(coalesce(b, '')) AS body_md5, md5(coalesce(t, '')) AS table_md5 FROM documents LEFT JOIN (
 SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT x) AS b, string_agg(line, chr(10) ORDER BY line_no) FILTER (x) AS t
 FROM (SELECT *, {_DIGITS} >= 0.35 OR {_SEPS} >= 3 OR regexp_matches(line, '学分|绩点|成绩|课程') AS x FROM ({_LINES})) GROUP BY doc_id) USING (doc_id)""",
-    "c11_template_from_expected": f"""SELECT doc_id, 'auto-' || document_type AS template_id, CASE document_type WHEN '请假条' THEN 7 WHEN '班级成员表' THEN 3 WHEN '成绩单' THEN 6 ELSE 5 END AS n_fields FROM ({_free(_FORMS)})""",
     "d1_html_table_to_grid": f"SELECT doc_id, row, array_to_string(cells, '|') AS cells FROM ({_GRID})",
     "d2_plain_table_to_grid": f"SELECT doc_id, line_no - 1 AS row, array_to_string([semester, course_code, course_seq, name, kind, q, score, gpa], '|') AS cells FROM ({_COURSES})",
     "d3_transcript_from_grid": f"SELECT doc_id, row, CASE WHEN regexp_matches(cells[1], '[0-9]{{4}}') THEN cells[1] END AS semester, cells[2] AS course_name, cells[1] AS credit, CASE WHEN length(cells[2]) <= 3 THEN cells[2] ELSE cells[3] END AS score, NULL::VARCHAR AS grade FROM ({_GRID})",
     "d5_courses_from_lines": f"SELECT * FROM ({_COURSE_ROWS})",
     "d7_clean_courses": f"SELECT doc_id, count(*) AS n, sum(credit) AS credits FROM ({_COURSE_ROWS}) GROUP BY doc_id",
-    "d8_noisy_courses": f"SELECT doc_id, count(*) AS n, 0 AS bad, false AS noisy FROM ({_COURSE_ROWS}) GROUP BY doc_id",
     "d11_roster_rows": f"SELECT doc_id, number, class, name, gender FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, class, name, gender ORDER BY pos) AS r FROM ({_MEMBERS})) WHERE r = 1",
     "d12_roster_sample": f"SELECT doc_id, class, name, gender FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM ({_MEMBERS})) WHERE r = 1",
     "d13_roster_class": f"SELECT DISTINCT doc_id, class FROM ({_MEMBERS})",
@@ -128,28 +131,18 @@ UNION ALL SELECT doc_id, 'reason', '论文调研', 0.9, true FROM ({_LEAVE_PARTS
     "f6_infer_roster_fields": f"""WITH s AS (SELECT doc_id, class, name, gender FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY number, pos) AS r FROM ({_MEMBERS})) WHERE r = 1)
 SELECT doc_id, 0 AS field_ord, 'class' AS field_name, 'CLASS' AS field_type, class AS field_value, 0.9 AS confidence FROM s
 UNION ALL SELECT doc_id, 1, 'name', 'PERSON', name, 0.85 FROM s UNION ALL SELECT doc_id, 2, 'gender', 'TEXT', gender, 0.85 FROM s""",
-    "f7_proof_fields": f"SELECT doc_id, 'name' AS field_name, name AS field_value, 0.95 AS confidence FROM ({_LEAVE_PARTS}) UNION ALL SELECT doc_id, 'student_id', sid, 0.9 FROM ({_LEAVE_PARTS})",
     "g1_classify_free": _free(_FORMS),
     "g3_keyword_rules": f"WITH f AS ({_FORMS}) SELECT doc_id, doc_type, round(max(score)::DOUBLE, 6) AS score FROM ({_KEYWORD}) GROUP BY doc_id, doc_type",
     "g7_primary_type": f"SELECT doc_id, document_type AS doc_type, CASE {_PRIMARY} ELSE 'other' END AS primary_type FROM ({_free(_FORMS)})",
-    "g9_merge_classification": f"""SELECT doc_id, CASE WHEN w THEN '通知' ELSE document_type END AS document_type, CASE WHEN w THEN c ELSE confidence END AS confidence
-FROM (SELECT *, (doc_id % 100) / 100.0::DOUBLE AS c, doc_id % 3 = 0 AND (doc_id % 100) / 100.0::DOUBLE >= confidence AS w FROM ({_free(_FORMS)}))""",
-    "h2_fix_fields": f"SELECT doc_id, 'name' AS field_name, name AS field_value, 0.95 AS confidence FROM ({_LEAVE_PARTS}) UNION ALL SELECT doc_id, 'student_id', sid, 0.9 FROM ({_LEAVE_PARTS})",
-    "h4_flatten_fields": f"SELECT doc_id, name, sid AS student_id, NULL::VARCHAR AS class, NULL::VARCHAR AS college, NULL::VARCHAR AS loan_amount, NULL::VARCHAR AS enroll_date FROM ({_LEAVE_PARTS})",
     "h7_build_blocks": f"SELECT doc_id, name, sid AS student_id, NULL::DOUBLE AS loan_amount FROM ({_LEAVE_PARTS})",
     "i_scalars": f"""SELECT doc_id, day, substr(day, 1, 8) || '01' AS strict_day, phone, sid AS student_id, amount::DOUBLE AS money, round_even((doc_id % 120) / 12.0::DOUBLE, 2) AS years,
        md5(substr(text, 1, 2000)) AS key, substr(text, 1, 10) || '... (+' || (length(text) - 10)::VARCHAR || ' chars)' AS preview, false AS label, class FROM ({_LEAVE_PARTS})""",
     "i11_parse_semester": f"SELECT doc_id, line_no, substr(semester, 1, 9) AS academic_year, substr(semester, 11, 1) AS term, course_code::DOUBLE AS code FROM ({_COURSE_ROWS})",
     "i12_cache_key": "SELECT doc_id, md5(substr(text, 1, 2000)) AS key, md5(CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '... (+' || (length(text) - 200)::VARCHAR || ' chars)' ELSE text END) AS preview_md5 FROM documents",
-    "j1_cache_lookup": f"SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS n_details FROM ({_LEAVE})",
-    "j2_cache_upsert": f"""WITH e AS (SELECT md5(substr(text, 1, 2000)) AS key, doc_id FROM ({_LEAVE})),
-p AS (SELECT key, (doc_id % 7 <> 0)::INT AS age, doc_id AS place FROM e ORDER BY age DESC, place DESC LIMIT 100)
-SELECT key, row_number() OVER (ORDER BY age, place) AS seq, 2 AS n_details FROM p""",
     "k2_build_field_prompt": f"SELECT doc_id, md5('请从文本中抽取以下字段并返回 JSON：' || chr(10) || '- student_id (STUDENT_ID): ' || chr(10) || '- amount (NUMBER): ' || chr(10) || '- reason (TEXT): ' || chr(10) || '- absent (TEXT): ' || chr(10) || chr(10) || '文本：' || chr(10) || text) AS prompt_md5 FROM ({_LEAVE})",
     "k3_parse_model_replies": """SELECT conv_id * 1000 + turn AS doc_id, CASE WHEN turn % 2 = 0 THEN '通知' ELSE 'generic_document' END AS document_type, CASE WHEN turn % 2 = 0 THEN 0.5 ELSE 0 END AS confidence,
 CASE WHEN turn % 2 = 0 THEN md5(text) END AS summary FROM conversations""",
     "k4_needs_model": f"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'none' WHEN length({_TRIM.format('text')}) < 25 OR confidence < 0.35 OR total_boxes <= 4 THEN 'image' WHEN doc_id % 2 = 0 THEN 'text' ELSE 'none' END AS route FROM ({_OCR})""",
-    "k5_apply_corrections": f"SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN md5(md5(text)) ELSE md5(text) END AS text_md5, CASE WHEN doc_id % 4 = 0 THEN 'llm' ELSE 'ocr' END AS source FROM ({_OCR})",
 }
 
 
@@ -175,17 +168,12 @@ _WEIGHTED = ", ".join(
     f"{{'s': ({_hits(w)} + {'CASE doc_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 0 END' if t in _BONUS else '0'}) * {'2.2' if t == '请假条' else 'CASE doc_id % 4 WHEN 0 THEN 0.1 WHEN 1 THEN 1.8 ELSE 1 END' if t == '班级成员表' else '1'}::DOUBLE, 'o': {-k}, 't': '{t}'}}"
     for k, (t, w) in enumerate(packs.TYPE_KEYWORDS.items())
 )
-_PROOFS = ["gender", "birth_date", "school_name", "college", "major", "status", "enroll_date", "expected_grad_date", "verify_code", "verify_url"]
-_LOANS = """SELECT o_orderkey AS doc_id, lpad(o_orderkey::VARCHAR, 12, '7') AS contract, (o_custkey % 90 + 6)::VARCHAR AS months, o_totalprice, lpad((o_custkey % 999999)::VARCHAR, 6, '1') AS code, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders"""
-
 ORACLES |= {
     "c4_infer_doc_pattern": f"""WITH f AS ({_FORMS}), l AS ({_lines_of('SELECT * FROM f')})
 SELECT doc_id, document_type AS doc_type, bool_or({_TABULAR}) AS has_table,
        coalesce(string_agg(line, '|' ORDER BY line_no) FILTER (line_no < 3 AND regexp_matches(line, '通知|证明|成绩|请假')), '') AS header_keywords,
        coalesce(string_agg(line, '|' ORDER BY line_no) FILTER (regexp_matches(line, '日期|时间|编号|盖章|证明') AND regexp_matches(line, '编号|日期|盖章')), '') AS meta_keywords
 FROM l JOIN ({_free('SELECT * FROM f')}) USING (doc_id) GROUP BY doc_id, document_type""",
-    "c10_fail_analysis": f"""SELECT doc_id, CASE WHEN document_type = '成绩单' THEN 'course_name|credit|gpa|score|semester|stat_date' ELSE 'class|gender' END AS missing FROM ({_free(_FORMS)})""",
-    "d10_resolve_courses": f"SELECT doc_id, count(*) AS n, CASE WHEN count(*) < 3 AND doc_id % 2 = 0 THEN count(*) ELSE 0 END AS from_model FROM ({_COURSE_ROWS}) GROUP BY doc_id",
     "e1_extract_entities": f"WITH p AS ({_LEAVE_PARTS}) "
     + _spans(
         [("STUDENT_ID", r, "sid") for r in _rules("STUDENT_ID")[:2]]
@@ -194,20 +182,11 @@ FROM l JOIN ({_free('SELECT * FROM f')}) USING (doc_id) GROUP BY doc_id, documen
     ),
     "e1_context": f"WITH p AS ({_LEAVE_PARTS}) "
     + " UNION ALL ".join(f"SELECT doc_id, {r} AS rule, 1 AS ord, substr(text, strpos(text, phone) - 10, length(phone) + 20) AS context FROM p" for r in _rules("PHONE")),
-    "e11_sample_details": f"SELECT doc_id, 8 AS n FROM ({_LEAVE})",
-    "f8_loan_contract_fields": f"""WITH l AS ({_LOANS})
-SELECT doc_id, 'name' AS field_name, '王小明' AS field_value, 0.95 AS confidence FROM l UNION ALL SELECT doc_id, 'contract_id', contract, 0.9 FROM l
-UNION ALL SELECT doc_id, 'loan_term_months', months, 0.9 FROM l UNION ALL SELECT doc_id, 'loan_amount', round(o_totalprice, 2)::VARCHAR, 0.95 FROM l
-UNION ALL SELECT doc_id, 'bank_name', '安徽农村商业银行', 0.9 FROM l UNION ALL SELECT doc_id, 'verify_code', code, 0.95 FROM l
-UNION ALL SELECT doc_id, 'issue_date', day, 0.85 FROM l UNION ALL SELECT doc_id, 'issuer_bank', '安徽农村商业银行官庄支行', 0.85 FROM l""",
     "g2_classify_weighted": f"""SELECT doc_id, b.t AS document_type, round_even(b.s / total::DOUBLE, 4) AS confidence
 FROM (SELECT doc_id, list_sort(c)[-1] AS b, list_sum(list_transform(c, lambda x: x.s)) AS total FROM (SELECT doc_id, list_value({_WEIGHTED}) AS c FROM ({_FORMS})))""",
     "g8_select_template": f"""SELECT doc_id, CASE WHEN c >= a AND c >= b AND c > 0 AND c > a AND c > b THEN 'transcript_v1' WHEN b > a THEN 'roster_v1' ELSE 'leave_v1' END AS template_id, round(least(greatest(a, b, c) / 15.0::DOUBLE, 1), 6) AS score
 FROM (SELECT doc_id, (document_type = '请假条')::INT * 5 + {_hits(['请假', '手机号'])} AS a, (document_type = '班级成员表')::INT * 5 + {_hits(['序号', '性别'])} AS b, (document_type = '成绩单')::INT * 5 + {_hits(['成绩', '必修'])} AS c
       FROM ({_FORMS}) JOIN ({_free(_FORMS)}) USING (doc_id)) WHERE greatest(a, b, c) > 0""",
-    "h1_merge_fields": f"SELECT doc_id, 15 AS n, 4 AS extracted_fields, round_even((0.9 + 0.9 + CASE WHEN amount::DOUBLE > 200000 THEN 0.45 ELSE 0.9 END + 0.95) / 4.0, 4) AS confidence, 'success' AS status FROM ({_LEAVE_PARTS})",
-    "h3_normalize_fields": f"WITH p AS ({_LEAVE_PARTS}) SELECT doc_id, 'name' AS field_name, name AS field_value, 0.95 AS confidence, 'ok' AS status FROM p UNION ALL SELECT doc_id, 'student_id', sid, 0.9, 'ok' FROM p"
-    + "".join(f" UNION ALL SELECT doc_id, '{n}', NULL, 0, 'missing' FROM p" for n in _PROOFS),
     "k1_build_model_input": f"""WITH f AS ({_LEAVE}), t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS lines FROM ({_lines_of('SELECT * FROM f')}) WHERE {_TABULAR} GROUP BY doc_id)
 SELECT doc_id, md5('【清洗文本】' || chr(10) || text || coalesce(chr(10) || chr(10) || '【表格行】' || chr(10) || lines, '') || chr(10) || chr(10) || '【文档类型提示】' || chr(10) || '{{"document_type":"请假条"}}' || chr(10) || chr(10) || '【NORMALIZE_GUIDE】' || chr(10) || 'guide') AS input_md5
 FROM f LEFT JOIN t USING (doc_id)""",
@@ -225,3 +204,195 @@ SELECT doc_id, CASE WHEN score >= 0.75 THEN 'good' WHEN score >= 0.5 THEN 'mediu
          CASE WHEN short > many * 0.4 THEN '文本缺失' END, CASE WHEN regexp_matches(text, '[�?]') THEN '乱码' END], lambda x: x IS NOT NULL)), '|') AS problems
 FROM q""",
 }
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _first_of(text: str, patterns, flags: str = "") -> str:
+    """The first pattern's group 1 that is found, null without any."""
+    tries = [f"CASE WHEN regexp_matches({text}, {_quoted(flags + p)}) THEN regexp_extract({text}, {_quoted(flags + p)}, 1) END" for p in patterns]
+    return f"coalesce({', '.join(tries)})"
+
+
+_CARDS, _LOANS = fixture("cards"), fixture("loans")
+_STUDIES = f"SELECT doc_id * 2 AS doc_id, text FROM ({_LEAVE}) UNION ALL SELECT doc_id * 2 + 1, text FROM ({_CARDS})"
+_PREFIX = "'^(?:姓名|学号|班级|专业班级|学院|院系|专业|电话|手机号|地址|家庭地址)[:：]\\s*'"
+
+
+def _cleaned(value: str) -> str:
+    inner = f"regexp_replace(trim(replace(trim({value}), '_', '')), {_PREFIX}, '')"
+    return f"CASE WHEN {inner} NOT IN ('', ':', '：') THEN {inner} END"
+
+
+def _day(value: str) -> str:
+    """Year, month and day as yyyy-MM-dd, else null."""
+    p = "'([0-9]{4})[年/.-]([0-9]{1,2})[月/.-]([0-9]{1,2})'"
+    parts = [f"regexp_extract({value}, {p}, {k})" for k in (1, 2, 3)]
+    return f"CASE WHEN regexp_matches({value}, {p}) THEN {parts[0]} || '-' || lpad({parts[1]}, 2, '0') || '-' || lpad({parts[2]}, 2, '0') END"
+
+
+def _proof(kind: str, patterns) -> str:
+    value = _first_of("text", patterns, "(?i)")
+    return f"coalesce({_day(value)}, {value})" if kind == "DATE" else _cleaned(value)
+
+
+def _proofs(docs: str) -> str:
+    """Every proof field of every document, recomputed from its text."""
+    listed = ", ".join(f"{{'o': {k}, 'n': '{n}', 'k': '{kind}', 'v': {_proof(kind, patterns)}, 'c': {c}::DOUBLE}}" for k, (n, kind, c, patterns) in enumerate(PROOF_FIELDS))
+    return f"SELECT doc_id, f.o AS field_ord, f.n AS field_name, f.k AS field_type, f.v AS field_value, f.c AS confidence FROM (SELECT doc_id, unnest([{listed}]) AS f FROM ({docs}))"
+
+
+def _expected(docs: str) -> str:
+    """``(doc_id, document_type, names)``: the fields that a document's type is expected to have."""
+    cases = " ".join(f"WHEN '{t}' THEN [{', '.join(repr(f[0]) for f in specs)}]" for t, specs in EXPECTED.items())
+    return f"SELECT doc_id, document_type, CASE document_type {cases} ELSE [{', '.join(repr(f[0]) for f in EXPECTED_OTHERWISE)}] END AS names FROM ({_free(docs)})"
+
+
+_STUDENT_ID = "CASE WHEN length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 6 AND 20 THEN regexp_replace(v, '[^0-9]', '', 'g') END"
+_BY_KIND = f"CASE WHEN k = 'STUDENT_ID' THEN {_STUDENT_ID} WHEN k = 'DATE' THEN coalesce({_day('v')}, v) ELSE v END"
+_TILES = ORACLES["b3_tile_windows"]
+_SHARES = f"""SELECT doc_id, list_transform(c, lambda x: {{'t': x.t, 'k': -x.o, 's': CASE WHEN total > 0 THEN round_even(x.s / total::DOUBLE, 4) ELSE 0 END}}) AS c
+FROM (SELECT doc_id, c, list_sum(list_transform(c, lambda x: x.s)) AS total FROM ({{scored}}))"""
+_ANALYSIS = f"SELECT doc_id, u.t AS doc_type, u.s * 0.8::DOUBLE AS score, 2000 + u.k AS rank FROM (SELECT doc_id, unnest(c) AS u FROM ({_SHARES.replace('{scored}', _FREE.replace('{docs}', _FORMS))}))"
+_NLP = f"SELECT doc_id, u.t AS doc_type, u.s * 0.9::DOUBLE AS score, 1000 + u.k AS rank FROM (SELECT doc_id, unnest(c) AS u FROM ({_SHARES.replace('{scored}', f'SELECT doc_id, list_value({_WEIGHTED}) AS c FROM ({_FORMS})')}))"
+_FIRED = " UNION ALL ".join(
+    f"SELECT doc_id, '{t}' AS doc_type, 0.15::DOUBLE + 0.05::DOUBLE * least({_hits(some)}, 5) AS score, 9200 + {k} AS rank FROM f WHERE {_hits(some)} >= {least}"
+    + "".join(f" AND contains(text, '{w}')" for w in every)
+    + "".join(f" AND NOT contains(text, '{w}')" for w in none)
+    for k, (t, some, every, none, least) in enumerate(packs.KEYWORD_RULES)
+)
+_TRIPLE = "(?:[A-Za-z0-9一-龥]{2,12}(?:班级)?\\s*[一-龥]{2,4}\\s*(?:男|女))|(?:[一-龥]{2,4}\\s*(?:男|女)\\s*[A-Za-z0-9一-龥]{2,12}(?:班级)?)"
+_BOOST = f"""SELECT doc_id, '班级成员表' AS doc_type, CASE WHEN n >= 5 THEN 0.99 ELSE 0.9 END::DOUBLE AS score
+FROM (SELECT doc_id, text, len(regexp_extract_all(text, '{_TRIPLE}')) AS n FROM ({_FORMS}))
+WHERE n >= 3 AND ((contains(text, '序号') AND contains(text, '班级') AND contains(text, '姓名')) OR (contains(text, '班级') AND contains(text, '性别')))"""
+_PRIORITY = f"CASE WHEN doc_type IN ({', '.join(map(repr, packs.HIGH_PRIORITY))}) THEN 3 WHEN doc_type IN ({', '.join(map(repr, packs.MID_PRIORITY))}) THEN 2 ELSE 1 END"
+_QUALITY = ORACLES["c7_assess_quality"]
+_WORDS = f"SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS word_no FROM ({_CARDS})"
+_BARE = "regexp_replace(w, '[：:]', '', 'g')"
+_LABEL_LIKE = f"""({_BARE} <> '' AND ({_BARE} IN ('贷款信息', '贷款合同编号', '合同编号', '用款期限', '本次用款金额', '回执验证码', '验证码', '姓名及手机', '家长姓名及手机', '本人手机号', '微信号', 'QQ号', 'E-mail')
+  OR (length({_BARE}) <= 6 AND NOT regexp_matches({_BARE}, '[0-9]') AND regexp_matches({_BARE}, '姓名|学院|专业|班级|账号|手机|联系方式'))))"""
+_EARLIER = "regexp_matches(text, '开始日期：199[0-4]')"
+_SURE = f"SELECT doc_id, count(*) AS n FROM ({_proofs(_LEAVE)}) WHERE field_value IS NOT NULL AND confidence >= 0.7 GROUP BY doc_id"
+
+def _candidate(name: str, kind: str, words) -> tuple[str, str]:
+    """Value and confidence of one candidate of a leave form, whose only entities are a person, an id, a phone and a date."""
+    by_word = _first_of("text", [rf"{w}[:：]?\s*(\S[^\n\r]*)" for w in words], "(?i)")
+    by_entity = {"PERSON": "name", "STUDENT_ID": "sid", "PHONE": "phone", "DATE": "day"}.get(kind, "NULL")
+    by_shape = _first_of("text", [r"(?:班级|班)[:：]?\s*([A-Za-z0-9一-龥-]{2,20})"]) if kind == "CLASS" else "NULL"
+    proof = next(((_proof(k, p), c) for n, k, c, p in PROOF_FIELDS if n == name), ("NULL::VARCHAR", 0))
+    value = f"coalesce({proof[0]}, trim({by_word}), {by_entity}, {by_shape})"
+    sure = f"CASE WHEN {proof[0]} IS NOT NULL THEN {proof[1]} WHEN {by_word} IS NOT NULL THEN 0.9 WHEN {by_entity} IS NOT NULL THEN 0.8 WHEN {by_shape} IS NOT NULL THEN 0.8 ELSE 0 END"
+    return value, sure
+
+
+def _inferred() -> str:
+    known = {n for n, _, _ in INFERRED}
+    rows = [(k, n, kind, *_candidate(n, kind, words)) for k, (n, kind, words) in enumerate(INFERRED)]
+    rows += [(len(INFERRED) + k, n, kind, _proof(kind, p), str(c)) for k, (n, kind, c, p) in enumerate([f for f in PROOF_FIELDS if f[0] not in known])]
+    listed = ", ".join(f"{{'o': {k}, 'n': '{n}', 'k': '{kind}', 'v': {v}, 'c': ({c})::DOUBLE}}" for k, n, kind, v, c in rows)
+    return f"SELECT doc_id, f.o AS field_ord, f.n AS field_name, f.k AS field_type, f.v AS field_value, f.c AS confidence FROM (SELECT doc_id, unnest([{listed}]) AS f FROM ({_LEAVE_PARTS}))"
+
+
+def _loan_rows() -> str:
+    made = []
+    for k, (n, c, patterns) in enumerate(LOAN_FIELDS):
+        value = f"trim({_first_of('text', patterns)})"
+        if n == "address":
+            continue  # its pattern looks ahead; the rendered loans have no such line
+        if n == "issue_date":
+            value = _day(value)
+        if n == "loan_amount":
+            value = f"({value})::DOUBLE::VARCHAR"
+        made.append(f"{{'n': '{n}', 'v': {value}, 'c': {c}::DOUBLE}}")
+    return f"SELECT doc_id, f.n AS field_name, f.v AS field_value, f.c AS confidence FROM (SELECT doc_id, unnest([{', '.join(made)}]) AS f FROM ({_LOANS})) WHERE f.v IS NOT NULL"
+
+
+_ALL_LABELS = (*card.LABELS, *card.CODE_LABELS)
+_LABEL_AT = " UNION ALL ".join(
+    f"SELECT doc_id, text, '{x}' AS label, {k} AS label_no, unnest(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, {len(x)}) = '{x}')) - 1 AS start FROM c WHERE contains(text, '{x}')" for k, x in enumerate(_ALL_LABELS)
+)
+_COLUMNS = ", ".join(f"max(field_value) FILTER (field_name = '{n}') AS {n}" if n in {f[0] for f in PROOF_FIELDS} else f"NULL::VARCHAR AS {n}" for n in FLAT_NAMES)
+assert not {a for names in ALIASES.values() for a in names} & {f[0] for f in PROOF_FIELDS}
+
+ORACLES |= {
+    "a6_ensure_ids": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR END AS given, CASE WHEN doc_id % 2 = 0 THEN length(doc_id::VARCHAR) ELSE 36 END AS size FROM documents",
+    "a8_required_to_fields": f"SELECT doc_id, array_to_string(names, '|') AS names FROM ({_expected(_FORMS)})",
+    "a9_default_template": f"""WITH f AS ({_FORMS}), p AS (SELECT doc_id, regexp_extract(text, '姓名[:：]\\s*([^\\s]+)', 1) AS n, regexp_extract(text, '学号[:：]\\s*([0-9A-Za-z]+)', 1) AS s,
+  coalesce(nullif(regexp_extract(text, '绩点[:：]?\\s*([0-9.]+)', 1), ''), '') AS g, regexp_extract(text, '总学分[:：]?\\s*([0-9.]+)', 1) AS t, regexp_extract(text, '统计时间[:：]?\\s*([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1) AS d FROM f)
+SELECT doc_id, u.n AS field_name, nullif(u.v, '') AS field_value, CASE WHEN u.v = '' THEN 0 ELSE 0.9 END AS confidence
+FROM (SELECT doc_id, unnest([{{'n': 'student_name', 'v': n}}, {{'n': 'student_id', 'v': s}}, {{'n': 'average_gpa', 'v': g}}, {{'n': 'total_credit', 'v': t}}, {{'n': 'stat_date', 'v': d}}]) AS u FROM p)""",
+    "a11_error_envelope": """SELECT '{"code":400,"message":"text or file is required"' || CASE WHEN page_id % 2 = 0 THEN ',"detail":"' || page_id::VARCHAR || '"' ELSE '' END || '}' AS value, count(*) AS n
+FROM pages WHERE page_id % 3 <> 0 OR coalesce(html, '') = '' GROUP BY 1""",
+    "b3_merge_tiles": f"""WITH t AS ({_TILES}), b AS (
+  SELECT l_orderkey AS doc_id, l_linenumber % 3 AS tile, l_suppkey AS x, l_partkey % 50 AS y, round(l_discount, 4) AS c FROM lineitem)
+SELECT doc_id, sum(x + dx) AS sum_x0, sum(y + dy) AS sum_y0, sum(x + dx + 10) AS sum_x1, sum(y + dy + 20) AS sum_y1, round_even(avg(c::DOUBLE), 4) AS confidence, count(*) AS total_boxes
+FROM (SELECT b.*, CASE WHEN vertical THEN 0 ELSE lo END AS dx, CASE WHEN vertical THEN lo ELSE 0 END AS dy FROM b JOIN t USING (doc_id, tile)) GROUP BY doc_id""",
+    "b6_pick_best_variant": """WITH v AS (
+  SELECT l_orderkey AS doc_id, l_linenumber AS variant, max(floor(l_quantity)::INT) AS n, max(l_discount::DOUBLE) AS c, max(l_suppkey % 7) AS b FROM lineitem GROUP BY 1, 2),
+r AS (SELECT doc_id, list_reduce(list({'v': variant, 'n': n, 'c': c, 'b': b} ORDER BY variant),
+        lambda o, x: CASE WHEN x.n > 0 AND (x.n > o.n * 1.1::DOUBLE OR x.b > o.b OR x.c > o.c + 0.05::DOUBLE) THEN x ELSE o END) AS w FROM v GROUP BY doc_id)
+SELECT doc_id, w.v AS variant, w.n AS n, w.b AS total_boxes FROM r""",
+    "b8_fallback_text": f"""WITH p AS (SELECT page_id AS doc_id, {_TRIM.format("regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s{2,}', ' ', 'g')")} AS plain FROM pages),
+x AS (SELECT doc_id, 0 AS kind, line_no, text FROM ({_BOXES}) UNION ALL SELECT doc_id, 1, 0, plain FROM p WHERE plain <> ''),
+j AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY kind, line_no, text) AS pieces FROM x GROUP BY doc_id),
+t AS (SELECT d.doc_id, coalesce(CASE WHEN d.doc_id % 3 IN (0, 1) THEN nullif(text, '') END, nullif(pieces, '')) AS text FROM documents d LEFT JOIN j USING (doc_id))
+SELECT doc_id, md5(text) AS text_md5, text IS NULL AS rejected FROM t""",
+    "c2_reconstruct_text": f"SELECT doc_id, CASE WHEN contains(d.text, chr(10)) AND l.joined IS NOT NULL THEN md5(l.joined) ELSE md5(d.text) END AS text_md5 FROM documents d LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS joined FROM ({_LINES}) GROUP BY doc_id) l USING (doc_id)",
+    "c6_clean_text": f"SELECT doc_id, md5({_TRIM.format('t')}) AS clean_md5 FROM (SELECT doc_id, regexp_replace(replace(regexp_replace(text, '{'|'.join(NOISE)}', '', 'g'), chr(12288), ' '), '\\s{{2,}}', ' ', 'g') AS t FROM documents)",
+    "c8_suggest_repair": f"""SELECT doc_id, array_to_string(list_filter([CASE WHEN length({_TRIM.format('text')}) < 10 THEN '文本过短，建议重新拍照/提高分辨率' END,
+  CASE WHEN level IN ('bad', 'critical') THEN 'OCR 质量较差：建议开启图像增强/去噪/倾斜矫正' END, CASE WHEN document_type = '未知' THEN '未能稳定判别文档类型：建议保证标题区域清晰' END], lambda x: x IS NOT NULL), '|') AS suggestions
+FROM documents JOIN ({_QUALITY}) USING (doc_id) JOIN ({_free('SELECT doc_id, text FROM documents')}) USING (doc_id)""",
+    "c10_fail_analysis": f"""WITH w AS (SELECT doc_id, unnest(names) AS field_name FROM ({_expected(_FORMS)})), g AS (SELECT doc_id, field_name FROM ({_proofs(_FORMS)}) WHERE field_value IS NOT NULL)
+SELECT doc_id, string_agg(field_name, '|' ORDER BY field_name) AS missing FROM w ANTI JOIN g USING (doc_id, field_name) GROUP BY doc_id""",
+    "c11_template_from_expected": f"SELECT doc_id, 'auto-' || document_type AS template_id, len(names) AS n_fields FROM ({_expected(_FORMS)})",
+    "d8_noisy_courses": f"""SELECT doc_id, n, bad, n = 0 OR bad >= greatest(1, floor(n / 2)) AS noisy FROM (
+SELECT m.doc_id, count(course_name) AS n, count(*) FILTER (length(trim(course_name)) <= 2 OR length(regexp_replace(course_name, '[^0-9]', '', 'g')) > length(course_name) * 0.5) AS bad
+FROM ({_MARKS}) m LEFT JOIN ({_COURSE_ROWS}) c USING (doc_id) GROUP BY m.doc_id)""",
+    "d10_resolve_courses": f"SELECT doc_id, count(*) AS n, CASE WHEN count(*) < 3 THEN count(*) ELSE 0 END AS from_model FROM ({_COURSE_ROWS}) GROUP BY doc_id",
+    "e2_roster_entities": f"""WITH m AS (SELECT *, lead(number::VARCHAR) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM ({_MEMBERS})),
+n AS (SELECT doc_id, count(*) + count(*) FILTER (length(after) >= 2) AS n FROM m GROUP BY doc_id)
+SELECT doc_id, unnest(['CLASS', 'PERSON', 'GENDER']) AS type, n FROM n""",
+    "e7_label_predicates": f"""SELECT doc_id, word_no, {_LABEL_LIKE} AS label,
+  length(w) <= 20 AND regexp_matches(w, '姓名|性别|出生|民族|学校|学院|分院|系所|专业|层次|学制|学历|学习形式|学籍状态|入学|毕业|验证码|验证网址|课程|成绩|学年|学期|学分') AS key,
+  w = '' OR {_LABEL_LIKE} OR regexp_matches(w, '^.*(姓名|手机|手机号|联系方式|微信|QQ|邮箱|E-?mail)[:：]?$') OR (regexp_matches(w, '(姓名|学号|班级|学院|专业|电话|手机号|地址)[:：]') AND length(w) <= 20) AS bad,
+  w IN ({', '.join(map(_quoted, HEADERS))}) AS header FROM ({_WORDS})""",
+    "e8_value_cleaners": f"SELECT doc_id, word_no, w AS value, CASE WHEN w NOT IN ('', ':', '：') THEN w END AS kv_value FROM ({_WORDS})",
+    "e10_extract_relations": "SELECT 0 AS doc_id, '' AS head, '' AS relation, '' AS tail WHERE false",
+    "e11_sample_details": f"SELECT doc_id, field_name FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY field_ord) AS r FROM ({_proofs(_STUDIES)}) WHERE field_value IS NOT NULL) WHERE r <= 4",
+    "f5_infer_fields": _inferred(),
+    "f7_proof_fields": f"SELECT doc_id, field_name, field_value, confidence FROM ({_proofs(_STUDIES)}) WHERE field_value IS NOT NULL",
+    "f8_loan_contract_fields": _loan_rows(),
+    "f10_label_segments": f"""WITH c AS ({_CARDS}), h AS ({_LABEL_AT}),
+n AS (SELECT *, lead(start) OVER (PARTITION BY doc_id ORDER BY start, label_no) AS next FROM h)
+SELECT doc_id, label, trim(substr(text, start + length(label) + 1, greatest(coalesce(next, length(text)) - start - length(label), 0))) AS segment FROM n
+WHERE trim(substr(text, start + length(label) + 1, greatest(coalesce(next, length(text)) - start - length(label), 0))) <> ''""",
+    "g4_roster_boost": _BOOST,
+    "g5_fuse_scores": f"""WITH f AS ({_FORMS}), e AS ({_ANALYSIS} UNION ALL SELECT doc_id, document_type, confidence * 0.8::DOUBLE, 1999 FROM ({_free('SELECT * FROM f')}) UNION ALL
+  SELECT doc_id, doc_type, max(score), min(rank) FROM ({_FIRED}) GROUP BY doc_id, doc_type)
+SELECT doc_id, doc_type, round(max(score), 6) AS score, min(rank) AS type_ord FROM e GROUP BY doc_id, doc_type HAVING max(score) > 0""",
+    "g6_pick_type": f"""WITH f AS ({_FORMS}), e AS ({_NLP} UNION ALL {_ANALYSIS} UNION ALL SELECT doc_id, document_type, confidence * 0.8::DOUBLE, 1999 FROM ({_free('SELECT * FROM f')})
+  UNION ALL SELECT doc_id, document_type, confidence * 0.9::DOUBLE, 999 FROM ({{weighted}})
+  UNION ALL SELECT doc_id, doc_type, max(score), min(rank) FROM ({_FIRED}) GROUP BY doc_id, doc_type UNION ALL SELECT doc_id, doc_type, score, 9300 FROM ({_BOOST})),
+x AS (SELECT doc_id, doc_type, max(score) AS score, min(rank) AS rank FROM e GROUP BY doc_id, doc_type HAVING max(score) > 0)
+SELECT doc_id, doc_type AS document_type FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score * 10 + {_PRIORITY} DESC, rank) AS r FROM x) WHERE r = 1""".replace("{weighted}", ORACLES["g2_classify_weighted"]),
+    "g9_merge_classification": f"""SELECT doc_id, CASE WHEN w THEN '通知' ELSE document_type END AS document_type, CASE WHEN w THEN c ELSE confidence END AS confidence
+FROM (SELECT *, (doc_id % 100) / 100.0::DOUBLE AS c, (doc_id % 100) / 100.0::DOUBLE >= confidence AS w FROM ({_free(_FORMS)}))""",
+    "h1_merge_fields": f"""WITH e AS (SELECT doc_id, count(*) AS n, count(field_value) AS got, sum(confidence) FILTER (field_value IS NOT NULL) AS c FROM ({_proofs(_LEAVE)}) WHERE field_name <> 'student_id' GROUP BY doc_id)
+SELECT doc_id, 4 + n AS n, 3 + got AS extracted_fields, round_even((0.9 + 0.9 + CASE WHEN amount::DOUBLE > 200000 THEN 0.45 ELSE 0.9 END + coalesce(c, 0)) / (3 + got)::DOUBLE, 4) AS confidence, 'success' AS status
+FROM ({_LEAVE_PARTS}) JOIN e USING (doc_id)""",
+    "h2_fix_fields": f"""SELECT doc_id, n AS field_name, {_BY_KIND} AS field_value, c AS confidence FROM (SELECT doc_id, field_name AS n, field_type AS k, field_value AS v, confidence AS c FROM ({_proofs(_STUDIES)})
+  WHERE regexp_replace(field_value, '\\s', '', 'g') NOT IN ({', '.join(map(_quoted, HEADERS))})) WHERE {_BY_KIND} IS NOT NULL""",
+    "h3_normalize_fields": f"""SELECT doc_id, n AS field_name, x AS field_value, CASE WHEN x IS NULL THEN 0 ELSE c END AS confidence, CASE WHEN x IS NULL THEN 'missing' ELSE 'ok' END AS status
+FROM (SELECT doc_id, n, c, nullif({_BY_KIND}, '') AS x FROM (SELECT doc_id, field_name AS n, field_type AS k, field_value AS v, confidence AS c FROM ({_proofs(_STUDIES)})))""",
+    "h4_flatten_fields": f"SELECT doc_id, {_COLUMNS} FROM ({_proofs(_STUDIES)}) GROUP BY doc_id",
+    "i4_identities": """SELECT c_custkey, i || 'x' AS id_number, i || 'X' AS as_id_number, p AS as_phone, CASE WHEN length(c_custkey::VARCHAR) >= 6 THEN c_custkey::VARCHAR END AS as_student_id, '证号 ' || i || 'x' AS as_text
+FROM (SELECT c_custkey, lpad(c_custkey::VARCHAR, 17, '3') AS i, '13' || lpad(c_custkey::VARCHAR, 9, '0') AS p FROM customer)""",
+    "i10_numbers": "SELECT o_orderkey, floor(o_totalprice)::DOUBLE AS whole, NULL::DOUBLE AS not_whole, floor(o_totalprice)::DOUBLE + 0.25 AS first FROM orders",
+    "j1_cache_lookup": f"SELECT f.doc_id, CASE WHEN {_EARLIER} THEN coalesce(n, 0) ELSE 0 END AS n_details FROM ({_LEAVE}) f LEFT JOIN ({_SURE}) USING (doc_id)",
+    "j2_cache_upsert": f"""WITH e AS (SELECT md5(substr(text, 1, 2000)) AS key, doc_id, (NOT {_EARLIER})::INT AS age, n FROM ({_LEAVE}) JOIN ({_SURE}) USING (doc_id)),
+p AS (SELECT key, age, doc_id AS place, n FROM e ORDER BY age DESC, place DESC LIMIT 100)
+SELECT key, row_number() OVER (ORDER BY age, place) AS seq, n AS n_details FROM p""",
+    "k5_apply_corrections": f"SELECT doc_id, CASE WHEN confidence < 0.7 THEN md5(md5(text)) ELSE md5(text) END AS text_md5, CASE WHEN confidence < 0.7 THEN 'llm' ELSE 'ocr' END AS source FROM ({_OCR})",
+}

@@ -41,6 +41,18 @@ def _forms(spark, d) -> DataFrame:
     )
 
 
+def _studies(spark, d) -> DataFrame:
+    """Leave forms and enrolment cards under one id space: few fields a document, and many."""
+    return (
+        _leave(spark, d).select((F.col("doc_id") * 2).alias("doc_id"), "text")
+        .unionByName(render(spark, d, "cards").select((F.col("doc_id") * 2 + 1).alias("doc_id"), "text"))
+    )
+
+
+#: Forms of years before 1995 have been seen before.
+_EARLIER = "text RLIKE '开始日期：199[0-4]'"
+
+
 def _boxes(spark, d) -> DataFrame:
     """Lines of documents as boxes with a confidence that follows their length."""
     rows = lines.split_lines(_docs(spark, d))
@@ -95,6 +107,77 @@ def a10_success_envelope(spark, d):
     return ingest.success_envelope(docs.select("doc_id", cache.cache_key(F.col("text")).alias("key"))).select("doc_id", "value")
 
 
+def a6_ensure_ids(spark, d):
+    """Requests of which half have no id: given ones stay, the others get one of a UUID's form."""
+    docs = _docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).alias("file_id"))
+    rows = ingest.ensure_ids(docs)
+    return rows.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("file_id")).alias("given"), F.length("file_id").cast("long").alias("size"))
+
+
+def a11_error_envelope(spark, d):
+    """Pages as requests of which some have neither text nor file: what is rejected, as envelopes."""
+    pages = _read(spark, d, "pages")
+    requests = pages.select(
+        F.when(F.col("page_id") % 2 == 0, F.col("page_id").cast("string")).alias("file_id"), F.when(F.col("page_id") % 3 == 0, F.col("html")).alias("text"), *[F.lit(None).cast("string").alias(c) for c in ("file_path", "file_content", "file_name")]
+    )
+    return ingest.error_envelope(ingest.validate_requests(requests)[1]).groupBy("value").agg(F.count("*").alias("n"))
+
+
+def a9_default_template(spark, d):
+    """The default template over transcripts' and leave forms' texts."""
+    rows = fields.extract_fields(_forms(spark, d), templates.DEFAULT_TEMPLATE)
+    return rows.select("doc_id", "field_name", "field_value", "confidence")
+
+
+def c2_reconstruct_text(spark, d):
+    """Documents with their raw lines where there are several: the text is that of the lines."""
+    docs = _docs(spark, d).select("doc_id", "text", F.when(F.contains(F.col("text"), F.lit("\n")), F.split("text", "\n")).alias("lines"))
+    return lines.reconstruct_text(docs).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+def e7_label_predicates(spark, d):
+    """Every word of the cards by what the label tests say of it."""
+    words = _cards(spark, d).select("doc_id", F.posexplode(F.split("text", " ")).alias("word_no", "w"))
+    w = F.col("w")
+    return words.select("doc_id", "word_no", predicates.is_label_like(w).alias("label"), predicates.is_possible_key(w).alias("key"), predicates.is_bad_value(w).alias("bad"), predicates.is_header(w).alias("header"))
+
+
+def e8_value_cleaners(spark, d):
+    """Cards' words with marks around them, cleaned."""
+    words = _cards(spark, d).select("doc_id", F.posexplode(F.split("text", " ")).alias("word_no", "w"))
+    marked = F.concat(F.lit(' "<'), F.col("w"), F.lit(">' "))
+    named = F.concat(F.lit("_学号： "), F.col("w"), F.lit("__"))
+    return words.select("doc_id", "word_no", predicates.clean_value(marked).alias("value"), predicates.clean_kv_value(named).alias("kv_value"))
+
+
+def e10_extract_relations(spark, d):
+    return entities.extract_relations(_leave(spark, d))
+
+
+def g5_fuse_scores(spark, d):
+    """By form and type the largest weighted score of keywords, rules and the roster's shape."""
+    docs = _forms(spark, d)
+    free = classify.long_scores(classify.classify_free(docs), "analysis")
+    rules = classify.keyword_rules(docs).select("doc_id", F.lit("rules").alias("source"), "doc_type", (F.col("ord") + 200).alias("type_ord"), "score")
+    rows = classify.fuse_scores(free, rules).where("score > 0")
+    return rows.select("doc_id", "doc_type", F.bround("score", 6).alias("score"), "type_ord")
+
+
+def i4_identities(spark, d):
+    """Ids, phones and student ids made of customers' keys, in and out of their forms."""
+    key = F.lpad(F.col("c_custkey").cast("string"), 17, "3")
+    rows = _read(spark, d, "customer").select("c_custkey", F.concat(F.lit("证号 "), key, F.lit("x")).alias("id"), F.concat(F.lit("1-3"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("phone"))
+    kinds = [("ID_NUMBER", F.regexp_replace("id", "证号 ", "")), ("PHONE", F.col("phone")), ("STUDENT_ID", F.concat(F.lit("No."), F.col("c_custkey").cast("string"))), ("TEXT", F.concat(F.lit(" "), F.col("id")))]
+    return rows.select("c_custkey", scalars.normalize_id_number(F.col("id")).alias("id_number"), *[scalars.normalize_identity(F.lit(k), v).alias(f"as_{k.lower()}") for k, v in kinds])
+
+
+def i10_numbers(spark, d):
+    """Prices with commas and units as numbers: whole strings only, and the first number of any."""
+    price = F.format_number(F.floor("o_totalprice"), 0)
+    rows = _read(spark, d, "orders").select("o_orderkey", price.alias("plain"), F.concat(F.lit("共 "), F.floor("o_totalprice").cast("string"), F.lit(".25元")).alias("unit"))
+    return rows.select("o_orderkey", scalars.safe_number(F.col("plain")).alias("whole"), scalars.safe_number(F.col("unit")).alias("not_whole"), scalars.first_number(F.col("unit")).alias("first"))
+
+
 def b1_boxes_to_bbox(spark, d):
     boxes = _read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.array(F.col("l_linenumber") * 10.5, "l_quantity"))).alias("polygon"), F.avg("l_discount").alias("confidence"))
     return ocr.boxes_to_bbox(boxes).select("l_orderkey", "x0", "y0", "x1", "y1")
@@ -104,9 +187,24 @@ def b2_assemble_text(spark, d):
     return _ocr(spark, d).select("doc_id", F.md5("text").alias("text_md5"), "confidence", "total_boxes")
 
 
+def b3_tile_windows(spark, d):
+    return ocr.tile_windows(_page_sizes(spark, d))
+
+
+def _page_sizes(spark, d) -> DataFrame:
+    return _read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.floor("o_totalprice").alias("height"), F.lit(2000).alias("width"))
+
+
 def b3_merge_tiles(spark, d):
-    dims = _read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.floor("o_totalprice").alias("height"), F.lit(2000).alias("width"))
-    return ocr.tile_windows(dims)
+    """Order lines as boxes in the three tiles of their order's page: placed on the page, then summed up by page."""
+    items = _read(spark, d, "lineitem")
+    boxes = items.select(
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 3).cast("int").alias("tile"), F.col("l_linenumber").alias("line_no"), F.col("l_returnflag").alias("text"), F.round(F.col("l_discount"), 4).alias("confidence"),
+        F.col("l_suppkey").alias("x0"), (F.col("l_partkey") % 50).alias("y0"), (F.col("l_suppkey") + 10).alias("x1"), (F.col("l_partkey") % 50 + 20).alias("y1"),
+    )
+    merged = ocr.merge_tiles(boxes, ocr.tile_windows(_page_sizes(spark, d)))
+    sums = [F.sum(c).alias(f"sum_{c}") for c in ("x0", "y0", "x1", "y1")]
+    return merged.groupBy("doc_id").agg(*sums, F.bround(F.avg("confidence"), 4).alias("confidence"), F.count("*").alias("total_boxes"))
 
 
 def b4_long_page_flag(spark, d):
@@ -133,7 +231,7 @@ def b7_strip_html(spark, d):
 
 def b8_fallback_text(spark, d):
     docs = _docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("text")).alias("text"), F.when(F.col("doc_id") % 3 == 1, F.col("text")).alias("table_plain"))
-    boxes = _boxes(spark, d).where("doc_id % 2 = 0")
+    boxes = _boxes(spark, d)
     pages = _read(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit(0).alias("table_no"), "html")
     return ocr.fallback_text(docs, boxes, pages).select("doc_id", F.md5("text").alias("text_md5"), "rejected")
 
@@ -233,7 +331,7 @@ def d10_resolve_courses(spark, d):
     docs = _marks(spark, d)
     rule = tables.courses_from_lines(docs)
     grid = tables.transcript_from_grid(tables.html_table_to_grid(render(spark, d, "html_tables")))
-    model = rule.where("doc_id % 2 = 0").withColumn("course_name", F.lit("模型课程"))
+    model = rule.withColumn("course_name", F.lit("模型课程"))
     rows = tables.resolve_courses(rule, tables.courses_from_transcript(grid), model, docs)
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("course_name") == "模型课程").alias("from_model"))
 
@@ -300,7 +398,8 @@ def e9_entity_slots(spark, d):
 
 
 def e11_sample_details(spark, d):
-    return entities.sample_details(fields.proof_fields(_leave(spark, d)), 8).groupBy("doc_id").agg(F.count("*").alias("n"))
+    known = fields.proof_fields(_studies(spark, d)).where("field_value IS NOT NULL")
+    return entities.sample_details(known, 4).select("doc_id", "field_name")
 
 
 _TEMPLATE = {
@@ -332,7 +431,8 @@ def f4_summarize_fields(spark, d):
 
 def f5_infer_fields(spark, d):
     docs = _leave(spark, d)
-    return fields.infer_fields(docs, entities.extract_entities(docs, ["PHONE", "STUDENT_ID", "PERSON", "DATE"]))
+    rows = fields.infer_fields(docs, entities.extract_entities(docs, ["PHONE", "STUDENT_ID", "PERSON", "DATE", "ID_NUMBER", "CERT_ID"]))
+    return rows.select("doc_id", "field_ord", "field_name", "field_type", "field_value", "confidence")
 
 
 def f6_infer_roster_fields(spark, d):
@@ -341,16 +441,11 @@ def f6_infer_roster_fields(spark, d):
 
 
 def f7_proof_fields(spark, d):
-    return fields.proof_fields(_leave(spark, d)).where("field_value IS NOT NULL").select("doc_id", "field_name", "field_value", "confidence")
+    return fields.proof_fields(_studies(spark, d)).where("field_value IS NOT NULL").select("doc_id", "field_name", "field_value", "confidence")
 
 
 def _loans(spark, d) -> DataFrame:
-    o = _read(spark, d, "orders")
-    text = F.concat(
-        F.lit("生源地助学贷款回执\n学生姓名 王小明\n贷款合同编号 "), F.lpad(F.col("o_orderkey").cast("string"), 12, "7"), F.lit("\n用款期限 "), (F.col("o_custkey") % 90 + 6).cast("string"), F.lit("（月）\n本次用款金额 "),
-        F.format_string("%.2f", "o_totalprice"), F.lit("（元）\n开户行 安徽农村商业银行官庄支行\n回执验证码为："), F.lpad((F.col("o_custkey") % 999999).cast("string"), 6, "1"), F.lit("\n"), F.date_format("o_orderdate", "yyyy-MM-dd"),
-    )
-    return o.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    return render(spark, d, "loans")
 
 
 def f8_loan_contract_fields(spark, d):
@@ -364,12 +459,7 @@ def f9_loose_fields(spark, d):
 
 
 def _cards(spark, d) -> DataFrame:
-    c = _read(spark, d, "customer")
-    text = F.concat(
-        F.lit("姓名 周宇清 性别 男 软件工程丨普通全日制 学号 "), (F.lit(242040000) + F.col("c_custkey")).cast("string"), F.lit(" 民族 汉族 学制 2年 系所 计算机学院 班级 软升"),
-        F.lpad(F.col("c_nationkey").cast("string"), 3, "2"), F.lit(" 学历类别 普通高等教育 入学日期 2024年9月"), (F.col("c_custkey") % 28 + 1).cast("string"), F.lit("日 学校名称 马鞍山大学 验证码 "), F.lpad(F.col("c_custkey").cast("string"), 9, "8"),
-    )
-    return c.select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
+    return render(spark, d, "cards")
 
 
 def f10_label_segments(spark, d):
@@ -425,7 +515,7 @@ def g8_select_template(spark, d):
 def g9_merge_classification(spark, d):
     docs = _forms(spark, d)
     nlp = classify.classify_free(docs)
-    llm = docs.where("doc_id % 3 = 0").select("doc_id", F.lit("通知").alias("document_type"), ((F.col("doc_id") % 100) / 100.0).alias("confidence"), F.create_map(F.lit("通知"), F.lit(0.5)).alias("probabilities"))
+    llm = docs.select("doc_id", F.lit("通知").alias("document_type"), ((F.col("doc_id") % 100) / 100.0).alias("confidence"), F.create_map(F.lit("通知"), F.lit(0.5)).alias("probabilities"))
     return classify.merge_classification(nlp, llm).select("doc_id", "document_type", "confidence")
 
 
@@ -437,18 +527,18 @@ def h1_merge_fields(spark, d):
 
 
 def h2_fix_fields(spark, d):
-    rows = shape.fix_fields(fields.proof_fields(_leave(spark, d)))
+    rows = shape.fix_fields(fields.proof_fields(_studies(spark, d)))
     return rows.where("field_value IS NOT NULL").select("doc_id", "field_name", "field_value", "confidence")
 
 
 def h3_normalize_fields(spark, d):
-    docs = _leave(spark, d)
+    docs = _studies(spark, d)
     rows = shape.normalize_fields(fields.proof_fields(docs), classify.classify_free(docs))
     return rows.select("doc_id", "field_name", "field_value", "confidence", "status")
 
 
 def h4_flatten_fields(spark, d):
-    return shape.flatten_fields(fields.proof_fields(_leave(spark, d))).select("doc_id", "name", "student_id", "class", "college", "loan_amount", "enroll_date")
+    return shape.flatten_fields(fields.proof_fields(_studies(spark, d)))
 
 
 def h5_map_loan_contract(spark, d):
@@ -505,7 +595,7 @@ def i12_cache_key(spark, d):
 
 def j1_cache_lookup(spark, d):
     docs = _leave(spark, d)
-    entries = cache.cache_entries(docs.where("doc_id % 5 = 0"), fields.proof_fields(docs)).withColumn("seq", F.col("doc_id"))
+    entries = cache.cache_entries(docs.where(_EARLIER), fields.proof_fields(docs)).withColumn("seq", F.col("doc_id"))
     found = cache.cache_lookup(docs, entries)
     return found.select("doc_id", F.coalesce(F.size("extract_details"), F.lit(0)).cast("long").alias("n_details"))
 
@@ -513,7 +603,8 @@ def j1_cache_lookup(spark, d):
 def j2_cache_upsert(spark, d):
     docs = _leave(spark, d)
     entries = cache.cache_entries(docs, fields.proof_fields(docs))
-    old = entries.where("doc_id % 7 = 0").select("key", F.col("doc_id").alias("seq"), "extract_details")
+    seen = cache.cache_entries(docs.where(_EARLIER), fields.proof_fields(docs))
+    old = seen.select("key", F.col("doc_id").alias("seq"), "extract_details")
     return cache.cache_upsert(old, entries).select("key", "seq", F.size("extract_details").cast("long").alias("n_details"))
 
 
@@ -541,7 +632,7 @@ def k4_needs_model(spark, d):
 
 def k5_apply_corrections(spark, d):
     docs = _ocr(spark, d)
-    replies = docs.where("doc_id % 4 = 0").select("doc_id", F.concat(F.lit("  "), F.md5("text"), F.lit(" ")).alias("corrected"))
+    replies = docs.where("confidence < 0.7").select("doc_id", F.concat(F.lit("  "), F.md5("text"), F.lit(" ")).alias("corrected"))
     return exchange.apply_corrections(docs, replies).select("doc_id", F.md5("text").alias("text_md5"), "source")
 
 
