@@ -13,7 +13,8 @@ two or three bits: too short to be keys. So blocks find the close pairs, and sho
    of its rows. Only rows of buckets that hold several groups after that are compared with each other, in cells of bounded size:
    with the nearest of other groups, then with all that are not in one group by then.
 5. What is compared are 256-bit fingerprints of the sets and their sizes; pairs within ``WIDE_BITS`` bits are verified on
-   the texts themselves.
+   the texts themselves. A set with a frequent key has all its rare shingles as keys, so a pair that shares a rare one meets there: in the
+   bucket of a frequent key only pairs count whose frequent shingles alone can make the similarity.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ SHINGLE = 5
 FIFTHS = 4
 #: Chance that the keys of a pair at the threshold have none in common.
 MISS = 1e-9
-#: Fingerprints of sets with similarity 0.8 differ in 38.8 bits of 256 on average, deviation 5.7: 70 is five and a half deviations away.
-WIDE_BITS = 70
+#: Fingerprints of sets with similarity 0.8 differ in 38.8 bits of 256 on average, deviation 5.7: 67 is five deviations away.
+WIDE_BITS = 67
 PARTS = 4
 SEED = 42
 #: Rows of a bucket that one cell compares, at most twice.
@@ -78,15 +79,16 @@ def _set_fingerprint(found: np.ndarray, part: int) -> int:
     return int(np.packbits(2 * counts > len(found), bitorder="little").view("<i8")[0])
 
 
-def keys_of(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The first shingles of a set that stand for it (see the module's third point)."""
+def keys_of(found: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first shingles of a set that stand for it (see the module's third point), and how many of the set are rare."""
     n = rare = len(found)
     if len(frequent):
         late = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found
         rare = n - int(late.sum())
         found = np.concatenate((found[~late], found[late]))
     certain = n - -(-FIFTHS * n // 5) + 1
-    return found[: min(certain, math.ceil(math.log(MISS) / math.log(n / (5 * rare))))] if 5 * rare > n else found[:certain]
+    few = math.ceil(math.log(MISS) / math.log(n / (5 * rare))) if 5 * rare > n else n
+    return found[: min(certain, few)], rare
 
 
 def _frequent_shingles(texts: DataFrame) -> np.ndarray:
@@ -102,25 +104,29 @@ def _frequent_shingles(texts: DataFrame) -> np.ndarray:
 
 
 def _signatures(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``(h, g, id, n, f0.., keys)``, one row for each row of ``texts(h, g, id, text)``."""
+    """``(h, g, id, n, r, f0.., keys)``, one row for each row of ``texts(h, g, id, text)``; of ``n`` shingles ``r`` are rare."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [shingle_set(t.as_py()) for t in part.column(3)]
-                keys = pa.array([keys_of(s, frequent).view(np.int64) for s in sets], pa.list_(pa.int64()))
+                chosen = [keys_of(s, frequent) for s in sets]
+                keys = pa.array([k.view(np.int64) for k, _ in chosen], pa.list_(pa.int64()))
+                sizes = [pa.array(map(len, sets), pa.int64()), pa.array([r for _, r in chosen], pa.int64())]
                 prints = [pa.array([_set_fingerprint(s, k) for s in sets], pa.int64()) for k in range(PARTS)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(map(len, sets), pa.int64()), *prints, keys], names=["h", "g", "id", "n", *_FP, "keys"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *sizes, *prints, keys], names=["h", "g", "id", "n", "r", *_FP, "keys"])
 
-    return texts.select("h", "g", "id", "text").mapInArrow(run, f"h long, g long, id long, n long, {', '.join(f'{f} long' for f in _FP)}, keys array<long>")
+    return texts.select("h", "g", "id", "text").mapInArrow(run, f"h long, g long, id long, n long, r long, {', '.join(f'{f} long' for f in _FP)}, keys array<long>")
 
 
 def _within(a: str, b: str) -> Column:
-    """Whether fingerprints and sizes of two structs allow the similarity."""
+    """Whether fingerprints and sizes of two structs allow the similarity; column ``often``: they meet by a frequent key."""
     bits = sum((F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in _FP), F.lit(0))
     sizes = (5 * F.col(f"{a}.n") >= FIFTHS * F.col(f"{b}.n")) & (5 * F.col(f"{b}.n") >= FIFTHS * F.col(f"{a}.n"))
-    return (bits <= WIDE_BITS) & sizes
+    common = F.least(F.col(f"{a}.n") - F.col(f"{a}.r"), F.col(f"{b}.n") - F.col(f"{b}.r"))
+    enough = 5 * common >= FIFTHS * (F.col(f"{a}.n") + F.col(f"{b}.n") - common)
+    return (bits <= WIDE_BITS) & sizes & (~F.col("often") | enough)
 
 
 def _block_pairs(classes: DataFrame) -> DataFrame:
@@ -133,7 +139,7 @@ def _block_pairs(classes: DataFrame) -> DataFrame:
     return equal.unionAll(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-_ROW = ["key", "cell_i", "cell_j", *_FP, "cid", "n", "comp"]
+_ROW = ["key", "cell_i", "cell_j", *_FP, "cid", "n", "comp", "f", "often"]
 
 
 def _runs(batches):
@@ -155,6 +161,7 @@ def _runs(batches):
 def _candidates(run: np.ndarray, nearest: bool):
     """Candidate pairs of one run, of different groups: with the nearest rows only, or all."""
     fps, cids, n, comp = np.ascontiguousarray(run[:, 3 : 3 + PARTS]).view(np.uint64), run[:, 3 + PARTS], run[:, 4 + PARTS], run[:, 5 + PARTS]
+    frequent, often = run[:, 6 + PARTS], bool(run[0, 7 + PARTS])
     groups, sizes = np.unique(comp, return_counts=True)
     if len(groups) < 2:
         return
@@ -165,6 +172,9 @@ def _candidates(run: np.ndarray, nearest: bool):
         bits = sum(np.bitwise_count(fps[rows, None, p] ^ fps[None, :, p]).astype(np.int64) for p in range(PARTS))
         near = (bits <= WIDE_BITS) & (comp[rows, None] != comp[None, :])
         near &= (5 * n[rows, None] >= FIFTHS * n[None, :]) & (5 * n[None, :] >= FIFTHS * n[rows, None])
+        if often:
+            common = np.minimum(frequent[rows, None], frequent[None, :])
+            near &= 5 * common >= FIFTHS * (n[rows, None] + n[None, :] - common)
         if nearest and len(run) > NEAREST:
             chosen = np.argpartition(np.where(near, bits, 1 << 20), NEAREST - 1, axis=1)[:, :NEAREST]
             only = np.zeros_like(near)
@@ -176,7 +186,7 @@ def _candidates(run: np.ndarray, nearest: bool):
 
 
 def _bucket_pairs(buckets: DataFrame, groups: DataFrame | None, nearest: bool) -> DataFrame:
-    """``(a, b)``: candidates of different groups in ``buckets(key, cid, n, f0..)`` that hold several groups."""
+    """``(a, b)``: candidates of different groups in ``buckets(key, often, cid, n, r, f0..)`` that hold several groups."""
     now = buckets.withColumn("comp", F.col("cid"))
     if groups is not None:
         now = buckets.join(groups.withColumnsRenamed({"node": "cid", "component": "comp"}), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
@@ -185,7 +195,7 @@ def _bucket_pairs(buckets: DataFrame, groups: DataFrame | None, nearest: bool) -
     rows = now.join(bounded(open_), "key")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("slices"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
     # A cell (i, i) holds slice i alone; (i, j) holds both, so every pair meets somewhere.
-    cells = rows.select("key", F.least("own", "other").alias("cell_i"), F.greatest("own", "other").alias("cell_j"), *_FP, "cid", "n", "comp")
+    cells = rows.select("key", F.least("own", "other").alias("cell_i"), F.greatest("own", "other").alias("cell_j"), *_FP, "cid", "n", "comp", (F.col("n") - F.col("r")).alias("f"), F.col("often").cast("long").alias("often"))
 
     def run(batches):
         for one in _runs(batches):
@@ -225,12 +235,12 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def similar_groups(classes: DataFrame, texts: DataFrame) -> DataFrame | None:
     """``(node, component)`` for the classes that have a near copy; none: None.
 
-    ``classes(cid, h, g, n, f0.., keys)`` has a row for each distinct text, ``texts(h, g, text)`` at least one.
+    ``classes(cid, h, g, n, r, f0.., keys)`` has a row for each distinct text, ``texts(h, g, text)`` at least one.
     """
-    keyed = classes.select(F.explode("keys").alias("key"), "cid", "n", *_FP)
-    first = F.min(F.struct("cid", "n", *_FP)).alias("first")
+    keyed = classes.select(F.posexplode("keys").alias("place", "key"), "cid", "n", "r", *_FP).withColumn("often", F.col("place") >= F.col("r")).drop("place")
+    first = F.min(F.struct("cid", "n", "r", *_FP)).alias("first")
     shared = keyed.groupBy("key").agg(first, F.count("*").alias("rows")).where("rows > 1").select("key", "first")
-    buckets = checkpointed(keyed.join(shared, "key").withColumn("own", F.struct("cid", "n", *_FP)))
+    buckets = checkpointed(keyed.join(shared, "key").withColumn("own", F.struct("cid", "n", "r", *_FP)))
     with_first = buckets.where("own.cid <> first.cid").where(_within("own", "first")).select(F.col("first.cid").alias("a"), "cid").withColumnRenamed("cid", "b")
     pairs = checkpointed(with_first.unionAll(_block_pairs(classes)).distinct())
     buckets = buckets.drop("own", "first")
@@ -263,9 +273,9 @@ def one_of_each_similar_group(docs: DataFrame, doc_id: str = "doc_id", text: str
     keyed = docs.withColumns({"__h": F.xxhash64(whole), "__g": F.xxhash64(F.lit(1), whole)})
     texts = keyed.select(F.col("__h").alias("h"), F.col("__g").alias("g"), F.col(doc_id).cast("long").alias("id"), whole.alias("text"))
     signed = checkpointed(_signatures(texts, _frequent_shingles(texts)))
-    named = signed.groupBy("h", "g", "id").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", *_FP, "keys")])
+    named = signed.groupBy("h", "g", "id").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "r", *_FP, "keys")])
     head = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "copies")).alias("head")
-    classes = named.groupBy("h", "g").agg(head, *[F.first(c).alias(c) for c in ("n", *_FP, "keys")])
+    classes = named.groupBy("h", "g").agg(head, *[F.first(c).alias(c) for c in ("n", "r", *_FP, "keys")])
     # The number of a class, fixed by the checkpoint.
     classes = checkpointed(classes.withColumn("cid", F.monotonically_increasing_id()))
     groups = similar_groups(classes, texts)
