@@ -187,8 +187,10 @@ PROOF_FIELDS = (
 
 
 def _proof(text: Column, kind: str, patterns: tuple[str, ...]) -> Column:
-    value = F.coalesce(*[S.found(text, f"(?iU){p}") for p in patterns])
-    return F.coalesce(S.normalize_date(value), value) if kind == "DATE" else clean_kv_value(value)
+    # Inside a lambda the value found is cleaned without being found again.
+    value = F.array(F.coalesce(*[F.nullif(F.regexp_extract(text, f"(?iU){p}", 1), F.lit("")) for p in patterns]))
+    clean = (lambda v: F.coalesce(S.normalize_date(v), v)) if kind == "DATE" else clean_kv_value
+    return F.get(F.transform(value, clean), F.lit(0))
 
 
 def proof_fields(docs: DataFrame) -> DataFrame:
@@ -309,13 +311,20 @@ INFERRED_BY_SHAPE = {
 
 
 def _placed(text: Column, pattern: str, confidence: float, width: int) -> Column:
-    """``struct(value, confidence, source_position)`` of a pattern's group 1, which ends the match, null without one."""
-    whole, value = F.regexp_extract(text, pattern, 0), F.regexp_extract(text, pattern, 1)
-    end = F.regexp_instr(text, F.lit(pattern)) - 1 + F.length(whole)
-    start = end - F.length(value)
-    at = F.greatest(start - width, F.lit(0))
-    place = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.substr(text, at + 1, end + width - at).alias("context"))
-    return F.when(text.rlike(pattern), F.struct(S.trimmed(value).alias("value"), F.lit(confidence).alias("confidence"), place.alias("source_position")))
+    """``struct(value, confidence, source_position)`` of a pattern's group 1, which ends the match, null without one.
+
+    The text is searched once; the rest is read off the match, inside a lambda, which keeps the generated code short.
+    """
+
+    def place(whole: Column) -> Column:
+        value = F.regexp_extract(whole, pattern, 1)
+        end = F.position(whole, text) - 1 + F.length(whole)
+        start = end - F.length(value)
+        at = F.greatest(start - width, F.lit(0))
+        place = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.substr(text, at + 1, end + width - at).alias("context"))
+        return F.when(whole != "", F.struct(S.trimmed(value).alias("value"), F.lit(confidence).alias("confidence"), place.alias("source_position")))
+
+    return F.get(F.transform(F.array(F.regexp_extract(text, pattern, 0)), place), F.lit(0))
 
 
 def keyword_pattern(keyword: str) -> str:
@@ -340,7 +349,7 @@ def infer_fields(docs: DataFrame, entities: DataFrame) -> DataFrame:
     no_place = F.lit(None).cast(_NO_POSITION)
     made = []
     for k, (name, kind, words) in enumerate(INFERRED):
-        tries = [_placed(t, keyword_pattern(w), 0.9, 15) for w in words]
+        tries = [F.when(t.contains(w), _placed(t, keyword_pattern(w), 0.9, 15)) for w in words]
         tries += [seen[kind]] if kind in kinds else []
         if kind in INFERRED_BY_SHAPE:
             pattern, confidence = INFERRED_BY_SHAPE[kind]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import scalars as S
 from docloom.functions.predicates import LABELS, is_header
-from docloom.operators.fields import summarize_fields
+from docloom.operators.fields import ENTITY_TYPES, summarize_fields
 
 _DETAIL = ["doc_id", "field_ord", "field_name", "field_type", "field_value", "confidence"]
 
@@ -81,15 +81,16 @@ def flatten_fields(fields: DataFrame) -> DataFrame:
 _LABEL_WORDS = "|".join(sorted({*LABELS, "姓名", "性别", "学号", "班级", "专业", "学院", "学校", "地址", "手机", "联系方式"}, key=len, reverse=True))
 
 
-def sanitize(c: Column, strict: bool = False) -> Column:
-    """Trimmed; labels are null, a label in front of a colon goes.
-
-    As published, any 2-4 Chinese characters without 银行, 学院, 大学, 学校 or 支行 count as a label; ``strict`` keeps such values.
-    """
+def is_label_token(c: Column, strict: bool = False) -> Column:
+    """A form's label. As published, any 2-4 Chinese characters without 银行, 学院, 大学, 学校 or 支行 count as one; not if ``strict``."""
     s = S.trimmed(c)
     label = s.rlike(f"^(?:{_LABEL_WORDS})[:：]?$")
-    if not strict:
-        label = label | (s.rlike("^[一-龥]{2,4}$") & ~s.rlike("银行|学院|大学|学校|支行"))
+    return label if strict else label | (s.rlike("^[一-龥]{2,4}$") & ~s.rlike("银行|学院|大学|学校|支行"))
+
+
+def sanitize(c: Column, strict: bool = False) -> Column:
+    """Trimmed; labels (see :func:`is_label_token`) are null, a label in front of a colon goes."""
+    s, label = S.trimmed(c), is_label_token(c, strict)
     bare = F.when((F.length(s) <= 30), F.regexp_replace(s, rf"^(?:{_LABEL_WORDS})\s*[:：]\s*(?=\S)", "")).otherwise(s)
     return F.when((s != "") & ~label, bare)
 
@@ -105,12 +106,13 @@ _NUMERIC = {"loan_amount", "loan_years", "scholarship_amount"}
 
 
 def build_blocks(flat: DataFrame, strict: bool = False) -> DataFrame:
-    """``(doc_id, basic_info, academic_info, certificate_info, leave_info, financial_info)`` structs."""
+    """``(doc_id, basic_info, academic_info, certificate_info, leave_info, financial_info)`` structs; a contract's summary goes along."""
 
     def one(name: str) -> Column:
         return (S.safe_number(F.col(name)) if name in _NUMERIC else sanitize(F.col(name), strict)).alias(name)
 
-    return flat.select("doc_id", *[F.struct(*[one(n) for n in names]).alias(block) for block, names in BLOCKS.items()])
+    kept = ["summary"] if "summary" in flat.columns else []
+    return flat.select("doc_id", *[F.struct(*[one(n) for n in names]).alias(block) for block, names in BLOCKS.items()], *kept)
 
 
 LOAN_TYPES = ("合同", "贷款合同", "生源地助学贷款合同")
@@ -133,27 +135,92 @@ def map_loan_contract(flat: DataFrame, entities: DataFrame, pairs: DataFrame, ty
     return rows.select("doc_id", *out)
 
 
-def post_process_contract(flat: DataFrame, docs: DataFrame, types: DataFrame) -> DataFrame:
-    """Contracts repaired from their text: certificate the longest code of 16-20 digits, account the shortest of 8-12
-    that is no id, student id or certificate; a ``summary`` of what is known."""
-    rows = flat.join(types.select("doc_id", "document_type"), "doc_id", "left").join(docs.select("doc_id", "text"), "doc_id", "left")
-    contract = F.coalesce(F.col("document_type").isin(*LOAN_TYPES), F.lit(False))
-    codes = F.regexp_extract_all("text", F.lit(r"(?U)(?<!\d)(\d{8,20})(?!\d)"), F.lit(1))
-    long_code = F.filter(codes, lambda x: F.length(x).between(16, 20) & ~x.eqNullSafe(F.col("id_number")))
-    by_length = lambda a, sign: F.transform(F.array_sort(F.transform(a, lambda x, i: F.struct((sign * F.length(x)).alias("n"), i.alias("i"), x.alias("x")))), lambda s: s["x"])
-    rows = rows.withColumn("__cert", F.coalesce(F.nullif("certificate_id", F.lit("")), F.get(by_length(long_code, -1), F.lit(0))))
-    short = F.filter(codes, lambda x: F.length(x).between(8, 12) & ~x.eqNullSafe(F.col("id_number")) & ~x.eqNullSafe(F.col("student_id")) & ~x.eqNullSafe(F.col("__cert")))
-    account = F.coalesce(F.nullif("account_number", F.lit("")), F.get(by_length(short, 1), F.lit(0)))
-    summary = F.concat_ws("，", F.concat(F.lit("类型："), F.col("document_type")), F.concat(F.lit("姓名："), F.col("name")), F.concat(F.lit("金额："), F.col("loan_amount")))
-    changed = {"certificate_id": F.col("__cert"), "account_number": account}
-    out = [F.when(contract, changed[n]).otherwise(F.col(n)).alias(n) if n in changed else F.col(n) for n in FLAT_NAMES]
-    return rows.select("doc_id", *out, F.when(contract, summary).alias("summary"))
+_PLACES = "省|市|县|区|镇|乡|村"
+_PERIOD = r"(?:期限|用款期限|贷款期限)[^\n\r]{0,10}?(\d+(?:\.\d+)?)\s*年"
+
+
+def _longest(a: Column, sign: int = -1) -> Column:
+    """Strings of an array by length, longest first (``sign`` 1: shortest first); equal lengths keep their order."""
+    keyed = F.transform(a, lambda x, i: F.struct((sign * F.length(x)).alias("n"), i.alias("i"), x.alias("x")))
+    return F.transform(F.array_sort(keyed), lambda s: s["x"])
+
+
+def post_process_contract(flat: DataFrame, docs: DataFrame, types: DataFrame, entities: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``flat`` with ``summary``; slots of contracts repaired from entities and key/value pairs, in their order.
+
+    Labels leave their slots; what is then empty is filled: names of 2-4 characters, ids, the longest school and address,
+    college and major by key, a bank. The longest code of 16-20 digits is certificate and verify code, the shortest of 8-12 digits (else of up
+    to 20) that is neither id nor certificate the account. Loans read amount and period off the text where they lack them; other
+    contracts have neither. Documents of other types stay as they are, with a null summary.
+    """
+    seen = entities.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rule", "ord", "type", "text"))).alias("__e"))
+    said = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "rule", "key", "value"))).alias("__p"))
+    kind = types.select("doc_id", F.col("document_type").alias("__type"), "probabilities" if "probabilities" in types.columns else F.lit(None).cast("map<string,double>").alias("probabilities"))
+    rows = flat.join(kind, "doc_id", "left").join(docs.select("doc_id", "text"), "doc_id", "left").join(seen, "doc_id", "left").join(said, "doc_id", "left")
+    ents = F.coalesce("__e", F.array().cast("array<struct<rule:int,ord:int,type:string,text:string>>"))
+    kvs = F.coalesce("__p", F.array().cast("array<struct<line_no:int,rule:int,key:string,value:string>>"))
+    t = F.col("text")
+
+    def of(*kinds: str) -> Column:
+        return F.transform(F.filter(ents, lambda e: e["type"].isin(*kinds)), lambda e: S.trimmed(e["text"]))
+
+    def by_key(word: str) -> Column:
+        return F.transform(F.filter(kvs, lambda p: p["key"].contains(word)), lambda p: p["value"])
+
+    def first(a: Column, keep=None) -> Column:
+        return F.get(F.filter(a, keep) if keep else a, F.lit(0))
+
+    def own(name: str) -> Column:
+        return F.when(~is_label_token(F.col(name)) & (F.col(name) != ""), F.col(name))
+
+    one_id = r"(?U)\b(\d{17}[\dXx])\b"
+    people = F.transform(F.filter(of("PERSON", "COLLEGE_NAME"), lambda x: ~x.rlike("贷款信息|开户行|学生姓名")), lambda x: F.substring_index(x, "的", 1))
+    name = F.coalesce(F.when(~F.col("name").isin("姓名", "开户行", "账户名称", "名称"), own("name")), first(people, lambda x: x.rlike("^[一-龥]{2,4}$") & ~x.rlike("学院|大学")))
+    id_number = F.coalesce(own("id_number"), first(F.transform(F.filter(of("ID_NUMBER", "VERIFY_CODE"), lambda x: x.rlike(one_id)), lambda x: F.regexp_extract(x, one_id, 1))))
+    school = F.coalesce(F.nullif("school_name", F.lit("")), first(_longest(F.filter(of("ORG", "COLLEGE_NAME"), lambda x: x.rlike("学院|大学|学校") & ~is_label_token(x)))))
+    colleges = F.transform(by_key("学院"), lambda x: F.regexp_extract(x, "[一-鿿A-Za-z0-9（）()·]{2,40}学院", 0))
+    college = F.coalesce(F.when(~F.col("college").contains("账户名称 院系名称 就读高校"), own("college")), first(colleges, lambda x: (x != "") & ~is_label_token(x)))
+    majors = F.transform(by_key("专业"), lambda x: S.trimmed(F.regexp_replace(x, "专业名称|名称", "")))
+    major = F.coalesce(own("major"), first(majors, lambda x: (x != "") & ~is_label_token(x)))
+    first_line = S.trimmed(F.regexp_extract("address", r"^([^\n\r]*)", 1))
+    homes = F.filter(of("ADDRESS_FULL"), lambda x: x.rlike(_PLACES))
+    homes = F.transform(homes, lambda x: F.regexp_extract(S.trimmed(F.substring_index(F.replace(x, F.lit("\n"), F.lit(" ")), "银行", 1)), r"^(\S*)", 1))
+    address = F.coalesce(F.when(~is_label_token(first_line) & (first_line != ""), first_line), first(_longest(homes)))
+    codes = _longest(F.filter(of("VERIFY_CODE"), lambda x: x.rlike(r"^\d{8,20}$") & ~x.rlike(one_id)))
+    certificate = F.coalesce(first(codes, lambda x: F.length(x) >= 16), first(codes))
+    bank = F.coalesce(own("bank_name"), first(of("LOAN_BANK_NAME"), lambda x: x.contains("银行") & ~is_label_token(x)), first(of("ADDRESS_FULL"), lambda x: x.contains("银行")))
+    rows = rows.withColumns({"__id": id_number, "__cert": certificate})
+    digits = F.filter(F.concat(of(*sorted(ENTITY_TYPES)), F.transform(kvs, lambda p: S.trimmed(p["value"]))), lambda x: x.rlike(r"^\d{8,20}$") & ~x.rlike(one_id) & ~x.eqNullSafe(F.col("__id")) & ~x.eqNullSafe(F.col("__cert")))
+    account = F.coalesce(first(_longest(F.filter(digits, lambda x: F.length(x) <= 12), 1)), first(_longest(digits, 1)))
+    share = lambda x: F.coalesce(F.try_element_at("probabilities", F.lit(x)), F.lit(0.0))
+    loan = F.col("__type").isin("生源地助学贷款合同", "贷款合同") | (share("生源地助学贷款合同") > 0) | (share("贷款合同") > share("合同"))
+    amount = F.coalesce(F.col("loan_amount").try_cast("double"), S.found(t, r"(?U)(\d+(?:\.\d+)?)(?=\s*（?元|\s*\(元)").try_cast("double"))
+    months = F.bround(S.found(t, r"(?U)(\d+)\s*（?月").try_cast("double") / 12, 2)
+    years = F.coalesce(F.col("loan_years").try_cast("double"), S.found(t, f"(?U){_PERIOD}").try_cast("double"), S.found(t, r"(?U)(\d+(?:\.\d+)?)\s*年").try_cast("double"), months)
+    made = {
+        "name": name, "id_number": F.col("__id"), "school_name": school, "college": college, "major": major, "address": address, "bank_name": bank, "account_number": account,
+        "certificate_id": F.coalesce("__cert", "certificate_id"), "verify_code": F.coalesce("__cert", "verify_code"),
+        "loan_amount": F.when(loan, amount.cast("string")), "loan_years": F.when(loan, years.cast("string")),
+    }
+    contract = F.coalesce(F.col("__type").isin(*LOAN_TYPES), F.lit(False))
+    out = rows.select("doc_id", "__type", F.when(contract, loan).alias("__loan"), *[F.when(contract, made[n]).otherwise(F.col(n)).alias(n) if n in made else F.col(n) for n in FLAT_NAMES])
+
+    def said_of(label: str, c: Column, unit: str = "") -> Column:
+        return F.concat(F.lit(f"{label} "), c, F.lit(unit))
+
+    def figure(n: str) -> Column:
+        return F.when(F.col(n).isNotNull(), F.format_string("%.1f", F.bround(F.col(n).try_cast("double"), 1)))
+
+    lent = F.concat_ws("，", said_of("类型", F.col("__type")), said_of("借款人", F.col("name")), said_of("金额", figure("loan_amount"), " 元"), said_of("期限", figure("loan_years"), " 年"), said_of("学校", F.col("school_name")))
+    other = F.concat_ws("，", said_of("类型", F.col("__type")), *[said_of(w, F.col(n)) for w, n in (("姓名", "name"), ("学校", "school_name"), ("学院", "college"), ("专业", "major"))])
+    return out.select("doc_id", *FLAT_NAMES, F.when(F.col("__loan"), lent).when(~F.col("__loan"), other).alias("summary"))
 
 
 def finalize(docs: DataFrame, types: DataFrame, fields: DataFrame, blocks: DataFrame, courses: DataFrame) -> DataFrame:
     """One response a document: class, five blocks, fields, courses, text, summary, status and notes."""
     listed = fields.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("field_ord", "field_name", "field_type", "field_value", "confidence"))).alias("fields"))
     taken = courses.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "semester", "course_code", "course_name", "credit", "score", "gpa"))).alias("courses"))
+    blocks = blocks if "summary" in blocks.columns else blocks.withColumn("summary", F.lit(None).cast("string"))
     rows = docs.select("doc_id", "text").join(types.select("doc_id", "document_type", "confidence"), "doc_id", "left")
     for other in (summarize_fields(fields).select("doc_id", "total_fields", "extracted_fields", "status"), blocks, listed, taken):
         rows = rows.join(other, "doc_id", "left")
@@ -162,5 +229,5 @@ def finalize(docs: DataFrame, types: DataFrame, fields: DataFrame, blocks: DataF
     notes = F.array_compact(F.array(F.when(got == 0, "未抽取到字段"), F.when(F.col("courses").isNull() & F.col("document_type").isin("成绩单", "课程表"), "未识别到课程行")))
     return rows.select(
         "doc_id", "document_type", F.col("confidence").alias("confidence_overall"), *BLOCKS, "fields", "courses", "text",
-        F.concat(F.lit("类型："), F.coalesce("document_type", F.lit("未知")), F.lit("，字段："), got.cast("string")).alias("summary"), status.alias("status"), notes.alias("notes"),
+        F.coalesce("summary", F.concat(F.lit("类型："), F.coalesce("document_type", F.lit("未知")), F.lit("，字段："), got.cast("string"))).alias("summary"), status.alias("status"), notes.alias("notes"),
     )

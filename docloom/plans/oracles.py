@@ -396,3 +396,9 @@ p AS (SELECT key, age, doc_id AS place, n FROM e ORDER BY age DESC, place DESC L
 SELECT key, row_number() OVER (ORDER BY age, place) AS seq, n AS n_details FROM p""",
     "k5_apply_corrections": f"SELECT doc_id, CASE WHEN confidence < 0.7 THEN md5(md5(text)) ELSE md5(text) END AS text_md5, CASE WHEN confidence < 0.7 THEN 'llm' ELSE 'ocr' END AS source FROM ({_OCR})",
 }
+
+ORACLES["h6_post_process_contract"] = f"""WITH p AS (SELECT doc_id, text, regexp_extract(text, '贷款合同编号 ([0-9]+)', 1) AS contract, regexp_extract(text, '本次用款金额 ([0-9.]+)', 1)::DOUBLE AS amount,
+  round_even(regexp_extract(text, '用款期限 ([0-9]+)', 1)::DOUBLE / 12, 2) AS years, regexp_extract(text, '(?:学生)[:：]?\\s*([^\\s]{{2,10}})', 1) AS name FROM ({_LOANS}))
+SELECT doc_id, name, NULL::VARCHAR AS certificate_id, contract AS account_number, '安徽农村商业银行' AS bank_name, amount::VARCHAR AS loan_amount, years::VARCHAR AS loan_years,
+  '类型 ' || document_type || '，借款人 ' || name || '，金额 ' || printf('%.1f', amount) || ' 元，期限 ' || printf('%.1f', years) || ' 年' AS summary
+FROM p JOIN ({_free(_LOANS)}) USING (doc_id)"""

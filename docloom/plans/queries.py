@@ -9,7 +9,7 @@ from docloom.functions import predicates, scalars
 from docloom.operators import card, classify, entities, fields, lines, ocr, shape, tables
 from docloom.plans import process as flow
 from docloom.plans.fixtures import render
-from docloom.sources import cache, exchange, ingest, templates
+from docloom.sources import cache, exchange, ingest, store, templates
 
 
 def _read(spark: SparkSession, d: str, t: str) -> DataFrame:
@@ -281,7 +281,8 @@ def c11_template_from_expected(spark, d):
 
 
 def c12_analyze_text(spark, d):
-    return flow.analyze_text(_leave(spark, d)).select("doc_id", "document_type", "level", "n_lines", "n_table_lines", "n_pairs", _joined("missing"))
+    rows = flow.analyze_text(_forms(spark, d))
+    return rows.select("doc_id", "document_type", "level", "n_lines", "n_table_lines", "n_pairs", "n_grid", "n_transcript", "n_members", _joined("missing"))
 
 
 def d1_html_table_to_grid(spark, d):
@@ -552,7 +553,9 @@ def h5_map_loan_contract(spark, d):
 def h6_post_process_contract(spark, d):
     docs = _loans(spark, d)
     flat = shape.flatten_fields(fields.loan_contract_fields(docs).withColumn("field_type", F.lit("TEXT")))
-    return shape.post_process_contract(flat, docs, classify.classify_free(docs)).select("doc_id", "certificate_id", "account_number", "summary")
+    found = entities.extract_entities(docs, ["PERSON", "LOAN_CONTRACT_NO", "VERIFY_CODE", "LOAN_BANK_NAME"])
+    rows = shape.post_process_contract(flat, docs, classify.classify_free(docs), found, entities.align_key_values(docs))
+    return rows.select("doc_id", "name", "certificate_id", "account_number", "bank_name", "loan_amount", "loan_years", "summary")
 
 
 def h7_build_blocks(spark, d):
@@ -561,8 +564,8 @@ def h7_build_blocks(spark, d):
 
 
 def h9_process(spark, d):
-    rows = flow.process(_leave(spark, d))
-    return rows.select("doc_id", "document_type", "confidence_overall", "status", F.col("basic_info.student_id").alias("student_id"), F.size("fields").cast("long").alias("n_fields"))
+    rows = flow.process(store.cut(_forms(spark, d)))
+    return rows.select("doc_id", "document_type", "confidence_overall", "status", F.col("basic_info.student_id").alias("student_id"), F.size("fields").cast("long").alias("n_fields"), F.coalesce(F.size("courses"), F.lit(0)).alias("n_courses"))
 
 
 def i_scalars(spark, d):

@@ -6,7 +6,7 @@ from docloom.functions import predicates, scalars
 from docloom.operators import card, classify, entities, fields, lines, ocr, shape, tables
 from docloom.plans.process import process
 from docloom.sources import cache, ingest
-from docloom.streaming.stream import process_stream
+from docloom.streaming.stream import process_stream, stream_cache
 
 LEAVE = "请、销假单\n姓名：张三 学号：242040390 班级：软升243\n请假原因：论文调研\n开始日期：2024年5月6日\n本人手机号：_18455716598\nE-mail: zhang.san@example.com"
 
@@ -169,3 +169,51 @@ def test_stream_answers_as_batch(spark, tmp_path):
     keep = ["doc_id", "document_type", "status", "summary"]
     streamed = spark.read.parquet(str(tmp_path / "out")).select(*keep).orderBy("doc_id").collect()
     assert streamed == process(docs).select(*keep).orderBy("doc_id").collect() and len(streamed) == 2
+
+
+def test_stream_keeps_the_cache_over_batches(spark, tmp_path):
+    """Two batches, the second with a text seen before: each version follows from the one before and its batch."""
+    form = "姓名 张三 学号 {} 性别 男"
+    for k, rows in enumerate(([(1, form.format(242040001)), (2, form.format(242040002))], [(3, form.format(242040001)), (4, form.format(242040004))])):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream_cache(spark, str(tmp_path / "in"), fields.proof_fields, str(tmp_path / "cache"), str(tmp_path / "state")).awaitTermination()
+        got = spark.read.parquet(str(tmp_path / f"cache/version={k + 1}")).orderBy("seq").collect()
+        keys = [1, 2] if k == 0 else [1, 2, 4]
+        want = [spark.createDataFrame([(form.format(242040000 + i),)], "t string").select(scalars.cache_key(F.col("t"))).head()[0] for i in keys]
+        assert [r["key"] for r in got] == want
+        assert all({d["field_name"] for d in r["extract_details"]} == {"name", "student_id", "gender"} for r in got)
+
+
+def test_contract_repair(spark):
+    """Labels leave their slots, and what is empty is filled from entities, pairs and text."""
+    text = "贷款合同\n专业名称 专业名称软件工程\n学院 计算机科学学院\n地址：安徽省合肥市蜀山区 长江路 1 号\n金额 8000（元）\n期限 3 年"
+    docs = spark.createDataFrame([(1, text), (2, "通知")], "doc_id long, text string")
+    details = spark.createDataFrame([(1, 0, "name", "TEXT", "姓名", 0.9), (1, 1, "major", "TEXT", "专业", 0.9), (2, 0, "name", "TEXT", "姓名", 0.9)], "doc_id long, field_ord int, field_name string, field_type string, field_value string, confidence double")
+    types = spark.createDataFrame([(1, "贷款合同"), (2, "通知")], "doc_id long, document_type string")
+    kinds = [("PERSON", "学生姓名"), ("PERSON", "李四的父亲"), ("ID_NUMBER", "11010119900101123X"), ("VERIFY_CODE", "12345678"), ("VERIFY_CODE", "1234567890123456"), ("ADDRESS_FULL", "安徽省合肥市蜀山区 长江路"), ("BANK_ACCOUNT_NO", "6222000011"), ("LOAN_CONTRACT_NO", "622200001"), ("LOAN_BANK_NAME", "徽商银行")]
+    found = spark.createDataFrame([(1, k, 1, t, v) for k, (t, v) in enumerate(kinds)], "doc_id long, rule int, ord int, type string, text string")
+    pairs = spark.createDataFrame([(1, 1, 2, "专业名称", "专业名称软件工程与技术", 0.8), (1, 2, 2, "学院", "计算机科学学院", 0.8)], "doc_id long, line_no int, rule int, key string, value string, confidence double")
+    rows = {r["doc_id"]: r.asDict() for r in shape.post_process_contract(shape.flatten_fields(details), docs, types, found, pairs).collect()}
+    got = rows[1]
+    assert (got["name"], got["id_number"], got["major"], got["college"]) == ("李四", "11010119900101123X", "软件工程与技术", "计算机科学学院")
+    assert (got["address"], got["bank_name"], got["account_number"]) == ("安徽省合肥市蜀山区", "徽商银行", "12345678")
+    assert got["certificate_id"] == got["verify_code"] == "1234567890123456"
+    assert got["summary"] == "类型 贷款合同，借款人 李四，金额 8000.0 元，期限 3.0 年"
+    assert rows[2]["name"] == "姓名" and rows[2]["summary"] is None
+
+
+def test_inferred_fields_by_keyword_entity_and_shape(spark):
+    text = "申请人 王五\n事由：\n  参加会议\n证件编号：AB-1234\n家长\n11010119900101123X"
+    docs = _docs(spark, text)
+    found = entities.extract_entities(docs, ["PERSON", "DATE"])
+    got = {r["field_name"]: r for r in fields.infer_fields(docs, found).collect()}
+    assert list(got) == [f["name"] for f in fields.inferred_template()["fields"]]
+    assert (got["name"]["field_value"], got["name"]["confidence"]) == ("王五", 0.9)
+    assert got["reason"]["field_value"] == "参加会议"
+    place = got["certificate_id"]["source_position"]
+    assert got["certificate_id"]["field_value"] == "AB-1234" == text[place["start"] : place["end"]]
+    assert place["context"] == text[place["start"] - 15 : place["end"] + 15]
+    assert (got["id_number"]["field_value"], got["id_number"]["confidence"]) == ("11010119900101123X", 0.9)
+    # The keyword alone on its line takes the next line, as published.
+    assert got["contact"]["field_value"] == "11010119900101123X"
+    assert got["address"]["field_value"] is None and got["address"]["confidence"] == 0.0
