@@ -14,7 +14,8 @@ two or three bits: too short to be keys. So blocks find the close pairs, and sho
    with the nearest of other groups, then with all that are not in one group by then.
 5. What is compared are 256-bit fingerprints of the sets and their sizes; pairs within ``WIDE_BITS`` bits are verified on
    the texts themselves. A set with a frequent key has all its rare shingles as keys, so a pair that shares a rare one meets there: in the
-   bucket of a frequent key only pairs count whose frequent shingles alone can make the similarity.
+   bucket of a frequent key only pairs count whose frequent shingles alone can make the similarity. These are cut into ``CUTS``
+   parts by hash, of which each row has a checksum: sets that differ in ``d`` shingles differ in ``d`` parts at most.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ MISS = 1e-9
 #: Fingerprints of sets with similarity 0.8 differ in 38.8 bits of 256 on average, deviation 5.7: 67 is five deviations away.
 WIDE_BITS = 67
 PARTS = 4
+CUTS = 64
 SEED = 42
 #: Rows of a bucket that one cell compares, at most twice.
 SLICE = 4096
@@ -49,6 +51,7 @@ NEAREST = 4
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _FP = [f"f{k}" for k in range(PARTS)]
+_SUMS = [f"c{k}" for k in range(CUTS // 8)]
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -79,8 +82,8 @@ def _set_fingerprint(found: np.ndarray, part: int) -> int:
     return int(np.packbits(2 * counts > len(found), bitorder="little").view("<i8")[0])
 
 
-def keys_of(found: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
-    """The first shingles of a set that stand for it (see the module's third point), and how many of the set are rare."""
+def keys_of(found: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """The first shingles of a set that stand for it (see the module's third point), how many of the set are rare, and its checksums."""
     n = rare = len(found)
     if len(frequent):
         late = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found
@@ -88,7 +91,9 @@ def keys_of(found: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
         found = np.concatenate((found[~late], found[late]))
     certain = n - -(-FIFTHS * n // 5) + 1
     few = math.ceil(math.log(MISS) / math.log(n / (5 * rare))) if 5 * rare > n else n
-    return found[: min(certain, few)], rare
+    late = found[rare:]
+    sums = np.bincount((late & np.uint64(CUTS - 1)).astype(np.int64), weights=(late >> np.uint64(6) & np.uint64(255)).astype(float), minlength=CUTS)
+    return found[: min(certain, few)], rare, (sums.astype(np.int64) & 255).astype(np.uint8).view("<i8")
 
 
 def _frequent_shingles(texts: DataFrame) -> np.ndarray:
@@ -104,7 +109,7 @@ def _frequent_shingles(texts: DataFrame) -> np.ndarray:
 
 
 def _signatures(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``(h, g, id, n, r, f0.., keys)``, one row for each row of ``texts(h, g, id, text)``; of ``n`` shingles ``r`` are rare."""
+    """``(h, g, id, n, r, f0.., c0.., keys)``, one row for each row of ``texts(h, g, id, text)``; of ``n`` shingles ``r`` are rare."""
 
     def run(batches):
         for batch in batches:
@@ -112,12 +117,13 @@ def _signatures(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
                 part = batch.slice(at, 256)
                 sets = [shingle_set(t.as_py()) for t in part.column(3)]
                 chosen = [keys_of(s, frequent) for s in sets]
-                keys = pa.array([k.view(np.int64) for k, _ in chosen], pa.list_(pa.int64()))
-                sizes = [pa.array(map(len, sets), pa.int64()), pa.array([r for _, r in chosen], pa.int64())]
+                keys = pa.array([c[0].view(np.int64) for c in chosen], pa.list_(pa.int64()))
+                sizes = [pa.array(map(len, sets), pa.int64()), pa.array([c[1] for c in chosen], pa.int64())]
+                sums = [pa.array(column) for column in (np.array([c[2] for c in chosen]).T if chosen else [[]] * len(_SUMS))]
                 prints = [pa.array([_set_fingerprint(s, k) for s in sets], pa.int64()) for k in range(PARTS)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *sizes, *prints, keys], names=["h", "g", "id", "n", "r", *_FP, "keys"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *sizes, *prints, *sums, keys], names=["h", "g", "id", "n", "r", *_FP, *_SUMS, "keys"])
 
-    return texts.select("h", "g", "id", "text").mapInArrow(run, f"h long, g long, id long, n long, r long, {', '.join(f'{f} long' for f in _FP)}, keys array<long>")
+    return texts.select("h", "g", "id", "text").mapInArrow(run, f"h long, g long, id long, n long, r long, {', '.join(f'{f} long' for f in (*_FP, *_SUMS))}, keys array<long>")
 
 
 def _within(a: str, b: str) -> Column:
@@ -139,7 +145,7 @@ def _block_pairs(classes: DataFrame) -> DataFrame:
     return equal.unionAll(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-_ROW = ["key", "cell_i", "cell_j", *_FP, "cid", "n", "comp", "f", "often"]
+_ROW = ["key", "cell_i", "cell_j", *_FP, "cid", "n", "comp", "f", "often", *_SUMS]
 
 
 def _runs(batches):
@@ -162,6 +168,8 @@ def _candidates(run: np.ndarray, nearest: bool):
     """Candidate pairs of one run, of different groups: with the nearest rows only, or all."""
     fps, cids, n, comp = np.ascontiguousarray(run[:, 3 : 3 + PARTS]).view(np.uint64), run[:, 3 + PARTS], run[:, 4 + PARTS], run[:, 5 + PARTS]
     frequent, often = run[:, 6 + PARTS], bool(run[0, 7 + PARTS])
+    sums = np.ascontiguousarray(run[:, 8 + PARTS :]).view(np.uint8)
+    counted = frequent if often else n
     groups, sizes = np.unique(comp, return_counts=True)
     if len(groups) < 2:
         return
@@ -175,6 +183,11 @@ def _candidates(run: np.ndarray, nearest: bool):
         if often:
             common = np.minimum(frequent[rows, None], frequent[None, :])
             near &= 5 * common >= FIFTHS * (n[rows, None] + n[None, :] - common)
+        i, j = np.nonzero(near)
+        for at_pair in range(0, len(i), 50_000):
+            x, y = rows[i[at_pair : at_pair + 50_000]], j[at_pair : at_pair + 50_000]
+            differ = counted[x] + counted[y] - 2 * -(-4 * (n[x] + n[y]) // 9)
+            near[i[at_pair : at_pair + 50_000], y] = (sums[x] != sums[y]).sum(1) <= differ
         if nearest and len(run) > NEAREST:
             chosen = np.argpartition(np.where(near, bits, 1 << 20), NEAREST - 1, axis=1)[:, :NEAREST]
             only = np.zeros_like(near)
@@ -186,7 +199,7 @@ def _candidates(run: np.ndarray, nearest: bool):
 
 
 def _bucket_pairs(buckets: DataFrame, groups: DataFrame | None, nearest: bool) -> DataFrame:
-    """``(a, b)``: candidates of different groups in ``buckets(key, often, cid, n, r, f0..)`` that hold several groups."""
+    """``(a, b)``: candidates of different groups in ``buckets(key, often, cid, n, r, f0.., c0..)`` that hold several groups."""
     now = buckets.withColumn("comp", F.col("cid"))
     if groups is not None:
         now = buckets.join(groups.withColumnsRenamed({"node": "cid", "component": "comp"}), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
@@ -195,7 +208,7 @@ def _bucket_pairs(buckets: DataFrame, groups: DataFrame | None, nearest: bool) -
     rows = now.join(bounded(open_), "key")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("slices"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
     # A cell (i, i) holds slice i alone; (i, j) holds both, so every pair meets somewhere.
-    cells = rows.select("key", F.least("own", "other").alias("cell_i"), F.greatest("own", "other").alias("cell_j"), *_FP, "cid", "n", "comp", (F.col("n") - F.col("r")).alias("f"), F.col("often").cast("long").alias("often"))
+    cells = rows.select("key", F.least("own", "other").alias("cell_i"), F.greatest("own", "other").alias("cell_j"), *_FP, "cid", "n", "comp", (F.col("n") - F.col("r")).alias("f"), F.col("often").cast("long").alias("often"), *_SUMS)
 
     def run(batches):
         for one in _runs(batches):
@@ -235,15 +248,18 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def similar_groups(classes: DataFrame, texts: DataFrame) -> DataFrame | None:
     """``(node, component)`` for the classes that have a near copy; none: None.
 
-    ``classes(cid, h, g, n, r, f0.., keys)`` has a row for each distinct text, ``texts(h, g, text)`` at least one.
+    ``classes(cid, h, g, n, r, f0.., c0.., keys)`` has a row for each distinct text, ``texts(h, g, text)`` at least one.
     """
-    keyed = classes.select(F.posexplode("keys").alias("place", "key"), "cid", "n", "r", *_FP).withColumn("often", F.col("place") >= F.col("r")).drop("place")
-    first = F.min(F.struct("cid", "n", "r", *_FP)).alias("first")
-    shared = keyed.groupBy("key").agg(first, F.count("*").alias("rows")).where("rows > 1").select("key", "first")
-    buckets = checkpointed(keyed.join(shared, "key").withColumn("own", F.struct("cid", "n", "r", *_FP)))
-    with_first = buckets.where("own.cid <> first.cid").where(_within("own", "first")).select(F.col("first.cid").alias("a"), "cid").withColumnRenamed("cid", "b")
+    keyed = classes.select(F.posexplode("keys").alias("place", "key"), "cid", "r").select("key", "cid", (F.col("place") >= F.col("r")).alias("often"))
+    shared = keyed.groupBy("key").agg(F.min("cid").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("key", "first")
+    # Most keys are one text's alone; only what shares one takes its fingerprints along.
+    hits = checkpointed(keyed.join(shared, "key"))
+    marks = classes.select("cid", "n", "r", *_FP, *_SUMS)
+    buckets = checkpointed(hits.join(marks, "cid").select("key", "often", "cid", "n", "r", *_FP, *_SUMS))
+    side = lambda name: F.struct("n", "r", *_FP).alias(name)
+    others = hits.where("cid <> first").join(classes.select("cid", side("own")), "cid").join(classes.select(F.col("cid").alias("first"), side("other")), "first")
+    with_first = others.where(_within("own", "other")).select(F.col("first").alias("a"), F.col("cid").alias("b"))
     pairs = checkpointed(with_first.unionAll(_block_pairs(classes)).distinct())
-    buckets = buckets.drop("own", "first")
     needed = buckets.select("cid").unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct()
     needed = checkpointed(classes.select("cid", "h", "g").join(needed, "cid", "left_semi"))
     found = texts.join(bounded(needed), ["h", "g"]).select("cid", "text")
@@ -273,9 +289,9 @@ def one_of_each_similar_group(docs: DataFrame, doc_id: str = "doc_id", text: str
     keyed = docs.withColumns({"__h": F.xxhash64(whole), "__g": F.xxhash64(F.lit(1), whole)})
     texts = keyed.select(F.col("__h").alias("h"), F.col("__g").alias("g"), F.col(doc_id).cast("long").alias("id"), whole.alias("text"))
     signed = checkpointed(_signatures(texts, _frequent_shingles(texts)))
-    named = signed.groupBy("h", "g", "id").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "r", *_FP, "keys")])
+    named = signed.groupBy("h", "g", "id").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "r", *_FP, *_SUMS, "keys")])
     head = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "copies")).alias("head")
-    classes = named.groupBy("h", "g").agg(head, *[F.first(c).alias(c) for c in ("n", "r", *_FP, "keys")])
+    classes = named.groupBy("h", "g").agg(head, *[F.first(c).alias(c) for c in ("n", "r", *_FP, *_SUMS, "keys")])
     # The number of a class, fixed by the checkpoint.
     classes = checkpointed(classes.withColumn("cid", F.monotonically_increasing_id()))
     groups = similar_groups(classes, texts)
