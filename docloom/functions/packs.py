@@ -69,26 +69,18 @@ KEYWORD_RULES: list[tuple[str, list[str], list[str], list[str], int]] = [
 HIGH_PRIORITY = ["生源地助学贷款合同", "贷款合同", "成绩单", "学籍卡", "学籍信息卡", "班级成员表", "在校证明", "学籍证明"]
 MID_PRIORITY = ["课程表", "课表", "贫困证明", "收入证明", "奖学金证明", "实习证明", "实习鉴定表", "请假条", "休学申请", "复学申请", "录取通知", "录取凭证"]
 
-# The primary class of each document type; other types are "other".
-PRIMARY_CLASS: dict[str, list[str]] = {
-    "transcript": ["成绩单", "学业成绩表", "成绩单/学业成绩表", "课程表", "课表", "课表/选课单"],
-    "student_record": ["学籍卡", "学籍信息卡", "班级成员表", "学籍证明"],
-    "enrollment_proof": ["在校证明", "学籍证明/在校证明"],
-    "certificate": ["贫困证明", "收入证明", "奖学金证明", "证明类其他", "实习证明", "实习鉴定表", "实习协议书", "毕业实习鉴定", "毕业证书/学历证书", "学历证书", "毕业证书", "学位证书"],
-    "leave_application": ["请假条", "休学申请", "复学申请"],
-    "application_exam": ["缓考申请表", "重修申请表"],
-    "application_change_major": ["转专业申请表"],
-    "application_transfer": ["转学申请表"],
-    "application_scholarship": ["奖学金申请表", "奖学金审批表"],
-    "application_grant": ["助学金申请表", "贫困生认定申请表"],
-    "admission": ["录取通知", "录取凭证"],
-    "contract": ["合同"],
-    "loan_contract": ["贷款合同", "生源地助学贷款合同"],
-    "notice": ["通知", "通知/公告"],
-    "meeting_minutes": ["会议纪要"],
-    "discipline": ["处分决定书", "解除处分决定书"],
-    "card": ["学生证", "校园卡"],
-}
+# The primary class of each document type; types not listed are "other".
+PRIMARY_CLASS: dict[str, str] = {
+    "成绩单": "transcript", "学业成绩表": "transcript", "成绩单/学业成绩表": "transcript", "课程表": "transcript", "课表": "transcript", "课表/选课单": "transcript",
+    "学籍卡": "student_record", "学籍信息卡": "student_record", "班级成员表": "student_record", "学籍证明": "student_record", "在校证明": "enrollment_proof", "学籍证明/在校证明": "enrollment_proof",
+    "贫困证明": "certificate", "收入证明": "certificate", "奖学金证明": "certificate", "证明类其他": "certificate", "实习证明": "certificate", "实习鉴定表": "certificate",
+    "实习协议书": "certificate", "毕业实习鉴定": "certificate", "请假条": "leave_application", "休学申请": "leave_application", "复学申请": "leave_application", "缓考申请表": "application_exam",
+    "重修申请表": "application_exam", "转专业申请表": "application_change_major", "转学申请表": "application_transfer", "奖学金申请表": "application_scholarship", "奖学金审批表": "application_scholarship", "助学金申请表": "application_grant",
+    "贫困生认定申请表": "application_grant", "录取通知": "admission", "录取凭证": "admission", "毕业证书/学历证书": "certificate", "学历证书": "certificate", "毕业证书": "certificate",
+    "学位证书": "certificate", "合同": "contract", "贷款合同": "loan_contract", "生源地助学贷款合同": "loan_contract", "通知": "notice", "通知/公告": "notice",
+    "会议纪要": "meeting_minutes", "处分决定书": "discipline", "解除处分决定书": "discipline", "学生证": "card", "校园卡": "card", "其他": "other",
+    "generic_document": "other",
+}
 
 # Entity type to field (name, field type, confidence).
 SLOTS: dict[str, tuple[str, str, float]] = {

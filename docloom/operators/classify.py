@@ -135,8 +135,7 @@ def pick_type(candidates: DataFrame, docs: DataFrame) -> DataFrame:
 
 def primary_type(df: DataFrame) -> DataFrame:
     """``df`` with ``primary_type`` of its ``doc_type``."""
-    pairs = [(t, p) for p, types in packs.PRIMARY_CLASS.items() for t in types]
-    table = df.sparkSession.createDataFrame(pairs, "doc_type string, primary_type string")
+    table = df.sparkSession.createDataFrame(list(packs.PRIMARY_CLASS.items()), "doc_type string, primary_type string")
     return df.join(F.broadcast(table), "doc_type", "left").withColumn("primary_type", F.coalesce("primary_type", F.lit("other")))
 
 

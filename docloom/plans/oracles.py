@@ -82,7 +82,7 @@ _KEYWORD = " UNION ALL ".join(
     + "".join(f" AND NOT contains(text, '{w}')" for w in none)
     for t, some, every, none, least in packs.KEYWORD_RULES
 )
-_PRIMARY = " ".join(f"WHEN document_type IN ({', '.join(repr(t) for t in types)}) THEN '{p}'" for p, types in packs.PRIMARY_CLASS.items())
+_PRIMARY = " ".join(f"WHEN document_type = '{t}' THEN '{p}'" for t, p in packs.PRIMARY_CLASS.items())
 
 ORACLES: dict[str, str] = {
     "leave_form_records": f"SELECT doc_id, k.document_type AS doc_type, k.confidence, sid AS student_id, phone FROM ({_LEAVE_PARTS}) JOIN ({_free(_LEAVE)}) k USING (doc_id)",
@@ -402,3 +402,12 @@ ORACLES["h6_post_process_contract"] = f"""WITH p AS (SELECT doc_id, text, regexp
 SELECT doc_id, name, NULL::VARCHAR AS certificate_id, contract AS account_number, '安徽农村商业银行' AS bank_name, amount::VARCHAR AS loan_amount, years::VARCHAR AS loan_years,
   '类型 ' || document_type || '，借款人 ' || name || '，金额 ' || printf('%.1f', amount) || ' 元，期限 ' || printf('%.1f', years) || ' 年' AS summary
 FROM p JOIN ({_free(_LOANS)}) USING (doc_id)"""
+
+ORACLES["d4_format_tables"] = f"""WITH g AS (SELECT * FROM ({_GRID})), t AS (SELECT * FROM ({ORACLES['d3_transcript_from_grid']}))
+SELECT doc_id, 'auto_table_1' AS name, row, '{{"col1":"' || cells[1] || '","col2":"' || cells[2] || '","col3":"' || cells[3] || '"}}' AS record FROM g
+UNION ALL SELECT doc_id, 'transcript', row, '{{"semester":' || coalesce('"' || semester || '"', 'null') || ',"course_name":"' || course_name || '","credit":"' || credit::DOUBLE || '","score":"' || score::DOUBLE || '","grade":null}}' FROM t"""
+ORACLES["f11_student_card"] = f"""WITH p AS (SELECT doc_id, text, regexp_extract(text, '系所 (\\S+)', 1) AS department, regexp_extract(text, '验证码 ([0-9]{{8,12}})', 1) AS code FROM ({_CARDS}))
+SELECT doc_id, regexp_extract(text, '姓名 (\\S+)', 1) AS name, regexp_extract(text, '性别 (男|女)', 1) AS gender, regexp_extract(text, '民族 (\\S+)', 1) AS nation, NULL::VARCHAR AS id_number, code AS student_id,
+  regexp_extract(text, '(\\S+)丨', 1) AS major, regexp_extract(text, '班级 (\\S+)', 1) AS class_name, department AS college, department, regexp_extract(text, '学校名称 (\\S+)', 1) AS school_name,
+  regexp_extract(text, '学历类别 (\\S+)', 1) AS education_type, regexp_extract(text, '丨(\\S+)', 1) AS study_mode, {_day("regexp_extract(text, '入学日期 ([0-9]{4}年[0-9]{1,2}月[0-9]{1,2})', 1)")} AS enroll_date,
+  regexp_extract(text, '学制 (\\S+)', 1) AS schooling_length, regexp_extract(text, '学号 ([0-9]+)', 1) AS verify_code FROM p"""
