@@ -74,6 +74,16 @@ def reconstruct_text(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", F.when(F.size(raw) > 0, F.array_join(raw, "\n")).otherwise(F.col("text")))
 
 
+def raw_tables(docs: DataFrame) -> DataFrame:
+    """``(doc_id, table_no, html)``: tables that recognition left in the arrays ``result``, ``structure`` and ``data`` of strings, in that order.
+
+    Columns may be absent or null; what holds no ``<table`` is no table.
+    """
+    arrays = [F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("result", "structure", "data") if c in docs.columns]
+    found = F.filter(F.concat(*arrays) if arrays else F.array().cast("array<string>"), lambda x: F.coalesce(F.lower(x).contains("<table"), F.lit(False)))
+    return docs.select("doc_id", F.posexplode(found).alias("table_no", "html"))
+
+
 # Strings that recognition is known to make up.
 NOISE = ("糖点", "硬是炎到", "心糖译")
 

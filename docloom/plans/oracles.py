@@ -8,6 +8,7 @@ from docloom.operators import card
 from docloom.operators.fields import EXPECTED, EXPECTED_OTHERWISE, INFERRED, LOAN_FIELDS, PROOF_FIELDS
 from docloom.operators.lines import NOISE
 from docloom.operators.shape import ALIASES, FLAT_NAMES
+from docloom.sources.exchange import CLASS_PROMPT, CORRECTION_PROMPT, FIELD_PROMPT
 from docloom.plans.fixtures import oracle as fixture
 
 
@@ -139,7 +140,6 @@ UNION ALL SELECT doc_id, 1, 'name', 'PERSON', name, 0.85 FROM s UNION ALL SELECT
        md5(substr(text, 1, 2000)) AS key, substr(text, 1, 10) || '... (+' || (length(text) - 10)::VARCHAR || ' chars)' AS preview, false AS label, class FROM ({_LEAVE_PARTS})""",
     "i11_parse_semester": f"SELECT doc_id, line_no, substr(semester, 1, 9) AS academic_year, substr(semester, 11, 1) AS term, course_code::DOUBLE AS code FROM ({_COURSE_ROWS})",
     "i12_cache_key": "SELECT doc_id, md5(substr(text, 1, 2000)) AS key, md5(CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '... (+' || (length(text) - 200)::VARCHAR || ' chars)' ELSE text END) AS preview_md5 FROM documents",
-    "k2_build_field_prompt": f"SELECT doc_id, md5('请从文本中抽取以下字段并返回 JSON：' || chr(10) || '- student_id (STUDENT_ID): ' || chr(10) || '- amount (NUMBER): ' || chr(10) || '- reason (TEXT): ' || chr(10) || '- absent (TEXT): ' || chr(10) || chr(10) || '文本：' || chr(10) || text) AS prompt_md5 FROM ({_LEAVE})",
     "k3_parse_model_replies": """SELECT conv_id * 1000 + turn AS doc_id, CASE WHEN turn % 2 = 0 THEN '通知' ELSE 'generic_document' END AS document_type, CASE WHEN turn % 2 = 0 THEN 0.5 ELSE 0 END AS confidence,
 CASE WHEN turn % 2 = 0 THEN md5(text) END AS summary FROM conversations""",
     "k4_needs_model": f"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'none' WHEN length({_TRIM.format('text')}) < 25 OR confidence < 0.35 OR total_boxes <= 4 THEN 'image' WHEN doc_id % 2 = 0 THEN 'text' ELSE 'none' END AS route FROM ({_OCR})""",
@@ -411,3 +411,17 @@ SELECT doc_id, regexp_extract(text, '姓名 (\\S+)', 1) AS name, regexp_extract(
   regexp_extract(text, '(\\S+)丨', 1) AS major, regexp_extract(text, '班级 (\\S+)', 1) AS class_name, department AS college, department, regexp_extract(text, '学校名称 (\\S+)', 1) AS school_name,
   regexp_extract(text, '学历类别 (\\S+)', 1) AS education_type, regexp_extract(text, '丨(\\S+)', 1) AS study_mode, {_day("regexp_extract(text, '入学日期 ([0-9]{4}年[0-9]{1,2}月[0-9]{1,2})', 1)")} AS enroll_date,
   regexp_extract(text, '学制 (\\S+)', 1) AS schooling_length, regexp_extract(text, '学号 ([0-9]+)', 1) AS verify_code FROM p"""
+
+
+def _text(value: str) -> str:
+    """A literal with line breaks, for SQL."""
+    return " || chr(10) || ".join(_quoted(part) for part in value.split("\n"))
+
+
+_LISTED = "- student_id (STUDENT_ID): \n- amount (NUMBER): \n- reason (TEXT): \n- absent (TEXT): \n文本：\n"
+ORACLES |= {
+    "c2_raw_tables": f"SELECT doc_id, row, array_to_string(cells, '|') AS cells FROM ({_GRID})",
+    "k2_build_field_prompt": f"SELECT doc_id, md5({_text(FIELD_PROMPT + _LISTED)} || text) AS prompt_md5 FROM ({_LEAVE})",
+    "k2_correction_prompt": f"SELECT doc_id, md5({_text(CORRECTION_PROMPT)} || text) AS prompt_md5 FROM documents",
+    "k2_classification_prompt": f"SELECT doc_id, md5({_text(CLASS_PROMPT)} || text) AS prompt_md5 FROM documents",
+}

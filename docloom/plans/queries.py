@@ -135,6 +135,15 @@ def c2_reconstruct_text(spark, d):
     return lines.reconstruct_text(docs).select("doc_id", F.md5("text").alias("text_md5"))
 
 
+def c2_raw_tables(spark, d):
+    """Rendered tables as recognition leaves them, in one array or another, as grids."""
+    html = render(spark, d, "html_tables")
+    none = F.lit(None).cast("array<string>")
+    first = F.col("doc_id") % 2 == 0
+    raw = html.select("doc_id", F.when(first, F.array("html", F.lit("no table"))).otherwise(none).alias("result"), F.when(~first, F.array(F.upper("html"))).otherwise(none).alias("data"))
+    return tables.html_table_to_grid(lines.raw_tables(raw)).select("doc_id", "row", _joined("cells"))
+
+
 def e7_label_predicates(spark, d):
     """Every word of the cards by what the label tests say of it."""
     words = _cards(spark, d).select("doc_id", F.posexplode(F.split("text", " ")).alias("word_no", "w"))
@@ -623,6 +632,14 @@ def k2_build_field_prompt(spark, d):
     return exchange.build_field_prompt(_leave(spark, d), _TEMPLATE).select("doc_id", F.md5("prompt").alias("prompt_md5"))
 
 
+def k2_correction_prompt(spark, d):
+    return exchange.build_correction_prompt(_docs(spark, d)).select("doc_id", F.md5("prompt").alias("prompt_md5"))
+
+
+def k2_classification_prompt(spark, d):
+    return exchange.build_classification_prompt(_docs(spark, d)).select("doc_id", F.md5("prompt").alias("prompt_md5"))
+
+
 def k3_parse_model_replies(spark, d):
     turns = _read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit('答：{"document_type":"通知","confidence":0.5,"summary":"'), F.md5("text"), F.lit('"} 完'))).otherwise(F.lit("无")).alias("reply"))
     return exchange.parse_model_replies(turns).select("doc_id", "document_type", "confidence", F.col("parsed.summary").alias("summary"))

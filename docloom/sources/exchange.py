@@ -27,10 +27,36 @@ def build_model_input(docs: DataFrame, guide: str = "") -> DataFrame:
     return docs.select("doc_id", F.concat_ws("\n\n", *parts).alias("model_input"))
 
 
+# What the model is asked, before the document's text.
+CORRECTION_PROMPT = "你是 OCR 纠错器，请在保持原文语义的基础上纠正常见 OCR 错误，输出纯文本。\n要求：不编造内容；保持换行；只返回纠正后的文本。\n\n原文：\n"
+FIELD_PROMPT = (
+    '你是高校文档结构化解析引擎。请从文本中提取下列字段，输出严格 JSON：{"extract_details":[{"field_name":"","field_value":"","field_type":"","confidence":0.0}]}。\n'
+    "规则：\n1) 缺失用 null；2) 不要返回 NaN/undefined；3) confidence 0~1；4) 只输出 JSON。\n字段列表：\n"
+)
+CLASS_PROMPT = (
+    '根据以下高校文档文本判断文档类型，输出 JSON：{"document_type":"","confidence":0.0,"probabilities":{}}。'
+    "类型示例：成绩单、学籍卡、在校证明、毕业证书/学历证书、学位证书、合同、申请、通知、课表、其他。\n文本：\n"
+)
+
+
+def _prompted(docs: DataFrame, prompt: str) -> DataFrame:
+    return docs.select("doc_id", F.concat(F.lit(prompt), F.coalesce("text", F.lit(""))).alias("prompt"))
+
+
 def build_field_prompt(docs: DataFrame, template: dict) -> DataFrame:
     """``(doc_id, prompt)``: the template's fields as a list, then the text."""
-    listed = "\n".join(f"- {f['name']} ({f['type']}): {f.get('description') or ''}" for f in template.get("fields") or [])
-    return docs.select("doc_id", F.concat(F.lit(f"请从文本中抽取以下字段并返回 JSON：\n{listed}\n\n文本：\n"), F.coalesce("text", F.lit(""))).alias("prompt"))
+    listed = "\n".join(f"- {f['name']} ({f.get('type') or 'TEXT'}): {f.get('description') or ''}" for f in template.get("fields") or [])
+    return _prompted(docs, f"{FIELD_PROMPT}{listed}\n文本：\n")
+
+
+def build_correction_prompt(docs: DataFrame) -> DataFrame:
+    """``(doc_id, prompt)``: the text to be corrected where recognition went wrong."""
+    return _prompted(docs, CORRECTION_PROMPT)
+
+
+def build_classification_prompt(docs: DataFrame) -> DataFrame:
+    """``(doc_id, prompt)``: the text whose type is asked for."""
+    return _prompted(docs, CLASS_PROMPT)
 
 
 _BLOCK = ", ".join(f"{b}: struct<{', '.join(f'{n}: ' + ('double' if n in _NUMERIC else 'string') for n in names)}>" for b, names in BLOCKS.items())
