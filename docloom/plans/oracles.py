@@ -326,7 +326,7 @@ FROM (SELECT doc_id, unnest([{{'n': 'student_name', 'v': n}}, {{'n': 'student_id
     "a11_error_envelope": """SELECT '{"code":400,"message":"text or file is required"' || CASE WHEN page_id % 2 = 0 THEN ',"detail":"' || page_id::VARCHAR || '"' ELSE '' END || '}' AS value, count(*) AS n
 FROM pages WHERE page_id % 3 <> 0 OR coalesce(html, '') = '' GROUP BY 1""",
     "b3_merge_tiles": f"""WITH t AS ({_TILES}), b AS (
-  SELECT l_orderkey AS doc_id, l_linenumber % 3 AS tile, l_suppkey AS x, l_partkey % 50 AS y, round(l_discount, 4) AS c FROM lineitem)
+  SELECT l_orderkey AS doc_id, l_linenumber % 3 AS tile, l_suppkey AS x, l_partkey % 50 AS y, round(l_discount * 100) / 128.0::DOUBLE AS c FROM lineitem)
 SELECT doc_id, sum(x + dx) AS sum_x0, sum(y + dy) AS sum_y0, sum(x + dx + 10) AS sum_x1, sum(y + dy + 20) AS sum_y1, round_even(avg(c::DOUBLE), 4) AS confidence, count(*) AS total_boxes
 FROM (SELECT b.*, CASE WHEN vertical THEN 0 ELSE lo END AS dx, CASE WHEN vertical THEN lo ELSE 0 END AS dy FROM b JOIN t USING (doc_id, tile)) GROUP BY doc_id""",
     "b6_pick_best_variant": """WITH v AS (

@@ -208,7 +208,7 @@ def b3_merge_tiles(spark, d):
     """Order lines as boxes in the three tiles of their order's page: placed on the page, then summed up by page."""
     items = _read(spark, d, "lineitem")
     boxes = items.select(
-        F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 3).cast("int").alias("tile"), F.col("l_linenumber").alias("line_no"), F.col("l_returnflag").alias("text"), F.round(F.col("l_discount"), 4).alias("confidence"),
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 3).cast("int").alias("tile"), F.col("l_linenumber").alias("line_no"), F.col("l_returnflag").alias("text"), (F.round(F.col("l_discount") * 100) / 128.0).alias("confidence"),
         F.col("l_suppkey").alias("x0"), (F.col("l_partkey") % 50).alias("y0"), (F.col("l_suppkey") + 10).alias("x1"), (F.col("l_partkey") % 50 + 20).alias("y1"),
     )
     merged = ocr.merge_tiles(boxes, ocr.tile_windows(_page_sizes(spark, d)))
