@@ -10,8 +10,7 @@ two or three bits: too short to be keys. So blocks find the close pairs, and sho
    frequent, at least ``1 - n / 5r`` of those that two such sets have are common to both, so that already their first
    ``log(MISS) / log(n / 5r)`` hold a common one but for a chance under ``MISS``. The fewer of both numbers are a text's keys.
 4. In a key's bucket each row is first compared with the bucket's first row, which joins a large group at the cost
-   of its rows. Only rows of buckets that hold several groups after that are compared with each other, in cells of bounded size:
-   with the nearest of other groups, then with all that are not in one group by then.
+   of its rows. Only rows of buckets that hold several groups after that are compared with each other, in cells of bounded size.
 5. What is compared are 256-bit fingerprints of the sets and their sizes; pairs within ``WIDE_BITS`` bits are verified on
    the texts themselves. A set with a frequent key has all its rare shingles as keys, so a pair that shares a rare one meets there: in the
    bucket of a frequent key only pairs count whose frequent shingles alone can make the similarity. These are cut into ``CUTS``
@@ -46,8 +45,6 @@ SLICE = 4096
 #: One text in so many tells which shingles are frequent; links do not depend on it.
 SAMPLE = 16
 FREQUENT_FROM, MOST_FREQUENT = 8, 200_000
-#: Candidates of each row in the second round.
-NEAREST = 4
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _FP = [f"f{k}" for k in range(PARTS)]
@@ -164,8 +161,8 @@ def _runs(batches):
         yield held
 
 
-def _candidates(run: np.ndarray, nearest: bool):
-    """Candidate pairs of one run, of different groups: with the nearest rows only, or all."""
+def _candidates(run: np.ndarray):
+    """Candidate pairs of one run, of different groups."""
     fps, cids, n, comp = np.ascontiguousarray(run[:, 3 : 3 + PARTS]).view(np.uint64), run[:, 3 + PARTS], run[:, 4 + PARTS], run[:, 5 + PARTS]
     frequent, often = run[:, 6 + PARTS], bool(run[0, 7 + PARTS])
     sums = np.ascontiguousarray(run[:, 8 + PARTS :]).view(np.uint8)
@@ -188,17 +185,12 @@ def _candidates(run: np.ndarray, nearest: bool):
             x, y = rows[i[at_pair : at_pair + 50_000]], j[at_pair : at_pair + 50_000]
             differ = counted[x] + counted[y] - 2 * -(-4 * (n[x] + n[y]) // 9)
             near[i[at_pair : at_pair + 50_000], y] = (sums[x] != sums[y]).sum(1) <= differ
-        if nearest and len(run) > NEAREST:
-            chosen = np.argpartition(np.where(near, bits, 1 << 20), NEAREST - 1, axis=1)[:, :NEAREST]
-            only = np.zeros_like(near)
-            np.put_along_axis(only, chosen, True, axis=1)
-            near &= only
         i, j = np.nonzero(near)
         a, b = cids[rows[i]], cids[j]
         yield np.minimum(a, b), np.maximum(a, b)
 
 
-def _bucket_pairs(buckets: DataFrame, groups: DataFrame | None, nearest: bool) -> DataFrame:
+def _bucket_pairs(buckets: DataFrame, groups: DataFrame | None) -> DataFrame:
     """``(a, b)``: candidates of different groups in ``buckets(key, often, cid, n, r, f0.., c0..)`` that hold several groups."""
     now = buckets.withColumn("comp", F.col("cid"))
     if groups is not None:
@@ -212,7 +204,7 @@ def _bucket_pairs(buckets: DataFrame, groups: DataFrame | None, nearest: bool) -
 
     def run(batches):
         for one in _runs(batches):
-            for a, b in _candidates(one, nearest):
+            for a, b in _candidates(one):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -264,17 +256,15 @@ def similar_groups(classes: DataFrame, texts: DataFrame) -> DataFrame | None:
     needed = checkpointed(classes.select("cid", "h", "g").join(needed, "cid", "left_semi"))
     found = texts.join(bounded(needed), ["h", "g"]).select("cid", "text")
     texts = checkpointed(found.groupBy("cid").agg(F.first("text").alias("text")))
-    edges = groups = tried = None
-    for nearest in (None, True, False):
-        if nearest is not None:
-            pairs = _bucket_pairs(buckets, groups, nearest).distinct()
-            pairs = checkpointed(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
-        if pairs.isEmpty():
-            continue
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        good = checkpointed(_verified(pairs, texts))
-        edges = good if edges is None else edges.unionAll(good)
+    edges = groups = None
+    if not pairs.isEmpty():
+        edges = checkpointed(_verified(pairs, texts))
         groups = checkpointed(connected_components(edges))
+    # What is in one group by now need not be compared; what was compared in vain is left out.
+    rest = checkpointed(_bucket_pairs(buckets, groups).distinct().join(pairs, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        more = checkpointed(_verified(rest, texts))
+        groups = checkpointed(connected_components(more if edges is None else edges.unionAll(more)))
     return groups
 
 
