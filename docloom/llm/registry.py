@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import embedding_dedup, html_text, line_dedup, mixing, packing, quality_model, quality_rules, simhash, toxicity, warc
+from docloom.llm import embedding_dedup, html_text, line_dedup, mixing, neighbours, packing, prefix_trie, quality_model, quality_rules, simhash, toxicity, warc, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_packing": packing.op9_packing,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+        "op11_nearest_neighbours": neighbours.op11_nearest_neighbours,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
 
@@ -27,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_mixing": mixing.OP6_SQL,
         "op8_quality_rules": quality_rules.OP8_SQL,
         "op10_embedding_dedup": embedding_dedup.OP10_SQL,
+        "op13_prefix_trie": prefix_trie.OP13_SQL,
     }

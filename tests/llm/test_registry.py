@@ -7,7 +7,7 @@ from docloom.llm import registry
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_oracle(spark, sf, name):
     duck = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "labels"):
+    for t in ("documents", "pages", "embeddings", "labels", "conversations"):
         duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got = registry.queries()[name](spark, sf)
     columns = sorted(got.columns)
@@ -18,4 +18,4 @@ def test_oracle(spark, sf, name):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))
