@@ -236,7 +236,7 @@ def _solved(rows: DataFrame, fits: list[dict], components: int) -> list[dict]:
         a = np.array(table.sort_values("i")["row"].tolist(), dtype=np.float64) / size[dim]
         a = (a + a.T) / 2
         values, vectors = leading_components(a, components)
-        return pd.DataFrame({"dim": dim, "k": range(len(values)), "value": values, "share": values / np.trace(a) if len(values) else values, "vector": list(vectors)})
+        return pd.DataFrame({"dim": dim, "k": range(len(values)), "value": values, "share": values / np.trace(a) if len(values) else values, "vector": pd.Series(vectors.tolist(), dtype=object)})
 
     solved = _products(rows, fits, False).groupBy("dim").applyInPandas(solve, "dim long, k long, value double, share double, vector array<double>")
     by_dim: dict = {}

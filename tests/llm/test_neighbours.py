@@ -13,7 +13,7 @@ def brute(rows, asks, k=10):
     out = {}
     for n, (i, v) in enumerate(sound):
         if i is not None and asks(i):
-            near = [(float(np.sqrt((((w - v) / 1e3) ** 2).sum()) * 1e3), j is None, j or 0, j) for m, (j, w) in enumerate(sound) if m != n and len(w) == len(v)]
+            near = [(float(np.sqrt(((w - v) ** 2).sum())), j is None, j or 0, j) for m, (j, w) in enumerate(sound) if m != n and len(w) == len(v)]
             out.setdefault(i, []).append([(x[0], x[3]) for x in sorted(near, key=lambda x: x[:3])[:k]])
     return out
 
