@@ -12,16 +12,22 @@ from docloom.functions import packs
 UNKNOWN = "未知"
 
 
-def _hits(words: list[str], text: Column) -> Column:
-    return reduce(lambda a, b: a + b, [text.contains(w).cast("int") for w in words], F.lit(0))
+def _tests(words: list[str], text: str) -> list[str]:
+    """A SQL test for each word. Packs hold hundreds: one parsed string for all is made far faster than as many Column calls."""
+    quoted = [w.replace("\\", "\\\\").replace("'", "\\'") for w in words]
+    return [f"contains({text}, '{w}')" for w in quoted]
 
 
-def _any(words: list[str], text: Column) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(w) for w in words], F.lit(False))
+def _hits(words: list[str], text: str = "text") -> Column:
+    return F.expr(" + ".join(f"CAST({t} AS INT)" for t in _tests(words, text)) or "0")
 
 
-def _all(words: list[str], text: Column) -> Column:
-    return reduce(lambda a, b: a & b, [text.contains(w) for w in words], F.lit(True))
+def _any(words: list[str], text: str = "text") -> Column:
+    return F.expr(" OR ".join(_tests(words, text)) or "false")
+
+
+def _all(words: list[str], text: str = "text") -> Column:
+    return F.expr(" AND ".join(_tests(words, text)) or "true")
 
 
 def _judged(docs: DataFrame, scores: Column) -> DataFrame:
@@ -43,9 +49,8 @@ def _judged(docs: DataFrame, scores: Column) -> DataFrame:
 
 def classify_free(docs: DataFrame) -> DataFrame:
     """``(doc_id, document_type, confidence, probabilities)`` by the number of a type's keywords in the text."""
-    text = F.col("text")
     scores = F.array(
-        *[F.struct(F.lit(t).alias("type"), F.lit(k).alias("ord"), _hits(words, text).cast("double").alias("score")) for k, (t, words) in enumerate(packs.TYPE_KEYWORDS.items())]
+        *[F.struct(F.lit(t).alias("type"), F.lit(k).alias("ord"), _hits(words).cast("double").alias("score")) for k, (t, words) in enumerate(packs.TYPE_KEYWORDS.items())]
     )
     return _judged(docs, scores)
 
@@ -54,15 +59,14 @@ def classify_weighted(docs: DataFrame, entities: DataFrame) -> DataFrame:
     """Keyword scores with bonuses for entity types and weights for leave forms and rosters."""
     kinds = entities.groupBy("doc_id").agg(F.collect_set("type").alias("__kinds"))
     joined = docs.join(kinds, "doc_id", "left")
-    text = F.col("text")
 
     def has(kind: str, bonus: int) -> Column:
         return F.when(F.coalesce(F.array_contains("__kinds", kind), F.lit(False)), bonus).otherwise(0)
 
-    leave, roster = _any(packs.LEAVE_WORDS, text), _all(packs.ROSTER_WORDS, text)
+    leave, roster = _any(packs.LEAVE_WORDS), _all(packs.ROSTER_WORDS)
     found = []
     for k, (kind, words) in enumerate(packs.TYPE_KEYWORDS.items()):
-        score = _hits(words, text)
+        score = _hits(words)
         if kind in ("成绩单", "课程表"):
             score = score + has("COURSE", 2) + has("SCORE", 2)
         if kind in ("在校证明", "学籍信息卡", "请假条"):
@@ -74,11 +78,10 @@ def classify_weighted(docs: DataFrame, entities: DataFrame) -> DataFrame:
 
 def keyword_rules(docs: DataFrame) -> DataFrame:
     """``(doc_id, doc_type, score)``: 0.15 and 0.05 for each of up to five hits of the rules that hold; the best by type."""
-    text = F.col("text")
     fired = []
     for k, (kind, some, every, none, least) in enumerate(packs.KEYWORD_RULES):
-        hits = _hits(some, text)
-        holds = ~_any(none, text) & _all(every, text) & (hits >= least)
+        hits = _hits(some)
+        holds = ~_any(none) & _all(every) & (hits >= least)
         fired.append(F.when(holds, F.struct(F.lit(kind).alias("doc_type"), F.lit(k).alias("ord"), (0.15 + 0.05 * F.least(hits, F.lit(5))).alias("score"))))
     rows = docs.select("doc_id", F.inline(F.array_compact(F.array(*fired))))
     return rows.groupBy("doc_id", "doc_type").agg(F.max("score").alias("score"), F.min("ord").alias("ord"))
@@ -92,7 +95,7 @@ def roster_boost(docs: DataFrame) -> DataFrame:
     """``(doc_id, doc_type, score)``: 0.99 from five class-name-gender triples on, 0.9 from three, under roster headings."""
     text = F.col("text")
     n = F.regexp_count(text, F.lit(ROSTER_TRIPLE))
-    heading = _all(["序号", "班级", "姓名"], text) | _all(["班级", "性别"], text)
+    heading = _all(["序号", "班级", "姓名"]) | _all(["班级", "性别"])
     score = F.when(heading & (n >= 5), 0.99).when(heading & (n >= 3), 0.9)
     return docs.select("doc_id", F.lit("班级成员表").alias("doc_type"), score.alias("score")).where("score IS NOT NULL")
 
@@ -123,12 +126,12 @@ def pick_type(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     best = candidates.groupBy("doc_id").agg(F.max_by("doc_type", F.struct(F.col("score") * 10 + priority, -F.col("type_ord"))).alias("__best"))
     t = F.col("text")
     fallback = (
-        F.when(_any(["成绩单", "学业成绩表", "成绩列表"], t), "成绩单")
-        .when(_any(["课程表", "课表"], t), "课程表")
-        .when(t.contains("班级") & _any(["姓名", "序号"], t), "班级成员表")
-        .when(_any(["学籍卡", "学籍信息卡"], t), "学籍卡")
-        .when(_any(["在校证明", "在读证明"], t), "在校证明")
-        .when(_any(["生源地助学贷款", "贷款合同编号"], t), "生源地助学贷款合同")
+        F.when(_any(["成绩单", "学业成绩表", "成绩列表"]), "成绩单")
+        .when(_any(["课程表", "课表"]), "课程表")
+        .when(t.contains("班级") & _any(["姓名", "序号"]), "班级成员表")
+        .when(_any(["学籍卡", "学籍信息卡"]), "学籍卡")
+        .when(_any(["在校证明", "在读证明"]), "在校证明")
+        .when(_any(["生源地助学贷款", "贷款合同编号"]), "生源地助学贷款合同")
     )
     return docs.join(best, "doc_id", "left").select("doc_id", F.coalesce("__best", fallback, F.lit("其他")).alias("doc_type"))
 
@@ -139,29 +142,67 @@ def primary_type(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(table), "doc_type", "left").withColumn("primary_type", F.coalesce("primary_type", F.lit("other")))
 
 
-def select_template(docs: DataFrame, templates: list[dict]) -> DataFrame:
+def select_template(docs: DataFrame, templates: list[dict] | DataFrame) -> DataFrame:
     """``(doc_id, template_id, score)``: five points for the type, one a keyword, of fifteen; the first best, none at zero.
 
-    ``templates`` is a caller's pack of some dozens of dicts; it is compiled to one expression, so there is no join.
+    ``templates`` is a caller's pack of some dozens of dicts, compiled to one expression, or a table of a pack's rows in order
+    of ``ord`` (else of id), sent along as one array. Either way each document is judged within its row.
     """
-    low = F.lower("text")
+    if isinstance(templates, DataFrame):
+        return _select_from_table(docs, templates)
     scored = []
     for k, t in enumerate(templates):
-        points = F.when(F.col("document_type") == t["document_type"], 5).otherwise(0) + _hits([w.lower() for w in t.get("match_keywords") or []], low)
-        scored.append(F.struct(points.alias("points"), F.lit(-k).alias("o"), F.lit(t["template_id"]).alias("template_id")))
+        points = F.when(F.col("document_type") == t["document_type"], 5).otherwise(0) + _hits([w.lower() for w in t.get("match_keywords") or []], "lower(text)")
+        scored.append(F.struct(F.least(points, F.lit(15)).alias("points"), F.lit(-k).alias("o"), F.lit(t["template_id"]).alias("template_id")))
     best = docs.select("doc_id", F.array_max(F.array(*scored)).alias("b")).where("b.points > 0")
     return best.select("doc_id", F.col("b.template_id").alias("template_id"), F.least(F.col("b.points") / 15, F.lit(1.0)).alias("score"))
 
 
-def merge_classification(nlp: DataFrame, llm: DataFrame) -> DataFrame:
-    """The model's class where it gave one that is at least as sure, else the keywords'; its shares overlay theirs."""
-    m = llm.select("doc_id", F.col("document_type").alias("__t"), F.col("confidence").alias("__c"), F.col("probabilities").alias("__p"))
-    joined = nlp.join(m, "doc_id", "left")
-    wins = F.coalesce(F.col("__c") >= F.col("confidence"), F.lit(False))
-    kept = F.map_filter("probabilities", lambda k, _: ~F.coalesce(F.map_contains_key(F.col("__p"), k), F.lit(False)))
-    return joined.select(
+#: Templates that one array may hold.
+MOST_TEMPLATES = 20_000
+
+
+def _select_from_table(docs: DataFrame, templates: DataFrame) -> DataFrame:
+    order = "ord" if "ord" in templates.columns else "template_id"
+    words = F.transform(F.coalesce("match_keywords", F.array().cast("array<string>")), F.lower)
+    pack = templates.select(F.struct(F.col(order).alias("at"), "template_id", "document_type", F.filter(words, lambda w: w != "").alias("words")).alias("t"))
+    if pack.count() > MOST_TEMPLATES:
+        raise ValueError(f"a pack holds {MOST_TEMPLATES} templates at most")
+    packed = pack.agg(F.array_sort(F.collect_list("t")).alias("__pack"))
+    rows = docs.select("doc_id", "document_type", F.lower("text").alias("__low")).join(F.broadcast(packed))
+
+    def points(t: Column) -> Column:
+        hits = F.size(F.filter(t["words"], lambda w: F.contains(F.col("__low"), w)))
+        return F.when((F.col("document_type") != "") & (t["document_type"] == F.col("document_type")), 5).otherwise(0) + hits
+
+    # All from fifteen points on count alike: the first of them is taken.
+    capped = F.transform("__pack", lambda t, k: F.struct(F.least(points(t), F.lit(15)).alias("points"), (-k).alias("o"), t["template_id"].alias("template_id")))
+    best = rows.select("doc_id", F.array_max(capped).alias("b")).where("b.points > 0")
+    return best.select("doc_id", F.col("b.template_id").alias("template_id"), (F.col("b.points") / 15).alias("score"))
+
+
+def merge_classification(nlp: DataFrame, *models: DataFrame, picked: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, document_type, confidence, probabilities)``: the surest model's class where any gave one, however sure, else the keywords'.
+
+    ``models`` come in order (image, then text); of equal confidence the first counts. ``picked(doc_id, doc_type, candidates)``, the
+    outcome of the fused scores, then sets the type and overlays its candidates on the shares; documents without a class take both from it.
+    """
+    answers = None
+    for k, m in enumerate(models):
+        part = m.where("document_type IS NOT NULL").select("doc_id", F.struct(F.coalesce("confidence", F.lit(0.0)).alias("sure"), F.lit(-k).alias("first"), "document_type", "confidence", "probabilities").alias("m"))
+        answers = part if answers is None else answers.unionByName(part)
+    joined = nlp.select("doc_id", "document_type", "confidence", "probabilities")
+    if answers is not None:
+        best = answers.groupBy("doc_id").agg(F.max_by("m", F.struct("m.sure", "m.first")).alias("m"))
+        joined = joined.join(best, "doc_id", "full_outer").select("doc_id", *[F.when(F.col("m").isNotNull(), F.col(f"m.{c}")).otherwise(F.col(c)).alias(c) for c in ("document_type", "confidence", "probabilities")])
+    if picked is None:
+        return joined
+    rows = joined.join(picked.select("doc_id", F.col("doc_type").alias("__t"), F.col("candidates").alias("__c")), "doc_id", "full_outer")
+    over = F.coalesce("__c", F.create_map().cast("map<string,double>"))
+    kept = F.map_filter(F.coalesce("probabilities", F.create_map().cast("map<string,double>")), lambda k, _: ~F.map_contains_key(over, k))
+    return rows.select(
         "doc_id",
-        F.when(wins, F.col("__t")).otherwise(F.col("document_type")).alias("document_type"),
-        F.when(wins, F.col("__c")).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(F.col("__p").isNull(), F.col("probabilities")).otherwise(F.map_concat(kept, F.col("__p"))).alias("probabilities"),
+        F.coalesce("__t", "document_type").alias("document_type"),
+        F.when(F.col("document_type").isNull(), F.coalesce(F.try_element_at("__c", F.col("__t")), F.lit(0.0))).otherwise(F.col("confidence")).alias("confidence"),
+        F.map_concat(kept, over).alias("probabilities"),
     )

@@ -135,6 +135,7 @@ def entity_slots(entities: DataFrame) -> DataFrame:
     joined = first.join(F.broadcast(slots), "type")
     value = (
         F.when(F.col("field_type") == "DATE", F.coalesce(S.normalize_date(F.col("v")), F.col("v")))
+        .when(F.col("type") == "MONEY_AMOUNT", F.coalesce(S.parse_money(F.col("v")).cast("string"), F.col("v")))
         .when(F.col("field_name") == "loan_years", F.coalesce(S.months_to_years(F.col("v")).cast("string"), F.col("v")))
         .otherwise(F.col("v"))
     )

@@ -157,6 +157,63 @@ def validate_fields(fields: DataFrame, rules: dict[str, dict]) -> DataFrame:
     )
 
 
+def _groups(pattern: Column) -> Column:
+    """1 if a pattern has a capturing group, else 0; escapes and character classes aside."""
+    bare = F.regexp_replace(F.regexp_replace(pattern, r"\\\\.", ""), r"\[[^\]]*\]", "")
+    return F.when(bare.rlike(r"\((?!\?)|\(\?P?<[A-Za-z]"), 1).otherwise(0)
+
+
+def extract_by_templates(docs: DataFrame, templates: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """:func:`extract_fields` where each of ``docs(doc_id, text, template_id)`` names its template in a table of them (see ``load_templates``).
+
+    Fields, patterns and checks are columns of the table, which is joined by id; documents without a known template have no
+    rows. Patterns are used as they stand in the table: ``load_templates`` leaves out those that do not compile.
+    """
+    spec = templates.select("template_id", F.posexplode("fields").alias("field_ord", "f"))
+    rows = docs.select("doc_id", "text", "template_id").join(F.broadcast(spec) if spec.count() <= 50_000 else spec, "template_id")
+    text, f = F.col("text"), F.col("f")
+
+    def attempt(p: Column) -> Column:
+        java = F.concat(F.lit("(?iU)"), p)
+        whole, value = F.call_function("regexp_extract", text, java, F.lit(0)), S.trimmed(F.call_function("regexp_extract", text, java, _groups(p)))
+        start = (F.regexp_instr(text, java) - 1).cast("int")
+        end = (start + F.length(whole)).cast("int")
+        at = F.greatest(start - 20, F.lit(0))
+        return F.struct(value.alias("value"), F.struct(start.alias("start"), end.alias("end"), F.substr(text, at + 1, end + 20 - at).alias("context")).alias("position"))
+
+    patterns = F.coalesce(f["patterns"], F.array().cast("array<string>"))
+    first = F.get(F.filter(patterns, lambda p: F.regexp_like(text, F.concat(F.lit("(?iU)"), p))), F.lit(0))
+    # The pattern that matches is found once, behind a generator.
+    rows = rows.select("doc_id", "text", "field_ord", "f", F.explode(F.array(first)).alias("p"))
+    rows = rows.select("doc_id", "field_ord", "f", F.when(F.col("p").isNotNull(), attempt(F.col("p"))).alias("hit"))
+    value, position, confidence, kind = F.col("hit.value"), F.col("hit.position"), F.when(F.col("hit").isNotNull(), 0.9), f["type"]
+    rows = rows.withColumn("field_type", kind)
+    if entities is not None:
+        found = entities.groupBy("doc_id", F.col("type").alias("field_type")).agg(F.min_by(F.struct(F.col("text").alias("value"), F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.lit(None).cast("string").alias("context")).alias("position")), F.struct("rule", "ord")).alias("ner"))
+        rows = rows.join(found, ["doc_id", "field_type"], "left")
+        may = F.col("hit").isNull() & F.coalesce(f["required"], F.lit(False)) & F.col("field_type").isin("PERSON", "ORG", "DATE")
+        value, position = F.when(may, F.col("ner.value")).otherwise(value), F.when(may, F.col("ner.position")).otherwise(position)
+        confidence = F.when(may & F.col("ner").isNotNull(), 0.85).otherwise(confidence)
+    rows = rows.select("doc_id", "field_ord", f["name"].alias("field_name"), "field_type", value.alias("field_value"), F.coalesce(confidence, F.lit(0.0)).alias("confidence"), position.alias("source_position"), f["validation"].alias("r"))
+    v, number, r = F.col("field_value"), F.col("field_value").try_cast("double"), F.col("r")
+    numeric = F.col("field_type") == "NUMBER"
+    message = (
+        F.when(v.isNull(), "Value not found")
+        .when(~F.regexp_like(v, F.concat(F.lit("(?U)^(?:"), r["pattern"], F.lit(")"))), F.concat(F.lit("Value does not match pattern: "), r["pattern"]))
+        .when(F.length(v) < r["min_length"], F.concat(F.lit("Value too short (min: "), r["min_length"].cast("string"), F.lit(")")))
+        .when(F.length(v) > r["max_length"], F.concat(F.lit("Value too long (max: "), r["max_length"].cast("string"), F.lit(")")))
+        .when(numeric & number.isNull(), "Invalid numeric value")
+        .when(numeric & (number < r["min"]), F.concat(F.lit("Value below minimum ("), r["min"].cast("string"), F.lit(")")))
+        .when(numeric & (number > r["max"]), F.concat(F.lit("Value above maximum ("), r["max"].cast("string"), F.lit(")")))
+        .when((F.size(r["enum"]) > 0) & ~F.array_contains(r["enum"], v), F.concat(F.lit("Value not in allowed list: "), F.to_json(r["enum"])))
+    )
+    out = rows.withColumn("m", message)
+    return out.select(
+        "doc_id", "field_ord", "field_name", "field_type", "field_value", F.bround(F.when(F.col("m").isNull(), F.col("confidence")).otherwise(F.col("confidence") * 0.5), 4).alias("confidence"), "source_position",
+        F.struct(F.col("m").isNull().alias("is_valid"), F.coalesce("m", F.lit("验证通过")).alias("message")).alias("validation"),
+    )
+
+
 def summarize_fields(fields: DataFrame) -> DataFrame:
     """``(doc_id, total_fields, extracted_fields, confidence, status)``: mean confidence of fields with a value."""
     has = F.col("field_value").isNotNull()

@@ -84,6 +84,27 @@ def raw_tables(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(found).alias("table_no", "html"))
 
 
+def read_raw(docs: DataFrame, raw: str = "raw") -> DataFrame:
+    """``docs`` with ``text`` and ``lines`` as recognition's own JSON (``raw``) has them, and ``html``, its tables in order.
+
+    Lines are those of the list ``lines`` (values of any kind as text, blank ones left out), and then the text is theirs; else those of the text.
+    Tables are the ``html`` of the objects in the lists ``result``, ``structure`` and ``data``, where that holds ``<table``. What is
+    no JSON, no list or no object gives nothing.
+    """
+    json = F.try_parse_json(F.col(raw))
+
+    def listed(name: str) -> Column:
+        return F.coalesce(F.try_variant_get(json, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
+
+    # Behind a generator, so that the JSON is read once.
+    found = F.struct(F.transform(listed("lines"), lambda x: trimmed(F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("None")))).alias("own"), F.concat(*[F.transform(listed(n), lambda x: F.try_variant_get(x, "$.html", "string")) for n in ("result", "structure", "data")]).alias("html"))
+    rows = docs.withColumn("__f", F.explode(F.array(found)))
+    own = F.filter("__f.own", lambda x: x != "")
+    rows = rows.withColumn("lines", F.when(F.size(own) > 0, own).otherwise(lines_of(F.coalesce("text", F.lit("")))))
+    rows = rows.withColumn("text", F.when(F.size(own) > 0, F.array_join(own, "\n")).otherwise(F.col("text")))
+    return rows.withColumn("html", F.filter("__f.html", lambda h: F.coalesce(F.contains(F.lower(h), F.lit("<table")), F.lit(False)))).drop("__f")
+
+
 # Strings that recognition is known to make up.
 NOISE = ("糖点", "硬是炎到", "心糖译")
 

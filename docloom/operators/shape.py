@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from docloom.functions import scalars as S
 from docloom.functions.predicates import LABELS, is_header
 from docloom.operators.fields import ENTITY_TYPES, summarize_fields
+from docloom.operators.lines import clean_text
+from docloom.operators.tables import COURSE_TYPES
 
 _DETAIL = ["doc_id", "field_ord", "field_name", "field_type", "field_value", "confidence"]
 
@@ -36,9 +38,6 @@ def fix_fields(fields: DataFrame) -> DataFrame:
     return rows.select("doc_id", "field_ord", "field_name", "field_type", F.col("__v").alias("field_value"), F.col("__c").alias("confidence"))
 
 
-COURSE_TYPES = ("成绩单", "课程表", "课表/选课单", "成绩单/学业成绩表")
-
-
 def normalize_fields(fields: DataFrame, types: DataFrame) -> DataFrame:
     """Course figures only for course documents; dates and identities in normal form; ``status`` ok or missing (confidence 0)."""
     rows = fields.join(types.select("doc_id", "document_type"), "doc_id", "left")
@@ -52,30 +51,40 @@ def normalize_fields(fields: DataFrame, types: DataFrame) -> DataFrame:
     )
 
 
-# Names of the flat record and their other names.
+# Names of the flat record and, for some, the names looked for in order.
 FLAT_NAMES = (
-    "name gender birth_date id_number student_id class major college department school_name address phone contact issuer admission_school date reason certificate_id verify_code"
-    " verify_url enroll_date expected_grad_date status degree_level education_type study_mode loan_amount bank_name account_number loan_years contract_id scholarship_name"
-    " scholarship_amount start_date end_date days approve_status issue_date"
-).split()
+    "name", "gender", "birth_date", "id_number", "student_id", "class", "major", "college", "department", "school_name", "address", "phone", "contact", "issuer",
+    "admission_school", "date", "reason", "certificate_id", "verify_code", "verify_url", "enroll_date", "expected_grad_date", "status", "degree_level", "education_type",
+    "study_mode", "loan_amount", "bank_name", "account_number", "loan_years", "contract_id", "scholarship_name", "scholarship_amount", "start_date", "end_date", "days",
+    "approve_status", "issue_date",
+)
 ALIASES = {
-    "loan_amount": ["贷款金额", "借款金额"], "bank_name": ["loan_bank_name", "贷款银行"], "contract_id": ["loan_contract_no", "合同编号"],
-    "loan_years": ["loan_term_month"], "scholarship_name": ["奖学金"], "scholarship_amount": ["资助金额"],
-}
+    "loan_amount": ("loan_amount", "贷款金额", "借款金额"),
+    "bank_name": ("bank_name", "loan_bank_name", "贷款银行"),
+    "contract_id": ("contract_id", "loan_contract_no", "合同编号"),
+    "loan_years": ("loan_years", "loan_term_month"),
+    "scholarship_name": ("scholarship_name", "奖学金"),
+    "scholarship_amount": ("scholarship_amount", "资助金额"),
+}
 
 
 def flatten_fields(fields: DataFrame) -> DataFrame:
-    """One row a document with a column for each flat name: its last detail, else the first with a value under another name."""
-    names = [*FLAT_NAMES, *[a for v in ALIASES.values() for a in v]]
-    order = F.struct(F.col("field_ord"))
-    last = [F.max_by(F.when(F.col("field_name") == n, F.col("field_value")), F.when(F.col("field_name") == n, order)).alias(n) for n in FLAT_NAMES]
-    first = [F.min_by(F.when(F.col("field_name") == a, F.col("field_value")), F.when(F.col("field_name") == a, order)).alias(a) for a in names[len(FLAT_NAMES) :]]
-    wide = fields.groupBy("doc_id").agg(*last, *first)
-    out = []
-    for n in FLAT_NAMES:
-        others = [F.nullif(F.col(a), F.lit("")) for a in ALIASES.get(n, [])]
-        out.append(F.coalesce(F.nullif(F.col(n), F.lit("")), *others, F.col(n)).alias(n) if others else F.col(n))
-    return wide.select("doc_id", *out)
+    """One row a document with a column for each flat name: the value of its last detail.
+
+    Where that is null or empty, names with aliases take the first detail of each alias in turn (the name itself is one) that has a value.
+    """
+
+    def pick(rank, name: str) -> Column:
+        own = F.col("field_name") == name
+        return rank(F.when(own, F.struct("field_value")), F.when(own, F.struct("field_ord")))["field_value"]
+
+    seen = sorted({a for names in ALIASES.values() for a in names})
+    wide = fields.groupBy("doc_id").agg(*[pick(F.max_by, n).alias(n) for n in FLAT_NAMES], *[pick(F.min_by, a).alias(f"first {a}") for a in seen])
+
+    def filled(name: str) -> Column:
+        return F.coalesce(F.nullif(F.col(name), F.lit("")), *[F.nullif(F.col(f"first {a}"), F.lit("")) for a in ALIASES[name]], F.col(name))
+
+    return wide.select("doc_id", *[filled(n).alias(n) if n in ALIASES else F.col(n) for n in FLAT_NAMES])
 
 
 _LABEL_WORDS = "|".join(sorted({*LABELS, "姓名", "性别", "学号", "班级", "专业", "学院", "学校", "地址", "手机", "联系方式"}, key=len, reverse=True))
@@ -95,12 +104,13 @@ def sanitize(c: Column, strict: bool = False) -> Column:
     return F.when((s != "") & ~label, bare)
 
 
+# The response's blocks and what they hold.
 BLOCKS = {
-    "basic_info": "name gender birth_date id_number student_id class major college department school_name address phone contact".split(),
-    "academic_info": "degree_level education_type enroll_date expected_grad_date status study_mode".split(),
-    "certificate_info": "certificate_id issue_date issuer verify_code verify_url".split(),
-    "leave_info": "reason start_date end_date days issuer approve_status".split(),
-    "financial_info": "loan_amount loan_years bank_name account_number scholarship_name scholarship_amount".split(),
+    "basic_info": ("name", "gender", "birth_date", "id_number", "student_id", "class", "major", "college", "department", "school_name", "address", "phone", "contact"),
+    "academic_info": ("degree_level", "education_type", "enroll_date", "expected_grad_date", "status", "study_mode"),
+    "certificate_info": ("certificate_id", "issue_date", "issuer", "verify_code", "verify_url"),
+    "leave_info": ("reason", "start_date", "end_date", "days", "issuer", "approve_status"),
+    "financial_info": ("loan_amount", "loan_years", "bank_name", "account_number", "scholarship_name", "scholarship_amount"),
 }
 _NUMERIC = {"loan_amount", "loan_years", "scholarship_amount"}
 
@@ -116,23 +126,97 @@ def build_blocks(flat: DataFrame, strict: bool = False) -> DataFrame:
 
 
 LOAN_TYPES = ("合同", "贷款合同", "生源地助学贷款合同")
+# Words of a student loan, captions that are no values, words of a school.
+LOAN_WORDS = ("助学贷款", "贷款合同", "贷款合同编号")
+NO_VALUES = ("开户行", "学生姓名", "名称", "账户名称", "开户银行", "专业名称", "学院名称")
+_SCHOOL = "学院|大学|学校"
 
 
-def map_loan_contract(flat: DataFrame, entities: DataFrame, pairs: DataFrame, types: DataFrame, docs: DataFrame) -> DataFrame:
-    """``flat`` of loan contracts with empty slots filled: the longest entity of the slot's type, else the key's surest value.
+def map_loan_contract(entities: DataFrame, pairs: DataFrame, types: DataFrame, docs: DataFrame, flat: DataFrame) -> DataFrame:
+    """``(doc_id, basic_info, financial_info, certificate_info)`` of contracts that name a student loan: their slots, each by its own rule.
 
-    Other documents stay as they are.
+    ``entities(doc_id, rule, ord, type, text[, confidence])`` and ``pairs(doc_id, line_no, rule, key, value)`` count in their order. Labels are
+    no values. Name and bank: the surest entity, then the longest; a name has 2-4 characters and no caption in it. Id: the first id inside
+    an id or code. School: the longest organisation that is one. College and major: what ``flat`` holds, else by key, a college also by
+    entity. Address: the longest. Account: the first number of 8-20 digits among entities, else among values, that is no id. Amount and
+    years: the text's first figure before 元, and before 年 (else months by 12). Codes: the longest of 8-20 digits, else as a value.
     """
-    loan = types.where(F.col("document_type").isin(*LOAN_TYPES)).select("doc_id").join(docs.where(F.col("text").rlike("贷款|借款")).select("doc_id"), "doc_id", "left_semi")
-    slots = {"id_number": ("ID_NUMBER", "身份证"), "college": ("COLLEGE_NAME", "院系|学院"), "major": ("MAJOR_NAME", "专业"), "bank_name": ("LOAN_BANK_NAME", "开户行|银行"), "account_number": ("BANK_ACCOUNT_NO", "账号"), "loan_amount": ("LOAN_AMOUNT", "金额"), "contract_id": ("LOAN_CONTRACT_NO", "合同编号"), "verify_code": ("VERIFY_CODE", "验证码"), "name": ("PERSON", "姓名")}
-    best = entities.groupBy("doc_id").agg(*[F.max_by(F.when(F.col("type") == t, F.col("text")), F.when(F.col("type") == t, F.struct(F.length("text"), -F.col("rule"), -F.col("ord")))).alias(f"e_{n}") for n, (t, _) in slots.items()])
-    keyed = pairs.groupBy("doc_id").agg(*[F.max_by(F.when(F.col("key").rlike(k), F.col("value")), F.when(F.col("key").rlike(k), F.struct("confidence", -F.col("line_no")))).alias(f"k_{n}") for n, (_, k) in slots.items()])
-    rows = flat.join(loan.withColumn("__loan", F.lit(True)), "doc_id", "left").join(best, "doc_id", "left").join(keyed, "doc_id", "left")
-    out = [
-        F.when(F.col("__loan"), F.coalesce(F.nullif(F.col(n), F.lit("")), F.col(f"e_{n}"), F.col(f"k_{n}"))).otherwise(F.col(n)).alias(n) if n in slots else F.col(n)
-        for n in FLAT_NAMES
-    ]
-    return rows.select("doc_id", *out)
+    loans = docs.where(F.col("text").rlike("|".join(LOAN_WORDS))).join(types.where("document_type = '合同'").select("doc_id"), "doc_id", "left_semi")
+    sure = F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)) if "confidence" in entities.columns else F.lit(0.0)
+    said = F.col("text")
+    bare = S.trimmed(said)
+    is_id = r"(?U)\b(\d{17}[\dXx])\b"
+    seen = entities.join(loans.select("doc_id"), "doc_id", "left_semi").withColumn("at", F.struct("rule", "ord")).withColumn("sure", sure)
+
+    def number(c: Column) -> Column:
+        """8-20 digits that are no id."""
+        return F.coalesce(c.rlike(r"(?U)^\d{8,20}$") & ~c.rlike(r"(?U)^\d{17}[\dXx]$"), F.lit(False))
+
+    def of(*kinds: str) -> Column:
+        return F.col("type").isin(*kinds)
+
+    def first(keep: Column, value: Column) -> Column:
+        return F.min_by(F.when(keep, value), F.when(keep, F.col("at")))
+
+    def most(keep: Column, value: Column, *rank: Column) -> Column:
+        """The largest by rank; of equal ones the first."""
+        back = F.struct(*rank, (-F.col("at.rule")).alias("r"), (-F.col("at.ord")).alias("o"))
+        return F.max_by(F.when(keep, value), F.when(keep, back))
+
+    person = of("PERSON") & F.length(bare).between(2, 4) & ~said.rlike("|".join((*NO_VALUES, "贷款信息")))
+    account = of("ACCOUNT_NUMBER", "VERIFY_CODE", "NUMBER", "CARD_ID") & number(said)
+    found = seen.groupBy("doc_id").agg(
+        most(person, said, F.col("sure"), F.length(said)).alias("e_name"),
+        first(of("ID_NUMBER", "VERIFY_CODE") & said.rlike(is_id), F.regexp_extract(said, is_id, 1)).alias("e_id"),
+        most(of("ORG", "COLLEGE_NAME") & said.rlike(_SCHOOL), bare, F.length(bare)).alias("e_school"),
+        first(of("ORG", "COLLEGE_NAME") & said.contains("学院") & ~is_label_token(said), bare).alias("e_college"),
+        most(of("ADDRESS_FULL") & (said != ""), said, F.length(said)).alias("e_address"),
+        most(of("LOAN_BANK_NAME") & (said != ""), said, F.col("sure"), F.length(said)).alias("e_bank"),
+        first(account, said).alias("e_account"),
+        most(of("VERIFY_CODE") & bare.rlike(r"(?U)^\d{8,20}$"), bare, F.length(bare), F.col("sure")).alias("e_code"),
+    )
+    key, value = F.col("key"), F.col("value")
+    clean = F.when(~is_label_token(value), S.trimmed(value))
+    told = pairs.join(loans.select("doc_id"), "doc_id", "left_semi").withColumn("at", F.struct("line_no", "rule"))
+    told = told.groupBy("doc_id").agg(
+        first(key.contains("学院") & clean.isNotNull() & (clean != ""), clean).alias("k_college"),
+        first(key.contains("专业") & clean.isNotNull() & (clean != ""), clean).alias("k_major"),
+        first(number(value), value).alias("k_account"),
+        first(number(S.trimmed(value)), S.trimmed(value)).alias("k_code"),
+    )
+
+    def sound(c: Column) -> Column:
+        return F.when(~is_label_token(c), S.trimmed(c))
+
+    def held(name: str) -> Column:
+        return F.when(~F.col(name).isin(*NO_VALUES) & (F.col(name) != ""), F.col(name))
+
+    t = F.coalesce("text", F.lit(""))
+    amount = S.found(t, r"(?U)(\d+(?:\.\d+)?)(?=\s*(?:（?元|\\))")
+    years, months = S.found(t, r"(?U)(\d+(?:\.\d+)?)\s*年").try_cast("double"), S.found(t, r"(?U)(\d+(?:\.\d+)?)\s*月").try_cast("double")
+    major = S.trimmed(F.regexp_replace("k_major", "(名称|专业名称)", ""))
+    code = F.coalesce("e_code", "k_code")
+    rows = loans.join(flat.select("doc_id", "college", "major"), "doc_id", "left").join(found, "doc_id", "left").join(told, "doc_id", "left")
+    return rows.select(
+        "doc_id",
+        F.struct(
+            sound(F.col("e_name")).alias("name"), F.col("e_id").alias("id_number"), F.col("e_school").alias("school_name"), F.coalesce(held("college"), "k_college", "e_college").alias("college"),
+            F.coalesce(held("major"), F.nullif(major, F.lit("")), "k_major").alias("major"), sound(F.col("e_address")).alias("address"),
+        ).alias("basic_info"),
+        F.struct(
+            sound(F.col("e_bank")).alias("bank_name"), F.coalesce("e_account", "k_account").alias("account_number"), amount.try_cast("double").alias("loan_amount"),
+            F.coalesce(years, F.bround(months / 12, 2)).alias("loan_years"),
+        ).alias("financial_info"),
+        F.struct(code.alias("certificate_id"), code.alias("verify_code")).alias("certificate_info"),
+    )
+
+
+def with_contract(flat: DataFrame, contract: DataFrame) -> DataFrame:
+    """``flat`` with the contract's values over its own, labels among them as null."""
+    slots = [(b, n) for b in ("basic_info", "financial_info", "certificate_info") for n in dict(contract.dtypes)[b][7:-1].replace(",", ":").split(":")[::2]]
+    rows = flat.join(contract.select("doc_id", *[F.col(f"{b}.{n}").cast("string").alias(f"__{n}") for b, n in slots]), "doc_id", "left")
+    over = {n: F.when(F.col(f"__{n}") != "", F.col(f"__{n}") if n in _NUMERIC else sanitize(F.col(f"__{n}"))) for _, n in slots}
+    return rows.select("doc_id", *[F.when(F.col(f"__{n}") != "", over[n]).otherwise(F.col(n)).alias(n) if n in over else F.col(n) for n in FLAT_NAMES])
 
 
 _PLACES = "省|市|县|区|镇|乡|村"
@@ -216,18 +300,58 @@ def post_process_contract(flat: DataFrame, docs: DataFrame, types: DataFrame, en
     return out.select("doc_id", *FLAT_NAMES, F.when(F.col("__loan"), lent).when(~F.col("__loan"), other).alias("summary"))
 
 
-def finalize(docs: DataFrame, types: DataFrame, fields: DataFrame, blocks: DataFrame, courses: DataFrame) -> DataFrame:
-    """One response a document: class, five blocks, fields, courses, text, summary, status and notes."""
-    listed = fields.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("field_ord", "field_name", "field_type", "field_value", "confidence"))).alias("fields"))
-    taken = courses.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "semester", "course_code", "course_name", "credit", "score", "gpa"))).alias("courses"))
+def gathered(order: str, *columns: str) -> Column:
+    """A document's rows in order, as an aggregate by document."""
+    return F.transform(F.sort_array(F.collect_list(F.struct(order, *[c for c in columns if c != order]))), lambda x: F.struct(*[x[c].alias(c) for c in columns]))
+
+
+def finalize(
+    docs: DataFrame, types: DataFrame, fields: DataFrame, blocks: DataFrame, courses: DataFrame, *, analysis: DataFrame | None = None, tables: DataFrame | None = None,
+    reasons: DataFrame | None = None, cleared: DataFrame | None = None, templates: DataFrame | None = None,
+) -> DataFrame:
+    """One response a document: type and candidates, blocks, courses, tables, fields, text, summary, ``meta``, ``classification`` and notes.
+
+    ``types(doc_id, document_type[, confidence, probabilities, source])``; ``analysis(doc_id, level, problems)`` is the quality of
+    recognition, ``tables(doc_id, name, row, record)`` what was formatted, ``reasons(doc_id, fail_reason)`` why fields are missing, ``cleared``
+    the documents whose courses a model could not confirm, ``templates(doc_id, template_id)`` what fields were looked for. Each side is
+    gathered to a row a document first. Confidence is the mean of the fields with a value; status is success if all have one, partial if some do.
+    """
+    listed = fields.groupBy("doc_id").agg(gathered("field_ord", "field_name", "field_type", "field_value", "confidence", *(["status"] if "status" in fields.columns else [])).alias("details"))
+    marks = [c for c in ("academic_year", "semester", "course_code", "course_seq", "course_name", "credit", "score", "gpa") if c in courses.columns]
+    taken = courses.groupBy("doc_id").agg(gathered("line_no", *marks).alias("courses"))
     blocks = blocks if "summary" in blocks.columns else blocks.withColumn("summary", F.lit(None).cast("string"))
-    rows = docs.select("doc_id", "text").join(types.select("doc_id", "document_type", "confidence"), "doc_id", "left")
-    for other in (summarize_fields(fields).select("doc_id", "total_fields", "extracted_fields", "status"), blocks, listed, taken):
-        rows = rows.join(other, "doc_id", "left")
-    got = F.coalesce("extracted_fields", F.lit(0))
-    status = F.when(got == 0, "failed").when(got < F.col("total_fields"), "partial").otherwise("success")
-    notes = F.array_compact(F.array(F.when(got == 0, "未抽取到字段"), F.when(F.col("courses").isNull() & F.col("document_type").isin("成绩单", "课程表"), "未识别到课程行")))
+    kinds = [F.col(c) if c in types.columns else F.lit(None).cast(k).alias(c) for c, k in (("document_type", "string"), ("confidence", "double"), ("probabilities", "map<string,double>"), ("source", "string"))]
+    rows = docs.select("doc_id", "text").join(types.select("doc_id", *kinds).withColumnRenamed("confidence", "__sure"), "doc_id", "left")
+    main = summarize_fields(fields).select("doc_id", "total_fields", "extracted_fields", "confidence")
+    shown = None
+    if tables is not None:
+        # Maps have no order: their entries are sorted along, and made maps again at the end.
+        grouped = tables.withColumn("record", F.map_entries("record")).groupBy("doc_id", "name").agg(gathered("row", "row", "record").alias("rows"))
+        made = F.transform(F.sort_array(F.collect_list(F.struct("name", "rows"))), lambda t: F.struct(t["name"].alias("name"), F.transform(t["rows"], lambda r: F.struct(r["row"].alias("row"), F.map_from_entries(r["record"]).alias("record"))).alias("rows")))
+        shown = grouped.groupBy("doc_id").agg(made.alias("tables"))
+    for other in (main, blocks, listed, taken, shown, analysis, reasons, templates, None if cleared is None else cleared.select("doc_id", F.lit(True).alias("__cleared")).distinct()):
+        rows = rows if other is None else rows.join(other, "doc_id", "left")
+    for name, kind in (("tables", "array<struct<name:string,rows:array<struct<row:int,record:map<string,string>>>>>"), ("level", "string"), ("problems", "array<string>"), ("fail_reason", "string"), ("template_id", "string"), ("__cleared", "boolean")):
+        rows = rows if name in rows.columns else rows.withColumn(name, F.lit(None).cast(kind))
+    total, got, sure = F.coalesce("total_fields", F.lit(0)), F.coalesce("extracted_fields", F.lit(0)), F.bround(F.coalesce("confidence", F.lit(0.0)), 4)
+    status = F.when(got == 0, "failed").when(got < total, "partial").otherwise("success")
+    kind, reason = F.coalesce("document_type", F.lit("generic_document")), F.col("fail_reason")
+    because = F.concat(F.lit("，原因："), reason)
+    # As published: a reason is said once more where nothing was extracted.
+    plain = F.concat(F.lit("类型 "), kind, F.lit("，字段 "), got.cast("string"), F.lit("/"), total.cast("string"), F.lit("，置信度 "), F.format_string("%.2f", F.bround(F.coalesce("confidence", F.lit(0.0)), 2)), F.when((got == 0) & reason.isNotNull(), because).otherwise(""), F.when(reason.isNotNull(), because).otherwise(""))
+    bare = F.coalesce(F.size("courses"), F.lit(0)) == 0
+    notes = F.array_compact(
+        F.array(
+            F.concat(F.lit("字段提取失败原因："), reason),
+            F.when(F.size("problems") > 0, F.concat(F.lit("OCR 问题："), F.array_join("problems", "；"))),
+            F.when(bare & kind.isin("成绩单", "课程表"), "未恢复课程表，可能 OCR 表格被拆散或缺失表格模型"),
+            F.when(F.col("__cleared"), "课程列表疑似噪声，LLM 兜底未返回有效课程，已清空"),
+        )
+    )
     return rows.select(
-        "doc_id", "document_type", F.col("confidence").alias("confidence_overall"), *BLOCKS, "fields", "courses", "text",
-        F.coalesce("summary", F.concat(F.lit("类型："), F.coalesce("document_type", F.lit("未知")), F.lit("，字段："), got.cast("string"))).alias("summary"), status.alias("status"), notes.alias("notes"),
+        "doc_id", kind.alias("document_type"), F.col("probabilities").alias("document_type_candidates"), sure.alias("confidence_overall"), *BLOCKS, "courses", "tables",
+        F.struct(F.struct(status.alias("status"), sure.alias("confidence")).alias("extract_main"), F.col("details").alias("extract_details"), "template_id").alias("fields"),
+        clean_text(F.col("text")).alias("text"), F.coalesce("summary", plain).alias("summary"), F.struct(F.col("doc_id").cast("string").alias("file_id"), F.col("level").alias("ocr_quality"), F.lit(None).cast("string").alias("stat_date")).alias("meta"),
+        F.struct(kind.alias("document_type"), F.coalesce("__sure", sure).alias("confidence"), F.col("probabilities").alias("probabilities"), F.coalesce("source", F.lit("rules")).alias("source")).alias("classification"),
+        notes.alias("notes"),
     )

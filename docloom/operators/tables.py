@@ -121,43 +121,67 @@ def courses_from_lines(docs: DataFrame) -> DataFrame:
     return out.where((F.col("course_name") != "") & ~F.col("course_name").rlike(r"(?U)^\d+$"))
 
 
+_TERM_TOKEN = r"(?U)20\d{2}\s*[-/]\s*20\d{2}\s*[-]?\s*[12一二]"
+
+
 def courses_from_tokens(docs: DataFrame, line_courses: DataFrame) -> DataFrame:
-    """Course rows of documents without line courses, from their stream of tokens.
+    """Course rows of documents without line courses, from their stream of tokens (the whole text, as recognition may set one token a line).
 
-    From each semester token the name runs to the next token with a number in (0, 20] from the fifth
-    token on; a course whose semester lies before the end of the one before it is skipped.
+    A course opens at a token with a semester that five tokens follow at least. Its credit is the next token from the third on that
+    holds a number in (0, 20], however far; the words between (two characters or more, a letter among them) are its name, the score
+    follows the credit, and the grade point is the first of the next four tokens with a number in [0, 5]. The search goes on two
+    tokens after the credit. A semester without words before its credit opens no course; the next semester does.
     """
-    left = docs.join(line_courses.select("doc_id").distinct(), "doc_id", "left_anti")
-    tokens = F.filter(F.split("text", r"(?U)[\s|]+"), lambda x: x != "")
-    rows = left.select("doc_id", tokens.alias("p")).withColumn("v", F.transform("p", S.safe_number)).where(F.size("p") >= 6)
-    heads = F.filter(F.sequence(F.lit(0), F.greatest(F.size("p") - 6, F.lit(0))), lambda i: F.get("p", i).rlike(r"^20[0-9]{2}[-/]20[0-9]{2}-?[12一二]$"))
-
-    def course(i: Column) -> Column:
-        span = F.sequence(i + 4, F.least(i + 14, F.size("p") - 1))
-        credit = F.get(F.filter(span, lambda k: (F.get("v", k) > 0) & (F.get("v", k) <= 20)), F.lit(0))
-        return F.struct(i.alias("start"), credit.alias("at"))
-
-    spots = F.filter(F.transform(heads, course), lambda c: c["at"] >= c["start"] + 4)
-    zero = F.struct(F.lit(-1).alias("end"), F.array().cast("array<struct<start:int,at:int>>").alias("kept"))
-    greedy = F.aggregate(
-        spots,
-        zero,
-        lambda a, c: F.when(c["start"] > a["end"], F.struct((c["at"] + 1).alias("end"), F.concat(a["kept"], F.array(c)).alias("kept"))).otherwise(a),
-        lambda a: a["kept"],
-    )
-    rows = rows.select("doc_id", "p", "v", F.posexplode(greedy).alias("line_no", "c"))
-    s = S.parse_semester(F.get("p", F.col("c.start")))
+    left = docs.join(line_courses.select("doc_id").distinct(), "doc_id", "left_anti").where(F.col("text").rlike(_TERM_TOKEN))
+    tokens = F.filter(F.split("text", r"(?U)\s+"), lambda x: x != "")
+    # Behind a generator, so that tokens are cut once.
+    rows = left.select("doc_id", F.explode(F.array(tokens)).alias("p")).where(F.size("p") >= 6)
+    rows = rows.select("doc_id", "p", F.explode(F.array(F.transform("p", S.first_number))).alias("v"))
+    size = F.size("p")
+
+    def opens(i: Column) -> Column:
+        return F.coalesce(F.get("p", i).rlike(_TERM_TOKEN) & (i + 5 < size), F.lit(False))
+
+    def pays(i: Column) -> Column:
+        return F.coalesce((F.get("v", i) > 0) & (F.get("v", i) <= 20), F.lit(False))
+
+    def words(start: Column, end: Column) -> Column:
+        """The words of a name among the tokens from ``start`` to before ``end``."""
+        span = F.slice("p", start + 1, F.greatest(end - start, F.lit(0)))
+        return F.filter(span, lambda x: x.rlike("[一-鿿A-Za-z]") & (F.length(x) >= 2))
+
+    events = F.filter(F.sequence(F.lit(0), size - 1), lambda i: opens(i) | pays(i))
+    none = F.array().cast("array<struct<start:int,at:int>>")
+
+    def state(resume: Column, start: Column, kept: Column) -> Column:
+        return F.struct(resume.cast("int").alias("resume"), start.cast("int").alias("start"), kept.alias("kept"))
+
+    def step(a: Column, k: Column) -> Column:
+        """One event: an open course ends at its credit; without words, a semester right before that credit opens the next one."""
+        start = a["start"]
+        ends = (start >= 0) & (k >= start + 3) & pays(k)
+        named = F.size(words(start + 3, k)) > 0
+        done = state(k + 2, F.lit(-1), F.concat(a["kept"], F.array(F.struct(start.alias("start"), k.alias("at")))))
+        again = F.when((k - 2 > start) & opens(k - 2), k - 2).when((k - 1 > start) & opens(k - 1), k - 1).otherwise(-1)
+        begins = (start < 0) & (k >= a["resume"]) & opens(k)
+        return F.when(ends & named, done).when(ends, state(a["resume"], again, a["kept"])).when(begins, state(a["resume"], k, a["kept"])).otherwise(a)
+
+    walked = F.aggregate(events, state(F.lit(0), F.lit(-1), none), step, lambda a: a["kept"])
+    rows = rows.select("doc_id", "p", "v", F.posexplode(walked).alias("line_no", "c"))
+    start, at = F.col("c.start"), F.col("c.at")
+    s = S.parse_semester(F.get("p", start))
+    marks = F.filter(F.slice("v", at + 3, 4), lambda x: (x >= 0) & (x <= 5))
     return rows.select(
         "doc_id",
         "line_no",
         s["academic_year"].alias("academic_year"),
         F.concat_ws("-", s["academic_year"], s["term"]).alias("semester"),
-        F.get("p", F.col("c.start") + 1).alias("course_code"),
-        F.get("p", F.col("c.start") + 2).alias("course_seq"),
-        F.array_join(F.slice("p", F.col("c.start") + 4, F.greatest(F.col("c.at") - F.col("c.start") - 3, F.lit(0))), "").alias("course_name"),
-        F.get("v", F.col("c.at")).alias("credit"),
-        F.get("v", F.col("c.at") + 1).alias("score"),
-        F.lit(None).cast("double").alias("gpa"),
+        F.get("p", start + 1).alias("course_code"),
+        F.get("p", start + 2).alias("course_seq"),
+        F.array_join(words(start + 3, at), "").alias("course_name"),
+        F.get("v", at).alias("credit"),
+        F.get("v", at + 1).alias("score"),
+        F.get(marks, F.lit(0)).alias("gpa"),
     )
 
 
@@ -168,6 +192,7 @@ def _sound_name(name: Column) -> Column:
 def clean_courses(courses: DataFrame) -> DataFrame:
     """Courses with a real name; ``credit, score, gpa`` as doubles, unreadable ones null."""
     out = courses.where(_sound_name(F.col("course_name")))
+    out = out.withColumn("course_name", S.trimmed(F.col("course_name")))
     for c in ("credit", "score", "gpa"):
         out = out.withColumn(c, F.replace(F.col(c).cast("string"), F.lit(","), F.lit("")).try_cast("double"))
     return out
@@ -183,28 +208,56 @@ def noisy_courses(docs: DataFrame, courses: DataFrame) -> DataFrame:
 
 
 def courses_from_transcript(rows: DataFrame) -> DataFrame:
-    """Course rows out of transcript rows."""
+    """Course rows out of transcript rows, as they are: ``score``, where that is empty or zero ``final_score``, where that is too ``score_total``.
+
+    Columns that the rows lack are null.
+    """
+
+    def own(name: str, kind: str) -> Column:
+        c = F.col(name) if name in rows.columns else F.lit(None)
+        return c.try_cast(kind) if name in rows.columns else c.cast(kind)
+
+    def held(name: str) -> Column:
+        c = own(name, "string")
+        return F.when((c != "") & (c.try_cast("double").isNull() | (c.try_cast("double") != 0) | F.lit(dict(rows.dtypes).get(name) == "string")), c)
+
     return rows.select(
         "doc_id",
         F.col("row").alias("line_no"),
-        F.lit(None).cast("string").alias("academic_year"),
-        "semester",
-        F.lit(None).cast("string").alias("course_code"),
-        F.lit(None).cast("string").alias("course_seq"),
-        "course_name",
-        F.col("credit").try_cast("double").alias("credit"),
-        F.col("score").try_cast("double").alias("score"),
-        F.lit(None).cast("double").alias("gpa"),
+        *[own(n, "string").alias(n) for n in ("academic_year", "semester", "course_code", "course_seq", "course_name")],
+        own("credit", "double").alias("credit"),
+        F.coalesce(held("score"), held("final_score"), own("score_total", "string")).try_cast("double").alias("score"),
+        own("gpa", "double").alias("gpa"),
     )
 
 
-def resolve_courses(rule: DataFrame, transcript: DataFrame, model: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rule and transcript courses; documents whose list is short or noisy take the model's instead, where it has any."""
-    own = clean_courses(rule).unionByName(clean_courses(transcript))
-    weak = noisy_courses(docs, own).where((F.col("n") < 3) | F.col("noisy")).select("doc_id")
-    offered = clean_courses(model)
-    swap = weak.join(offered.select("doc_id").distinct(), "doc_id", "left_semi")
-    return own.join(swap, "doc_id", "left_anti").unionByName(offered.join(swap, "doc_id", "left_semi"))
+#: Types whose courses a model may list anew.
+COURSE_TYPES = ("成绩单", "成绩单/学业成绩表", "课程表", "课表/选课单")
+
+
+def resolve_courses(
+    rule: DataFrame, transcript: DataFrame, docs: DataFrame, types: DataFrame, model: DataFrame | None = None, image: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``(courses, outcome)``: courses of rules and transcripts, and what became of them by document.
+
+    Courses that a model read off the image replace rule courses that are missing or noisy. Rule courses are cleaned,
+    transcript rows are added as they are. With a ``model`` (None: none is enabled) course documents whose list is shorter than three or noisy
+    take the model's cleaned courses (``replace``) or, where it has none, lose theirs (``clear``); all else is kept (``keep``).
+    """
+    if image is not None:
+        # Whether an image speaks at all is by its raw rows; what it then brings is clean.
+        weak = noisy_courses(docs, rule).where("noisy").join(image.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id")
+        rule = rule.join(weak, "doc_id", "left_anti").unionByName(clean_courses(image).join(weak, "doc_id", "left_semi"))
+    own = clean_courses(rule).unionByName(transcript)
+    if model is None:
+        return own, docs.select("doc_id", F.lit("keep").alias("outcome"))
+    offered = clean_courses(model).select(*own.columns)
+    asked = types.where(F.col("document_type").isin(*COURSE_TYPES)).select("doc_id", F.lit(True).alias("asked"))
+    judged = noisy_courses(docs, own).join(asked, "doc_id", "left").join(offered.select("doc_id", F.lit(True).alias("has")).distinct(), "doc_id", "left")
+    weak = F.coalesce("asked", F.lit(False)) & ((F.col("n") < 3) | F.col("noisy"))
+    outcome = judged.select("doc_id", F.when(weak & F.coalesce("has", F.lit(False)), "replace").when(weak, "clear").otherwise("keep").alias("outcome"))
+    gone, swapped = outcome.where("outcome <> 'keep'").select("doc_id"), outcome.where("outcome = 'replace'").select("doc_id")
+    return own.join(gone, "doc_id", "left_anti").unionByName(offered.join(swapped, "doc_id", "left_semi")), outcome
 
 
 _CLASS, _NAME, _SEX, _NO = "([A-Za-z0-9一-龥]{2,12})(?:班级)?", "([一-龥]{2,4})", "(男|女)", r"(?:^|\s)(?:(\d{1,3})\s+)?"

@@ -37,6 +37,13 @@ FROM (SELECT doc_id, list_sort(c)[-1] AS b, list_sum(list_transform(c, lambda x:
 """
 
 
+def _share_of(kind: str) -> str:
+    """A type's share of keyword hits, null where no type has a hit."""
+    own, every = packs.TYPE_KEYWORDS.get(kind, []), [f"{_hits(w)}" for w in packs.TYPE_KEYWORDS.values()]
+    total = " + ".join(every)
+    return f"CASE WHEN {total} > 0 THEN round_even({_hits(own)} / ({total})::DOUBLE, 4) ELSE 0 END" if own else "NULL::DOUBLE"
+
+
 _COURSES = f"""
 SELECT doc_id, pos - 1 AS line_no, p[1] AS semester, p[2] AS course_code, p[3] AS course_seq, p[4] AS name, p[5] AS kind, p[6] AS q, p[7] AS score, p[8] AS gpa
 FROM (SELECT doc_id, string_split(l, ' ') AS p, pos
@@ -350,7 +357,12 @@ SELECT doc_id, string_agg(field_name, '|' ORDER BY field_name) AS missing FROM w
     "d8_noisy_courses": f"""SELECT doc_id, n, bad, n = 0 OR bad >= greatest(1, floor(n / 2)) AS noisy FROM (
 SELECT m.doc_id, count(course_name) AS n, count(*) FILTER (length(trim(course_name)) <= 2 OR length(regexp_replace(course_name, '[^0-9]', '', 'g')) > length(course_name) * 0.5) AS bad
 FROM ({_MARKS}) m LEFT JOIN ({_COURSE_ROWS}) c USING (doc_id) GROUP BY m.doc_id)""",
-    "d10_resolve_courses": f"SELECT doc_id, count(*) AS n, CASE WHEN count(*) < 3 THEN count(*) ELSE 0 END AS from_model FROM ({_COURSE_ROWS}) GROUP BY doc_id",
+    "d9_courses_from_transcript": """SELECT l_orderkey AS doc_id, l_linenumber AS line_no, '2024-2025' AS academic_year, '2024-2025-' || (l_linenumber % 2 + 1) AS semester, l_partkey::VARCHAR AS course_code, NULL::VARCHAR AS course_seq,
+  l_returnflag AS course_name, l_quantity::DOUBLE AS credit, CASE WHEN l_linenumber % 3 = 1 THEN l_suppkey::DOUBLE WHEN l_linenumber % 2 = 1 THEN l_quantity::DOUBLE ELSE l_partkey::DOUBLE END AS score, 3.5::DOUBLE AS gpa FROM lineitem""",
+    "d10_resolve_courses": f"""WITH k AS (SELECT doc_id, count(*) AS k FROM ({_COURSE_ROWS}) GROUP BY doc_id), t AS (SELECT l_orderkey AS doc_id, count(*) AS t FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY l_orderkey),
+n AS (SELECT doc_id, k, k + coalesce(t, 0) AS n, coalesce(t, 0) AS bad FROM k LEFT JOIN t USING (doc_id)),
+o AS (SELECT *, CASE WHEN n >= 3 AND bad < greatest(1, floor(n / 2)) THEN 'keep' WHEN doc_id % 2 = 0 THEN 'replace' ELSE 'clear' END AS outcome FROM n)
+SELECT doc_id, outcome, CASE outcome WHEN 'keep' THEN n WHEN 'replace' THEN k ELSE 0 END AS n, CASE outcome WHEN 'replace' THEN k ELSE 0 END AS from_model FROM o""",
     "e2_roster_entities": f"""WITH m AS (SELECT *, lead(number::VARCHAR) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM ({_MEMBERS})),
 n AS (SELECT doc_id, count(*) + count(*) FILTER (length(after) >= 2) AS n FROM m GROUP BY doc_id)
 SELECT doc_id, unnest(['CLASS', 'PERSON', 'GENDER']) AS type, n FROM n""",
@@ -377,8 +389,11 @@ SELECT doc_id, doc_type, round(max(score), 6) AS score, min(rank) AS type_ord FR
   UNION ALL SELECT doc_id, doc_type, max(score), min(rank) FROM ({_FIRED}) GROUP BY doc_id, doc_type UNION ALL SELECT doc_id, doc_type, score, 9300 FROM ({_BOOST})),
 x AS (SELECT doc_id, doc_type, max(score) AS score, min(rank) AS rank FROM e GROUP BY doc_id, doc_type HAVING max(score) > 0)
 SELECT doc_id, doc_type AS document_type FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score * 10 + {_PRIORITY} DESC, rank) AS r FROM x) WHERE r = 1""".replace("{weighted}", ORACLES["g2_classify_weighted"]),
-    "g9_merge_classification": f"""SELECT doc_id, CASE WHEN w THEN '通知' ELSE document_type END AS document_type, CASE WHEN w THEN c ELSE confidence END AS confidence
-FROM (SELECT *, (doc_id % 100) / 100.0::DOUBLE AS c, (doc_id % 100) / 100.0::DOUBLE >= confidence AS w FROM ({_free(_FORMS)}))""",
+    "g9_merge_classification": f"""WITH b AS (SELECT *, doc_id % 3 = 0 AS i, doc_id % 5 <> 0 AS t, (doc_id % 100) / 100.0::DOUBLE AS c FROM ({_free(_FORMS)})),
+m AS (SELECT *, CASE WHEN i AND (NOT t OR c <= 0.5) THEN '合同' WHEN t THEN '通知' END AS model FROM b)
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '成绩单' ELSE coalesce(model, document_type) END AS document_type, CASE model WHEN '合同' THEN 0.5 WHEN '通知' THEN c ELSE confidence END AS confidence,
+  CASE WHEN doc_id % 7 = 0 THEN 0.1 WHEN model = '通知' THEN 0.5 WHEN model IS NULL THEN hits_notice END AS notice, CASE WHEN model = '合同' THEN 0.5 WHEN model IS NULL THEN hits_contract END AS contract
+FROM m JOIN (SELECT doc_id, {_share_of('通知')} AS hits_notice, {_share_of('合同')} AS hits_contract FROM ({_FORMS})) USING (doc_id)""",
     "h1_merge_fields": f"""WITH e AS (SELECT doc_id, count(*) AS n, count(field_value) AS got, sum(confidence) FILTER (field_value IS NOT NULL) AS c FROM ({_proofs(_LEAVE)}) WHERE field_name <> 'student_id' GROUP BY doc_id)
 SELECT doc_id, 4 + n AS n, 3 + got AS extracted_fields, round_even((0.9 + 0.9 + CASE WHEN amount::DOUBLE > 200000 THEN 0.45 ELSE 0.9 END + coalesce(c, 0)) / (3 + got)::DOUBLE, 4) AS confidence, 'success' AS status
 FROM ({_LEAVE_PARTS}) JOIN e USING (doc_id)""",
@@ -387,6 +402,17 @@ FROM ({_LEAVE_PARTS}) JOIN e USING (doc_id)""",
     "h3_normalize_fields": f"""SELECT doc_id, n AS field_name, x AS field_value, CASE WHEN x IS NULL THEN 0 ELSE c END AS confidence, CASE WHEN x IS NULL THEN 'missing' ELSE 'ok' END AS status
 FROM (SELECT doc_id, n, c, nullif({_BY_KIND}, '') AS x FROM (SELECT doc_id, field_name AS n, field_type AS k, field_value AS v, confidence AS c FROM ({_proofs(_STUDIES)})))""",
     "h4_flatten_fields": f"SELECT doc_id, {_COLUMNS} FROM ({_proofs(_STUDIES)}) GROUP BY doc_id",
+    "h4_flatten_aliases": """SELECT o_orderkey AS doc_id, '后' AS name_1, CASE WHEN o_orderkey % 4 = 1 THEN '后' ELSE '前' END AS name,
+  CASE o_orderkey % 4 WHEN 0 THEN '5' ELSE '7' END AS loan_amount, CASE o_orderkey % 4 WHEN 3 THEN '乙行' ELSE '甲行' END AS bank_name, NULL::VARCHAR AS loan_years FROM orders""".replace("'后' AS name_1, ", ""),
+    "a7_load_templates": """SELECT 'nation_' || lpad(n_nationkey::VARCHAR, 2, '0') AS template_id, '请假条' AS document_type, 3 AS n_words,
+  'class=班级[:：](软升' || lpad(n_nationkey::VARCHAR, 3, '0') || ')|amount=金额：([0-9]+)|student_id=学号[:：](?:20)([0-9]+)|bad=' AS fields FROM nation""",
+    "g8_template_table": f"""SELECT doc_id, 'nation_' || right(class, 2) AS template_id, round(2 / 15.0::DOUBLE, 6) AS score FROM ({_LEAVE_PARTS})""",
+    "f1_template_table": f"""WITH p AS (SELECT doc_id, text, class, amount, sid[3:] AS short FROM ({_LEAVE_PARTS})),
+f AS (SELECT doc_id, 0 AS field_ord, 'class' AS field_name, class AS field_value, 0.9 AS confidence, '验证通过' AS message, instr(text, '班级：') - 1 AS start FROM p
+UNION ALL SELECT doc_id, 1, 'amount', amount, CASE WHEN amount::DOUBLE > 200000 THEN 0.45 ELSE 0.9 END, CASE WHEN amount::DOUBLE > 200000 THEN 'Value above maximum (200000.0)' ELSE '验证通过' END, instr(text, '金额：') - 1 FROM p
+UNION ALL SELECT doc_id, 2, 'student_id', short, CASE WHEN length(short) < 8 THEN 0.45 ELSE 0.9 END, CASE WHEN length(short) < 8 THEN 'Value too short (min: 8)' ELSE '验证通过' END, instr(text, '学号：') - 1 FROM p
+UNION ALL SELECT doc_id, 3, 'bad', NULL, 0, 'Value not found', -1 FROM p)
+SELECT * FROM f""",
     "i4_identities": """SELECT c_custkey, i || 'x' AS id_number, i || 'X' AS as_id_number, p AS as_phone, CASE WHEN length(c_custkey::VARCHAR) >= 6 THEN c_custkey::VARCHAR END AS as_student_id, '证号 ' || i || 'x' AS as_text
 FROM (SELECT c_custkey, lpad(c_custkey::VARCHAR, 17, '3') AS i, '13' || lpad(c_custkey::VARCHAR, 9, '0') AS p FROM customer)""",
     "i10_numbers": "SELECT o_orderkey, floor(o_totalprice)::DOUBLE AS whole, NULL::DOUBLE AS not_whole, floor(o_totalprice)::DOUBLE + 0.25 AS first FROM orders",
@@ -425,3 +451,47 @@ ORACLES |= {
     "k2_correction_prompt": f"SELECT doc_id, md5({_text(CORRECTION_PROMPT)} || text) AS prompt_md5 FROM documents",
     "k2_classification_prompt": f"SELECT doc_id, md5({_text(CLASS_PROMPT)} || text) AS prompt_md5 FROM documents",
 }
+
+_NUM = "coalesce(TRY_CAST(CASE WHEN regexp_full_match(replace({t}, ',', ''), '-?[0-9]+(\\.[0-9]+)?') THEN replace({t}, ',', '') END AS DOUBLE), TRY_CAST(nullif(regexp_extract({t}, '-?[0-9]+(?:\\.[0-9]+)?'), '') AS DOUBLE))"
+ORACLES["d6_courses_from_tokens"] = f"""WITH RECURSIVE t AS (
+  SELECT doc_id, p, list_transform(p, lambda x: {_NUM.format(t='x')}) AS v, len(p) AS n
+  FROM (SELECT doc_id, string_split(replace(replace(text, chr(10), ' '), '必修', '必修' || repeat(' — 选', (doc_id % 20)::INT)), ' ') AS p FROM ({_MARKS}))
+),
+h AS (SELECT *, list_filter(range(0, n), lambda i: regexp_matches(p[i + 1], '20[0-9]{{2}}[-/]20[0-9]{{2}}-?[12一二]')) AS heads, list_filter(range(0, n), lambda i: v[i + 1] > 0 AND v[i + 1] <= 20) AS pays FROM t),
+walk AS (
+  SELECT doc_id, 0 AS resume, -1::BIGINT AS start, -1::BIGINT AS paid FROM t
+  UNION ALL
+  SELECT doc_id, CASE WHEN named THEN pay + 2 ELSE head + 1 END, head, CASE WHEN named THEN pay ELSE -1 END
+  FROM (
+    SELECT doc_id, head, pay, len(list_filter(p[head + 4 : pay], lambda x: regexp_matches(x, '[一-鿿A-Za-z]') AND length(x) >= 2)) > 0 AS named
+    FROM (
+      SELECT h.doc_id, p, pays, n, head, list_filter(pays, lambda k: k >= head + 3)[1] AS pay
+      FROM (SELECT w.doc_id, list_filter(heads, lambda i: i >= w.resume)[1] AS head FROM walk w JOIN h USING (doc_id)) s JOIN h USING (doc_id)
+      WHERE head IS NOT NULL AND head + 5 < n
+    ) WHERE pay IS NOT NULL
+  )
+),
+c AS (SELECT w.*, p, v, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS line_no FROM walk w JOIN h USING (doc_id) WHERE paid >= 0)
+SELECT doc_id, line_no, regexp_extract(p[start + 1], '(20[0-9]{{2}}-20[0-9]{{2}}-[12])', 1) AS semester, p[start + 2] AS course_code, p[start + 3] AS course_seq,
+  array_to_string(list_filter(p[start + 4 : paid], lambda x: regexp_matches(x, '[一-鿿A-Za-z]') AND length(x) >= 2), '') AS course_name,
+  v[paid + 1] AS credit, v[paid + 2] AS score, list_filter(v[paid + 3 : paid + 6], lambda x: x >= 0 AND x <= 5)[1] AS gpa
+FROM c"""
+_FORM_LINES = f"SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS line_no FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM ({_FORMS})) WHERE line <> ''"
+ORACLES["c12_analyze_text"] = f"""WITH l AS (SELECT doc_id, count(*) FILTER ({_TABULAR}) AS t, count(*) FILTER (NOT {_TABULAR}) AS b FROM ({_FORM_LINES}) GROUP BY doc_id),
+m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY number, pos) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM ({_MEMBERS}))
+SELECT k.doc_id, k.document_type, t AS n_table_lines, b AS n_body_lines, coalesce(n, 0) AS n_members, coalesce(n, 0) AS n_grid, len(e.names) AS n_expected, len(e.names) AS n_template,
+  m.name AS first_member, m.number::VARCHAR || '|' || m.class || '|' || m.name || '|' || m.gender AS first_cells
+FROM ({_free(_FORMS)}) k JOIN l USING (doc_id) JOIN ({_expected(_FORMS)}) e ON e.doc_id = k.doc_id LEFT JOIN m ON m.doc_id * 4 + 1 = k.doc_id AND m.r = 1"""
+ORACLES["h5_map_loan_contract"] = f"""WITH l AS (SELECT doc_id, text, doc_id AS n, lpad(doc_id::VARCHAR, 12, '7') AS contract FROM ({fixture('loans')}))
+SELECT doc_id, NULL::VARCHAR AS name, CASE WHEN n % 4 = 0 THEN lpad(n::VARCHAR, 17, '3') || 'X' ELSE lpad(n::VARCHAR, 17, '4') || 'x' END AS id_number, CASE WHEN n % 3 < 2 THEN '马鞍山师范学院' END AS school_name,
+  CASE WHEN n % 2 = 1 THEN '计算机学院' WHEN n % 3 < 2 THEN '马鞍山师范学院' END AS college, CASE WHEN n % 7 = 0 THEN '会计学' ELSE '软件工程' END AS major, CASE WHEN n % 2 = 0 THEN '安徽省马鞍山市' END AS address,
+  '安徽农村商业银行官庄支行' AS bank_name, CASE WHEN n % 5 = 1 THEN lpad(n::VARCHAR, 9, '8') WHEN n % 5 > 2 THEN lpad(n::VARCHAR, 12, '6') ELSE contract END AS account_number,
+  regexp_extract(text, '本次用款金额 ([0-9.]+)', 1)::DOUBLE AS loan_amount, NULL::DOUBLE AS loan_years, CASE WHEN n % 5 > 2 THEN lpad(n::VARCHAR, 12, '6') ELSE contract END AS verify_code FROM l"""
+ORACLES["h8_finalize"] = f"""WITH l AS (SELECT doc_id AS n, text, doc_id % 5 = 0 AS blank, CASE WHEN amount::DOUBLE > 200000 THEN 0.75 ELSE 0.9 END AS c FROM ({_LEAVE_PARTS}))
+SELECT n AS doc_id, CASE WHEN n % 6 = 0 THEN '成绩单' ELSE '请假条' END AS document_type, CASE WHEN blank THEN 'failed' ELSE 'partial' END AS status, 4 AS n_details, CASE WHEN blank THEN 0 ELSE c END AS confidence_overall,
+  '类型 ' || CASE WHEN n % 6 = 0 THEN '成绩单' ELSE '请假条' END || '，字段 ' || CASE WHEN blank THEN '0/4，置信度 0.00' ELSE '3/4，置信度 ' || printf('%.2f', c) END || CASE WHEN n % 3 <> 0 THEN '' WHEN blank THEN '，原因：无，原因：无' ELSE '，原因：无' END AS summary,
+  array_to_string(list_filter([CASE WHEN n % 3 = 0 THEN '字段提取失败原因：无' END, CASE WHEN n % 2 = 0 THEN 'OCR 问题：甲；乙' END, CASE WHEN n % 6 = 0 THEN '未恢复课程表，可能 OCR 表格被拆散或缺失表格模型' END,
+    CASE WHEN n % 4 = 0 THEN '课程列表疑似噪声，LLM 兜底未返回有效课程，已清空' END], lambda x: x IS NOT NULL), '|') AS notes,
+  n::VARCHAR AS file_id, 'good' AS ocr_quality, 'nlp' AS source, CASE WHEN blank THEN 3 ELSE length(text) END AS n_text FROM l"""
+ORACLES["h9_process"] = f"""SELECT p.doc_id, p.document_type, CASE p.doc_id % 4 WHEN 1 THEN 'success' ELSE 'partial' END AS status, CASE WHEN p.doc_id % 4 = 0 THEN l.sid END AS student_id, coalesce(c.n, 0) AS n_courses
+FROM ({ORACLES["g6_pick_type"]}) p LEFT JOIN ({_LEAVE_PARTS}) l ON l.doc_id * 4 = p.doc_id LEFT JOIN (SELECT doc_id * 4 + 2 AS doc_id, count(*) AS n FROM ({_COURSE_ROWS}) GROUP BY 1) c ON c.doc_id = p.doc_id"""

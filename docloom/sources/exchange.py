@@ -60,7 +60,12 @@ def build_classification_prompt(docs: DataFrame) -> DataFrame:
 
 
 _BLOCK = ", ".join(f"{b}: struct<{', '.join(f'{n}: ' + ('double' if n in _NUMERIC else 'string') for n in names)}>" for b, names in BLOCKS.items())
-REPLY_SCHEMA = f"struct<document_type: string, confidence: double, confidence_overall: double, summary: string, text: string, {_BLOCK}>"
+_COURSE = "academic_year: string, semester: string, course_code: string, course_seq: string, course_name: string, credit: string, score: string, gpa: string"
+_DETAIL = "field_name: string, field_type: string, field_value: string, confidence: double"
+REPLY_SCHEMA = (
+    "struct<document_type: string, confidence: double, confidence_overall: double, probabilities: map<string, double>, summary: string, text: string, "
+    f"extract_details: array<struct<{_DETAIL}>>, courses: array<struct<{_COURSE}>>, {_BLOCK}>"
+)
 
 
 def parse_model_replies(replies: DataFrame) -> DataFrame:
@@ -74,6 +79,22 @@ def parse_model_replies(replies: DataFrame) -> DataFrame:
     )
 
 
+def reply_fields(parsed: DataFrame) -> DataFrame:
+    """Field details of replies: those that a reply lists, then the values of its blocks, each name's first value."""
+    listed = F.coalesce("parsed.extract_details", F.array().cast(f"array<struct<{_DETAIL}>>"))
+    sure = F.coalesce("parsed.confidence_overall", "parsed.confidence", F.lit(0.0))
+    shaped = [F.struct(F.lit(n).alias("field_name"), F.lit("NUMBER" if n in _NUMERIC else "TEXT").alias("field_type"), F.col(f"parsed.{b}.{n}").cast("string").alias("field_value"), sure.alias("confidence")) for b, names in BLOCKS.items() for n in names]
+    named = F.filter(F.concat(listed, F.array(*shaped)), lambda d: (d["field_name"] != "") & (d["field_value"] != ""))
+    rows = parsed.select("doc_id", F.posexplode(named).alias("field_ord", "d")).select("doc_id", "field_ord", "d.*")
+    first = rows.groupBy("doc_id", "field_name").agg(F.min_by(F.struct("field_ord", "field_type", "field_value", "confidence"), "field_ord").alias("d"))
+    return first.select("doc_id", "d.field_ord", "field_name", F.coalesce("d.field_type", F.lit("TEXT")).alias("field_type"), "d.field_value", F.coalesce("d.confidence", F.lit(0.0)).alias("confidence"))
+
+
+def reply_courses(parsed: DataFrame) -> DataFrame:
+    """Course rows of replies, as they give them."""
+    return parsed.select("doc_id", F.posexplode("parsed.courses").alias("line_no", "c")).select("doc_id", "line_no", "c.*")
+
+
 def needs_model(docs: DataFrame) -> DataFrame:
     """``(doc_id, route)`` of ``docs(doc_id, text, confidence, total_boxes, extracted_fields, disable_ai, llm_only)``: text, image or none."""
     off, only = F.coalesce("disable_ai", F.lit(False)), F.coalesce("llm_only", F.lit(False))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,9 +20,29 @@ def shared_base(spark: SparkSession) -> str:
     return folder or tempfile.mkdtemp(prefix="spark-")
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def dropped_after(spark: SparkSession):
+    """Checkpoints that :func:`cut` makes inside go when the block ends: what was built on them must be written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept by a reliable checkpoint in the shared folder, so that what is built on it neither repeats nor replans it."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_base(df.sparkSession))
-    return df.checkpoint()
+    done = df.checkpoint()
+    if _scopes:
+        made = done._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if made.isDefined():
+            _scopes[-1].append(made.get())
+    return done

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.operators.fields import valid_patterns
+
+#: Patterns of a pack that are checked on the driver.
+MOST_PATTERNS = 100_000
+
 _FIELD = "struct<field_name:string,field_type:string,description:string>"
 _FULL = (
     "struct<name:string,type:string,required:boolean,patterns:array<string>,description:string,"
@@ -14,8 +19,24 @@ TEMPLATE_SCHEMA = f"template_id string, document_type string, description string
 
 
 def load_templates(spark: SparkSession, path: str) -> DataFrame:
-    """A pack: a JSON array of templates, in any number of files."""
-    return spark.read.schema(TEMPLATE_SCHEMA).option("multiLine", True).json(path)
+    """A pack: a JSON array of templates, in any number of files; ``fields`` made of ``required_fields`` where there are none.
+
+    Patterns that do not compile are dropped with a warning, as one would fail every job that meets it.
+    """
+    packs = required_to_fields(spark.read.schema(TEMPLATE_SCHEMA).option("multiLine", True).json(path))
+    listed = packs.select(F.explode("fields").alias("f")).select(F.explode(F.concat(F.coalesce("f.patterns", F.array().cast("array<string>")), F.array("f.validation.pattern"))).alias("p"))
+    written = [r["p"] for r in listed.where("p IS NOT NULL").distinct().limit(MOST_PATTERNS + 1).collect()]
+    if len(written) > MOST_PATTERNS:
+        raise ValueError(f"a pack holds {MOST_PATTERNS} patterns at most")
+    bad = sorted(set(written) - set(valid_patterns(written)))
+    if not bad:
+        return packs
+
+    def sound(f: Column) -> Column:
+        check = f["validation"]
+        return f.withField("patterns", F.filter(f["patterns"], lambda p: ~p.isin(*bad))).withField("validation", check.withField("pattern", F.when(~check["pattern"].isin(*bad), check["pattern"])))
+
+    return packs.withColumn("fields", F.transform("fields", sound))
 
 
 def required_to_fields(templates: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docloom.plans.process import process
 from docloom.sources.cache import cache_entries, cache_upsert
+from docloom.sources.store import dropped_after
 
 DOCUMENT_SCHEMA = "doc_id long, text string"
 
@@ -14,12 +15,14 @@ DOCUMENT_SCHEMA = "doc_id long, text string"
 def process_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
     """Parquet documents landing in ``in_dir`` to responses in ``out_dir``, a folder for each batch.
 
-    A batch that is run again after a failure overwrites its own folder, so each document is answered once.
+    A batch that is run again after a failure overwrites its own folder, so each document is answered once. What a
+    batch keeps in the shared folder on its way goes once its answers are written.
     """
     stream = spark.readStream.schema(DOCUMENT_SCHEMA).parquet(in_dir)
 
     def write(batch: DataFrame, number: int) -> None:
-        process(batch).write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
+        with dropped_after(batch.sparkSession):
+            process(batch).write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -1,11 +1,15 @@
 """Literal rows for what the rendered forms do not reach, and the invariants."""
 
+import json
+import pathlib
+import warnings
+
 from pyspark.sql import functions as F
 
 from docloom.functions import predicates, scalars
 from docloom.operators import card, classify, entities, fields, lines, ocr, shape, tables
-from docloom.plans.process import process
-from docloom.sources import cache, ingest
+from docloom.plans.process import begin, process, resume
+from docloom.sources import cache, ingest, templates
 from docloom.streaming.stream import process_stream, stream_cache
 
 LEAVE = "请、销假单\n姓名：张三 学号：242040390 班级：软升243\n请假原因：论文调研\n开始日期：2024年5月6日\n本人手机号：_18455716598\nE-mail: zhang.san@example.com"
@@ -166,7 +170,7 @@ def test_stream_answers_as_batch(spark, tmp_path):
     docs = _docs(spark, LEAVE, "成绩单\n2024-2025-1 100001 01 高等数学 必修 4 95 4.0")
     docs.repartition(2).write.parquet(str(tmp_path / "in"))
     process_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    keep = ["doc_id", "document_type", "status", "summary"]
+    keep = ["doc_id", "document_type", "fields.extract_main.status", "summary"]
     streamed = spark.read.parquet(str(tmp_path / "out")).select(*keep).orderBy("doc_id").collect()
     assert streamed == process(docs).select(*keep).orderBy("doc_id").collect() and len(streamed) == 2
 
@@ -217,3 +221,121 @@ def test_inferred_fields_by_keyword_entity_and_shape(spark):
     # The keyword alone on its line takes the next line, as published.
     assert got["contact"]["field_value"] == "11010119900101123X"
     assert got["address"]["field_value"] is None and got["address"]["confidence"] == 0.0
+
+
+def _tokens(spark, text):
+    docs = _docs(spark, text)
+    rows = tables.courses_from_tokens(docs, tables.courses_from_lines(docs)).orderBy("line_no").collect()
+    return [(r["semester"], r["course_code"], r["course_name"], r["credit"], r["score"], r["gpa"]) for r in rows]
+
+
+def test_token_courses(spark):
+    far = " ".join(["选"] * 60)
+    assert _tokens(spark, f"成绩单 2024-2025-1 100 01 高等数学 必修 {far} 4学分 95分 备注 4.5 完") == [("2024-2025-1", "100", "高等数学必修", 4.0, 95.0, 4.5)]
+    # No words before its credit: the semester right before that credit opens the next course.
+    assert _tokens(spark, "卡 2024-2025-1 7 8 9 2024-2025-2 3 5 大学 英语 2 88 6 7 3.5") == [("2024-2025-2", "3", "大学英语", 2.0, 88.0, 3.5)]
+    # The search goes on behind the score, and a semester needs five tokens after it.
+    assert _tokens(spark, "卡 2024-2025-1 7 8 体育 3 2024-2025-2 3 5 大学 英语 2 88") == [("2024-2025-1", "7", "体育", 3.0, 2024.0, 3.0)]
+    assert _tokens(spark, "卡 2024-2025-1 7 8 体育 30") == [] and _tokens(spark, "卡 2024-2025-1 7 8 体育 30 40 50") == []
+
+
+def test_resolved_courses(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "doc_id long, line_no int, academic_year string, semester string, course_code string, course_seq string, course_name string, credit double, score double, gpa double")
+    one = lambda doc, name, k=0: (doc, k, None, None, None, None, name, 1.0, 2.0, None)
+    docs = _docs(spark, *"abcd")
+    kinds = docs.select("doc_id", F.when(F.col("doc_id") == 3, "通知").otherwise("成绩单").alias("document_type"))
+    rule = rows(one(0, "高等数学"), one(0, "2024", 1), one(1, "1234", 0), one(3, "9"))
+    table = rows(one(2, "2023", 5))
+    names = lambda df: sorted((r["doc_id"], r["course_name"]) for r in df.collect())
+    kept, outcome = tables.resolve_courses(rule, table, docs, kinds)
+    assert names(kept) == [(0, "高等数学"), (2, "2023")] and {r["outcome"] for r in outcome.collect()} == {"keep"}
+    kept, outcome = tables.resolve_courses(rule, table, docs, kinds, model=rows(one(1, "模型"), one(2, "7")))
+    assert names(kept) == [(1, "模型")] and [r["outcome"] for r in outcome.orderBy("doc_id").collect()] == ["clear", "replace", "clear", "keep"]
+    kept, _ = tables.resolve_courses(rule, table, docs, kinds, image=rows(one(0, "图像课程"), one(1, "图像课程"), one(3, "5")))
+    assert names(kept) == [(0, "图像课程"), (1, "图像课程"), (2, "2023")]
+
+
+def test_raw_recognition(spark):
+    raw = '{"lines": ["a", 5, " "], "result": [{"html": "<TABLE>x</TABLE>"}, 3, "s", {"html": 5}], "data": {"html": "<table>"}, "structure": [{"html": "<table>2"}]}'
+    docs = spark.createDataFrame([(1, "t", raw), (2, " p \nq", "nope"), (3, None, None), (4, "z", '{"lines": "x"}')], "doc_id long, text string, raw string")
+    rows = {r["doc_id"]: r for r in lines.read_raw(docs).collect()}
+    assert rows[1]["text"] == "a\n5" and rows[1]["lines"] == ["a", "5"] and rows[1]["html"] == ["<TABLE>x</TABLE>", "<table>2"]
+    assert rows[2]["lines"] == ["p", "q"] and rows[2]["html"] == [] and rows[3]["lines"] == [] and rows[4]["lines"] == ["z"]
+
+
+def test_table_of_templates_answers_as_the_compiled_pack(spark, tmp_path):
+    pack = [
+        {"template_id": "b", "document_type": "请假条", "match_keywords": ["学号", "E-MAIL"], "fields": [
+            {"name": "id", "type": "STUDENT_ID", "patterns": ["没有(x)", r"学号[:：]\s*(\d+)"], "validation": {"min_length": 12}}, {"name": "who", "type": "PERSON", "required": True, "patterns": []},
+            {"name": "class", "type": "TEXT", "patterns": [r"软升\d+", "("], "validation": {"enum": ["软升1"]}}, {"name": "day", "type": "NUMBER", "patterns": [r"(?:日期)[(：](\d{4})"], "validation": {"max": 2000}}]},
+        {"template_id": "a", "document_type": "通知", "match_keywords": [], "required_fields": [{"field_name": "title", "field_type": "TEXT", "description": "标题"}]},
+        {"template_id": "c", "document_type": "请假条", "match_keywords": ["学号", "e-mail"], "fields": []},
+    ]
+    (tmp_path / "pack.json").write_text(json.dumps(pack, ensure_ascii=False))
+    with warnings.catch_warnings(record=True):
+        table = templates.load_templates(spark, str(tmp_path))
+        docs = _docs(spark, LEAVE, "无", LEAVE.replace("软升243", "软升1"))
+        kinds = spark.createDataFrame([(0, "请假条"), (1, "通知"), (2, "其他")], "doc_id long, document_type string")
+        chosen = lambda t: sorted(map(tuple, classify.select_template(docs.join(kinds, "doc_id"), t).collect()))
+        order = F.when(F.col("template_id") == "b", 0).when(F.col("template_id") == "a", 1).otherwise(2)
+        assert chosen(table.withColumn("ord", order)) == chosen(pack) and [t for _, t, _ in chosen(pack)] == ["b", "a", "b"]
+        found = entities.extract_entities(docs, ["PERSON"])
+        picked = docs.withColumn("template_id", F.when(F.col("doc_id") == 1, "a").otherwise("b"))
+        got = fields.extract_by_templates(picked, table, found).where("doc_id <> 1")
+        want = fields.extract_fields(docs.where("doc_id <> 1"), pack[0], found)
+    plain = lambda df: sorted(tuple(r.asDict(True)[c] for c in ("doc_id", "field_ord", "field_name", "field_value", "confidence", "source_position")) + (r["validation"]["is_valid"],) for r in df.collect())
+    assert [str(x) for x in plain(got)] == [str(x) for x in plain(want)]
+    assert [r["field_name"] for r in fields.extract_by_templates(picked, table).where("doc_id = 1").collect()] == ["title"]
+
+
+def test_loan_contract_slots(spark):
+    docs = _docs(spark, "贷款合同 12000 元 期限 30月", "助学贷款 3.5 年 50 \\(元)", "贷款合同", "无")
+    kinds = docs.select("doc_id", F.when(F.col("doc_id") == 2, "通知").otherwise("合同").alias("document_type"))
+    found = spark.createDataFrame(
+        [(0, 1, 0, "PERSON", "欧阳修文", 0.5), (0, 1, 1, "PERSON", "O.K", 0.9), (0, 1, 2, "PERSON", "Longer name", 1.0), (0, 2, 0, "VERIFY_CODE", "12345678", 0.1), (0, 2, 1, "VERIFY_CODE", " 123456789 ", 0.1), (0, 3, 0, "LOAN_BANK_NAME", "开户行", 0.9)],
+        "doc_id long, rule int, ord int, type string, text string, confidence double",
+    )
+    pairs = spark.createDataFrame([(1, 4, 1, "验证", "11010519491231002X"), (1, 5, 1, "账号", "6222000011112222"), (1, 6, 1, "院系学院", "x")], "doc_id long, line_no int, rule int, key string, value string")
+    flat = shape.flatten_fields(docs.select("doc_id", F.lit(0).alias("field_ord"), F.lit("name").alias("field_name"), F.lit("旧名").alias("field_value")))
+    rows = {r["doc_id"]: r.asDict(True) for r in shape.map_loan_contract(found, pairs, kinds, docs, flat).collect()}
+    assert rows.keys() == {0, 1}
+    assert rows[0]["basic_info"]["name"] == "O.K" and rows[0]["certificate_info"]["verify_code"] == "123456789" and rows[0]["financial_info"] == {"bank_name": None, "account_number": "12345678", "loan_amount": 12000.0, "loan_years": 2.5}
+    assert rows[1]["financial_info"] == {"bank_name": None, "account_number": "6222000011112222", "loan_amount": 50.0, "loan_years": 3.5} and rows[1]["basic_info"]["college"] == "x"
+    over = shape.with_contract(flat, shape.map_loan_contract(found, pairs, kinds, docs, flat)).orderBy("doc_id").collect()
+    assert [r["name"] for r in over] == ["O.K", "旧名", "旧名", "旧名"] and over[0]["loan_amount"] == "12000.0"
+
+
+def test_exchange_with_cache(spark, tmp_path):
+    """What rules or cache answer is not asked; replies give fields, class and courses; what is not answered says why."""
+    docs = _docs(spark, LEAVE, "甲乙丙丁", "戊己庚辛", "子丑寅卯")
+    seen = spark.createDataFrame([(2, "name", "TEXT", "王五", 0.9, 0)], "doc_id long, field_name string, field_type string, field_value string, confidence double, field_ord int")
+    known = cache.cache_upsert(cache.cache_entries(docs, seen).where("false").select("key", F.lit(0).cast("long").alias("seq"), "extract_details"), cache.cache_entries(docs, seen))
+    work = begin(docs, str(tmp_path / "state"), known)
+    assert sorted(r["doc_id"] for r in work.collect()) == [1, 3] and all("甲乙丙丁" in r["field_prompt"] and "甲乙丙丁" in r["class_prompt"] for r in work.where("doc_id = 1").collect())
+    courses = ",".join(f'{{"course_name": "课程{k}课", "credit": "{k}"}}' for k in range(4))
+    reply = f'{{"document_type": "成绩单", "confidence": 0.9, "basic_info": {{"name": "张 三丰"}}, "extract_details": [{{"field_name": "hobby", "field_value": "围棋"}}], "courses": [{courses}]}}'
+    replies = spark.createDataFrame([(1, reply), (1, '{"document_type": "通知", "confidence": 0.1}'), (3, "不知道"), (0, reply)], "doc_id long, reply string")
+    rows, after = resume(spark, str(tmp_path / "state"), replies, known)
+    rows = {r["doc_id"]: r.asDict(True) for r in rows.collect()}
+    assert rows.keys() == {0, 1, 2, 3}
+    assert rows[1]["document_type"] == "成绩单" and rows[1]["classification"]["source"] == "llm" and len(rows[1]["courses"]) == 4 and "围棋" in str(rows[1]["fields"]["extract_details"])
+    assert rows[2]["classification"]["source"] == "nlp" and "王五" in str(rows[2]["fields"]["extract_details"]) and not rows[2]["notes"]
+    assert any("LLM 调用失败" in n for n in rows[3]["notes"]) and "原因" in rows[3]["summary"] and rows[0]["basic_info"]["student_id"] == "242040390"
+    assert after.count() > known.count()
+
+
+def test_stream_leaves_nothing_behind(spark, tmp_path, monkeypatch):
+    """A batch that dies between its answers and its commit is answered again, once; the shared folder holds no more after it than before."""
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    files = lambda: {p for p in pathlib.Path(folder.removeprefix("file:")).rglob("*") if p.is_file() and not p.name.startswith(".")}
+    before = files()
+    run = lambda: process_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    _docs(spark, LEAVE).write.parquet(str(tmp_path / "in"))
+    run()
+    commit = next((tmp_path / "state" / "commits").glob("0"))
+    commit.unlink()
+    for crc in (tmp_path / "state" / "commits").glob(".0.crc"):
+        crc.unlink()
+    run()
+    assert [r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [0]
+    assert files() <= before

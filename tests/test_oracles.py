@@ -5,7 +5,7 @@ import pytest
 
 from docloom.plans import registry
 
-TABLES = "customer orders lineitem documents pages conversations".split()
+TABLES = "customer orders lineitem documents pages conversations nation".split()
 ORACLES = registry.oracle_sql()
 
 
