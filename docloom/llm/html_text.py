@@ -56,32 +56,46 @@ _PLACE = set(
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|textarea|iframe|title)\b[^>]*>.*?(?:</\1\s*>|(?=<body\b)|\Z)"
     r"|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|</?[a-zA-Z][^>]*>",
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)[^>]*>",
     re.S | re.I,
 )
+#: Elements whose content is no markup. Unclosed ones of the second kind hold nothing; script and style hold the rest.
+_RAW, _RAW_IF_CLOSED = {"script", "style"}, {"noscript", "textarea", "iframe", "title"}
 #: Elements without main text that may hold others: skipped only as far as they are really closed.
 _SKIPPED = {"template", "svg", "select", "math", "canvas", "object", "button"}
-_TAGS = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_FOREIGN = {"svg", "math"}
+_SKIPS = re.compile(rf"<(?:{'|'.join(sorted(_SKIPPED))})\b", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Words of a class that make even a part of a line an advert.
+_ADS = set("ad ads advert adverts advertisement advertising adsense adbox adslot sponsor sponsored".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HOLDS = re.compile(r"(has|have|with|without|no|is|not)[-_A-Z]")
 
 
-def _judge(tag: str, attributes: str, in_content: bool) -> tuple[bool, bool, str]:
-    """Whether an element is boilerplate, whether it is even if it holds the main element, and its key in the wrapper."""
-    if not attributes.strip():
-        drop = tag in _DROPPED or (tag == "header" and not in_content)
-        return drop, drop and tag != "form", tag
+def _attributes(written: str) -> dict[str, str]:
+    """Names in lower case and values; of repeated names the first counts. Only whole names are names."""
     found: dict[str, str] = {}
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+    for name, a, b, c in _ATTRIBUTE.findall(written):
         found.setdefault(name.lower(), a or b or c)
-    drop = tag in _DROPPED or (tag == "header" and not in_content) or found.get("role", "").lower() in _DROPPED_ROLES
-    drop = drop or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
-    hard = drop and (tag != "form" or found.get("role", "").lower() in _DROPPED_ROLES or "hidden" in found)
-    if tag not in ("body", "html") and not drop:
+    return found
+
+
+def _hidden(found: dict[str, str]) -> bool:
+    return "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
+
+
+def _judge(tag: str, found: dict[str, str], in_content: bool, by_name: bool) -> tuple[bool, bool, str]:
+    """Whether an element is boilerplate, whether it is even if it holds the main element, and its key in the wrapper.
+
+    Without ``by_name`` its class, and a form, say nothing.
+    """
+    drop = (tag in _DROPPED and (by_name or tag != "form")) or (tag == "header" and not in_content) or found.get("role", "").lower() in _DROPPED_ROLES
+    hidden = _hidden(found)
+    drop = drop or hidden
+    hard = drop and (tag != "form" or found.get("role", "").lower() in _DROPPED_ROLES or hidden)
+    if by_name and tag not in ("body", "html") and not drop:
         drop = _named_boilerplate(f"{found.get('class', '')} {found.get('id', '')}".split())
     return drop, hard, f"{tag}.{'.'.join(sorted(found['class'].split()))}" if found.get("class") else tag
 
@@ -127,100 +141,191 @@ class Page:
         self.blocks, self.nodes = [], {0: [None, "", False]}
 
 
-def _closed(page: str, tag: str) -> dict[int, int]:
-    """Where elements of ``tag`` that are really closed start and end; ``<x/>`` of svg and math is empty."""
-    open_, ends = [], {}
-    foreign = tag in ("svg", "math")
-    for found in re.finditer(rf"<(/?){tag}\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", page, re.I):
-        if not found[1]:
-            if foreign and found[2].endswith("/"):
-                ends[found.start()] = found.end()
-            else:
-                open_.append(found)
-        elif open_:
-            first = open_.pop()
-            inner, depth, whole = page[first.end() : found.start()], {}, True
-            breaks_out = foreign and not re.search(r"<(?:foreignobject|annotation-xml)\b", inner, re.I)
-            for one in _TAGS.finditer(inner):
-                name = (one[2] or "").lower()
-                if name in _BLOCKS and name != "p":
-                    depth[name] = depth.get(name, 0) + (-1 if one[1] else 1)
-                    whole = whole and depth[name] >= 0
-                # An HTML block ends foreign content.
-                whole = whole and not (breaks_out and name in _BLOCKS)
-            if whole:
-                ends[first.start()] = found.end()
-    return ends
+class _Skips:
+    """Where elements that are skipped start and end, if they are really closed: found in one pass over a page.
+
+    An element is not if a block that began before it ends in it, or if an HTML block stands in svg or math (which
+    it ends) without an element that may hold HTML. ``<svg/>`` and ``<math/>`` are empty.
+    """
+
+    def __init__(self, page: str, last: int):
+        self.ends: dict[int, int] = {}
+        opened: dict[str, list[list]] = {}
+        whole: list[list] = []
+        blocks: dict[str, list[int]] = {}
+        seen, holder = 0, -1
+        for token, tag, closing in _tags(page, last):
+            start = token.start()
+            if tag in ("foreignobject", "annotation-xml"):
+                holder = start
+            elif tag in _BLOCKS:
+                seen += 1
+                if tag == "p":
+                    continue
+                if not closing:
+                    blocks.setdefault(tag, []).append(start)
+                    continue
+                began = blocks[tag].pop() if blocks.get(tag) else -1
+                while whole and whole[-1][0] > began:
+                    whole.pop()[2] = False
+            elif tag in _SKIPPED:
+                if not closing:
+                    if tag in _FOREIGN and (token[3] or "").endswith("/"):
+                        self.ends[start] = token.end()
+                        continue
+                    one = [start, seen, True]
+                    opened.setdefault(tag, []).append(one)
+                    whole.append(one)
+                elif opened.get(tag):
+                    one = opened[tag].pop()
+                    # Once a skipped element is closed, those in it that are still open never matter again.
+                    if one[2]:
+                        while whole and whole[-1][0] >= one[0]:
+                            whole.pop()
+                        if tag not in _FOREIGN or one[1] == seen or holder > one[0]:
+                            self.ends[one[0]] = token.end()
+
+
+def _tags(page: str, last: int):
+    """Tags of a page with name and whether they close; comments and raw elements are stepped over."""
+    at = 0
+    closers: dict[str, tuple] = {}
+    while token := _TOKEN.search(page, at, last):
+        at = token.end()
+        tag = (token[2] or token[5] or "").lower()
+        if not tag:
+            yield token, "", False
+            continue
+        closing = bool(token[1] or token[4])
+        if not closing and (tag in _RAW or tag in _RAW_IF_CLOSED):
+            if tag not in closers:
+                final = None
+                for final in re.finditer(rf"</{tag}\s*>", page, re.I):
+                    pass
+                closers[tag] = (re.compile(rf"</{tag}\s*>", re.I), -1 if final is None else final.start())
+            pattern, final = closers[tag]
+            if final >= at:
+                at = pattern.search(page, at).end()
+            elif tag in _RAW:
+                body = re.compile(r"<body\b", re.I).search(page, at)
+                at = body.start() if body else len(page)
+            yield token, "", at
+            continue
+        yield token, tag, closing
 
 
 def read_page(html: str | None) -> Page:
     """A page's blocks and elements; inline elements do not end a block, ``br`` is white space.
 
-    A class or a form does not drop the ``main`` in it, nor the ``article`` where no other text is in either.
+    A class or a form does not drop the ``main`` in it, nor the ``article`` where no other text is in either. Where
+    names and forms would leave nothing at all, they say nothing.
     """
-    found, buried = _read(html, False)
+    found, buried = _read(html, False, True)
     if buried and not any(b.content and not b.dropped for b in found.blocks):
-        found, _ = _read(html, True)
+        found, _ = _read(html, True, True)
+    if found.blocks and all(b.dropped for b in found.blocks):
+        plain, _ = _read(html, True, False)
+        found = plain if any(not b.dropped for b in plain.blocks) else found
     return found
 
 
-def _read(html: str | None, free_articles: bool) -> tuple[Page, bool]:
+class _Stack:
+    """Open elements, and where in the stack each kind of them stands, so that nothing is searched for."""
+
+    def __init__(self):
+        # tag, node, in article or main, dropped, dropped whatever it holds, nodes of its children
+        self.rows: list[tuple] = [("", 0, False, False, False, set())]
+        self.at: dict[str, list[int]] = {}
+        self.lists, self.solid = [0], [0]
+
+    def push(self, row: tuple) -> None:
+        k, tag = len(self.rows), row[0]
+        self.rows.append(row)
+        self.at.setdefault(tag, []).append(k)
+        if tag in _LISTS:
+            self.lists.append(k)
+        if tag != "p" and tag not in _HEADINGS:
+            self.solid.append(k)
+
+    def cut(self, k: int) -> None:
+        """Elements from place ``k`` on are closed."""
+        while len(self.rows) > k:
+            gone, place = self.rows.pop()[0], len(self.rows)
+            self.at[gone].pop()
+            if self.lists[-1] == place:
+                self.lists.pop()
+            if self.solid[-1] == place:
+                self.solid.pop()
+
+    def last(self, tag: str) -> int:
+        places = self.at.get(tag)
+        return places[-1] if places else 0
+
+
+def _read(html: str | None, free_articles: bool, by_name: bool) -> tuple[Page, bool]:
     out = Page()
-    nodes = out.nodes
-    # tag, node, in article or main, dropped, dropped whatever it holds, nodes of its children
-    stack: list[tuple] = [("", 0, False, False, False, set())]
-    ends: dict[str, dict[int, int]] = {}
+    nodes, stack = out.nodes, _Stack()
     buried = False
     held: list[str] = []
+    #: Inline elements that are open in one that is hidden or an advert; its text goes.
+    muted: list[str] = []
 
     def flush():
+        muted.clear()
         if held:
             text = " ".join(unescape("".join(held)).split())
             held.clear()
             if text:
-                top = stack[-1]
+                top = stack.rows[-1]
                 out.blocks.append(Block(top[1], text, top[2], top[3]))
 
     page, at = html or "", 0
-    while token := _TOKEN.search(page, at):
-        if token.start() > at:
+    last = page.rfind(">") + 1 if "<!--" not in page else len(page)
+    skips = _Skips(page, last).ends if _SKIPS.search(page) else {}
+    for token, tag, closing in _tags(page, last):
+        if token.start() < at:
+            continue
+        if token.start() > at and not muted:
             held.append(page[at : token.start()])
         at = token.end()
-        tag = token[3]
-        if tag is None:
+        if not tag:
+            at = max(at, closing)
             continue
-        tag = tag.lower()
-        if tag in _SKIPPED and not token[2]:
-            if tag not in ends:
-                ends[tag] = _closed(page, tag)
-            at = max(at, ends[tag].get(token.start(), at))
+        if tag in _SKIPPED and not closing:
+            at = max(at, skips.get(token.start(), at))
             continue
+        written = token[3] or ""
         if tag not in _BLOCKS:
             if tag in ("br", "wbr"):
                 held.append(" " if tag == "br" else "")
+            elif muted:
+                if closing and tag in muted:
+                    while muted.pop() != tag:
+                        pass
+                elif not closing and not written.endswith("/"):
+                    muted.append(tag)
+            elif not closing and by_name and written.strip() and tag not in ("img", "input", "source", "embed", "meta", "link", "param", "track", "area", "col", "base"):
+                found = _attributes(written)
+                if _hidden(found) or any(w in _ADS for name in f"{found.get('class', '')} {found.get('id', '')}".split() if not _HOLDS.match(name) for w in _NAME.findall(name.lower())[-1:]):
+                    muted.append(tag)
             continue
         flush()
-        if token[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+        if closing:
+            if k := stack.last(tag):
+                stack.cut(k)
             continue
         if tag in _SELF_CLOSING:
-            closes = _SELF_CLOSING[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in closes:
-                    del stack[k:]
-                    break
-                if stack[k][0] in _LISTS or (tag == "p" and stack[k][0] not in _HEADINGS):
-                    break
-        if tag in _NEVER_IN_P and stack[-1][0] == "p":
-            stack.pop()
+            k = max(map(stack.last, _SELF_CLOSING[tag]))
+            if k > (stack.solid[-1] if tag == "p" else stack.lists[-1]):
+                stack.cut(k)
+        if tag in _NEVER_IN_P and stack.rows[-1][0] == "p":
+            stack.cut(len(stack.rows) - 1)
         if tag == "hr":
             continue
-        _, parent, content, dropped, hard, beside = stack[-1]
-        drop, firm, key = _judge(tag, token[4] or "", content)
-        main = tag == "main" or "role=\"main\"" in (token[4] or "").lower()
+        _, parent, content, dropped, hard, beside = stack.rows[-1]
+        found = _attributes(written) if written.strip() else {}
+        drop, firm, key = _judge(tag, found, content, by_name)
+        main = tag == "main" or found.get("role", "").lower() == "main"
         if dropped and not hard and not content:
             buried = buried or tag == "article"
             dropped = not (main or (free_articles and tag == "article"))
@@ -229,8 +334,8 @@ def _read(html: str | None, free_articles: bool) -> tuple[Page, bool]:
             known = nodes.setdefault(node, [parent, key, False])
             known[2] = known[2] or node in beside
             beside.add(node)
-        stack.append((tag, node, content or main or tag == "article", dropped or drop, hard or firm, set()))
-    if at < len(page):
+        stack.push((tag, node, content or main or tag == "article", dropped or drop, hard or firm, set()))
+    if at < len(page) and not muted:
         held.append(page[at:])
     flush()
     return out, buried

@@ -1,4 +1,5 @@
 import random
+import time
 from html.parser import HTMLParser
 
 from docloom.llm import html_text
@@ -150,3 +151,31 @@ def test_what_is_not_closed_loses_no_text():
         '<article><p>Text</p></article><div class="sidebar"><article><p>Other</p></article></div>': "Text",
     }.items():
         assert html_text.main_text(page) == want, page
+
+
+def test_attributes_are_whole_names():
+    for page, want in {
+        '<article title="The hidden life of bees"><p>All of it</p></article>': "All of it",
+        '<article><p aria-hidden="false">All</p><p data-style="display:none">of it</p></article>': "All\n\nof it",
+        "<article><p hidden>no</p><p HIDDEN=''>no</p><p style='color:red; display : none'>no</p><p>yes</p></article>": "yes",
+        "<div role='main'><p>Text</p></div><p>Low</p>": "Text",
+        '<article><p>One <span class="ad">buy <b>now</b></span> two <i style="display:none">x</i>three</p><p>four <span class="ad-free">five</span></p></article>': "One two three\n\nfour five",
+        '<article><p>One <span class="ad">buy<p>Two</p></article>': "One\n\nTwo",
+        '<div class="newsletter"><p>The only text</p></div>': "The only text",
+        '<form><p>The only text</p></form>': "The only text",
+        '<article><div class="side"><p>Side A of the record</p></div></article>': "Side A of the record",
+        "<p>One</p><noscript><p>Two</p><p>Three</p>": "One\n\nTwo\n\nThree",
+        "<p>One</p><iframe><p>Two</p>": "One\n\nTwo",
+        "<p>One</p><noscript><p>No</p></noscript><p>Two</p><script>x<p>": "One\n\nTwo",
+    }.items():
+        assert html_text.main_text(page) == want, page
+
+
+def test_hostile_pages_are_read_in_linear_time():
+    n = 125_000
+    pages = ["<object>" * n + "</object>" * n, "<button>" * n + "</button>" * n, "<button>" * n, "<div>" * n + "</p>" * n, "<ul>" + "<div>" * n + "<li></li>" * n, "<h1>" * n + "<p></p>" * n]
+    pages += ["<noscript>" * n, "<a" * n, "<!" * n, '<a "' * n + ">", "<svg><path/>" * n + "</svg>" * n, "<svg><div>" * n + "</svg>" * n, "</div><object>" * n, '<p class="x" ' * n, "<!--" * n]
+    for page in pages:
+        began = time.perf_counter()
+        html_text.main_text(page + "<p>end</p>")
+        assert time.perf_counter() - began < 20, page[:30]
