@@ -47,13 +47,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Edges that one partition should hold.
+EDGES_A_PARTITION = 50_000
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, narrow: bool = False) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; component = smallest node reachable.
 
     Alternates large-star and small-star steps until the edge set stands still. Both are a
     minimum by node (combined map-side) and an equi-join back, so a hub's neighbours are never
     gathered in one task and AQE may split its partition. Each round is checkpointed: a lost
-    executor costs at most one round. Self-loops and repeated edges are ignored; empty in, empty out.
+    executor costs at most one round. With ``narrow``, few edges are kept in few partitions, whatever the shuffle's width.
+    Self-loops and repeated edges are ignored; empty in, empty out.
     """
     typed = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     now = checkpointed(
@@ -71,7 +76,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.where(F.col("u") != F.col("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = checkpointed(small.unionAll(down.select("u", F.col("m").alias("v"))).distinct())
+        # Edges never grow in number.
+        merged, parts = small.unionAll(down.select("u", F.col("m").alias("v"))).distinct(), 1 + state[0] // EDGES_A_PARTITION
+        after = checkpointed(merged.coalesce(parts) if narrow and parts < shuffle_width(edges.sparkSession) else merged)
         then = _edge_state(after)
         now, unchanged, state = after, then == state, then
         if unchanged:

@@ -13,8 +13,10 @@ two or three bits: too short to be keys. So blocks find the close pairs, and sho
    of its rows. Only rows of buckets that hold several groups after that are compared with each other, in cells of bounded size.
 5. What is compared are 256-bit fingerprints of the sets and their sizes; pairs within ``WIDE_BITS`` bits are verified on
    the texts themselves. A set with a frequent key has all its rare shingles as keys, so a pair that shares a rare one meets there: in the
-   bucket of a frequent key only pairs count whose frequent shingles alone can make the similarity. These are cut into ``CUTS``
-   parts by hash, of which each row has a checksum: sets that differ in ``d`` shingles differ in ``d`` parts at most.
+   bucket of a frequent key only pairs count whose frequent shingles alone can make the similarity. The shingles that count in a bucket
+   are cut into ``CUTS`` parts by hash, of which each row has a checksum: sets that differ in ``d`` shingles differ in ``d`` parts at most.
+6. A cell first hands on a spanning forest of its candidates, nearest ones first: no more pairs than rows, which join most
+   of what belongs together. Only what these leave in different groups is then compared pair by pair.
 """
 
 from __future__ import annotations
@@ -35,8 +37,9 @@ SHINGLE = 5
 FIFTHS = 4
 #: Chance that the keys of a pair at the threshold have none in common.
 MISS = 1e-9
-#: Fingerprints of sets with similarity 0.8 differ in 38.8 bits of 256 on average, deviation 5.7: 67 is five deviations away.
-WIDE_BITS = 67
+#: Fingerprints of sets with similarity 0.8 differ in 38.8 bits of 256 on average, deviation 5.7: 67 is five deviations away. Sets
+#: of fewer than ``WIDE_FROM`` shingles differ in more bits, and are not judged by them.
+WIDE_BITS, WIDE_FROM = 67, 10
 PARTS = 4
 CUTS = 64
 SEED = 42
@@ -48,7 +51,8 @@ FREQUENT_FROM, MOST_FREQUENT = 8, 200_000
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _FP = [f"f{k}" for k in range(PARTS)]
-_SUMS = [f"c{k}" for k in range(CUTS // 8)]
+#: Checksums of a set's frequent shingles, of all of them, and of those that count in a bucket.
+_LATE, _WHOLE, _SUMS = ([f"{name}{k}" for k in range(CUTS // 8)] for name in ("l", "w", "c"))
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -79,8 +83,15 @@ def _set_fingerprint(found: np.ndarray, part: int) -> int:
     return int(np.packbits(2 * counts > len(found), bitorder="little").view("<i8")[0])
 
 
+def checksums(found: np.ndarray) -> np.ndarray:
+    """A byte for each of ``CUTS`` parts of a set, eight to a number."""
+    sums = np.bincount((found & np.uint64(CUTS - 1)).astype(np.int64), weights=(found >> np.uint64(6) & np.uint64(255)).astype(float), minlength=CUTS)
+    return (sums.astype(np.int64) & 255).astype(np.uint8).view("<i8")
+
+
 def keys_of(found: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
-    """The first shingles of a set that stand for it (see the module's third point), how many of the set are rare, and its checksums."""
+    """The first shingles of a set that stand for it (see the module's third point), how many of the set are rare, and the
+    checksums of its frequent shingles and of the whole set."""
     n = rare = len(found)
     if len(frequent):
         late = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found
@@ -88,9 +99,7 @@ def keys_of(found: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int, n
         found = np.concatenate((found[~late], found[late]))
     certain = n - -(-FIFTHS * n // 5) + 1
     few = math.ceil(math.log(MISS) / math.log(n / (5 * rare))) if 5 * rare > n else n
-    late = found[rare:]
-    sums = np.bincount((late & np.uint64(CUTS - 1)).astype(np.int64), weights=(late >> np.uint64(6) & np.uint64(255)).astype(float), minlength=CUTS)
-    return found[: min(certain, few)], rare, (sums.astype(np.int64) & 255).astype(np.uint8).view("<i8")
+    return found[: min(certain, few)], rare, np.concatenate((checksums(found[rare:]), checksums(found)))
 
 
 def _frequent_shingles(texts: DataFrame) -> np.ndarray:
@@ -106,7 +115,8 @@ def _frequent_shingles(texts: DataFrame) -> np.ndarray:
 
 
 def _signatures(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``(h, g, id, n, r, f0.., c0.., keys)``, one row for each row of ``texts(h, g, id, text)``; of ``n`` shingles ``r`` are rare."""
+    """``(h, g, id, n, r, f0.., l0.., w0.., keys)``, one row for each row of ``texts(h, g, id, text)``; of ``n`` shingles ``r`` are rare."""
+    marks = [*_LATE, *_WHOLE]
 
     def run(batches):
         for batch in batches:
@@ -116,11 +126,11 @@ def _signatures(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
                 chosen = [keys_of(s, frequent) for s in sets]
                 keys = pa.array([c[0].view(np.int64) for c in chosen], pa.list_(pa.int64()))
                 sizes = [pa.array(map(len, sets), pa.int64()), pa.array([c[1] for c in chosen], pa.int64())]
-                sums = [pa.array(column) for column in (np.array([c[2] for c in chosen]).T if chosen else [[]] * len(_SUMS))]
+                sums = [pa.array(column) for column in (np.array([c[2] for c in chosen]).T if chosen else [[]] * len(marks))]
                 prints = [pa.array([_set_fingerprint(s, k) for s in sets], pa.int64()) for k in range(PARTS)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *sizes, *prints, *sums, keys], names=["h", "g", "id", "n", "r", *_FP, *_SUMS, "keys"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *sizes, *prints, *sums, keys], names=["h", "g", "id", "n", "r", *_FP, *marks, "keys"])
 
-    return texts.select("h", "g", "id", "text").mapInArrow(run, f"h long, g long, id long, n long, r long, {', '.join(f'{f} long' for f in (*_FP, *_SUMS))}, keys array<long>")
+    return texts.select("h", "g", "id", "text").mapInArrow(run, f"h long, g long, id long, n long, r long, {', '.join(f'{f} long' for f in (*_FP, *marks))}, keys array<long>")
 
 
 def _within(a: str, b: str) -> Column:
@@ -129,7 +139,7 @@ def _within(a: str, b: str) -> Column:
     sizes = (5 * F.col(f"{a}.n") >= FIFTHS * F.col(f"{b}.n")) & (5 * F.col(f"{b}.n") >= FIFTHS * F.col(f"{a}.n"))
     common = F.least(F.col(f"{a}.n") - F.col(f"{a}.r"), F.col(f"{b}.n") - F.col(f"{b}.r"))
     enough = 5 * common >= FIFTHS * (F.col(f"{a}.n") + F.col(f"{b}.n") - common)
-    return (bits <= WIDE_BITS) & sizes & (~F.col("often") | enough)
+    return ((bits <= WIDE_BITS) | (F.col(f"{a}.n") < WIDE_FROM)) & sizes & (~F.col("often") | enough)
 
 
 def _block_pairs(classes: DataFrame) -> DataFrame:
@@ -161,21 +171,21 @@ def _runs(batches):
         yield held
 
 
-def _candidates(run: np.ndarray):
-    """Candidate pairs of one run, of different groups."""
+def _candidates(run: np.ndarray, forest: bool):
+    """Candidate pairs of one run, of different groups; with ``forest`` only such as join two that no pair before has joined, nearest ones first."""
     fps, cids, n, comp = np.ascontiguousarray(run[:, 3 : 3 + PARTS]).view(np.uint64), run[:, 3 + PARTS], run[:, 4 + PARTS], run[:, 5 + PARTS]
     frequent, often = run[:, 6 + PARTS], bool(run[0, 7 + PARTS])
     sums = np.ascontiguousarray(run[:, 8 + PARTS :]).view(np.uint8)
     counted = frequent if often else n
-    groups, sizes = np.unique(comp, return_counts=True)
+    groups, comp, sizes = np.unique(comp, return_inverse=True, return_counts=True)
     if len(groups) < 2:
         return
     # Rows of the largest group meet the others from the others' side.
-    at = np.nonzero(comp != groups[np.argmax(sizes)])[0]
+    at = np.nonzero(comp != np.argmax(sizes))[0]
     for k in range(0, len(at), 256):
         rows = at[k : k + 256]
         bits = sum(np.bitwise_count(fps[rows, None, p] ^ fps[None, :, p]).astype(np.int64) for p in range(PARTS))
-        near = (bits <= WIDE_BITS) & (comp[rows, None] != comp[None, :])
+        near = ((bits <= WIDE_BITS) | (n[rows, None] < WIDE_FROM)) & (comp[rows, None] != comp[None, :])
         near &= (5 * n[rows, None] >= FIFTHS * n[None, :]) & (5 * n[None, :] >= FIFTHS * n[rows, None])
         if often:
             common = np.minimum(frequent[rows, None], frequent[None, :])
@@ -186,12 +196,25 @@ def _candidates(run: np.ndarray):
             differ = counted[x] + counted[y] - 2 * -(-4 * (n[x] + n[y]) // 9)
             near[i[at_pair : at_pair + 50_000], y] = (sums[x] != sums[y]).sum(1) <= differ
         i, j = np.nonzero(near)
+        if forest and len(i):
+            # Of a row's candidates in a group, the nearest alone.
+            order = np.lexsort((bits[i, j], comp[j], i))
+            i, j = i[order], j[order]
+            new = np.concatenate(([True], (i[1:] != i[:-1]) | (comp[j[1:]] != comp[j[:-1]])))
+            i, j = i[new], j[new]
+            order = np.argsort(bits[i, j], kind="stable")
+            i, j, kept = i[order], j[order], np.zeros(len(i), bool)
+            for place, (p, q) in enumerate(zip(rows[i].tolist(), j.tolist())):
+                if comp[p] != comp[q]:
+                    comp[comp == comp[p]] = comp[q]
+                    kept[place] = True
+            i, j = i[kept], j[kept]
         a, b = cids[rows[i]], cids[j]
         yield np.minimum(a, b), np.maximum(a, b)
 
 
-def _bucket_pairs(buckets: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """``(a, b)``: candidates of different groups in ``buckets(key, often, cid, n, r, f0.., c0..)`` that hold several groups."""
+def _bucket_pairs(buckets: DataFrame, groups: DataFrame | None, forest: bool) -> DataFrame:
+    """``(a, b)``: candidates (with ``forest`` a spanning forest of a cell's) of different groups in ``buckets(key, often, cid, n, r, f0.., c0..)`` that hold several groups."""
     now = buckets.withColumn("comp", F.col("cid"))
     if groups is not None:
         now = buckets.join(groups.withColumnsRenamed({"node": "cid", "component": "comp"}), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
@@ -204,7 +227,7 @@ def _bucket_pairs(buckets: DataFrame, groups: DataFrame | None) -> DataFrame:
 
     def run(batches):
         for one in _runs(batches):
-            for a, b in _candidates(one):
+            for a, b in _candidates(one, forest):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -240,14 +263,15 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def similar_groups(classes: DataFrame, texts: DataFrame) -> DataFrame | None:
     """``(node, component)`` for the classes that have a near copy; none: None.
 
-    ``classes(cid, h, g, n, r, f0.., c0.., keys)`` has a row for each distinct text, ``texts(h, g, text)`` at least one.
+    ``classes(cid, h, g, n, r, f0.., l0.., w0.., keys)`` has a row for each distinct text, ``texts(h, g, text)`` at least one.
     """
     keyed = classes.select(F.posexplode("keys").alias("place", "key"), "cid", "r").select("key", "cid", (F.col("place") >= F.col("r")).alias("often"))
     shared = keyed.groupBy("key").agg(F.min("cid").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("key", "first")
     # Most keys are one text's alone; only what shares one takes its fingerprints along.
     hits = checkpointed(keyed.join(shared, "key"))
-    marks = classes.select("cid", "n", "r", *_FP, *_SUMS)
-    buckets = checkpointed(hits.join(marks, "cid").select("key", "often", "cid", "n", "r", *_FP, *_SUMS))
+    marks = classes.select("cid", "n", "r", *_FP, *_LATE, *_WHOLE)
+    counting = [F.when(F.col("often"), F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in zip(_LATE, _WHOLE, _SUMS)]
+    buckets = checkpointed(hits.join(marks, "cid").select("key", "often", "cid", "n", "r", *_FP, *counting))
     side = lambda name: F.struct("n", "r", *_FP).alias(name)
     others = hits.where("cid <> first").join(classes.select("cid", side("own")), "cid").join(classes.select(F.col("cid").alias("first"), side("other")), "first")
     with_first = others.where(_within("own", "other")).select(F.col("first").alias("a"), F.col("cid").alias("b"))
@@ -259,12 +283,15 @@ def similar_groups(classes: DataFrame, texts: DataFrame) -> DataFrame | None:
     edges = groups = None
     if not pairs.isEmpty():
         edges = checkpointed(_verified(pairs, texts))
-        groups = checkpointed(connected_components(edges))
+        groups = checkpointed(connected_components(edges, narrow=True))
     # What is in one group by now need not be compared; what was compared in vain is left out.
-    rest = checkpointed(_bucket_pairs(buckets, groups).distinct().join(pairs, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
+    for forest in (True, False):
+        rest = checkpointed(_bucket_pairs(buckets, groups, forest).distinct().join(pairs, ["a", "b"], "left_anti"))
+        if rest.isEmpty():
+            continue
         more = checkpointed(_verified(rest, texts))
-        groups = checkpointed(connected_components(more if edges is None else edges.unionAll(more)))
+        edges, pairs = more if edges is None else edges.unionAll(more), pairs.unionAll(rest)
+        groups = checkpointed(connected_components(edges, narrow=True))
     return groups
 
 
@@ -279,9 +306,9 @@ def one_of_each_similar_group(docs: DataFrame, doc_id: str = "doc_id", text: str
     keyed = docs.withColumns({"__h": F.xxhash64(whole), "__g": F.xxhash64(F.lit(1), whole)})
     texts = keyed.select(F.col("__h").alias("h"), F.col("__g").alias("g"), F.col(doc_id).cast("long").alias("id"), whole.alias("text"))
     signed = checkpointed(_signatures(texts, _frequent_shingles(texts)))
-    named = signed.groupBy("h", "g", "id").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "r", *_FP, *_SUMS, "keys")])
+    named = signed.groupBy("h", "g", "id").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "r", *_FP, *_LATE, *_WHOLE, "keys")])
     head = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "copies")).alias("head")
-    classes = named.groupBy("h", "g").agg(head, *[F.first(c).alias(c) for c in ("n", "r", *_FP, *_SUMS, "keys")])
+    classes = named.groupBy("h", "g").agg(head, *[F.first(c).alias(c) for c in ("n", "r", *_FP, *_LATE, *_WHOLE, "keys")])
     # The number of a class, fixed by the checkpoint.
     classes = checkpointed(classes.withColumn("cid", F.monotonically_increasing_id()))
     groups = similar_groups(classes, texts)
