@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,39 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 #: Edges that one partition should hold.
 EDGES_A_PARTITION = 50_000
+#: Nodes that a task holds before it hands their stars on: more than so many edges have.
+HELD_NODES = 4 * EDGES_A_PARTITION
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """``(a, b)``: what the edges of a partition link, each node to the smallest node it reaches there."""
+
+    def run(batches):
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        def out():
+            rows = [(x, r) for x in up if (r := root(x)) != x]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([], []))], names=["a", "b"])
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                up.setdefault(a, a)
+                up.setdefault(b, b)
+                p, q = root(a), root(b)
+                up[max(p, q)] = min(p, q)
+                if len(up) > HELD_NODES:
+                    yield out()
+                    up.clear()
+        if up:
+            yield out()
+
+    return edges.mapInArrow(run, "a long, b long")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60, narrow: bool = False) -> DataFrame:
@@ -57,14 +91,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, narrow: bool =
     Alternates large-star and small-star steps until the edge set stands still. Both are a
     minimum by node (combined map-side) and an equi-join back, so a hub's neighbours are never
     gathered in one task and AQE may split its partition. Each round is checkpointed: a lost
-    executor costs at most one round. With ``narrow``, few edges are kept in few partitions, whatever the shuffle's width.
+    executor costs at most one round. With ``narrow``, few edges are kept in few partitions, whatever the shuffle's width,
+    and each task first joins what it reads: edges of one partition need no round.
     Self-loops and repeated edges are ignored; empty in, empty out.
     """
-    typed = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    now = checkpointed(
-        typed.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
-    state = _edge_state(now)
+    typed = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
+    alone = False
+    if narrow:
+        parts = 1 + typed.count() // EDGES_A_PARTITION
+        alone = parts == 1
+        typed = _stars(typed.coalesce(parts) if parts < shuffle_width(edges.sparkSession) else typed)
+    turned = typed.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    now = checkpointed(turned if alone else turned.distinct())
+    state = (0,) if alone else _edge_state(now)
     for _ in range(max_rounds):
         if state[0] == 0:
             break
@@ -85,6 +124,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, narrow: bool =
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    # Stars by now.
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
