@@ -367,7 +367,12 @@ INFERRED_BY_SHAPE = {
 }
 
 
-def _placed(text: Column, pattern: str, confidence: float, width: int) -> Column:
+def _matched(text: Column, pattern: str, confidence: float, width: int) -> Column:
+    """As :func:`_placed`, but the place is that of the whole match."""
+    return _placed(text, pattern, confidence, width, whole_match=True)
+
+
+def _placed(text: Column, pattern: str, confidence: float, width: int, whole_match: bool = False) -> Column:
     """``struct(value, confidence, source_position)`` of a pattern's group 1, which ends the match, null without one.
 
     The text is searched once; the rest is read off the match, inside a lambda, which keeps the generated code short.
@@ -376,7 +381,7 @@ def _placed(text: Column, pattern: str, confidence: float, width: int) -> Column
     def place(whole: Column) -> Column:
         value = F.regexp_extract(whole, pattern, 1)
         end = F.position(whole, text) - 1 + F.length(whole)
-        start = end - F.length(value)
+        start = end - F.length(whole if whole_match else value)
         at = F.greatest(start - width, F.lit(0))
         place = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.substr(text, at + 1, end + width - at).alias("context"))
         return F.when(whole != "", F.struct(S.trimmed(value).alias("value"), F.lit(confidence).alias("confidence"), place.alias("source_position")))
@@ -440,14 +445,44 @@ def inferred_template() -> dict:
     return {"template_id": "auto-generated-from-doc", "fields": fields}
 
 
-def infer_roster_fields(rows: DataFrame, majority: DataFrame) -> DataFrame:
-    """Class, name and gender of a roster's first member (0.85), the class by majority (0.9) where there is one."""
-    first = rows.groupBy("doc_id").agg(F.min_by(F.struct("class", "name", "gender"), "ord").alias("r")).join(majority.withColumnRenamed("class", "m"), "doc_id", "left")
-    made = F.array(
-        F.struct(F.lit(0).alias("field_ord"), F.lit("class").alias("field_name"), F.lit("CLASS").alias("field_type"), F.coalesce("m", "r.class").alias("field_value"), F.when(F.col("m").isNotNull(), 0.9).otherwise(0.85).alias("confidence")),
-        *[
-            F.struct(F.lit(k).alias("field_ord"), F.lit(n).alias("field_name"), F.lit(kind).alias("field_type"), F.col(f"r.{n}").alias("field_value"), F.lit(0.85).alias("confidence"))
-            for k, (n, kind) in enumerate((("name", "PERSON"), ("gender", "TEXT")), 1)
-        ],
-    )
-    return first.select("doc_id", F.inline(made))
+# The fields of a roster's own template (name, type, pattern, description) and what a roster calls itself.
+ROSTER_FIELDS = (
+    ("class", "CLASS", r"班级[:：]?\s*([A-Za-z0-9一-龥]{2,12})", "班级"),
+    ("name", "PERSON", r"姓名[:：]?\s*([A-Za-z一-龥]{2,6})", "姓名"),
+    ("gender", "TEXT", r"性别[:：]?\s*(男|女)", "性别"),
+)
+ROSTER_HINT = "班级成员表|成员名单|班级名单"
+
+
+def roster_template() -> dict:
+    """The template that :func:`infer_roster_fields` stands for, to be used again."""
+    return {"template_id": "auto-roster", "fields": [{"name": n, "type": kind, "required": False, "patterns": [p], "description": about} for n, kind, p, about in ROSTER_FIELDS]}
+
+
+def infer_roster_fields(docs: DataFrame, rows: DataFrame, sample: DataFrame, majority: DataFrame) -> DataFrame:
+    """``(doc_id, field_ord, field_name, field_type, field_value, confidence, source_position)``: class, name and gender of rosters, null where not found.
+
+    ``rows``, ``sample`` and ``majority`` are what :func:`docloom.operators.tables.roster_rows`, ``roster_sample`` and ``roster_class`` find in ``docs``.
+    The first member's values count (0.85), without members the first triple's; a class is else the commonest one (0.9), any other what follows
+    its word in the text (0.9, with its place). Documents without members that do not call themselves a roster are left out.
+    """
+    first = rows.groupBy("doc_id").agg(F.min_by(F.struct("class", "name", "gender"), "ord").alias("__first"))
+    other = sample.select("doc_id", F.struct("class", "name", "gender").alias("__sample"))
+    most = majority.select("doc_id", F.col("class").alias("__most"))
+    found = docs.select("doc_id", "text").join(first, "doc_id", "left").join(other, "doc_id", "left").join(most, "doc_id", "left")
+    found = found.where(F.col("__first").isNotNull() | F.col("text").rlike(ROSTER_HINT)).withColumn("__first", F.coalesce("__first", "__sample"))
+
+    def said(value: Column, confidence: float, where: str) -> Column:
+        place = F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(where).alias("context"))
+        return F.when(value != "", F.struct(value.alias("value"), F.lit(confidence).alias("confidence"), place.alias("source_position")))
+
+    made = []
+    for k, (name, kind, pattern, _) in enumerate(ROSTER_FIELDS):
+        tries = [said(F.col(f"__first.{name}"), 0.85, "roster-sample")]
+        if name == "class":
+            tries.append(said(F.col("__most"), 0.9, "roster-majority"))
+        tries.append(_matched(F.col("text"), f"(?iU){pattern}", 0.9, 20))
+        made.append(F.struct(F.lit(k).alias("field_ord"), F.lit(name).alias("field_name"), F.lit(kind).alias("field_type"), F.coalesce(*tries).alias("hit")))
+    # Inlined first, so that each value is made once.
+    listed = found.select("doc_id", F.inline(F.array(*made)))
+    return listed.select("doc_id", "field_ord", "field_name", "field_type", F.col("hit.value").alias("field_value"), F.coalesce("hit.confidence", F.lit(0.0)).alias("confidence"), F.col("hit.source_position").alias("source_position"))

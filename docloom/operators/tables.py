@@ -271,7 +271,7 @@ ROSTER_ORDERS = (
 
 
 def roster_rows(docs: DataFrame) -> DataFrame:
-    """``(doc_id, number, class, name, gender, ord)``: members of rosters in four column orders, each once, sorted by number.
+    """``(doc_id, number, class, name, gender, ord)``: members of rosters in four column orders, each once, sorted by number (zero last).
 
     A class has 3-12 characters with a digit and a letter, a name 2-4 characters; a member without a number gets its rank.
     """
@@ -285,7 +285,8 @@ def roster_rows(docs: DataFrame) -> DataFrame:
     rows = found.where(sound).withColumn("__r", F.row_number().over(once)).where("__r = 1")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("pattern", "at"))
     rows = rows.withColumn("number", F.coalesce(F.nullif("no", F.lit("")).try_cast("int"), rank))
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("number", "pattern", "at"))
+    # A number of zero counts as none: such members stand last.
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce(F.nullif("number", F.lit(0)), F.lit(1_000_000)), "pattern", "at"))
     return rows.select("doc_id", "number", "class", "name", "gender", order.alias("ord"))
 
 

@@ -64,6 +64,8 @@ SELECT doc_id, p[1]::INT AS number, p[2] AS class, p[3] AS name, p[4] AS gender,
 FROM (SELECT doc_id, string_split(l, ' ') AS p, pos
       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM ({_ROSTERS})) WHERE pos > 2)
 """
+# The commonest class; where genders are missing a lone member's class is no commoner than the words of the heading.
+_ROSTER_CLASS = f"SELECT doc_id, CASE WHEN count(*) > 1 OR doc_id % 5 IN (0, 1, 2) THEN any_value(class) WHEN doc_id % 5 = 3 THEN '班级成员表' ELSE '班级' END AS class FROM ({_MEMBERS}) GROUP BY doc_id"
 _LEAVE_PARTS = f"""
 SELECT doc_id, text, regexp_extract(text, '姓名：(\\S+)', 1) AS name, regexp_extract(text, '学号：([0-9]+)', 1) AS sid, regexp_extract(text, '班级：(\\S+)', 1) AS class,
        regexp_extract(text, '开始日期：(\\S+)', 1) AS day, regexp_extract(text, '手机号：_([0-9]+)', 1) AS phone, regexp_extract(text, '金额：([0-9]+)元', 1) AS amount
@@ -121,8 +123,8 @@ FROM (SELECT *, {_DIGITS} >= 0.35 OR {_SEPS} >= 3 OR regexp_matches(line, '学
     "d5_courses_from_lines": f"SELECT * FROM ({_COURSE_ROWS})",
     "d7_clean_courses": f"SELECT doc_id, count(*) AS n, sum(credit) AS credits FROM ({_COURSE_ROWS}) GROUP BY doc_id",
     "d11_roster_rows": f"SELECT doc_id, number, class, name, gender FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, class, name, gender ORDER BY pos) AS r FROM ({_MEMBERS})) WHERE r = 1",
-    "d12_roster_sample": f"SELECT doc_id, class, name, gender FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM ({_MEMBERS})) WHERE r = 1",
-    "d13_roster_class": f"SELECT DISTINCT doc_id, class FROM ({_MEMBERS})",
+    "d12_roster_sample": f"SELECT doc_id, class, CASE WHEN doc_id % 5 = 2 THEN name[1] ELSE name END AS name, gender FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM ({_MEMBERS})) WHERE r = 1 AND doc_id % 5 IN (0, 2)",
+    "d13_roster_class": f"SELECT doc_id, class FROM ({_ROSTER_CLASS})",
     "e1_emails": " UNION ALL ".join(f"SELECT doc_id, type, ord, text FROM ({_matches(t, r, p, 0, 'SELECT doc_id, text FROM documents')})" for t, r, p in (("PHONE", 19, "1[3-9][0-9]{9}"), ("EMAIL", 20, r"[A-Za-z0-9_.+\-]+@[A-Za-z0-9\-]+\.[A-Za-z0-9\-.]+"))),
     "e3_date_ranges": """SELECT o_orderkey AS doc_id, 'LEAVE_START_DATE' AS type, strftime(o_orderdate, '%Y-%m-%d') AS text FROM orders
 UNION ALL SELECT o_orderkey, 'LEAVE_END_DATE', strftime(o_orderdate::DATE + 3, '%Y-%m-%d') FROM orders""",
@@ -136,9 +138,12 @@ UNION ALL SELECT doc_id, 'amount', amount, CASE WHEN amount::DOUBLE > 200000 THE
 UNION ALL SELECT doc_id, 'reason', '论文调研', 0.9, true FROM ({_LEAVE_PARTS}) UNION ALL SELECT doc_id, 'absent', NULL, 0, false FROM ({_LEAVE_PARTS})""",
     "f2_ner_fallback": f"SELECT doc_id, 'who' AS field_name, name AS field_value, 0.85 AS confidence FROM ({_LEAVE_PARTS})",
     "f4_summarize_fields": f"SELECT doc_id, 4 AS total_fields, 3 AS extracted_fields, round_even((0.9 + 0.9 + CASE WHEN amount::DOUBLE > 200000 THEN 0.45 ELSE 0.9 END) / 3.0, 4) AS confidence, 'success' AS status FROM ({_LEAVE_PARTS})",
-    "f6_infer_roster_fields": f"""WITH s AS (SELECT doc_id, class, name, gender FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY number, pos) AS r FROM ({_MEMBERS})) WHERE r = 1)
-SELECT doc_id, 0 AS field_ord, 'class' AS field_name, 'CLASS' AS field_type, class AS field_value, 0.9 AS confidence FROM s
-UNION ALL SELECT doc_id, 1, 'name', 'PERSON', name, 0.85 FROM s UNION ALL SELECT doc_id, 2, 'gender', 'TEXT', gender, 0.85 FROM s""",
+    "f6_infer_roster_fields": f"""WITH s AS (SELECT *, doc_id % 5 AS kind FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN doc_id % 5 = 0 THEN CASE number WHEN 0 THEN 1000000 ELSE number END ELSE pos END, pos) AS r FROM ({_MEMBERS}))
+             JOIN (SELECT doc_id, class AS most FROM ({_ROSTER_CLASS})) USING (doc_id) WHERE r = 1 AND doc_id % 5 <> 4)
+SELECT doc_id, 0 AS field_ord, 'class' AS field_name, 'CLASS' AS field_type, CASE WHEN kind IN (0, 2) THEN class ELSE most END AS field_value, CASE WHEN kind IN (0, 2) THEN 0.85 ELSE 0.9 END AS confidence, -1 AS start, CASE WHEN kind IN (0, 2) THEN 13 ELSE 15 END AS n_context FROM s
+UNION ALL SELECT doc_id, 1, 'name', 'PERSON', CASE kind WHEN 0 THEN name WHEN 2 THEN name[1] ELSE '性别' END, CASE WHEN kind IN (0, 2) THEN 0.85 ELSE 0.9 END, CASE WHEN kind IN (1, 3) THEN 12 ELSE -1 END,
+       CASE WHEN kind IN (0, 2) THEN 13 ELSE least(length(worn), 37) END FROM s JOIN (SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN regexp_replace(text, ' [一-龥]{{3}} ([男女])', ' \\1', 'g') ELSE regexp_replace(text, ' [男女]', ' ', 'g') END AS worn FROM ({_ROSTERS})) USING (doc_id)
+UNION ALL SELECT doc_id, 2, 'gender', 'TEXT', CASE WHEN kind IN (0, 2) THEN gender END, CASE WHEN kind IN (0, 2) THEN 0.85 ELSE 0 END, -1, CASE WHEN kind IN (0, 2) THEN 13 ELSE 0 END FROM s""",
     "g1_classify_free": _free(_FORMS),
     "g3_keyword_rules": f"WITH f AS ({_FORMS}) SELECT doc_id, doc_type, round(max(score)::DOUBLE, 6) AS score FROM ({_KEYWORD}) GROUP BY doc_id, doc_type",
     "g7_primary_type": f"SELECT doc_id, document_type AS doc_type, CASE {_PRIMARY} ELSE 'other' END AS primary_type FROM ({_free(_FORMS)})",
@@ -496,3 +501,9 @@ SELECT n AS doc_id, CASE WHEN n % 6 = 0 THEN '成绩单' ELSE '请假条' END AS
   n::VARCHAR AS file_id, 'good' AS ocr_quality, 'nlp' AS source, CASE WHEN blank THEN 3 ELSE length(text) END AS n_text FROM l"""
 ORACLES["h9_process"] = f"""SELECT p.doc_id, p.document_type, CASE p.doc_id % 4 WHEN 1 THEN 'success' ELSE 'partial' END AS status, CASE WHEN p.doc_id % 4 = 0 THEN l.sid END AS student_id, coalesce(c.n, 0) AS n_courses
 FROM ({ORACLES["g6_pick_type"]}) p LEFT JOIN ({_LEAVE_PARTS}) l ON l.doc_id * 4 = p.doc_id LEFT JOIN (SELECT doc_id * 4 + 2 AS doc_id, count(*) AS n FROM ({_COURSE_ROWS}) GROUP BY 1) c ON c.doc_id = p.doc_id"""
+ORACLES["a1_read_requests"] = "SELECT doc_id::VARCHAR AS file_id, md5(text) AS text_md5, doc_id % 2 = 0 AS llm_only, CASE WHEN doc_id % 2 = 0 THEN doc_id / 4.0::DOUBLE ELSE -1 END AS threshold, '' AS file_path FROM documents"
+ORACLES["a10_write_responses"] = f"""SELECT value, count(*) AS n FROM ({ORACLES["a10_success_envelope"]}) GROUP BY value"""
+ORACLES["a11_write_rejects"] = ORACLES["a11_error_envelope"]
+ORACLES["s1_process_stream"] = f"""SELECT doc_id // 4 AS doc_id, document_type, status, student_id FROM ({ORACLES["h9_process"]}) WHERE doc_id % 4 = 0"""
+# Earlier forms are read first and keep the lower places.
+ORACLES["s2_stream_cache"] = ORACLES["j2_cache_upsert"]

@@ -12,6 +12,7 @@ from docloom.operators import card, classify, entities, fields, lines, ocr, shap
 from docloom.plans import process as flow
 from docloom.plans.fixtures import render
 from docloom.sources import cache, exchange, ingest, store, templates
+from docloom.streaming import stream
 
 
 def _read(spark: SparkSession, d: str, t: str) -> DataFrame:
@@ -81,6 +82,19 @@ def flagship(spark, d) -> DataFrame:
     return kinds.join(slots, "doc_id", "left")
 
 
+def _own_folder(spark, kind: str) -> str:
+    return f"{store.shared_base(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def a1_read_requests(spark, d):
+    """Documents as JSON requests, every second one with options, written and read with the fixed schema."""
+    folder = _own_folder(spark, "requests")
+    asked = F.when(F.col("doc_id") % 2 == 0, F.struct(F.lit(True).alias("llm_only"), (F.col("doc_id") / 4).alias("table_detect_threshold")))
+    _docs(spark, d).select(F.col("doc_id").cast("string").alias("file_id"), "text", asked.alias("options"), F.lit("x").alias("unknown")).write.json(folder)
+    rows = ingest.read_requests(spark, folder)
+    return rows.select("file_id", F.md5("text").alias("text_md5"), F.coalesce("options.llm_only", F.lit(False)).alias("llm_only"), F.coalesce("options.table_detect_threshold", F.lit(-1.0)).alias("threshold"), F.coalesce("file_path", F.lit("")).alias("file_path"))
+
+
 def a2_validate_requests(spark, d):
     """Documents as requests; texts over the cap are rejected."""
     requests = _read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_id"), "text", *[F.lit(None).cast("string").alias(c) for c in ("file_path", "file_content", "file_name")])
@@ -109,6 +123,13 @@ def a10_success_envelope(spark, d):
     return ingest.success_envelope(docs.select("doc_id", cache.cache_key(F.col("text")).alias("key"))).select("doc_id", "value")
 
 
+def a10_write_responses(spark, d):
+    """Keys of documents through the sink of responses, read back as lines."""
+    folder = _own_folder(spark, "responses")
+    ingest.write_responses(_docs(spark, d).select("doc_id", cache.cache_key(F.col("text")).alias("key")), folder)
+    return spark.read.text(folder).groupBy("value").agg(F.count("*").alias("n"))
+
+
 def a6_ensure_ids(spark, d):
     """Requests of which half have no id: given ones stay, the others get one of a UUID's form."""
     docs = _docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).alias("file_id"))
@@ -116,13 +137,25 @@ def a6_ensure_ids(spark, d):
     return rows.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("file_id")).alias("given"), F.length("file_id").cast("long").alias("size"))
 
 
-def a11_error_envelope(spark, d):
-    """Pages as requests of which some have neither text nor file: what is rejected, as envelopes."""
+def _rejects(spark, d) -> DataFrame:
+    """Pages as requests of which some have neither text nor file: those that are rejected."""
     pages = _read(spark, d, "pages")
     requests = pages.select(
         F.when(F.col("page_id") % 2 == 0, F.col("page_id").cast("string")).alias("file_id"), F.when(F.col("page_id") % 3 == 0, F.col("html")).alias("text"), *[F.lit(None).cast("string").alias(c) for c in ("file_path", "file_content", "file_name")]
     )
-    return ingest.error_envelope(ingest.validate_requests(requests)[1]).groupBy("value").agg(F.count("*").alias("n"))
+    return ingest.validate_requests(requests)[1]
+
+
+def a11_error_envelope(spark, d):
+    """Rejected requests as envelopes."""
+    return ingest.error_envelope(_rejects(spark, d)).groupBy("value").agg(F.count("*").alias("n"))
+
+
+def a11_write_rejects(spark, d):
+    """Rejected requests through their sink, read back as lines."""
+    folder = _own_folder(spark, "rejects")
+    ingest.write_rejects(_rejects(spark, d), folder)
+    return spark.read.text(folder).groupBy("value").agg(F.count("*").alias("n"))
 
 
 def a9_default_template(spark, d):
@@ -371,12 +404,26 @@ def d11_roster_rows(spark, d):
     return tables.roster_rows(_rosters(spark, d)).select("doc_id", "number", "class", "name", "gender")
 
 
+def _worn_rosters(spark, d) -> DataFrame:
+    """Rosters of five kinds by id: whole; without names; with names of one letter; without genders; without genders and heading."""
+    t, kind = F.col("text"), F.col("doc_id") % 5
+    bare = F.regexp_replace(t, " [男女]", " ")
+    worn = (
+        F.when(kind == 1, F.regexp_replace(t, " [一-龥]{3} ([男女])", " $1"))
+        .when(kind == 2, F.regexp_replace(t, " ([一-龥])[一-龥]{2} ([男女])", " $1 $2"))
+        .when(kind == 3, bare)
+        .when(kind == 4, F.replace(bare, F.lit("班级成员表"), F.lit("名单")))
+        .otherwise(t)
+    )
+    return _rosters(spark, d).select("doc_id", worn.alias("text"))
+
+
 def d12_roster_sample(spark, d):
-    return tables.roster_sample(_rosters(spark, d))
+    return tables.roster_sample(_worn_rosters(spark, d))
 
 
 def d13_roster_class(spark, d):
-    return tables.roster_class(_rosters(spark, d))
+    return tables.roster_class(_worn_rosters(spark, d))
 
 
 def e1_extract_entities(spark, d):
@@ -467,8 +514,9 @@ def f5_infer_fields(spark, d):
 
 
 def f6_infer_roster_fields(spark, d):
-    docs = _rosters(spark, d)
-    return fields.infer_roster_fields(tables.roster_rows(docs), tables.roster_class(docs))
+    docs = _worn_rosters(spark, d)
+    rows = fields.infer_roster_fields(docs, tables.roster_rows(docs), tables.roster_sample(docs), tables.roster_class(docs))
+    return rows.select("doc_id", "field_ord", "field_name", "field_type", "field_value", "confidence", F.coalesce("source_position.start", F.lit(-1)).alias("start"), F.coalesce(F.length("source_position.context"), F.lit(0)).alias("n_context"))
 
 
 def f7_proof_fields(spark, d):
@@ -559,7 +607,7 @@ def _nation_pack(spark, d) -> DataFrame:
             field("student_id", "STUDENT_ID", F.lit("学号[:：](?:20)([0-9]+)"), least=8), field("bad", "TEXT", F.lit("(")),
         ).alias("fields"),
     )
-    folder = f"{store.shared_base(spark)}/pack-{uuid.uuid4().hex}"
+    folder = _own_folder(spark, "pack")
     listed = made.select(F.to_json(F.struct("*")).alias("j")).agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("j")), ","), F.lit("]")).alias("value"))
     listed.write.text(folder)
     return templates.load_templates(spark, folder)
@@ -696,7 +744,7 @@ def h9_exchange(spark, d):
     """Conversations' texts through the model's exchange: what rules leave empty is asked about; replies made of the texts answer two of three."""
     turns = _read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.coalesce("turn", F.lit(0))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     turns = store.cut(turns.groupBy("doc_id").agg(F.max("text").alias("text")))
-    folder = f"{store.shared_base(spark)}/exchange-{uuid.uuid4().hex}"
+    folder = _own_folder(spark, "exchange")
     work = flow.begin(turns, folder)
     listed = F.concat(F.lit('{"document_type":"通知","confidence":0.8,"probabilities":{"通知":0.8},"extract_details":[{"field_name":"title","field_type":"TEXT","field_value":"'), F.md5("text"), F.lit('","confidence":0.9}]}'))
     replies = work.join(turns, "doc_id").where("doc_id % 3 <> 0").select("doc_id", F.when(F.col("doc_id") % 3 == 1, listed).otherwise(F.lit("无法回答")).alias("reply"))
@@ -790,4 +838,23 @@ def a8_required_to_fields(spark, d):
     return templates.required_to_fields(packs).select("doc_id", F.array_join(F.transform("fields", lambda f: f["name"]), "|").alias("names"))
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[0] in "abcdefghijk" and (k[1].isdigit() or k == "i_scalars") and "_" in k} | {"leave_form_records": flagship}
+def s1_process_stream(spark, d):
+    """Leave forms that land as files: the answers that the stream has written when it has read them all."""
+    folder = _own_folder(spark, "stream")
+    _leave(spark, d).write.parquet(f"{folder}/in")
+    stream.process_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state").awaitTermination()
+    rows = spark.read.parquet(f"{folder}/out")
+    return rows.select("doc_id", "document_type", "fields.extract_main.status", F.col("basic_info.student_id").alias("student_id"))
+
+
+def s2_stream_cache(spark, d):
+    """The result cache after two batches of leave forms, those of earlier years first."""
+    folder = _own_folder(spark, "cache")
+    forms = _leave(spark, d)
+    for part in (forms.where(_EARLIER), forms.where(f"NOT {_EARLIER}")):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream.stream_cache(spark, f"{folder}/in", fields.proof_fields, f"{folder}/cache", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/cache/version=2").select("key", "seq", F.size("extract_details").cast("long").alias("n_details"))
+
+
+QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[0] in "abcdefghijks" and (k[1].isdigit() or k == "i_scalars") and "_" in k} | {"leave_form_records": flagship}

@@ -93,6 +93,21 @@ def test_courses(spark):
     assert {r["doc_id"]: r["noisy"] for r in tables.noisy_courses(docs, by_line).collect()} == {0: False, 1: True, 2: True}
 
 
+def test_roster_fields(spark):
+    """First member, first triple, commonest class, the word itself; what is no roster is left out."""
+    docs = _docs(
+        spark, "成员名单\n0 软升001 王五 男\n2 软升002 李四 女\n3 软升001 赵六 女", "班级名单\n软件 张 男", "班级成员表\n姓名：张三\n性别：女\n软工7 软工7", "通知：姓名 张三", "班级名单\n1 计科7 男\n2 计科8 男\n3 计科8 女",
+    )
+    got: dict = {}
+    for r in fields.infer_roster_fields(docs, tables.roster_rows(docs), tables.roster_sample(docs), tables.roster_class(docs)).orderBy("doc_id", "field_ord").collect():
+        got.setdefault(r["doc_id"], []).append((r["field_value"], r["confidence"], r["source_position"] and r["source_position"]["context"]))
+    assert got[0] == [("软升002", 0.85, "roster-sample"), ("李四", 0.85, "roster-sample"), ("女", 0.85, "roster-sample")]
+    assert got[1] == [("软件", 0.85, "roster-sample"), ("张", 0.85, "roster-sample"), ("男", 0.85, "roster-sample")]
+    assert got[2][0] == ("软工7", 0.9, "roster-majority") and got[2][1][:2] == ("张三", 0.9) and got[2][2][:2] == ("女", 0.9)
+    assert got[4] == [("计科8", 0.9, "roster-majority"), (None, 0.0, None), (None, 0.0, None)] and 3 not in got
+    assert [f["name"] for f in fields.roster_template()["fields"]] == ["class", "name", "gender"]
+
+
 def test_roster(spark):
     docs = _docs(spark, "序号 班级 姓名 性别\n2 软升243 张三 男\n1 软升243 李四 女\n3 软升243 张三 男")
     assert [(r["number"], r["name"]) for r in tables.roster_rows(docs).orderBy("ord").collect()] == [(1, "李四"), (2, "张三")]
