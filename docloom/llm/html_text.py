@@ -3,9 +3,10 @@
 Pages of a host share a template. A page is read as a stream of elements and texts; the streams of a host are aligned
 one after the other, element by element under their parents, into one wrapper, an expression without unions: an element that
 stands twice or more beside itself becomes a repeated group, one that only some pages have becomes optional, and a
-text that differs becomes a slot; texts that all pages with their element have stay as constants.
-Alignment has no order: tasks align what they read, and what they found is summed up by host and element, so
-the largest host is a few rows a task. Elements are named by a hash of their path, whatever its depth.
+text that differs becomes a slot; texts that all pages with their element have stay as constants, and those that all but
+few have as optional constants: a page without its notice does not make the notice text.
+Alignment has no order: tasks align what they read, counting texts by element, and what they found is summed up by host,
+element and text, so no host is one row or one task. Elements are named by a hash of their path, whatever its depth.
 
 Every page's text is then taken by its host's wrapper: constants that pages of differing text agree in are the
 template's, what varies is text. Menus, headers, footers, sidebars, notices, adverts, forms and comments, whose
@@ -24,10 +25,12 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import bounded, checkpointed, read
 
-#: Wrapper elements that a task holds before it hands them on.
+#: Wrapper elements and texts that a task holds before it hands them on.
 HELD_NODES = 200_000
 #: Pages of differing text that must agree in a text for it to be a constant.
 CONSTANT_FROM = 3
+#: A constant may be missing on one in so many of the pages that have its element: it is optional then.
+MISSING_ONE_IN = 10
 #: Inside an article, copies of one article agree too: there constants are short, and a small part of the text (one in so many words).
 CONTENT_WORDS, CONTENT_SHARE = 50, 5
 
@@ -341,10 +344,11 @@ def _read(html: str | None, free_articles: bool, by_name: bool) -> tuple[Page, b
     return out, buried
 
 
-def align(wrapper: dict, page: Page) -> None:
-    """``wrapper`` (``node: [parent, key, pages, seen, repeated, constants]``) widened to fit one more page.
+def align(wrapper: dict, page: Page) -> int:
+    """``wrapper`` (``node: [parent, key, pages, seen, repeated, texts]``, texts ``mark: [pages, seen]``) widened to fit one more page.
 
-    ``seen`` has a bit for each page text, of 64: as many bits, at least so many differing texts.
+    ``seen`` has a bit for each page text, of 64: as many bits, at least so many differing texts. Returns by how many
+    elements and texts the wrapper grew.
     """
     texts: dict[int, set] = {}
     for block in page.blocks:
@@ -352,44 +356,61 @@ def align(wrapper: dict, page: Page) -> None:
             texts.setdefault(block.node, set()).add(block.mark)
     whole = b"".join(block.mark.to_bytes(8, "little") for block in page.blocks if not block.dropped)
     seen = 1 << xxhash.xxh64_intdigest(whole) % 64
+    grown = 0
     for node, (parent, key, repeated) in page.nodes.items():
-        own = texts.get(node, set())
         known = wrapper.get(node)
         if known is None:
-            wrapper[node] = [parent, key, 1, seen, repeated, own]
-        else:
-            known[2] += 1
-            known[3] |= seen
-            known[4] = known[4] or repeated
-            known[5] &= own
+            known = wrapper[node] = [parent, key, 0, 0, False, {}]
+            grown += 1
+        known[2] += 1
+        known[3] |= seen
+        known[4] = known[4] or repeated
+        for mark in texts.get(node, ()):
+            one = known[5].get(mark)
+            if one is None:
+                known[5][mark] = [1, seen]
+                grown += 1
+            else:
+                one[0] += 1
+                one[1] |= seen
+    return grown
+
+
+def agreed(wrapper: dict, least_texts: int = CONSTANT_FROM) -> frozenset:
+    """Marks (signed) of a wrapper's constants, optional ones too, in which ``least_texts`` pages of differing text agree."""
+    return frozenset(_signed(mark) for _, _, pages, _, _, texts in wrapper.values() for mark, (n, seen) in texts.items() if (pages - n) * MISSING_ONE_IN <= pages and seen.bit_count() >= least_texts)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """``(host, node, parent, key, pages, texts, optional, repeated, constants)``: the wrappers of ``pages(host, html)``, a row an element.
+def infer_wrappers(pages: DataFrame, least_texts: int = 1) -> DataFrame:
+    """``(host, node, parent, key, pages, texts, optional, repeated, constants, optional_constants)``: the wrappers of ``pages(host, html)``, a row an element.
 
-    Aligned in the tasks first, then summed up by host and element. ``texts``: how many pages of differing text, at least.
+    Aligned in the tasks first, then summed up by host and element, and by text. ``texts``: how many pages of differing text, at least.
+    ``constants``: texts of all pages with the element, ``optional_constants``: of all but one in ``MISSING_ONE_IN``; either only if pages of
+    ``least_texts`` differing texts have them, which also leaves most texts out before they are joined with their element.
     """
-    names = ["host", "node", "parent", "key", "pages", "seen", "repeated", "constants"]
+    names = ["host", "node", "mark", "parent", "key", "pages", "seen", "repeated"]
 
     def local(batches):
         held: dict = {}
         size = 0
 
         def out():
-            rows = [(host, _signed(node), None if p is None else _signed(p), key, n, _signed(seen), again, [_signed(m) for m in marks]) for host, w in held.items() for node, (p, key, n, seen, again, marks) in w.items()]
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+            rows = []
+            for host, wrapper in held.items():
+                for node, (parent, key, n, seen, again, texts) in wrapper.items():
+                    node = _signed(node)
+                    rows.append((host, node, None, None if parent is None else _signed(parent), key, n, _signed(seen), again))
+                    rows.extend((host, node, _signed(mark), None, None, m, _signed(bits), None) for mark, (m, bits) in texts.items())
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
         for batch in batches:
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
-                wrapper = held.setdefault(host, {})
-                before = len(wrapper)
-                align(wrapper, read_page(html.as_py()))
-                size += len(wrapper) - before
+                size += align(held.setdefault(host, {}), read_page(html.as_py()))
                 if size > HELD_NODES:
                     yield out()
                     held.clear()
@@ -397,28 +418,33 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         if size:
             yield out()
 
-    schema = "host string, node long, parent long, key string, pages long, seen long, repeated boolean, constants array<long>"
+    schema = "host string, node long, mark long, parent long, key string, pages long, seen long, repeated boolean"
     parts = checkpointed(pages.select("host", "html").mapInArrow(local, schema))
-    whole = parts.groupBy("host", "node").agg(
+    whole = parts.where("mark IS NULL").groupBy("host", "node").agg(
         F.min("parent").alias("parent"), F.min("key").alias("key"), F.sum("pages").alias("pages"), F.bit_count(F.bit_or("seen")).alias("texts"), F.bool_or("repeated").alias("repeated")
     )
-    marks = parts.select("host", "node", "pages", F.explode("constants").alias("mark")).groupBy("host", "node", "mark").agg(F.sum("pages").alias("with_mark"))
-    agreed = marks.join(whole.select("host", "node", "pages"), ["host", "node"]).where(F.col("with_mark") == F.col("pages"))
-    agreed = agreed.groupBy("host", "node").agg(F.sort_array(F.collect_list("mark")).alias("constants"))
+    marks = parts.where("mark IS NOT NULL").groupBy("host", "node", "mark").agg(F.sum("pages").alias("with_mark"), F.bit_count(F.bit_or("seen")).alias("mark_texts"))
+    shared = marks.where(F.col("mark_texts") >= least_texts).join(whole.select("host", "node", "pages"), ["host", "node"])
+    shared = shared.withColumn("missing", F.col("pages") - F.col("with_mark")).where(F.col("missing") * MISSING_ONE_IN <= F.col("pages"))
+    # At most a page's worth and a tenth an element: nine in ten of its pages have each.
+    shared = shared.groupBy("host", "node").agg(
+        F.sort_array(F.collect_list(F.when(F.col("missing") == 0, F.col("mark")))).alias("constants"), F.sort_array(F.collect_list(F.when(F.col("missing") > 0, F.col("mark")))).alias("optional_constants")
+    )
     above = whole.select("host", F.col("node").alias("parent"), F.col("pages").alias("parent_pages"))
-    joined = whole.join(above, ["host", "parent"], "left").join(agreed, ["host", "node"], "left")
+    joined = whole.join(above, ["host", "parent"], "left").join(shared, ["host", "node"], "left")
     optional = F.coalesce(F.col("pages") < F.col("parent_pages"), F.lit(False)).alias("optional")
-    return joined.select("host", "node", "parent", "key", "pages", "texts", optional, "repeated", F.coalesce("constants", F.array().cast("array<long>")).alias("constants"))
+    none = F.array().cast("array<long>")
+    return joined.select("host", "node", "parent", "key", "pages", "texts", optional, "repeated", *[F.coalesce(c, none).alias(c) for c in ("constants", "optional_constants")])
 
 
 def expression(rows) -> str:
-    """One host's wrapper rows as a union-free expression: ``(x)?`` optional, ``(x)+`` repeated, ``#`` a text slot or constant."""
+    """One host's wrapper rows as a union-free expression: ``(x)?`` optional, ``(x)+`` repeated, ``=`` a constant, ``#`` a text slot."""
     under: dict = {}
     for row in rows:
         under.setdefault(row["parent"], []).append(row)
 
     def show(row) -> str:
-        inner = f"{'<' + row['key'] + '>' if row['key'] else ''}{'=' * len(row['constants'])}#{''.join(show(r) for r in sorted(under.get(row['node'], []), key=lambda r: r['key']))}"
+        inner = f"{'<' + row['key'] + '>' if row['key'] else ''}{'=' * len(row['constants'])}{'(=)?' * len(row['optional_constants'])}#{''.join(show(r) for r in sorted(under.get(row['node'], []), key=lambda r: r['key']))}"
         mark = ("+" if row["repeated"] else "") + ("?" if row["optional"] else "")
         return f"({inner}){mark}" if mark else inner
 
@@ -451,9 +477,9 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     base = pages.select("page_id", "url", "html", host.alias("host"))
-    wrappers = infer_wrappers(base.select("host", "html")).where((F.col("texts") >= CONSTANT_FROM) & (F.size("constants") > 0))
-    # At most a page's worth of constants a host: those that every page with their element has.
-    constants = checkpointed(wrappers.groupBy("host").agg(F.flatten(F.collect_list("constants")).alias("constants")))
+    fixed = F.concat("constants", "optional_constants")
+    wrappers = infer_wrappers(base.select("host", "html"), CONSTANT_FROM).where(F.size(fixed) > 0)
+    constants = checkpointed(wrappers.groupBy("host").agg(F.flatten(F.collect_list(fixed)).alias("constants")))
     marks = constants.select(F.col("host").alias("__host"), "constants")
     joined = base.join(bounded(marks), F.col("host") == F.col("__host"), "left")
 
