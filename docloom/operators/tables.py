@@ -275,11 +275,14 @@ def roster_rows(docs: DataFrame) -> DataFrame:
 
     A class has 3-12 characters with a digit and a letter, a name 2-4 characters; a member without a number gets its rank.
     """
-    found = None
-    for order, (pattern, (c, n, g)) in enumerate(ROSTER_ORDERS):
+    def members(order: int) -> Column:
+        pattern, (c, n, g) = ROSTER_ORDERS[order]
         groups = [F.regexp_extract_all("text", F.lit(pattern), F.lit(k)).alias(a) for k, a in ((1, "no"), (c, "class"), (n, "name"), (g, "gender"))]
-        part = docs.select("doc_id", F.posexplode(F.arrays_zip(*groups)).alias("at", "m")).select("doc_id", F.lit(order).alias("pattern"), "at", "m.*")
-        found = part if found is None else found.unionAll(part)
+        return F.transform(F.arrays_zip(*groups), lambda m, at: F.struct(F.lit(order).alias("pattern"), at.alias("at"), *[m[a].alias(a) for a in ("no", "class", "name", "gender")]))
+
+    # All orders in one pass: the parts of a union would each read the texts.
+    listed = [members(order) for order in range(len(ROSTER_ORDERS))]
+    found = docs.select("doc_id", F.inline(F.concat(*listed)))
     sound = F.length("class").between(3, 12) & F.col("class").rlike(r"(?U)\d") & F.col("class").rlike("[A-Za-z一-龥]")
     once = Window.partitionBy("doc_id", "class", "name", "gender").orderBy("pattern", "at")
     rows = found.where(sound).withColumn("__r", F.row_number().over(once)).where("__r = 1")

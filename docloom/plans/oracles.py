@@ -483,7 +483,7 @@ SELECT doc_id, line_no, regexp_extract(p[start + 1], '(20[0-9]{{2}}-20[0-9]{{2}}
 FROM c"""
 _FORM_LINES = f"SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS line_no FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM ({_FORMS})) WHERE line <> ''"
 ORACLES["c12_analyze_text"] = f"""WITH l AS (SELECT doc_id, count(*) FILTER ({_TABULAR}) AS t, count(*) FILTER (NOT {_TABULAR}) AS b FROM ({_FORM_LINES}) GROUP BY doc_id),
-m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY number, pos) AS r, count(*) OVER (PARTITION BY doc_id) AS n
+m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE number WHEN 0 THEN 1000000 ELSE number END, pos) AS r, count(*) OVER (PARTITION BY doc_id) AS n
   FROM (SELECT * FROM ({_MEMBERS}) QUALIFY row_number() OVER (PARTITION BY doc_id, class, name, gender ORDER BY pos) = 1))
 SELECT k.doc_id, k.document_type, t AS n_table_lines, b AS n_body_lines, coalesce(n, 0) AS n_members, coalesce(n, 0) AS n_grid, len(e.names) AS n_expected, len(e.names) AS n_template,
   m.name AS first_member, m.number::VARCHAR || '|' || m.class || '|' || m.name || '|' || m.gender AS first_cells
