@@ -119,7 +119,7 @@ def apply_quality_rules(docs: DataFrame, text: str = "text", host: str = "source
     """``docs`` without its text, with its statistics, ``host_rate`` and ``kept``.
 
     Kept: the base rules pass and the host is not rejected. Repeated rows get equal results; an
-    empty table gives an empty result.
+    empty table gives an empty result. Columns of ``docs`` named like the result's are replaced.
     """
     base = docs.drop(*[c for c in ("host_docs", "host_rate", "host_rejected", "kept") if c in docs.columns])
     # The statistics are needed twice (by host and in the result), so they are kept, without the text.

@@ -196,7 +196,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, score)``, one row for each row of ``docs``; null and empty texts are scored as texts without windows."""
+    """``(doc_id, score)``, one row for each row of ``docs``; null and empty texts are scored as texts without windows.
+
+    Equal texts score equally, whatever their rows; repeated rows each have a row. Empty table: empty result. Other
+    columns are left out, whatever their names.
+    """
 
     def run(batches):
         distance = CompressionDistance(model["common"], model["marks"]) if "weights" in model else None

@@ -49,7 +49,8 @@ def write_warc(pages: DataFrame, path: str) -> None:
     """One record for each row of ``pages(page_id, url, html)`` into archive files below ``path``.
 
     Null html: an empty payload. Null url: no target header. Line ends in a url are percent-encoded.
-    Repeated rows are repeated records; rows without an id have the record id ``null``.
+    Repeated rows are repeated records; rows without an id have the record id ``null``. Other columns are left out,
+    whatever their names; an empty table gives no records.
     """
     rows = assign_records(pages)
     again = F.col("first").isNotNull()

@@ -48,7 +48,17 @@ def test_torn_file_ends_at_the_tear(spark, tmp_path):
     folder.mkdir()
     one = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     (folder / "a.warc").write_bytes((one + "garbage" + one).encode())
-    assert warc.read_warc(spark, str(folder)).count() <= 1
+    got = warc.read_warc(spark, str(folder)).collect()
+    assert [(r["start"], bytes(r["payload"]) if not isinstance(r["payload"], str) else r["payload"].encode()) for r in got] == [(0, b"abc")]
+
+
+def test_empty_file_and_clashing_columns(spark, tmp_path):
+    """An empty file adds nothing; columns named like the operator's own do not reach the records."""
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>", "x", 7, "y")], "page_id long, url string, html string, payload string, payload_bytes long, first string")
+    warc.write_warc(pages, str(tmp_path / "c"))
+    (tmp_path / "c" / "b.warc").write_bytes(b"")
+    (row,) = warc.page_records(warc.read_warc(spark, str(tmp_path / "c"))).collect()
+    assert (row["page_id"], row["payload_bytes"], row["record_type"], row["refers_to"]) == (1, 8, "response", None)
 
 
 def test_no_pages(spark, tmp_path):
