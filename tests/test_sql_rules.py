@@ -28,3 +28,10 @@ def test_amount_whose_digits_stand_in_the_student_id(spark, tmp_path):
     got = _same(spark, tmp_path, "e1_extract_entities", orders=orders, customer=customer)
     amounts = got[got["type"] == "SCHOLARSHIP_AMOUNT"]
     assert sorted(amounts["text"]) == ["2001", "40000"] and (amounts["start"] > 60).all()
+
+
+@pytest.mark.parametrize("name", ["a11_error_envelope", "a11_write_rejects"])
+def test_rejected_texts_over_the_cap(spark, tmp_path, name):
+    pages = spark.createDataFrame([(0, "x" * 50_001), (3, "字" * 50_000), (6, None), (9, "y" * 60_000), (1, "z"), (2, "z" * 70_000)], "page_id long, html string")
+    got = _same(spark, tmp_path, name, pages=pages)
+    assert sorted(v for v in got["value"] if "too long" in v) == ['{"code":400,"message":"text too long","detail":"0"}', '{"code":400,"message":"text too long"}']
