@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from docloom.operators import classify, lines, tables
+from docloom.functions import packs
+from docloom.operators import card, classify, entities, lines, tables
 from docloom.plans.fixtures import render
 
 
@@ -44,3 +45,17 @@ def test_courses_are_judged_once(spark):
     _, outcome = tables.resolve_courses(rule, rule.where("false"), docs, types, rule.withColumn("course_name", F.lit("模型")))
     assert "Join" not in _plan(outcome)
     assert sorted(map(tuple, outcome.collect())) == [(1, "replace"), (2, "clear")]
+
+
+def test_segments_are_made_once(spark):
+    docs = spark.createDataFrame([(1, "姓名 甲 学号 12")], "doc_id long, text string")
+    rows = card.label_segments(docs)
+    assert _plan(rows).count("split(text#") == len((*card.LABELS, *card.CODE_LABELS))
+    assert sorted((r.label, r.segment) for r in rows.collect()) == [("姓名", "甲"), ("学号", "12")]
+
+
+def test_spans_are_found_once(spark):
+    docs = spark.createDataFrame([(1, "学号：12345678")], "doc_id long, text string")
+    rows = entities.extract_entities(docs, ["STUDENT_ID"])
+    assert _plan(rows).count("regexp_replace(") == sum(r[0] == "STUDENT_ID" for r in packs.ENTITY_RULES)
+    assert rows.count() == 2
