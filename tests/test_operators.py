@@ -354,3 +354,32 @@ def test_stream_leaves_nothing_behind(spark, tmp_path, monkeypatch):
     run()
     assert [r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [0]
     assert files() <= before
+
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+
+def test_merge_fields_makes_the_base_once(spark):
+    kind = "doc_id long, field_ord int, field_name string, field_type string, field_value string, confidence double"
+    base = spark.createDataFrame([(1, 0, "a", "TEXT", None, 0.0), (1, 1, "b", "TEXT", "x", 0.5)], kind)
+    extra = spark.createDataFrame([(1, 0, "a", "TEXT", "no", 0.9), (1, 1, "c", "TEXT", "y", 0.9), (1, 2, "c", "TEXT", "z", 0.9), (1, 3, None, "TEXT", "w", 0.9), (2, 0, "a", "TEXT", "v", 0.9)], kind)
+    merged, summary = shape.merge_fields(base, extra)
+    assert sorted((r.doc_id, r.field_ord, r.field_name, r.field_value) for r in merged.collect()) == [(1, 0, "a", None), (1, 1, "b", "x"), (1, 10_001, "c", "y"), (1, 10_002, "c", "z"), (1, 10_003, None, "w"), (2, 10_000, "a", "v")]
+    assert {r.doc_id: (r.total_fields, r.extracted_fields) for r in summary.collect()} == {1: (5, 4), 2: (1, 1)}
+    assert "Join" not in _plan(merged)
+
+
+
+def test_patterns_run_only_on_texts_with_their_words(spark):
+    text = "HTTPS://A.cn 姓名：王小明 安徽大学 贵校学生李四的 2024年9月1日"
+    docs = spark.createDataFrame([(1, text), (2, "2024-2025-1"), (3, None)], "doc_id long, text string")
+    proofs = fields.proof_fields(docs)
+    found = {r.field_name: r.field_value for r in proofs.collect() if r.doc_id == 1 and r.field_value}
+    assert found == {"name": "王小明", "school_name": "安徽大学", "verify_url": "HTTPS://A.cn"}
+    assert not [r for r in proofs.collect() if r.doc_id > 1 and r.field_value]
+    loans = {r.field_name: r.field_value for r in fields.loan_contract_fields(docs).collect()}
+    assert loans["name"] == "李四" and loans["issue_date"] == "2024-09-01"
+    assert "出生日期)" in _plan(proofs)
