@@ -383,3 +383,12 @@ def test_patterns_run_only_on_texts_with_their_words(spark):
     loans = {r.field_name: r.field_value for r in fields.loan_contract_fields(docs).collect()}
     assert loans["name"] == "李四" and loans["issue_date"] == "2024-09-01"
     assert "出生日期)" in _plan(proofs)
+
+
+
+def test_fail_analysis_makes_each_side_once(spark):
+    typed = spark.createDataFrame([(1, "班级成员表"), (2, "班级成员表")], "doc_id long, document_type string")
+    got = spark.createDataFrame([(1, "class", "软升001"), (1, "class", "软升001"), (1, "name", "")], "doc_id long, field_name string, field_value string")
+    rows = fields.fail_analysis(fields.expected_fields(typed), got)
+    assert {r.doc_id: r.missing for r in rows.collect()} == {1: ["gender", "name"], 2: ["class", "gender", "name"]}
+    assert _plan(rows).count("posexplode") == 1
