@@ -392,3 +392,9 @@ def test_fail_analysis_makes_each_side_once(spark):
     rows = fields.fail_analysis(fields.expected_fields(typed), got)
     assert {r.doc_id: r.missing for r in rows.collect()} == {1: ["gender", "name"], 2: ["class", "gender", "name"]}
     assert _plan(rows).count("posexplode") == 1
+
+
+def test_tables_and_types_are_kept_where_read_twice(spark, sf):
+    from docloom.plans import queries
+
+    assert "regexp_extract_all" not in _plan(queries.d4_format_tables(spark, sf))
