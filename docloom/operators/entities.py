@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +56,22 @@ def _hits(text: Column, rule: int, kind: str, before: str, value: str, after: st
     return F.filter(found, lambda h: keep(h["text"])) if keep else found
 
 
+_NO_HITS = "array<struct<rule:int,ord:int,type:string,text:string,start:int>>"
+
+
+def _may_hit(text: Column, before: str, value: str, after: str) -> Column:
+    """A cheap test that every text with a match passes: it holds one of the words that the rule opens with, else the pattern itself."""
+    words = re.match(r"\(\?:([^()\\\[\]?*+.]+)\)(?![?*{])|([一-龥]{2,})(?:\\s|\[|\.)", before)
+    if words and words[1]:
+        # A word that holds another one is found by that one.
+        listed = words[1].split("|")
+        return reduce(Column.__or__, [text.contains(w) for w in listed if not any(o != w and o in w for o in listed)])
+    if words and "|" not in before:
+        return text.contains(words[2])
+    plain = text.contains("@") if "@" in value else F.lit(True)
+    return plain & text.rlike(f"(?U)({before})({value})({after})")
+
+
 def extract_entities(docs: DataFrame, types: list[str] | None = None) -> DataFrame:
     """``(doc_id, rule, ord, type, text, start, end)``: every match of every rule, spans in code points.
 
@@ -62,7 +81,8 @@ def extract_entities(docs: DataFrame, types: list[str] | None = None) -> DataFra
     clean = F.translate("text", _OPEN + _CLOSE, "")
     rules = [(k, r) for k, r in enumerate(packs.ENTITY_RULES) if types is None or r[0] in types]
     found = docs.select("doc_id", clean.alias("__t"))
-    every = F.flatten(F.array(*[_hits(F.col("__t"), k, *rule, k in packs.LINE_VALUE_RULES) for k, rule in rules]))
+    t = F.col("__t")
+    every = F.flatten(F.array(*[F.when(_may_hit(t, *rule[1:]), _hits(t, k, *rule, k in packs.LINE_VALUE_RULES)).otherwise(F.array().cast(_NO_HITS)) for k, rule in rules]))
     rows = found.select("doc_id", kept(every).alias("__e")).select("doc_id", F.inline("__e"))
     return rows.select("doc_id", "rule", "ord", "type", "text", "start", (F.col("start") + F.length("text")).alias("end"))
 

@@ -398,3 +398,21 @@ def test_tables_and_types_are_kept_where_read_twice(spark, sf):
     from docloom.plans import queries
 
     assert "regexp_extract_all" not in _plan(queries.d4_format_tables(spark, sf))
+
+
+def test_rules_without_their_words_are_not_run(spark):
+    """A rule's match is only looked for where its words stand; values are repaired once and not at all where they are null."""
+    docs = spark.createDataFrame([(1, "姓名 王小明 学号：12345678 手机：13800000000 E-mail: a@b.cn 请假离校原因：病了"), (2, "QQ 12345 微信号：bAAAA 贷款年度2024 家长姓名李四"), (3, "无"), (4, None)], "doc_id long, text string")
+    rows = entities.extract_entities(docs)
+    found = {(r.doc_id, r.type, r.text) for r in rows.collect()}
+    assert {(1, "PERSON", "王小明"), (1, "STUDENT_ID", "12345678"), (1, "PHONE", "13800000000"), (1, "EMAIL", "a@b.cn"), (1, "LEAVE_REASON", "病了"), (2, "QQ", "12345"), (2, "WECHAT", "bAAAA"), (2, "LOAN_YEAR", "2024"), (2, "PARENT_NAME", "李四")} <= found
+    assert not [f for f in found if f[0] == 4]
+    plan = _plan(entities.extract_entities(docs, ["LOAN_AMOUNT"]))
+    assert "Contains(" in plan or "contains(" in plan.lower()
+    details = spark.createDataFrame(
+        [(1, 0, "a", "TEXT", "姓 名", 0.9), (1, 1, "b", "DATE", None, 0.0), (1, 2, "c", "ID_NUMBER", "11010519491231002x", 0.9), (1, 3, "d", "TEXT", " ", 0.5), (1, 4, "e", "DATE", "2024年9月1日", 0.7), (1, 5, "f", None, "v", None)],
+        "doc_id long, field_ord int, field_name string, field_type string, field_value string, confidence double",
+    )
+    fixed = shape.fix_fields(details)
+    assert [(r.field_value, r.confidence) for r in fixed.orderBy("field_ord").collect()] == [(None, 0.0), ("1949-12-31", 0.6), ("11010519491231002X", 0.9), (None, 0.5), ("2024-09-01", 0.7), ("v", 0.0)]
+    assert "isnotnull(field_value" in _plan(fixed).lower()
