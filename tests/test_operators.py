@@ -416,3 +416,10 @@ def test_rules_without_their_words_are_not_run(spark):
     fixed = shape.fix_fields(details)
     assert [(r.field_value, r.confidence) for r in fixed.orderBy("field_ord").collect()] == [(None, 0.0), ("1949-12-31", 0.6), ("11010519491231002X", 0.9), (None, 0.5), ("2024-09-01", 0.7), ("v", 0.0)]
     assert "isnotnull(field_value" in _plan(fixed).lower()
+
+
+def test_cards_and_loans_are_dealt_over_tasks(spark, sf):
+    from docloom.plans.fixtures import render
+
+    for name in ("cards", "loans"):
+        assert render(spark, sf, name).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
