@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: Unicode white space and the separators of information.
+_SPACE = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def trimmed(c: Column) -> Column:
     """Unicode white space off both ends."""
-    return F.regexp_replace(c, f"(?U){_SPACE}", "")
+    # By characters, not by pattern: a pattern is tried at every place of the string.
+    return F.trim(c, F.lit(_SPACE))
 
 
 def found(c: Column, pattern: str, group: int = 1) -> Column:
@@ -127,9 +129,14 @@ _SEMESTER = r"(?U)(20\d{2})\s*[-/]\s*(20\d{2})\s*[-]?\s*([12一二])"
 
 def parse_semester(c: Column) -> Column:
     """``struct(academic_year, term)``, null where there is none."""
-    term = F.when(F.regexp_extract(c, _SEMESTER, 3).isin("1", "一"), "1").otherwise("2")
-    year = F.concat_ws("-", F.regexp_extract(c, _SEMESTER, 1), F.regexp_extract(c, _SEMESTER, 2))
-    return F.when(c.rlike(_SEMESTER), F.struct(year.alias("academic_year"), term.alias("term")))
+    # The three groups by one pattern: year-year-term.
+    even = F.regexp_replace(c, rf"(?s)\A.*?{_SEMESTER}.*\z", "$1-$2-$3")
+
+    def parts(x: Column) -> Column:
+        term = F.when(F.substring(x, 11, 1).isin("1", "一"), "1").otherwise("2")
+        return F.struct(F.substring(x, 1, 9).alias("academic_year"), term.alias("term"))
+
+    return F.when(c.rlike(_SEMESTER), F.get(F.transform(F.array(even), parts), F.lit(0)))
 
 
 def cache_key(c: Column) -> Column:

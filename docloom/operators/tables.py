@@ -101,10 +101,11 @@ def courses_from_lines(docs: DataFrame) -> DataFrame:
     semester = r"20[0-9]{2}[-/]20[0-9]{2}[-]?[12一二]"
     # Generators keep the columns and their numbers: as plain columns they would be made again in every test of the filter below.
     fits = F.filter(F.array(F.split(even, " ")), lambda p: (F.size(p) >= 6) & F.get(p, F.lit(0)).rlike(semester))
-    made = F.transform(fits, lambda p: F.struct(p.alias("p"), F.transform(p, S.first_number).alias("v")))
+    # The first three columns are no numbers: a semester alone takes longer to be read as one than all others.
+    made = F.transform(fits, lambda p: F.struct(p.alias("p"), F.transform(p, lambda x, i: F.when(i >= 3, S.first_number(x))).alias("v")))
     rows = rows.where(F.col("line").rlike(semester)).select("doc_id", "line_no", kept(made).alias("m")).select("doc_id", "line_no", F.inline("m"))
     spot = F.filter(F.sequence(F.lit(3), F.least(F.size("p"), F.lit(10)) - 1), lambda i: (F.get("v", i) > 0) & (F.get("v", i) <= 20))
-    rows = rows.select("doc_id", "line_no", "p", "v", F.explode(F.slice(spot, 1, 1)).alias("at")).where("at > 3").withColumn("s", S.parse_semester(F.get("p", F.lit(0))))
+    rows = rows.select("doc_id", "line_no", "p", "v", kept(F.get(spot, F.lit(0))).alias("at")).where("at > 3").withColumn("s", S.parse_semester(F.get("p", F.lit(0))))
     later = F.filter(F.sequence(F.col("at") + 2, F.greatest(F.least(F.size("p"), F.col("at") + 6) - 1, F.col("at") + 2)), lambda i: (F.get("v", i) >= 0) & (F.get("v", i) <= 5))
     name = F.array_join(F.slice("p", F.lit(4), F.greatest(F.col("at") - 3, F.lit(0))), " ")
     out = rows.select(
